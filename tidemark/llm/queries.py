@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing
+from . import langid, mixing, packing, token_counts, toxicity, urlfilter, warc
+from .store import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +19,52 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    records = warc.read(spark, path, with_payload=False)
+    return records.select(
+        F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to_key").cast("long").alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS largest FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM q
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def learn_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    return toxicity.learn(docs.filter(langid.crc_mod(F.col("doc_id"), 3) != 1), labels)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs.select("doc_id", "text"), learn_toxicity(docs, table(spark, sf_dir, "labels")))
+    return found.select(
+        "doc_id", (langid.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.RULES)
+
+
 def learn_languages(docs: DataFrame) -> langid.KernelModel | None:
     return langid.learn(docs.filter(langid.crc_mod(F.col("doc_id"), 5) != 0))
 
@@ -70,5 +113,5 @@ SELECT doc_id, source, size, source_size, target,
 FROM c
 """
 
-QUERIES = {"op2_packing": op2_packing, "op6_language_id": op6_language_id, "op10_mixing": op10_mixing}
-ORACLES = {"op10_mixing": OP10_SQL}
+QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_url_filters": op5_url_filters, "op2_packing": op2_packing, "op6_language_id": op6_language_id, "op10_mixing": op10_mixing}
+ORACLES = {"op1_warc": OP1_SQL, "op10_mixing": OP10_SQL}
