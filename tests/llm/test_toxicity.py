@@ -64,7 +64,7 @@ def test_planted_passages(planted):
 def test_edges(spark, planted):
     docs, labels = planted
     model = toxicity.learn(docs, labels.unionByName(labels.limit(50)))
-    odd = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "VILE " * 30000), (3, "!!")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "VILE scum trash " + "w1 " * 9), (3, "!! " * 50000)], "doc_id long, text string")
     got = toxicity.score(odd, model).collect()
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got) and got[0]["score"] == got[1]["score"] == got[2]["score"] == got[4]["score"] < 0.5 < got[3]["score"]
     assert toxicity.learn(docs, labels.limit(0)).base == 0.0

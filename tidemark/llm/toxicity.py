@@ -1,9 +1,11 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Learning: tokens are counted once per labelled text (equal texts count once), by label. A token's score
-is its log-odds between toxic and other texts under an informative Dirichlet prior, less ``z`` standard
-errors; tokens whose lower bound isn't positive get the same small negative drift. Tokens are hashed to
-``2 ** BITS`` places, which bounds the model whatever the vocabulary.
+Learning: tokens and their stems are counted once per labelled text (equal texts count once), by label.
+A token's score is the best of its own and its stems' scores: the log-odds between toxic and other
+texts under an informative Dirichlet prior, less ``z`` standard errors; tokens whose lower bound isn't
+positive get the same small negative drift. As a unit is counted once a text, it scores where it first
+stands, and repeats drift. Units are hashed to ``2 ** BITS`` places, which bounds the model whatever
+the vocabulary.
 
 Scoring: one linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a whole text. Under
 the token frequencies of other texts, segments of score s are expected K n exp(-lambda s) times in n
@@ -33,13 +35,19 @@ from .store import written
 
 BITS = 20
 TOKEN = re.compile(r"\w+")
+STEMS = (4, 5, 6)
 DRIFT = 0.5
 BINS = 400
 BIN_WIDTH = 0.25
 
 
-def place(token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+def place(unit: str) -> int:
+    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+def units(token: str) -> list[str]:
+    """The token and its longer stems: inflected and compound forms are rare one by one, their stems are not."""
+    return [token, *(token[:n] + "*" for n in STEMS if n < len(token))]
 
 
 @dataclass
@@ -91,10 +99,14 @@ class Scorer:
         if len(known) > self.max_words:
             known.clear()
         for token in set(tokens).difference(known):
-            known[token] = scores.get(place(token), 0.0)
-        values = [known[t] for t in tokens]
-        at = [i for i, v in enumerate(values) if v]
-        return len(tokens), maximal_segments(at, [values[i] for i in at])
+            known[token] = max(((scores[p], p) for u in units(token) if (p := place(u)) in scores), default=None)
+        at, values, seen = [], [], set()
+        for i, token in enumerate(tokens):
+            if (best := known[token]) and best[1] not in seen:
+                seen.add(best[1])
+                at.append(i)
+                values.append(best[0])
+        return len(tokens), maximal_segments(at, values)
 
     def passages(self, text: str | None) -> tuple[float, list[dict]]:
         """The statistic, and passages with their character spans in the lower-cased text."""
@@ -130,7 +142,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
         counts = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places = {place(t) for t in set(TOKEN.findall(text.lower()))}
+                places = {place(u) for t in set(TOKEN.findall(text.lower())) for u in units(t)}
                 counts[toxic, np.fromiter(places, np.int64, len(places))] += 1
         used = np.flatnonzero(counts.sum(0))
         for at in range(0, len(used), 100_000):
@@ -173,8 +185,8 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    prior_share: float = 0.01,
-    z: float = 2.0,
+    prior_share: float = 0.05,
+    z: float = 3.0,
     max_expected: float = 0.1,
 ) -> ToxicityModel:
     train = training_texts(docs, labels, id_col, text_col, label_col)
