@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, packing, signature_join, token_counts, toxicity, urlfilter, warc
+from . import ann, fingerprint, langid, mixing, packing, signature_join, token_counts, toxicity, urlfilter, warc
 from .store import shared_path
 
 
@@ -75,6 +75,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -121,5 +125,5 @@ SELECT doc_id, source, size, source_size, target,
 FROM c
 """
 
-QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_url_filters": op5_url_filters, "op2_packing": op2_packing, "op6_language_id": op6_language_id, "op8_fingerprints": op8_fingerprints, "op9_ngram_join": op9_ngram_join, "op10_mixing": op10_mixing}
+QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_url_filters": op5_url_filters, "op2_packing": op2_packing, "op6_language_id": op6_language_id, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_ngram_join": op9_ngram_join, "op10_mixing": op10_mixing}
 ORACLES = {"op1_warc": OP1_SQL, "op10_mixing": OP10_SQL}
