@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import bars
+from .plans import bars, features, joins, slices, stats
 
-MODULES = (bars,)
+MODULES = (bars, features, joins, slices, stats)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
