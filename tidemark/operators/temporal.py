@@ -17,8 +17,10 @@ def _carried(left: DataFrame, right: DataFrame, by: Sequence[str], values: Seque
     """left with struct ``_hit`` (ts_event, seq, values) of the last right row at or before ts_event + offset,
     or, forward, the first at or after it."""
     hit = F.struct("ts_event", "seq", *values)
-    l_rows = left.withColumns({"_q": F.col("ts_event") + offset, "_side": F.lit(0 if forward else 1), "_v": F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType)})
-    l_rows = l_rows.withColumn("_row", F.struct(*left.columns)).select(*by, "_q", "_side", "seq", "_v", "_row")
+    nothing = F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType)
+    l_rows = left.select(
+        *by, (F.col("ts_event") + offset).alias("_q"), F.lit(0 if forward else 1).alias("_side"), "seq", nothing.alias("_v"), F.struct(*left.columns).alias("_row")
+    )
     r_rows = right.select(*by, F.col("ts_event").alias("_q"), F.lit(1 if forward else 0).alias("_side"), "seq", hit.alias("_v"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     order = [F.col(c).desc() if forward else F.col(c).asc() for c in ("_q", "_side", "seq")]
