@@ -16,8 +16,8 @@ hold several components, and emits every surviving pair between different compon
 than ``block_rows`` are cut in blocks: the first walk adds a common member to each block, the second
 visits every pair of blocks.
 
-Whole texts move only for classes in surviving pairs: a Bloom filter of fixed size, built by an
-aggregate, keeps the others at the scan.
+Bitmaps and whole texts move only for classes that share a tree with another: a Bloom filter of fixed
+size, built by an aggregate, keeps the others at the scan.
 
 Defined results: an empty or null text has no shingles and is a component of its own, as is a text
 without words; equal texts are linked, repeated ids count as one document; a null id has the smallest id of its
@@ -121,82 +121,102 @@ def group_pairs(members: list[tuple], percent: int) -> Iterator[tuple]:
             yield from pairs_of(trees[0], folded[0], percent)
 
 
-def spanning(members: list[tuple], percent: int) -> Iterator[tuple]:
-    """Enough of the pairs to connect all that they connect."""
-    root = {m[0]: m[0] for m in members}
+def spanning(members: list[tuple], percent: int, root: dict) -> Iterator[tuple]:
+    """Enough of the pairs to connect all that they connect, beyond what ``root``, a union-find, holds already."""
 
     def find(x):
-        while root[x] != x:
+        while root.setdefault(x, x) != x:
             root[x] = x = root[root[x]]
         return x
 
-    left = len(root) - 1
-    for a, b in group_pairs(members, percent):
-        if (ra := find(a)) != (rb := find(b)):
-            root[ra] = rb
-            left -= 1
-            yield a, b
-            if not left:
-                return
+    left = len({find(m[0]) for m in members}) - 1
+    if left:
+        for a, b in group_pairs(members, percent):
+            if (ra := find(a)) != (rb := find(b)):
+                root[ra] = rb
+                left -= 1
+                yield a, b
+                if not left:
+                    return
 
 
 def _candidates(rows: DataFrame, percent: int, only_spanning: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, from rows (key, part, side, digest, component, n, bits)."""
-    emit = spanning if only_spanning else group_pairs
+    """Distinct pairs (a, b), a < b, from rows (hub, part, key, digest, n, bits, component, side).
+
+    Copies of one family meet in trees of many bands, and most of these trees have the same smallest
+    member, the hub. Trees with the same hub are walked one after the other, so that a pair, or in the
+    first walk a connection, comes out once.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, group, at = set(), [], None
+        found, root, tree, at = set(), {}, [], (None, None, None)
 
         def close() -> None:
-            if len(group) > 1:
-                found.update((a, b) if a < b else (b, a) for a, b in emit(group, percent))
+            if len(tree) > 1:
+                pairs = spanning(tree, percent, root) if only_spanning else group_pairs(tree, percent)
+                found.update((a, b) if a < b else (b, a) for a, b in pairs)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for key, part, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, part) != at:
+            for *place, digest, n, bits, component, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tuple(place) != at:
                     close()
-                    group, at = [], (key, part)
-                    if len(found) > 50_000:
-                        yield out()
-                        found.clear()
-                group.append(member)
+                    if place[:2] != list(at[:2]):
+                        root.clear()
+                        if len(found) > 20_000:
+                            yield out()
+                            found.clear()
+                    tree, at = [], tuple(place)
+                tree.append((digest, n, bits, component, side))
         close()
         yield out()
 
-    dealt = rows.select("key", "part", "digest", "n", "bits", "component", "side").repartition("key", "part").sortWithinPartitions("key", "part")
+    names = ("hub", "part", "key")
+    dealt = rows.select(*names, "digest", "n", "bits", "component", "side").repartition("hub", "part").sortWithinPartitions(*names)
     return written(dealt.mapInArrow(walk, "a binary, b binary").distinct(), "join-candidates")
 
 
-def _tree_rows(classes: DataFrame, n_bands: int, block_rows: int, only_spanning: bool) -> DataFrame:
-    keyed = classes.select("digest", "component", F.explode(F.slice("keys", 1, n_bands)).alias("key"))
-    trees = keyed.groupBy("key").agg(F.count("*").alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("digest").alias("_hub"))
-    blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("long")
-    trees = trees.filter("_lo <> _hi").select("key", "_hub", blocks.alias("_blocks"))
-    rows = keyed.drop("component").join(trees, "key").withColumn("_own", F.pmod(F.xxhash64("digest"), F.col("_blocks")))
+def _trees(sketched: DataFrame) -> DataFrame:
+    """(band, key, cid) of the keys that several classes have. Only numbers move."""
+    keys = sketched.filter("cid is not null").select("cid", "keys").dropDuplicates(["cid"])
+    keyed = keys.select("cid", F.posexplode("keys").alias("band", "key"))
+    several = keyed.groupBy("key").agg(F.min("cid").alias("_lo"), F.max("cid").alias("_hi")).filter("_lo <> _hi").select("key")
+    return written(keyed.join(several, "key"), "join-trees")
+
+
+def _tree_rows(trees: DataFrame, members: DataFrame, block_rows: int, only_spanning: bool) -> DataFrame:
+    """The members of each block of each tree that holds several components."""
+    known = members.select("cid", F.xxhash64("component").alias("_component"))
+    x = trees.join(known, "cid")
+    sizes = x.groupBy("key").agg(F.count("*").alias("_n"), F.min("cid").alias("hub"), F.min("_component").alias("_lo"), F.max("_component").alias("_hi"))
+    sizes = sizes.filter("_lo <> _hi").select("key", "hub", F.ceil(F.col("_n") / F.lit(block_rows)).cast("long").alias("_blocks"))
+    rows = trees.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")))
     every = F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)
     if only_spanning:
-        rows = rows.withColumn("part", F.explode(F.when(F.col("digest") == F.col("_hub"), every).otherwise(F.array("_own")))).withColumn("side", F.lit(0))
+        rows = rows.withColumn("part", F.explode(F.when(F.col("cid") == F.col("hub"), every).otherwise(F.array("_own")))).withColumn("side", F.lit(0))
     else:
         rows = rows.withColumn("_other", F.explode(every))
         rows = rows.withColumn("part", F.least("_own", "_other") * F.col("_blocks") + F.greatest("_own", "_other"))
         rows = rows.withColumn("side", (F.col("_own") > F.col("_other")).cast("int"))
-    return rows.select("key", "part", "side", "digest").join(classes.select("digest", "component", "n", "bits"), "digest")
+    return rows.select("hub", "part", "key", "side", "cid").join(members.select("cid", "digest", "component", "n", "bits"), "cid")
 
 
-def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(digest, text) of the classes in wanted (digest, h): only texts that pass a Bloom filter leave the scan."""
-    spots = F.array(F.col("h").bitwiseAND(F.lit(BLOOM_BITS - 1)), F.shiftrightunsigned("h", 30).bitwiseAND(F.lit(BLOOM_BITS - 1)))
+def bloom_filtered(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose long ``column`` may be among those of ``wanted`` (one long column): a Bloom filter of
+    fixed size, built by an aggregate, drops most others where they are read."""
+    h = wanted.columns[0]
+    spots = F.array(F.col(h).bitwiseAND(F.lit(BLOOM_BITS - 1)), F.shiftrightunsigned(h, 30).bitwiseAND(F.lit(BLOOM_BITS - 1)))
     spots = wanted.select(F.explode(spots).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")).toPandas()
     bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
     bloom[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    place = df.columns.index(column)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            h = batch.column(place).to_numpy(zero_copy_only=False).view(np.uint64)
             hit = np.ones(len(h), bool)
             for spot in (h, h >> np.uint64(30)):
                 spot = (spot & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
@@ -204,15 +224,18 @@ def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
+    return df.mapInArrow(keep, df.schema)
+
+
+def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(digest, text) of the classes in wanted (digest, h)."""
     x = docs.select(F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text")).filter("text is not null")
-    x = x.mapInArrow(keep, "h long, text string").groupBy("h").agg(F.first("text").alias("text"))
-    return written(x.join(wanted, "h").select("digest", "text"), "join-texts")
+    x = bloom_filtered(x, "h", wanted.select("h")).groupBy("h").agg(F.first("text").alias("text"))
+    return x.join(wanted, "h").select("digest", "text")
 
 
-def _verified(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame, percent: int, fan: int = 256) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, percent: int, fan: int = 256) -> DataFrame:
     """The pairs that are links. A text meets its partners in groups of about ``fan``."""
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    texts = _texts(docs, text_col, written(ends.join(classes.select("digest", "h"), "digest"), "join-ends"))
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(fan)).cast("long").alias("_salts"))
     hubs = salts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("salt"))
     hubs = hubs.join(texts, F.col("a") == F.col("digest")).select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
@@ -237,9 +260,13 @@ def _verified(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFra
 
 
 def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, n, digest, keys, bits) of every row; a text without words has n = 0 and nulls."""
+    """(id, h, n, digest, cid, keys, bits) of every row; a text without words has n = 0 and nulls.
+
+    ``cid``, the digest's first eight bytes, stands for a class where only trees are found: should two
+    classes share it, both are members and are told apart by digest.
+    """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)])
-    for name, kind in (("h", T.LongType()), ("n", T.IntegerType()), ("digest", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), ("bits", T.BinaryType())):
+    for name, kind in (("h", T.LongType()), ("n", T.IntegerType()), ("digest", T.BinaryType()), ("cid", T.LongType()), ("keys", T.ArrayType(T.LongType())), ("bits", T.BinaryType())):
         schema = schema.add(name, kind)
     names = schema.fieldNames()
 
@@ -249,9 +276,11 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = [shingle_set(t) for t in part.column(2).to_pylist()]
+                digests = [set_digest(s) if len(s) else None for s in sets]
                 new = [
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array(digests, pa.binary()),
+                    pa.array([d and int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
                     pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 ]
@@ -270,23 +299,26 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id."""
     rows = written(sketches(docs, percent, id_col, text_col), "join-sketches")
-    sets = rows.filter("digest is not null").groupBy("digest")
-    sets = written(sets.agg(F.min("id").alias("rep"), F.first(F.struct("h", "n", "keys", "bits")).alias("x")).select("digest", "rep", "x.*"), "join-classes")
-
-    alone = sets.withColumn("component", F.col("digest"))
-    pairs = _candidates(_tree_rows(alone, first_bands, block_rows, True), percent, True)
-    stars = connected_components(_verified(docs, text_col, sets, pairs, percent))
-
-    grouped = sets.join(stars.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    grouped = written(grouped, "join-grouped")
-    pairs = _candidates(_tree_rows(grouped, BandKeys(percent / 100).bands, block_rows, False), percent, False)
-    links = _verified(docs, text_col, sets, pairs, percent)
-    joined = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
+
+    trees = _trees(rows)
+    cids = written(trees.select("cid").distinct(), "join-cids")
+    members = bloom_filtered(rows.filter("cid is not null").select("cid", "digest", "h", "n", "bits"), "cid", cids).dropDuplicates(["digest"])
+    members = written(members.join(cids, "cid"), "join-members")
+    texts = written(_texts(docs, text_col, members.select("digest", "h")), "join-texts")
+
+    alone = members.withColumn("component", F.col("digest"))
+    pairs = _candidates(_tree_rows(trees.filter(F.col("band") < first_bands), alone, block_rows, True), percent, True)
+    stars = connected_components(_verified(texts, pairs, percent))
+
+    grouped = members.join(stars.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    pairs = _candidates(_tree_rows(trees, written(grouped, "join-grouped"), block_rows, False), percent, False)
+    joined = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(texts, pairs, percent))
     stars = connected_components(joined).withColumnRenamed("node", "digest")
 
-    several = sets.select("digest", "rep").join(stars, "digest")
+    several = classes.join(stars, "digest")
     least = several.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = several.join(least, "component").select("digest", "component_id")
-    named = sets.select("digest", "rep").join(named, "digest", "left").select(F.col("digest").alias("_digest"), F.coalesce("component_id", "rep").alias("component_id"))
+    several = several.join(least, "component").select("digest", "component_id")
+    named = classes.join(several, "digest", "left").select(F.col("digest").alias("_digest"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "digest").join(named, F.col("digest") == F.col("_digest"), "left")
     return out.select(id_col, "n_shingles", F.when(F.col("digest").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
