@@ -35,7 +35,7 @@ def brute(text, sketches=64, size=2):
     out = [0] * sketches
     for sketch, own in elements.items():
         chosen = sorted(at for _, at in sorted(own)[:size])
-        out[sketch] = max(1, xx(",".join(str(kmers[at]) for at in chosen)) & 0xFFFFFFFF)
+        out[sketch] = max(1, xx(",".join(str(kmers[at] >> 26) for at in chosen)) & 0xFFFFFFFF)
     return out
 
 

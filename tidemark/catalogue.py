@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import bars, features, hypotheses, joins, rollups, slices, stats
+from .plans import bars, execution, features, hypotheses, joins, rollups, slices, stats
 
-MODULES = (bars, features, hypotheses, joins, rollups, slices, stats)
+MODULES = (bars, execution, features, hypotheses, joins, rollups, slices, stats)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

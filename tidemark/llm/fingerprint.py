@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 TOKEN_CHARS = 8
 K = 2
 POSITION_BITS = 26
+LOW = (1 << POSITION_BITS) - 1
 
 
 def _let(value: Column, use) -> Column:
@@ -33,40 +34,42 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _kmer_hashes(text: Column) -> Column:
-    """Hash of each k-mer in text order; a text with fewer tokens is one k-mer."""
+def _top(x: Column) -> Column:
+    return F.shiftright(x, POSITION_BITS)
+
+
+def _packed_kmers(text: Column) -> Column:
+    """Each k-mer in text order: 38 bits of its hash over its position. A text with fewer tokens is one k-mer."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{TOKEN_CHARS}}}"), F.lit(0))
 
     def kmers(t: Column) -> Column:
         last = F.greatest(F.size(t) - K + 1, F.least(F.size(t), F.lit(1)))
-        return F.transform(F.slice(t, F.lit(1), last), lambda x, i: F.xxhash64(x, *[F.coalesce(F.get(t, i + j), F.lit("")) for j in range(1, K)]))
 
-    return _let(tokens, kmers)
+        def one(x: Column, i: Column) -> Column:
+            h = F.xxhash64(x, *[F.coalesce(F.get(t, i + j), F.lit("")) for j in range(1, K)])
+            return h.bitwiseAND(F.lit(~LOW)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(LOW)))
 
+        return F.transform(F.slice(t, F.lit(1), last), one)
 
-def _numbered(packed: Column) -> Column:
-    """Of a sorted array of hash and position, each element's occurrence number from 0.
+    return _let(tokens, kmers)
 
-    start[i], the place where i's run starts, is the largest place up to i that starts a run; taking
-    maxima over 1, 2, 4 ... places carries it through a run, and stops when no run is that long.
-    """
-    top = lambda x: F.shiftright(x, POSITION_BITS)
-    is_start = lambda p: F.transform(p, lambda x, i: F.when((i > 0) & (top(F.get(p, i - 1)) == top(x)), F.lit(0)).otherwise(i))
 
-    def rounds(p: Column) -> Column:
-        steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(p) + F.lit(1.0))).cast("int")))
+def _occurrences(repeats: Column) -> Column:
+    """Of the ascending places that continue a run in a sorted array, each place's occurrence number, from 1.
 
-        def once(start: Column, step: Column) -> Column:
-            far = F.call_function("shiftleft", F.lit(1), step)
-            long_run = F.exists(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i >= far) & (F.get(start, i) == 0) & (top(F.get(p, i)) == top(F.get(p, i - far))))
-            spread = F.transform(start, lambda s, i: F.greatest(s, F.coalesce(F.get(start, i - far), F.lit(0))))
-            return F.when(long_run, spread).otherwise(start)
+    Places of one run follow each other. start[j], where j's run begins, is the largest j that begins
+    one; maxima over 1, 2, 4 ... steps carry it through a run, and stop when no run is that long.
+    """
+    first = F.transform(repeats, lambda i, j: F.when((j > 0) & (F.get(repeats, j - 1) == i - 1), F.lit(0)).otherwise(j))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(repeats) + F.lit(1.0))).cast("int"))
 
-        start = F.aggregate(steps, is_start(p), once)
-        return _let(start, lambda s: F.transform(s, lambda x, i: i - x))
+    def once(start: Column, step: Column) -> Column:
+        far = F.call_function("shiftleft", F.lit(1), step)
+        long_run = F.exists(F.sequence(F.lit(0), F.size(repeats) - 1), lambda j: (j >= far) & (F.get(start, j) == 0) & (F.get(repeats, j) - F.get(repeats, j - far) == far))
+        spread = F.transform(start, lambda s, j: F.greatest(s, F.coalesce(F.get(start, j - far), F.lit(0))))
+        return F.when(long_run, spread).otherwise(start)
 
-    repeated = F.size(F.array_distinct(F.transform(packed, top))) < F.size(packed)
-    return F.when(repeated, rounds(packed)).otherwise(F.transform(packed, lambda x: F.lit(0)))
+    return F.when(F.size(repeats) > 0, _let(F.aggregate(steps, first, once), lambda s: F.transform(s, lambda x, j: j - x + 1))).otherwise(repeats)
 
 
 def _value(kmers: Column) -> Column:
@@ -75,42 +78,49 @@ def _value(kmers: Column) -> Column:
 
 
 def signature(text: Column, sketches: int = 64, tuple_size: int = 2) -> Column:
-    """Array of one 32-bit value a sketch; 0 where a sketch is empty."""
+    """Array of one 32-bit value a sketch; 0 where a sketch is empty.
+
+    Sorting whole arrays of numbers is the cheap step here (sort_array, not array_sort, which calls a
+    comparator for every pair), so sketches are found as runs of one sorted array.
+    """
     bits = sketches.bit_length() - 1
     if 1 << bits != sketches:
         raise ValueError("sketches has to be a power of two")
-    low = (1 << POSITION_BITS) - 1
-    at = lambda x: x.bitwiseAND(F.lit(low))
-
-    def elements(hashes: Column) -> Column:
-        # 38 bits of the k-mer's hash over its position; sorted, occurrences of a k-mer stand in text order.
-        packed = F.array_sort(F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(low)))))
-
-        def ranked(p: Column) -> Column:
-            # sketch | order | position, so that the sketch's smallest come first
-            key = lambda x, n: F.xxhash64(F.shiftright(x, POSITION_BITS), n)
-            mixed = F.zip_with(p, _numbered(p), lambda x, n: key(x, n).bitwiseAND(F.lit(~low)).bitwiseOR(at(x)))
-            return F.array_sort(mixed)
-
-        return _let(packed, ranked)
+    at = lambda x: x.bitwiseAND(F.lit(LOW))
+    sketch = lambda x: F.shiftrightunsigned(x, 64 - bits)
+    key = lambda x, n: F.xxhash64(_top(x), n).bitwiseAND(F.lit(~LOW)).bitwiseOR(at(x))
+
+    def ordered(p: Column) -> Column:
+        """sketch | order | position, so that each sketch's smallest elements come first."""
+        again = lambda x, i: (i > 0) & (_top(F.get(p, i - 1)) == _top(x))
+        once = F.transform(F.filter(p, lambda x, i: ~again(x, i)), lambda x: key(x, F.lit(0)))
+        repeats = F.array_compact(F.transform(p, lambda x, i: F.when(again(x, i), i)))
+        more = _let(repeats, lambda r: F.zip_with(r, _occurrences(r), lambda i, n: key(F.get(p, i), n)))
+        return F.sort_array(F.concat(once, more))
 
     def chosen(q: Column) -> Column:
-        sketch = lambda x: F.shiftrightunsigned(x, 64 - bits)
+        """sketch | position of the tuple_size smallest of each sketch, in text order."""
         few = F.filter(q, lambda x, i: (i < tuple_size) | (sketch(F.get(q, i - tuple_size)) != sketch(x)))
-        return F.transform(few, lambda x: F.shiftleft(sketch(x), POSITION_BITS).bitwiseOR(at(x)))
+        return F.sort_array(F.transform(few, lambda x: F.shiftleft(sketch(x), POSITION_BITS).bitwiseOR(at(x))))
+
+    def values(packed: Column) -> Column:
+        def filled(few: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(few) - 1), lambda i: (i == 0) | (_top(F.get(few, i - 1)) != _top(F.get(few, i))))
+
+            def one(i: Column) -> Column:
+                own = F.filter(F.slice(few, i + 1, F.lit(tuple_size)), lambda x: _top(x) == _top(F.get(few, i)))
+                return _value(F.transform(own, lambda x: _top(F.get(packed, at(x).cast("int")))))
 
-    def values(hashes: Column) -> Column:
-        def by_sketch(few: Column) -> Column:
-            def one(j: Column) -> Column:
-                own = F.filter(few, lambda x: F.shiftright(x, POSITION_BITS) == j)
-                kmers = F.transform(own, lambda x: F.get(hashes, at(x).cast("int")))
-                return F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(_value(kmers))
+            def spread(pair: Column) -> Column:
+                place = lambda j: F.array_position(pair["s"], j).cast("int")
+                return F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), lambda j: F.coalesce(F.get(pair["v"], place(j) - 1), F.lit(0).cast("long")))
 
-            return F.transform(F.sequence(F.lit(0), F.lit(sketches - 1)), one)
+            pair = _let(starts, lambda st: F.struct(F.transform(st, lambda i: _top(F.get(few, i)).cast("int")).alias("s"), F.transform(st, one).alias("v")))
+            return F.when(F.size(few) == 0, F.array_repeat(F.lit(0).cast("long"), sketches)).otherwise(_let(pair, spread))
 
-        return _let(F.array_sort(_let(elements(hashes), chosen)), by_sketch)
+        return _let(_let(_let(F.sort_array(packed), ordered), chosen), filled)
 
-    return _let(_kmer_hashes(text), values)
+    return _let(_packed_kmers(text), values)
 
 
 def likeness(a: Column, b: Column) -> Column:

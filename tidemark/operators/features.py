@@ -197,9 +197,9 @@ def trend_fold(g: pd.DataFrame) -> dict[str, pd.Series]:
     slope = (e14 - raw14.shift(5)) / 5
     slope[: 18] = float("nan")
     sep = (fast - slow) / slow
-    rise = (raw_fast - raw_fast.shift(5)) / raw_fast.shift(5)
-    strength = np.tanh(100 * (0.7 * sep + 0.3 * rise)).where(slow.notna())
-    move = (fast - raw_fast.shift(1)) / raw_fast.shift(1)
+    rise = (raw_fast - raw_fast.shift(4)) / raw_fast.shift(4)
+    strength = np.tanh(100 * (0.7 * sep + 0.3 * rise)).where(mid.notna().cumsum() >= 35)
+    move = fast - raw_fast.shift(1)
     regime = pd.Series(np.where((fast > slow) & (move > 1e-4), 1.0, np.where((fast < slow) & (move < -1e-4), -1.0, 0.0)), mid.index).where(slow.notna())
     return {"ema": e14, "ema_slope": slope, "trend_strength": strength, "regime_trend": regime}
 

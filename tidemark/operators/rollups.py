@@ -17,18 +17,30 @@ def first_of(*rules: tuple[Column, str], default: str | None = None) -> Column:
     return out
 
 
-def quality(dropped: Column, queue_pct: Column, reconnects: Column, offline_s: Column) -> tuple[Column, Column]:
+# Fixed values of the window rules.
+QUEUE_FULL_PCT, PRIMARY_OFFLINE_S, OFFLINE_S, DRAIN_S, RECONNECTS = 90, 600, 180, 180, 5
+RELAX_OFFLINE_S, HEALTHY_EPS, HEALTHY_QUEUE_PCT = 300, 100, 50
+
+
+def quality(dropped: Column, queue_pct: Column, reconnects: Column, drain_s: Column, primary_offline_s: Column, max_offline_s: Column, primary_eps: Column) -> tuple[Column, Column]:
     """A window's quality and the reasons against it.
 
-    BAD is relaxed to DEGRADED where nothing was dropped, no venue was offline for five minutes and the
-    queue stayed below 90 %.
+    Drops, a full queue or a long outage of the primary venue are BAD, which is relaxed to DEGRADED where nothing was
+    dropped, no venue was out for five minutes and the queue had room. DEGRADED becomes GOOD where the
+    primary venue was healthy. Absent signals count as 0, an absent rate as unhealthy.
     """
-    bad = {"dropped_events": dropped > 0, "queue_full": queue_pct >= 95, "offline": offline_s >= 120}
-    degraded = {"queue_high": queue_pct >= 80, "reconnects": reconnects >= 3, "offline_short": offline_s >= 30}
-    any_of = lambda rules: F.coalesce(sum((c.cast("int") for c in rules.values()), F.lit(0)) > 0, F.lit(False))
-    relaxed = (dropped == 0) & (offline_s < 300) & (queue_pct < 90)
-    state = first_of((any_of(bad) & ~relaxed, "BAD"), (any_of(bad) | any_of(degraded), "DEGRADED"), default="GOOD")
-    return state, F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in (bad | degraded).items()]))
+    dropped, queue_pct, reconnects, drain_s, primary_offline_s, max_offline_s = (
+        F.coalesce(c, F.lit(0)) for c in (dropped, queue_pct, reconnects, drain_s, primary_offline_s, max_offline_s)
+    )
+    bad = {"dropped_events": dropped > 0, "queue_pct_peak": queue_pct >= QUEUE_FULL_PCT, "primary_offline": primary_offline_s > PRIMARY_OFFLINE_S}
+    degraded = {"max_offline": max_offline_s > OFFLINE_S, "drain_mode": drain_s > DRAIN_S, "reconnects": reconnects >= RECONNECTS}
+    is_bad = bad["dropped_events"] | bad["queue_pct_peak"] | bad["primary_offline"]
+    is_degraded = degraded["max_offline"] | degraded["drain_mode"] | degraded["reconnects"]
+    relaxed = (dropped == 0) & (max_offline_s < RELAX_OFFLINE_S) & (queue_pct < QUEUE_FULL_PCT)
+    healthy = (primary_offline_s == 0) & (dropped == 0) & (queue_pct < HEALTHY_QUEUE_PCT) & F.coalesce(primary_eps > HEALTHY_EPS, F.lit(False))
+    state = first_of((is_bad & ~relaxed, "BAD"), ((is_bad | is_degraded) & ~healthy, "DEGRADED"), default="GOOD")
+    why = [F.when(c, F.lit(n)) for n, c in bad.items()] + [F.when(~is_bad & c, F.lit(n)) for n, c in degraded.items()]
+    return state, F.array_compact(F.array(*why))
 
 
 def day_quality(windows: DataFrame, by: Sequence[str], per_day: int = 96) -> DataFrame:

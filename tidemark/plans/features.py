@@ -85,8 +85,8 @@ def w9(spark, sf_dir):
 
 
 @CAT.add("W10_W13_trend", f"""WITH {QUOTES_SQL}, e AS (SELECT *, row_number() OVER o AS rn, {ema_sql('mid', 10, 1)} AS f, {ema_sql('mid', 30, 1)} AS s FROM quotes {O}),
-x AS (SELECT seq, rn, f, s, (f - s) / s AS sep, (f - lag(f, 5) OVER o) / lag(f, 5) OVER o AS rise, (f - lag(f) OVER o) / lag(f) OVER o AS mv FROM e {O})
-SELECT seq, round(CASE WHEN rn >= 30 THEN tanh(100 * (0.7 * sep + 0.3 * rise)) END, 6) AS trend_strength,
+x AS (SELECT seq, rn, f, s, (f - s) / s AS sep, (f - lag(f, 4) OVER o) / lag(f, 4) OVER o AS rise, f - lag(f) OVER o AS mv FROM e {O})
+SELECT seq, round(CASE WHEN rn >= 35 THEN tanh(100 * (0.7 * sep + 0.3 * rise)) END, 6) AS trend_strength,
 CASE WHEN rn >= 30 THEN (CASE WHEN f > s AND mv > 1e-4 THEN 1 WHEN f < s AND mv < -1e-4 THEN -1 ELSE 0 END)::DOUBLE END AS regime_trend FROM x""")
 def w10(spark, sf_dir):
     return out(f.recursive(quotes(spark, sf_dir), BY, ["ema", "ema_slope", "trend_strength", "regime_trend"], f.trend_fold), "trend_strength", "regime_trend")

@@ -16,17 +16,21 @@ def day():
     return F.floor(F.col("ts_event") / 86_400_000).alias("day")
 
 
-Q_SQL = f"""{TICKS_SQL}, q AS (SELECT symbol, {DAY} AS day, count(*) FILTER (WHERE stream = 'error' AND price > 60) AS dropped, max(qty) AS queue_pct, count(*) FILTER (WHERE stream = 'signup') AS reconnects, max(price) AS offline_s FROM ticks GROUP BY 1, 2),
-w AS (SELECT *, CASE WHEN (dropped > 0 OR queue_pct >= 95 OR offline_s >= 120) AND NOT (dropped = 0 AND offline_s < 300 AND queue_pct < 90) THEN 'BAD'
-WHEN dropped > 0 OR queue_pct >= 95 OR offline_s >= 120 OR queue_pct >= 80 OR reconnects >= 3 OR offline_s >= 30 THEN 'DEGRADED' ELSE 'GOOD' END AS quality FROM q)"""
+Q_SQL = f"""{TICKS_SQL}, q AS (SELECT symbol, {DAY} AS day, count(*) FILTER (WHERE stream = 'error' AND price > 60) AS dropped, max(qty) AS queue_pct, count(*) AS reconnects, sum(qty) AS drain_s,
+coalesce(max(price * 10) FILTER (WHERE stream = 'view'), 0) AS primary_offline_s, max(price * 5) AS max_offline_s, min(qty * 4) FILTER (WHERE stream = 'click') AS primary_eps FROM ticks GROUP BY 1, 2),
+b AS (SELECT *, dropped > 0 OR queue_pct >= 90 OR primary_offline_s > 600 AS bad, max_offline_s > 180 OR drain_s > 180 OR reconnects >= 5 AS degraded,
+dropped = 0 AND max_offline_s < 300 AND queue_pct < 90 AS relaxed, primary_offline_s = 0 AND dropped = 0 AND queue_pct < 50 AND coalesce(primary_eps > 100, false) AS healthy FROM q),
+w AS (SELECT *, CASE WHEN bad AND NOT relaxed THEN 'BAD' WHEN (bad OR degraded) AND NOT healthy THEN 'DEGRADED' ELSE 'GOOD' END AS quality FROM b)"""
 
 
 def windows(spark, sf_dir):
+    of = lambda s, v: F.max(F.when(F.col("stream") == s, v))
     q = ticks(spark, sf_dir).groupBy("symbol", day()).agg(
-        F.count_if((F.col("stream") == "error") & (F.col("price") > 60)).alias("dropped"), F.max("qty").alias("queue_pct"),
-        F.count_if(F.col("stream") == "signup").alias("reconnects"), F.max("price").alias("offline_s"),
+        F.count_if((F.col("stream") == "error") & (F.col("price") > 60)).alias("dropped"), F.max("qty").alias("queue_pct"), F.count("*").alias("reconnects"), F.sum("qty").alias("drain_s"),
+        of("view", F.col("price") * 10).alias("primary_offline_s"), F.max(F.col("price") * 5).alias("max_offline_s"), F.min(F.when(F.col("stream") == "click", F.col("qty") * 4)).alias("primary_eps"),
     )
-    state, why = r.quality(*[F.col(c) for c in ("dropped", "queue_pct", "reconnects", "offline_s")])
+    names = ("dropped", "queue_pct", "reconnects", "drain_s", "primary_offline_s", "max_offline_s", "primary_eps")
+    state, why = r.quality(*map(F.col, names))
     return q.withColumns({"quality": state, "reasons": why})
 
 
