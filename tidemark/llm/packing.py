@@ -36,10 +36,10 @@ class WordCachedTokenizer:
     tokenizer whole.
     """
 
-    _ODD = re.compile("<\\||[\x1c-\x1f]")
+    _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
     _BEYOND_LATIN = re.compile("[^\x00-ɏ]|İ|ŉ|ǰ")
 
-    def __init__(self, path: str, end_id: int, max_words: int = 400_000):
+    def __init__(self, path: str, end_id: int, max_words: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,9 +62,10 @@ class WordCachedTokenizer:
         for at in range(0, len(plain), 256):
             block = plain[at : at + 256]
             ids = np.array(self._encode([" ".join(block)])[0], self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(ends) == len(block):
-                self.words.update(zip(block, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
+                raw = ids.tobytes()
+                self.words.update(zip(block, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
             else:
                 self.words.update(zip(block, (np.array(x, self.dtype).tobytes() for x in self._encode(block)), strict=True))
         others = [w for w in words if not w.isalpha()]
@@ -76,11 +77,22 @@ class WordCachedTokenizer:
         self.words.update((w, self.words[b] + mark[w[-1]]) for w, b in zip(others, bare, strict=True) if b)
         self.words.update(zip(rest, (np.array(x, self.dtype).tobytes() for x in self._encode(rest)), strict=True))
 
+    def _split(self, text: str) -> list[str] | None:
+        """The text's words in lower case as far as Python's rule is the tokenizer's; None for the tokenizer itself."""
+        if any(mark in text for mark in self._ODD):
+            return None
+        try:
+            text.encode("latin-1")  # a copy of bytes, where there is nothing beyond
+        except UnicodeEncodeError:
+            if self._BEYOND_LATIN.search(text):
+                return text.split()
+        return text.lower().split()
+
     def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Each text's ids and the end id, as unsigned 32-bit numbers."""
         for at in range(0, len(texts), 512):
             block = [t or "" for t in texts[at : at + 512]]
-            split = [None if self._ODD.search(t) else (t if self._BEYOND_LATIN.search(t) else t.lower()).split() for t in block]
+            split = [self._split(t) for t in block]
             if len(self.words) > self.max_words:
                 self.words.clear()
             new = set().union(*(x for x in split if x)) - self.words.keys()
