@@ -77,12 +77,20 @@ class KernelModel:
 
 
 def fit(landmarks: np.ndarray, rows: np.ndarray, labels: list[str], ridge: float = 1e-3) -> KernelModel:
-    """Kernel ridge regression from the 0/1 presence matrices of landmarks and of labelled texts."""
+    """Kernel ridge regression from the 0/1 presence matrices (bytes) of landmarks and of labelled texts.
+
+    Products of the matrices are whole numbers that single precision holds exactly; they are taken in
+    blocks, so that the driver never holds a wide matrix in floating point.
+    """
     classes = sorted(set(labels))
-    x, lm = rows.astype(np.float64), landmarks.astype(np.float64)
-    own, lm_own = np.sqrt(np.maximum(x.sum(1), 1)), np.sqrt(np.maximum(lm.sum(1), 1))
-    k_xl = (x @ lm.T) / own[:, None] / lm_own
-    k_ll = (lm @ lm.T) / lm_own[:, None] / lm_own
+    lm = landmarks.astype(np.float32)
+
+    def shared(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[at : at + 128].astype(np.float32) @ lm.T for at in range(0, len(x), 128)]).astype(np.float64)
+
+    own, lm_own = (np.sqrt(np.maximum(x.sum(1, dtype=np.float64), 1)) for x in (rows, landmarks))
+    k_xl = shared(rows) / own[:, None] / lm_own
+    k_ll = shared(landmarks) / lm_own[:, None] / lm_own
     values, vectors = np.linalg.eigh(k_ll)
     kept = values > 1e-8 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
@@ -92,7 +100,8 @@ def fit(landmarks: np.ndarray, rows: np.ndarray, labels: list[str], ridge: float
     centred = features - mean
     gram = centred.T @ centred + ridge * len(rows) * np.eye(features.shape[1])
     beta = np.linalg.solve(gram, centred.T @ (targets - target_mean))
-    weights = (lm / lm_own[:, None]).T @ (whiten @ beta)
+    parts = whiten @ beta / lm_own[:, None]
+    weights = np.concatenate([landmarks[:, at : at + 2048].T.astype(np.float64) @ parts for at in range(0, landmarks.shape[1], 2048)])
     return KernelModel(classes, weights.astype(np.float32), (target_mean - mean @ beta).astype(np.float32))
 
 
@@ -133,10 +142,11 @@ def learn(
     sample = chosen.mapInPandas(encode, "label string, place double, bits binary").collect()
     by_label: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["label"], r["place"], bytes(r["bits"]))):
-        by_label.setdefault(r["label"], []).append(np.unpackbits(np.frombuffer(r["bits"], np.uint8)))
+        by_label.setdefault(r["label"], []).append(np.frombuffer(r["bits"], np.uint8))
+    unpacked = lambda rows: np.unpackbits(np.stack(rows), axis=1)
     landmarks = [row for rows in by_label.values() for row in rows[:landmarks_per_class]]
     pairs = [(label, row) for label, rows in by_label.items() for row in rows[:fit_per_class]]
-    return fit(np.array(landmarks), np.array([row for _, row in pairs]), [label for label, _ in pairs], ridge)
+    return fit(unpacked(landmarks), unpacked([row for _, row in pairs]), [label for label, _ in pairs], ridge)
 
 
 def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text", batch_rows: int = 128) -> DataFrame:
