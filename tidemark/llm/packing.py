@@ -17,6 +17,7 @@ separate documents; an empty table gives no pieces.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ class WordCachedTokenizer:
     _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
     _BEYOND_LATIN = re.compile("[^\x00-ɏ]|İ|ŉ|ǰ")
 
-    def __init__(self, path: str, end_id: int, max_words: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, max_words: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,13 +69,15 @@ class WordCachedTokenizer:
                 self.words.update(zip(block, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
             else:
                 self.words.update(zip(block, (np.array(x, self.dtype).tobytes() for x in self._encode(block)), strict=True))
-        others = [w for w in words if not w.isalpha()]
-        bare = [w[:-1] if w[-1] in ",." and w[:-1].isalpha() else "" for w in others]
-        if missing := list({b for b in bare if b and b not in self.words}):
+        # Letters with punctuation behind them are two pieces to the tokenizer's pattern, whatever the punctuation.
+        others = [(w, w.rstrip(string.punctuation)) for w in words if not w.isalpha()]
+        marked = [(w, bare, w[len(bare) :]) for w, bare in others if bare.isalpha()]
+        if missing := list({bare for _, bare, _ in marked if bare not in self.words}):
             self._learn(missing)
-        mark = {m: np.array(x, self.dtype).tobytes() for m, x in zip(",.", self._encode([",", "."]), strict=True)}
-        rest = [w for w, b in zip(others, bare, strict=True) if not b]
-        self.words.update((w, self.words[b] + mark[w[-1]]) for w, b in zip(others, bare, strict=True) if b)
+        marks = sorted({mark for *_, mark in marked})
+        ids = {m: np.array(x, self.dtype).tobytes() for m, x in zip(marks, self._encode(marks), strict=True)}
+        self.words.update([(w, self.words[bare] + ids[mark]) for w, bare, mark in marked])
+        rest = [w for w, bare in others if not bare.isalpha()]
         self.words.update(zip(rest, (np.array(x, self.dtype).tobytes() for x in self._encode(rest)), strict=True))
 
     def _split(self, text: str) -> list[str] | None:
