@@ -12,15 +12,19 @@ from pyspark.sql.window import Window
 def t_stat(value: Column) -> Column:
     """Mean over its standard error; 0 for fewer than two values or without variance."""
     sd = F.stddev_samp(value)
-    return F.when((F.count(value) <= 1) | F.coalesce(sd == 0, F.lit(True)), 0.0).otherwise(F.avg(value) / F.try_divide(sd, F.sqrt(F.count(value))))
+    return F.when((F.count(value) <= 1) | F.coalesce(F.min(value) == F.max(value), F.lit(True)), 0.0).otherwise(F.avg(value) / F.try_divide(sd, F.sqrt(F.count(value))))
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """A10: 0 for two pairs or fewer, or where one side is constant; clipped to [-1, 1]."""
+    """A10: 0 for two pairs or fewer, or where one side is constant; clipped to [-1, 1].
+
+    Merging partial moments of a constant may leave a tiny deviation, so a constant is known by its extremes.
+    """
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(F.count(x) <= 2, 0.0).otherwise(F.coalesce(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), F.lit(0.0)))
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+    return F.when((F.count(x) <= 2) | constant, 0.0).otherwise(F.coalesce(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)), F.lit(0.0)))
 
 
 def corr_t(r: Column, n: Column) -> Column:
