@@ -1,4 +1,7 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from tidemark.llm import ann, queries
 
 SCHEMA = "vec_id long, embedding array<float>, part string, v long"
@@ -38,6 +41,21 @@ def test_recall(spark):
     assert recall(spark, "/root/testdata/sf0.1") >= 0.9
 
 
+@pytest.mark.parametrize(("n", "parts", "width"), [(80_000, None, 48), (20_000, 128, 16)])
+def test_recall_where_parts_exceed_probes(spark, tmp_path, n, parts, width):
+    x = np.random.default_rng(n).normal(size=(n, width)).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "x.parquet", row_group_size=n // 4)
+    got = results(ann.search(spark.read.parquet(f"{tmp_path}/x.parquet"), query_every=400, parts=parts))
+    unit, hits = ann.unit(x.astype(float)), []
+    assert len(got) == n // 400
+    for q, found in got.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        hits.append(len({j for j, _ in found} & set(np.argsort(-score)[:5].tolist())) / 5)
+    assert np.mean(hits) >= 0.9  # 8 probes alone have 0.69 and 0.72
+
+
 def test_parts_are_balanced_and_follow_clusters():
     rng = np.random.default_rng(0)
     x = ann.unit(np.concatenate([rng.normal(c, 0.1, (100, 8)) for c in rng.normal(0, 1, (4, 8))]))

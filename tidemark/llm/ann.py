@@ -4,8 +4,10 @@ Learning, on a bounded sample (``max_sample`` vectors with the smallest hashes o
 graph is cut into balanced parts by recursive bisection, each cut refined by swapping pairs that lower
 the number of cut edges. A small softmax classifier is fitted to each vector's own and its
 neighbours' parts. Index: every vector goes to its most probable part. Search: a query goes to its
-``probes`` most probable parts, and on to further ones while these hold too few candidates; all vectors there are
-compared exactly, in double precision.
+most probable parts, and on to further ones while these hold too few candidates; all vectors there are
+compared exactly, in double precision. How many parts: ``probes``, or more where these don't reach
+``least_recall``. For that, ``measured`` of the queries are compared with the whole table, and the fewest parts
+are taken whose recall among them, less two standard errors, is high enough; all parts always are.
 
 Parts are cut in blocks of ``block_rows`` vectors and ``query_rows`` queries; a task holds one block of
 each, whatever the part's size, and sends on each query's best ``k``. Only counts by part reach the driver.
@@ -41,8 +43,8 @@ def neighbour_graph(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (from, to) to each unit vector's k nearest others."""
     k = min(k, len(x) - 1)
     out = []
-    for at in range(0, len(x), 1024):
-        near = x[at : at + 1024] @ x.T
+    for at in range(0, len(x), 128):  # few rows at once: this is the driver's memory
+        near = x[at : at + 128] @ x.T
         near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
         out.append(np.argpartition(-near, k - 1, axis=1)[:, :k])
     return np.repeat(np.arange(len(x)), k), np.concatenate(out).ravel()
@@ -165,6 +167,43 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return x.withColumn("n", F.size("v"))
 
 
+def probes_for(indexed: DataFrame, queries: DataFrame, router: Router, k: int, least_recall: float, measured: int) -> int:
+    """The fewest parts whose recall on ``measured`` queries against all of (id, v, part) is high enough."""
+    chosen = queries.select("id", "v", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(measured).toPandas()
+    if chosen.empty:
+        return 0
+    own, q = chosen["id"].to_numpy(), unit(np.stack(chosen["v"].to_numpy()).astype(float))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int32)]
+        for batch in batches:
+            for at in range(0, len(batch), 4096):
+                rows = batch.iloc[at : at + 4096]
+                ids, part = rows["id"].to_numpy(), rows["part"].to_numpy()
+                near = q @ unit(np.stack(rows["v"].to_numpy())).T
+                near[ids == own[:, None]] = -np.inf
+                keep = np.argpartition(-near, min(4 * k, len(ids)) - 1, axis=1)[:, : 4 * k]
+                best = [np.concatenate(two, axis=1) for two in zip(best, (np.take_along_axis(near, keep, 1), ids[keep], part[keep]), strict=True)]
+                keep = np.argsort(-best[0], axis=1, kind="stable")[:, : 4 * k]
+                best = [np.take_along_axis(b, keep, 1) for b in best]
+        query = np.repeat(np.arange(len(q)), best[0].shape[1])
+        out = pd.DataFrame({"query": query, "id": best[1].ravel(), "part": best[2].ravel(), "score": best[0].ravel()})
+        yield out[out["score"] > -np.inf]
+
+    found = indexed.mapInPandas(nearest, "query long, id long, part int, score double")
+    found = found.groupBy("query", "id").agg(F.max_by("part", "score").alias("part"), F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    true = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "part").toPandas()
+    if true.empty:
+        return 0
+    turn = np.argsort(np.argsort(-router.logits(q), axis=1, kind="stable"), axis=1)
+    hits = np.zeros((len(q), router.parts))
+    np.add.at(hits, (true["query"], turn[true["query"], true["part"]]), 1)
+    hits = hits[hits.sum(axis=1) > 0]
+    recall = hits.cumsum(axis=1) / hits.sum(axis=1, keepdims=True)
+    return 1 + int(np.argmax(recall.mean(axis=0) - 2 * recall.std(axis=0) / np.sqrt(len(recall)) >= min(least_recall, 1.0) - 1e-12))
+
+
 def search(
     df: DataFrame,
     k: int = 5,
@@ -176,6 +215,9 @@ def search(
     max_sample: int = 8192,
     block_rows: int = 4096,
     query_rows: int = 1024,
+    least_recall: float = 0.9,
+    measured: int = 128,
+    parts: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose id is divisible by ``query_every``."""
     spark = df.sparkSession
@@ -185,9 +227,10 @@ def search(
     if sizes is None:
         return spark.createDataFrame([], schema)
     x, n = x.filter(F.col("n") == sizes["n"]).select("id", "v"), sizes["count"]
-    parts = int(min(max_parts, 2 ** round(np.log2(max(1.0, np.sqrt(n) / 8)))))
+    parts = parts or int(min(max_parts, 2 ** round(np.log2(max(1.0, np.sqrt(n) / 8)))))
     sample = x.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(max_sample).toPandas()["v"]
     router = learn(np.stack(sample.to_numpy()).astype(float), parts)
+    del sample
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -199,6 +242,9 @@ def search(
     counts = np.zeros(router.parts, np.int64)
     for r in indexed.groupBy("part").count().collect():
         counts[r["part"]] = r["count"]
+    queries = x.filter(F.pmod("id", F.lit(query_every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
+    if router.parts > probes:
+        probes = max(probes, probes_for(indexed, queries, router, k, least_recall, measured))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,7 +254,6 @@ def search(
             enough = (counts[order].cumsum(axis=1) < 4 * k).sum(axis=1) + 1
             yield batch.assign(part=[o[: max(probes, e)].astype(np.int32) for o, e in zip(order, enough, strict=True)])
 
-    queries = x.filter(F.pmod("id", F.lit(query_every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     routed = queries.mapInPandas(route, "id long, v array<double>, part array<int>").select("id", "v", F.explode("part").alias("part"))
     routed = written(routed, "ann-queries")
     asked = np.zeros(router.parts, np.int64)
