@@ -61,6 +61,22 @@ def test_planted_passages(planted):
         assert any({"vile", "scum", "trash"} & set(f.split()) for f in found)
 
 
+def test_every_occurrence_scores():
+    bad = [f"bad{i}" for i in range(6)]
+    model = toxicity.ToxicityModel({toxicity.place(w): 3.0 for w in bad})
+    scorer, fill = toxicity.Scorer(model), ["fine"] * 200
+    _, two = scorer.passages(" ".join([*fill, *bad, *fill, *bad, *fill]))
+    assert [p["score"] for p in two] == [18.0, 18.0]
+    alone = [x for w in bad for x in (w, *fill)]
+    text = " ".join([*alone, *bad, *fill])
+    _, late = scorer.passages(text)
+    assert [(text[p["start"] : p["end"]], p["score"]) for p in late] == [(" ".join(bad), 18.0)]
+    _, near = scorer.segments(" ".join([*bad, *fill[:10], *bad]))
+    assert near == [(0, 21, 22.0)]  # 18 - 5 + 9: repeats inside one segment count half
+    _, same = scorer.segments("bad1 " * 500)
+    assert max(s for *_, s in same) < 6.001
+
+
 def test_edges(spark, planted):
     docs, labels = planted
     model = toxicity.learn(docs, labels.unionByName(labels.limit(50)))

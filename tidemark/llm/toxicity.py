@@ -3,13 +3,14 @@
 Learning: tokens and their stems are counted once per labelled text (equal texts count once), by label.
 A token's score is the best of its own and its stems' scores: the log-odds between toxic and other
 texts under an informative Dirichlet prior, less ``z`` standard errors; tokens whose lower bound isn't
-positive get the same small negative drift. As a unit is counted once a text, it scores where it first
-stands, and repeats drift. Units are hashed to ``2 ** BITS`` places, which bounds the model whatever
+positive get the same small negative drift. Every occurrence scores in the scan; inside one segment, each repeat
+of a unit has half the score of the one before it, as words come in clumps. Units are hashed to ``2 ** BITS`` places, which bounds the model whatever
 the vocabulary.
 
 Scoring: one linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a whole text. Under
 the token frequencies of other texts, segments of score s are expected K n exp(-lambda s) times in n
-tokens (Karlin and Altschul); lambda solves its defining equation, K is fitted to the texts labelled 0.
+tokens (Karlin and Altschul); lambda solves its defining equation for the frequencies of all occurrences in the
+texts labelled 0, K is fitted to these texts' segments.
 A segment with an expectation below ``max_expected`` is a passage. A text's statistic is the sum over
 its passages of -ln(expectation), and a logistic curve fitted on labelled texts turns it into a score.
 
@@ -69,22 +70,22 @@ class ToxicityModel:
 def maximal_segments(positions: list[int], values: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last position, score) of a sequence that scores ``values`` at
     ``positions`` and -drift everywhere else. Linear in the positives, as only they can begin or end one."""
-    found: list[list[float]] = []  # first, last, sum before it, sum through it
+    found: list[list[float]] = []  # first, last, sum before it, sum through it, the nearest earlier one with a smaller sum before
     total, last = 0.0, -1
     for at, value in zip(positions, values, strict=True):
         before = total - drift * (at - last - 1)
         total, last = before + value, at
         first = at
-        while found:
+        while True:
             k = len(found) - 1
             while k >= 0 and found[k][2] >= before:
-                k -= 1
+                k = found[k][4]
             if k < 0 or found[k][3] >= total:
                 break
             first, before = found[k][0], found[k][2]
             del found[k:]
-        found.append([first, at, before, total])
-    return [(int(a), int(b), r - left) for a, b, left, r in found]
+        found.append([first, at, before, total, k])
+    return [(int(a), int(b), r - left) for a, b, left, r, _ in found]
 
 
 class Scorer:
@@ -93,20 +94,42 @@ class Scorer:
     def __init__(self, model: ToxicityModel, max_words: int = 300_000):
         self.model, self.max_words, self.words = model, max_words, {}
 
-    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+    def scored(self, text: str | None) -> tuple[int, list[int], list[float], list[int]]:
+        """The number of tokens, and of those with a score: positions, scores and places."""
         tokens = TOKEN.findall(text.lower()) if text else []
         known, scores = self.words, self.model.scores
         if len(known) > self.max_words:
             known.clear()
         for token in set(tokens).difference(known):
             known[token] = max(((scores[p], p) for u in units(token) if (p := place(u)) in scores), default=None)
-        at, values, seen = [], [], set()
+        at, values, places = [], [], []
         for i, token in enumerate(tokens):
-            if (best := known[token]) and best[1] not in seen:
-                seen.add(best[1])
+            if best := known[token]:
                 at.append(i)
                 values.append(best[0])
-        return len(tokens), maximal_segments(at, values)
+                places.append(best[1])
+        return len(tokens), at, values, places
+
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """Maximal segments of all occurrences; one that holds repeats is cut anew with these damped."""
+        n, at, values, places = self.scored(text)
+        out, i = [], 0
+        for first, last, score in maximal_segments(at, values):
+            while at[i] < first:
+                i += 1
+            j = i
+            while j < len(at) and at[j] <= last:
+                j += 1
+            if len(set(places[i:j])) == j - i:
+                out.append((first, last, score))
+            else:
+                times, damped = {}, []
+                for value, p in zip(values[i:j], places[i:j], strict=True):
+                    damped.append(max(value * 0.5 ** min(times.get(p, 0), 60), 1e-12))
+                    times[p] = times.get(p, 0) + 1
+                out += maximal_segments(at[i:j], damped)
+            i = j
+        return n, out
 
     def passages(self, text: str | None) -> tuple[float, list[dict]]:
         """The statistic, and passages with their character spans in the lower-cased text."""
@@ -207,7 +230,7 @@ def learn(
     model = ToxicityModel(dict(zip(table["place"][kept].astype(int).tolist(), bound[kept].tolist(), strict=True)), max_expected=max_expected)
     if not model.scores:
         return ToxicityModel(base=n[1] / (n[0] + n[1]))
-    p = (other[kept] + prior[kept]) / (o + a0)
+    p = _frequencies(train, model, table["place"][kept].to_numpy())
     # The drift has to outweigh what positive tokens score in other texts.
     model.lam = solve_lambda(p, bound[kept], DRIFT) if (p * bound[kept]).sum() < DRIFT * (1 - p.sum()) else 0.1
     model.k = _fit_k(train, model)
@@ -216,6 +239,27 @@ def learn(
     return model
 
 
+def _frequencies(train: DataFrame, model: ToxicityModel, places: np.ndarray) -> np.ndarray:
+    """The share of the tokens of other texts that score by each place, all occurrences counted."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        scorer, counts = Scorer(model), {-1: 0}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n, _, _, found = scorer.scored(text)
+                counts[-1] += n
+                for p in found:
+                    counts[p] = counts.get(p, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["place", "n"])
+
+    found = train.filter("toxic = 0").select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counts = dict(zip(found["place"].tolist(), found["n"].tolist(), strict=True))
+    total = counts.get(-1, 0) + 1.0
+    return np.array([(counts.get(int(p), 0) + 0.5 / len(places)) / total for p in places])
+
+
 def _fit_k(train: DataFrame, model: ToxicityModel) -> float:
     """K from the mean of exp(lambda s) scale: other texts' best segments against their lengths.
 
