@@ -43,6 +43,15 @@ def test_long_record_gets_an_empty_member(spark, tmp_path):
     assert got == {"1": 17 << 20, "2": 1}
 
 
+def test_url_of_a_megabyte(spark, tmp_path):
+    noise = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(1 << 14))
+    rows = [(1, "http://x/?" + noise, "a", None), (2, "data:," + "y" * (1 << 20), "b", None), (3, "u", "c", None)]
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), f"file://{tmp_path}/w")
+    for size in (100_000, 1 << 25):
+        got = {int(r["record_key"]): r["target_uri"] for r in warc.read(spark, f"file://{tmp_path}/w", size).collect()}
+        assert got == {i: u for i, u, _, _ in rows}
+
+
 def test_revisits(spark, tmp_path):
     long, short = "é" * 500, "e" * 999
     rows = [(1, "u", long, None), (5, "v", long, None), (3, None, long, None), (5, "v", long, None), (None, "w", long, None), (7, "a", short, None), (8, "b", short, None), (9, "c", None, None), (10, "\r\nd", "", None)]

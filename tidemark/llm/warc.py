@@ -119,24 +119,26 @@ def parse_header(data: bytes) -> tuple[dict[str, str], int] | None:
 class RangeScanner:
     """The records whose first byte lies in [start, end) of a seekable file."""
 
-    def __init__(self, file, start: int, end: int, block: int = 1 << 20, max_header: int = 1 << 16):
-        self.file, self.start, self.end, self.block, self.max_header = file, start, end, block, max_header
+    def __init__(self, file, start: int, end: int, block: int = 1 << 20, step: int = 1 << 16):
+        self.file, self.start, self.end, self.block, self.step = file, start, end, block, step
 
     def _is_record(self, at: int) -> bool:
+        """Whether a whole header stands here, however long: a member that begins like one is read to its blank line or end."""
         self.file.seek(at)
-        unpack, seen = zlib.decompressobj(31), b""
-        while len(seen) < self.max_header and not unpack.eof:
-            data = self.file.read(512 if not seen else 8192)
+        unpack, seen = zlib.decompressobj(31), bytearray()
+        while not unpack.eof:
+            data = unpack.unconsumed_tail or self.file.read(8192 if seen else 512)
             if not data:
                 break
+            done = max(0, len(seen) - 3)
             try:
-                seen += unpack.decompress(data, self.max_header)
+                seen += unpack.decompress(data, self.step)
             except zlib.error:
                 return False
             if len(seen) >= 5 and not seen.startswith(b"WARC/"):
                 return False
-            if parse_header(seen):
-                return True
+            if seen.find(b"\r\n\r\n", done) >= 0:
+                return parse_header(bytes(seen)) is not None
         return False
 
     def _decode(self, at: int) -> tuple[bytes, int] | None:
