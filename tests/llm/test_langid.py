@@ -1,12 +1,12 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 from tidemark.llm import langid, queries
 
 
 def grams(text):
-    row = np.zeros(1 << langid.BITS)
-    langid.presence(text, row)
-    return set(np.flatnonzero(row))
+    return set(langid.presence(text).tolist())
 
 
 def test_presence_is_all_ngrams():
@@ -15,22 +15,45 @@ def test_presence_is_all_ngrams():
     assert len(grams("ab")) == 3 + 3 + 2 + 1 and grams("ab") < grams("ab abc")
 
 
-def test_folded_weights_equal_the_kernel_form():
-    rng = np.random.default_rng(1)
-    base = {"a": rng.random(1 << langid.BITS) < 0.02, "b": rng.random(1 << langid.BITS) < 0.02}
-    labels = ["a", "b"] * 20
-    rows = np.array([(base[x] & (rng.random(1 << langid.BITS) < 0.7)) for x in labels]).astype(np.uint8)
-    model = langid.fit(rows[:10], rows, labels, 1e-2)
-    lm, x = rows[:10].astype(float), rows.astype(float)
-    k = (x @ lm.T) / np.sqrt(np.outer(x.sum(1), lm.sum(1)))
-    kll = (lm @ lm.T) / np.sqrt(np.outer(lm.sum(1), lm.sum(1)))
-    values, vectors = np.linalg.eigh(kll)
-    feats = k @ vectors / np.sqrt(values)
-    y = np.where(np.array(labels)[:, None] == np.array(["a", "b"]), 1.0, -1.0)
-    fm, ym = feats.mean(0), y.mean(0)
-    beta = np.linalg.solve((feats - fm).T @ (feats - fm) + 1e-2 * 40 * np.eye(10), (feats - fm).T @ (y - ym))
-    assert np.allclose(model.scores(x.astype(np.float32)), (feats - fm) @ beta + ym, atol=1e-3)
-    assert [model.classes[i] for i in model.scores(x.astype(np.float32)).argmax(1)] == labels
+def test_a_very_long_text_is_its_pieces_and_not_saturated(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(300_000))
+    whole = grams(text)
+    monkeypatch.setattr(langid, "_PIECE", 1000)
+    assert grams(text) == whole and len(whole) < (1 << langid.BITS) / 8
+
+
+def plain_scores(texts, landmarks, fit_texts, labels, ridge):
+    """Kernel ridge regression with Nyström features from sets of n-grams, one value at a time."""
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    matrix = lambda xs: np.array([[k(grams(x), grams(m)) for m in landmarks] for x in xs])
+    values, vectors = np.linalg.eigh(matrix(landmarks))
+    kept = values > 1e-8 * values.max()
+    whiten = vectors[:, kept] / np.sqrt(values[kept])
+    x, y = matrix(fit_texts) @ whiten, np.where(np.array(labels)[:, None] == np.array(sorted(set(labels))), 1.0, -1.0)
+    xm, ym = x.mean(0), y.mean(0)
+    beta = np.linalg.solve((x - xm).T @ (x - xm) + ridge * len(labels) * np.eye(x.shape[1]), (x - xm).T @ (y - ym))
+    return (matrix(texts) @ whiten - xm) @ beta + ym
+
+
+def test_results_against_a_plain_version(spark, sf):
+    """All texts teach, so the plain version knows the sample; landmarks are those with the smallest hashes."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null").select("doc_id", "text", "lang").limit(60)
+    docs = spark.createDataFrame(rows.collect(), rows.schema)
+    known = [r for r in docs.withColumn("o", F.xxhash64("doc_id", "text")).collect() if any(c.isalpha() for c in r["text"] or "")]
+    known.sort(key=lambda r: (r["lang"], r["o"]))
+    landmarks = [r["text"] for lang in sorted({r["lang"] for r in known}) for r in [x for x in known if x["lang"] == lang][:3]]
+    got = {r["doc_id"]: r for r in langid.identify(docs, langid.learn(docs, landmarks_per_class=3, ridge=1e-2)).collect()}
+    want = plain_scores([r["text"] for r in known], landmarks, [r["text"] for r in known], [r["lang"] for r in known], 1e-2)
+    classes = sorted({r["lang"] for r in known})
+    for r, s in zip(known, want, strict=True):
+        assert got[r["doc_id"]]["lang_pred"] == classes[s.argmax()] and abs(got[r["doc_id"]]["score"] - min(1, max(0, (s.max() + 1) / 2))) < 1e-4
+
+
+def test_repeated_ids_bound_the_sample(spark):
+    rows = [(7, f"the of and {i % 9}", "en") for i in range(3000)] + [(i, "der die das", "de") for i in range(20)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_per_class=50, landmarks_per_class=5)
+    assert model.classes == ["de", "en"]
 
 
 def test_held_out_accuracy(spark, sf):

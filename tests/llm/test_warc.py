@@ -2,8 +2,10 @@ import gzip
 import hashlib
 import io
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 from tidemark.llm import queries, store, warc
 
 SCHEMA = "page_id long, url string, html string, record_key string"
@@ -22,6 +24,31 @@ def test_text_sink_writes_whole_members(spark, tmp_path):
         assert all(r["digest_ok"] for r in got)
 
 
+def test_ranges_are_dealt_one_by_one(spark, tmp_path):
+    rng = random.Random(1)
+    warc.write(spark.createDataFrame([(i, "u", rng.randbytes(9000).hex(), None) for i in range(60)], SCHEMA).repartition(2), f"file://{tmp_path}/w")
+    x = warc.ranges(spark, f"file://{tmp_path}/w", 20_000)
+    n = x.count()
+    assert n > 20 and x.rdd.getNumPartitions() == n
+    used = x.select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert used.count() > n / 2 and used.agg(F.max("count")).first()[0] <= 4
+    assert warc.ranges(spark, f"file://{tmp_path}/w", 20_000, max_tasks=3).rdd.getNumPartitions() == 3
+
+
+def test_broken_members_are_reported(spark, tmp_path):
+    made = [warc.member(i, "u", f"{i}".encode() * 4000, None) for i in range(3)]
+    made[1] = made[1][:200] + b"\0" * 40 + made[1][240:]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(made) + warc.member(9, "u", b"z" * 90_000, None, 0)[:-50])
+    read = lambda how: warc.read(spark, f"file://{tmp_path}", on_broken=how)
+    at = len(made[0])
+    assert [(r["type"], r["record_key"], r["position"]) for r in read("row").orderBy("position").collect()] == [
+        ("response", "0", 0), ("broken", None, at), ("response", "2", at + len(made[1])), ("broken", None, sum(map(len, made))),
+    ]
+    assert sorted(r["record_key"] for r in read("skip").collect()) == ["0", "2"]
+    with pytest.raises(Exception, match="broken record"):
+        read("fail").collect()
+
+
 def test_every_cut_owns_each_record_once():
     inner = b"".join(warc.member(f"in{i}", None, b"x", None) for i in range(3))  # magic inside a payload
     data = b"".join(warc.member(i, "u", p, None, level=0) for i, p in enumerate([b"a" * 50, inner, b"", warc.MAGIC * 9]))

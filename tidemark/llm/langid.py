@@ -1,17 +1,21 @@
 """Language identification with a blended-spectrum string kernel.
 
-Two texts' kernel value is the number of character n-grams (n from 1 to 4, hashed) that both hold,
-over the geometric mean of each text's own number: presence counts, not frequency. Nyström: a bounded
-sample of labelled texts are landmarks, and a text is described by its kernel values with them,
-whitened by the landmarks' own kernel matrix. One-versus-rest kernel ridge regression is fitted in
-that space on a bounded sample, and all texts are scored by batched matrix products.
-
-The sample's bounds are the parameters ``landmarks_per_class`` and ``fit_per_class``; class counts,
-which set the sampling fractions, cover all rows, and every text is scored whole.
+Two texts' kernel value is the number of character n-grams (n from 1 to 4, hashed to 2 ** BITS places)
+that both hold, over the geometric mean of each text's own number: presence counts, not frequency.
+Nyström: a bounded sample of labelled texts are landmarks, and a text is described by its kernel values
+with them, whitened by the landmarks' own kernel matrix. One-versus-rest kernel ridge regression is fitted
+in that space on a bounded sample, whose kernel values are computed where its texts are. As the map from
+n-grams to kernel values to class scores is linear, it is folded into one matrix, n-grams by classes, and
+texts are scored by products of batches of their sparse presence rows with it.
+
+The sample's bounds are the parameters ``landmarks_per_class`` and ``fit_per_class``: of all rows of a
+class, those with the smallest hashes, limited in every task before they move. Every text is scored whole. A text of a million
+characters is hashed in pieces that overlap and fills the same places as in one.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text
-where there is nothing to learn from. Repeated rows get the same result, up to the rounding of single-precision products. Rows with a null label, or
-left out by ``learn_from``, teach nothing.
+where there is nothing to learn from. Repeated rows get the same result, up to the rounding of
+single-precision sums. Rows with a null label, or left out by ``learn_from``, teach nothing. Columns
+lang_pred and score of the input are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .store import sliced, written
 
-BITS = 14
+BITS = 18
 N_GRAMS = (1, 2, 3, 4)
 _LETTER = regex.compile(r"\p{L}")
 _PIECE = 1 << 20  # characters hashed at a time
@@ -45,14 +52,15 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def presence(text: str, out: np.ndarray) -> None:
-    """Sets out[h] for the hash of every n-gram of the text, spaces around it included."""
+def presence(text: str, places: np.ndarray | None = None) -> np.ndarray:
+    """The places of all n-grams of a text, ascending, spaces around it included; ``places`` is a reused row of zeros."""
     if not _TABLE:
         _TABLE.append(_letters())
+    out = np.zeros(1 << BITS, bool) if places is None else places
     mask = np.uint32((1 << BITS) - 1)
-    for at in range(0, max(1, len(text)), _PIECE):
-        piece = " " + text[max(0, at - max(N_GRAMS)) : at + _PIECE] + " "
-        chars = _TABLE[0][np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")]
+    padded = " " + text + " "
+    for at in range(0, len(padded), _PIECE):
+        chars = _TABLE[0][np.frombuffer(padded[at : at + _PIECE + max(N_GRAMS) - 1].encode("utf-32-le", "surrogatepass"), "<u4")]
         rolling = np.zeros(len(chars), np.uint32)
         for n in range(1, max(N_GRAMS) + 1):
             if len(chars) < n:
@@ -60,7 +68,25 @@ def presence(text: str, out: np.ndarray) -> None:
             rolling = rolling[: len(chars) - n + 1] * np.uint32(0x01000193) + chars[n - 1 :] + np.uint32(n)
             if n in N_GRAMS:
                 mixed = (rolling ^ (rolling >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-                out[(mixed >> np.uint32(13)) & mask] = 1
+                out[(mixed >> np.uint32(13)) & mask] = True
+    found = np.flatnonzero(out)
+    out[found] = False
+    return found
+
+
+def products(rows: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
+    """Rows of a sparse 0/1 matrix, given by their places, times a dense one."""
+    sizes = np.array([len(r) for r in rows])
+    out = np.zeros((len(rows), matrix.shape[1]))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        out[full] = np.add.reduceat(matrix[np.concatenate([rows[i] for i in full])], starts, axis=0)
+    return out
+
+
+def norms(rows: list[np.ndarray]) -> np.ndarray:
+    return np.sqrt(np.maximum([len(r) for r in rows], 1))
 
 
 @dataclass
@@ -71,37 +97,35 @@ class KernelModel:
     weights: np.ndarray  # 2 ** BITS by classes
     bias: np.ndarray
 
-    def scores(self, rows: np.ndarray) -> np.ndarray:
-        norm = np.sqrt(np.maximum(rows.sum(axis=1), 1))
-        return (rows @ self.weights) / norm[:, None] + self.bias
-
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        return products(rows, self.weights) / norms(rows)[:, None] + self.bias
 
-def fit(landmarks: np.ndarray, rows: np.ndarray, labels: list[str], ridge: float = 1e-3) -> KernelModel:
-    """Kernel ridge regression from the 0/1 presence matrices (bytes) of landmarks and of labelled texts.
 
-    Products of the matrices are whole numbers that single precision holds exactly; they are taken in
-    blocks, so that the driver never holds a wide matrix in floating point.
-    """
-    classes = sorted(set(labels))
-    lm = landmarks.astype(np.float32)
+def kernel(rows: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
+    """Kernel values of rows with landmarks."""
+    held = np.zeros((1 << BITS, len(landmarks)), bool)
+    for i, places in enumerate(landmarks):
+        held[places, i] = True
+    shared = np.array([held[r].sum(axis=0, dtype=np.int64) for r in rows]).reshape(len(rows), len(landmarks))
+    return shared / norms(rows)[:, None] / norms(landmarks)
 
-    def shared(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x[at : at + 128].astype(np.float32) @ lm.T for at in range(0, len(x), 128)]).astype(np.float64)
 
-    own, lm_own = (np.sqrt(np.maximum(x.sum(1, dtype=np.float64), 1)) for x in (rows, landmarks))
-    k_xl = shared(rows) / own[:, None] / lm_own
-    k_ll = shared(landmarks) / lm_own[:, None] / lm_own
-    values, vectors = np.linalg.eigh(k_ll)
+def fit(landmarks: list[np.ndarray], k_xl: np.ndarray, labels: list[str], ridge: float = 1e-3) -> KernelModel:
+    """Ridge regression from the landmarks and the kernel values of labelled texts with them."""
+    classes = sorted(set(labels))
+    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     kept = values > 1e-8 * values.max()
     whiten = vectors[:, kept] / np.sqrt(values[kept])
     features = k_xl @ whiten
     targets = np.where(np.array(labels)[:, None] == np.array(classes), 1.0, -1.0)
     mean, target_mean = features.mean(0), targets.mean(0)
     centred = features - mean
-    gram = centred.T @ centred + ridge * len(rows) * np.eye(features.shape[1])
+    gram = centred.T @ centred + ridge * len(labels) * np.eye(features.shape[1])
     beta = np.linalg.solve(gram, centred.T @ (targets - target_mean))
-    parts = whiten @ beta / lm_own[:, None]
-    weights = np.concatenate([landmarks[:, at : at + 2048].T.astype(np.float64) @ parts for at in range(0, landmarks.shape[1], 2048)])
+    parts = whiten @ beta / norms(landmarks)[:, None]
+    weights = np.zeros((1 << BITS, len(classes)))
+    for places, own in zip(landmarks, parts, strict=True):
+        weights[places] += own
     return KernelModel(classes, weights.astype(np.float32), (target_mean - mean @ beta).astype(np.float32))
 
 
@@ -118,35 +142,36 @@ def learn(
     fit_per_class: int = 400,
     ridge: float = 1e-3,
 ) -> KernelModel | None:
-    """Fits on a sample of about ``fit_per_class`` texts of each class, chosen by the id's hash."""
+    """Fits on the ``fit_per_class`` texts of each class with the smallest hashes, the first of them as landmarks."""
     x = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[label_col].alias("label"))
     x = x.filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["label"]: r["n"] for r in x.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    order = F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
-    wanted = F.lit(False)
-    for label, n in sorted(counts.items()):
-        wanted = wanted | ((F.col("label") == label) & (order < F.lit(min(1.0, 1.5 * fit_per_class / n + 20 / n))))
+    x = x.withColumn("h", F.xxhash64("id", "text"))
+    by_hash = Window.partitionBy("label").orderBy("h")
+    keys = x.select("label", "h", F.row_number().over(by_hash).alias("rank")).filter(F.col("rank") <= fit_per_class)
+    keys = keys.groupBy("label", "h").agg(F.min("rank").alias("rank"))  # repeated rows teach once
+    chosen = x.join(F.broadcast(keys), ["label", "h"]).select("label", "rank", "text").dropDuplicates(["label", "rank"])
+    chosen = written(chosen, "language-sample")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hashes = []
-            for text in batch["text"]:
-                row = np.zeros(1 << BITS, np.uint8)
-                presence(text, row)
-                hashes.append(np.packbits(row).tobytes())
-            yield pd.DataFrame({"label": batch["label"], "place": batch["place"], "bits": hashes})
-
-    chosen = x.filter(wanted).select("text", "label", order.alias("place"))
-    sample = chosen.mapInPandas(encode, "label string, place double, bits binary").collect()
-    by_label: dict[str, list] = {}
-    for r in sorted(sample, key=lambda r: (r["label"], r["place"], bytes(r["bits"]))):
-        by_label.setdefault(r["label"], []).append(np.frombuffer(r["bits"], np.uint8))
-    unpacked = lambda rows: np.unpackbits(np.stack(rows), axis=1)
-    landmarks = [row for rows in by_label.values() for row in rows[:landmarks_per_class]]
-    pairs = [(label, row) for label, rows in by_label.items() for row in rows[:fit_per_class]]
-    return fit(unpacked(landmarks), unpacked([row for _, row in pairs]), [label for label, _ in pairs], ridge)
+            packed = [presence(t).astype("<u4").tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "rank": batch["rank"], "places": packed})
+
+    first = chosen.filter(F.col("rank") <= landmarks_per_class)
+    rows = first.mapInPandas(encode, "label string, rank int, places binary").orderBy("label", "rank").collect()
+    if not rows:
+        return None
+    landmarks = [np.frombuffer(r["places"], "<u4").astype(np.int64) for r in rows]
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                values = kernel([presence(t) for t in batch["text"]], landmarks)
+                yield pd.DataFrame({"label": batch["label"], "rank": batch["rank"], "k": list(values)})
+
+    sample = chosen.mapInPandas(describe, "label string, rank int, k array<double>")
+    sample = sample.orderBy("label", "rank").toPandas()
+    return fit(landmarks, np.stack(sample["k"].to_numpy()), sample["label"].tolist(), ridge)
 
 
 def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text", batch_rows: int = 128) -> DataFrame:
@@ -159,25 +184,18 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
     def run(batches):
         import pyarrow as pa
 
-        space = np.zeros((batch_rows, 1 << BITS), np.float32)
-        for batch in batches:
+        places = np.zeros(1 << BITS, bool)
+        for batch in sliced(batches, batch_rows):
             batch = batch.select(kept)
-            texts = docs_text(batch, text_col)
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             labels, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
             spoken = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)] if model else []
-            for at in range(0, len(spoken), batch_rows):
-                block = spoken[at : at + batch_rows]
-                space[: len(block)] = 0
-                for row, i in enumerate(block):
-                    presence(texts[i], space[row])
-                found = model.scores(space[: len(block)])
+            if spoken:
+                found = model.scores([presence(texts[i], places) for i in spoken])
                 best = found.argmax(1)
-                labels[block] = np.array(model.classes, object)[best]
-                scores[block] = np.clip((found[np.arange(len(block)), best] + 1) / 2, 0, 1)
+                labels[spoken] = np.array(model.classes, object)[best]
+                scores[spoken] = np.clip((found[np.arange(len(spoken)), best] + 1) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels.tolist(), pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
-
-def docs_text(batch, text_col: str) -> list:
-    return batch.column(batch.schema.get_field_index(text_col)).to_pylist()

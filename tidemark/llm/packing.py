@@ -19,22 +19,59 @@ from __future__ import annotations
 import re
 import string
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .store import sliced
+
 PARTITION_SHIFT = 33
 
 
+def byte_alphabet() -> str:
+    """The character that stands for each byte: itself where it prints, else the next one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return "".join(chr(b if b in printable else 256 + others.index(b)) for b in range(256))
+
+
+class WordIds(dict):
+    """Word to the bytes of its ids; a word not seen before is tokenized when it is looked up.
+
+    With ``lowered`` words (lower case, nothing beyond Latin), words of letters go straight to the
+    vocabulary's merges, after the byte alphabet that the tokenizer's pattern step would give them.
+    Letters with punctuation behind them are two pieces to that pattern, whatever the punctuation.
+    Everything else takes the tokenizer's own way. Words of over ``longest`` characters aren't kept.
+    """
+
+    def __init__(self, tokenizer, kind: str, lowered: bool, longest: int = 64):
+        self.tokenizer, self.kind, self.lowered, self.longest = tokenizer, kind, lowered, longest
+        self.merge, self.alphabet = tokenizer.model.tokenize, byte_alphabet()
+
+    def __missing__(self, word: str) -> bytes:
+        bare = word.rstrip(string.punctuation)
+        if not self.lowered or not bare.isalpha():
+            ids = array(self.kind, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        elif len(bare) < len(word):
+            ids = self[bare] + self[word[len(bare) :]]
+        else:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            ids = array(self.kind, [t.id for t in self.merge(mapped)]).tobytes()
+        if len(word) <= self.longest:
+            self[word] = ids
+        return ids
+
+
 class WordCachedTokenizer:
     """Ids of a `tokenizers` file, with the ids of each word kept.
 
     The word-end vocabulary drops white space, and neither its pattern nor its normaliser joins
     characters across it, so a text's ids are its words' ids in order. Texts that hold a special
     token's string, or a separator that Python and the tokenizer see differently, go to the
-    tokenizer whole.
+    tokenizer whole. At most ``max_words`` words of at most 64 characters are kept.
     """
 
     _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -47,64 +84,34 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 65536 else np.dtype("<u4")
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for piece, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = piece.endswith("</w>")
+        self.tokenizer.model._resize_cache(0)  # the dictionaries are the cache
+        wide = self.tokenizer.get_vocab_size() >= 65536
+        self.dtype, self.max_words = np.dtype("<u4" if wide else "<u2"), max_words
+        self.lowered, self.verbatim = (WordIds(self.tokenizer, "I" if wide else "H", x) for x in (True, False))
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.words: dict[str, bytes] = {}
-        self.max_words = max_words
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
-        for at in range(0, len(plain), 256):
-            block = plain[at : at + 256]
-            ids = np.array(self._encode([" ".join(block)])[0], self.dtype)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
-            if len(ends) == len(block):
-                raw = ids.tobytes()
-                self.words.update(zip(block, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
-            else:
-                self.words.update(zip(block, (np.array(x, self.dtype).tobytes() for x in self._encode(block)), strict=True))
-        # Letters with punctuation behind them are two pieces to the tokenizer's pattern, whatever the punctuation.
-        others = [(w, w.rstrip(string.punctuation)) for w in words if not w.isalpha()]
-        marked = [(w, bare, w[len(bare) :]) for w, bare in others if bare.isalpha()]
-        if missing := list({bare for _, bare, _ in marked if bare not in self.words}):
-            self._learn(missing)
-        marks = sorted({mark for *_, mark in marked})
-        ids = {m: np.array(x, self.dtype).tobytes() for m, x in zip(marks, self._encode(marks), strict=True)}
-        self.words.update([(w, self.words[bare] + ids[mark]) for w, bare, mark in marked])
-        rest = [w for w, bare in others if not bare.isalpha()]
-        self.words.update(zip(rest, (np.array(x, self.dtype).tobytes() for x in self._encode(rest)), strict=True))
-
-    def _split(self, text: str) -> list[str] | None:
-        """The text's words in lower case as far as Python's rule is the tokenizer's; None for the tokenizer itself."""
+
+    def _ids(self, text: str) -> bytes:
+        """Python lowers a text where its rule is the tokenizer's: nothing is beyond Latin."""
         if any(mark in text for mark in self._ODD):
-            return None
+            return array(self.lowered.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         try:
             text.encode("latin-1")  # a copy of bytes, where there is nothing beyond
         except UnicodeEncodeError:
             if self._BEYOND_LATIN.search(text):
-                return text.split()
-        return text.lower().split()
+                return b"".join(map(self.verbatim.__getitem__, text.split()))
+        return b"".join(map(self.lowered.__getitem__, text.lower().split()))
 
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Each text's ids and the end id, as unsigned 32-bit numbers."""
-        for at in range(0, len(texts), 512):
-            block = [t or "" for t in texts[at : at + 512]]
-            split = [self._split(t) for t in block]
-            if len(self.words) > self.max_words:
-                self.words.clear()
-            new = set().union(*(x for x in split if x)) - self.words.keys()
-            if new:
-                self._learn(list(new))
-            get = self.words.__getitem__
-            for t, words in zip(block, split, strict=True):
-                ids = np.array(self._encode([t])[0], self.dtype).tobytes() if words is None else b"".join(map(get, words))
-                yield np.frombuffer(ids + self.end, self.dtype).astype("<u4")
+        for text in texts:
+            ids = self._ids(text or "")
+            if len(self.lowered) + len(self.verbatim) > self.max_words:
+                self.clear()
+            yield np.frombuffer(ids + self.end, self.dtype).astype("<u4")
+
+    def clear(self) -> None:
+        self.lowered.clear()
+        self.verbatim.clear()
 
 
 class SumOfSquaresPacker:
@@ -230,15 +237,15 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, [id_col, *PIECE, *["ids"] * with_ids])
 
         n = 0
-        for batch in batches:
-            names_of = batch.column(0).to_pylist()
-            for name, ids in zip(names_of, tokenizer(batch.column(1).to_pylist()), strict=True):
+        for batch in sliced(batches):
+            for name, ids in zip(batch.column(0).to_pylist(), tokenizer(batch.column(1).to_pylist()), strict=True):
                 names[n], totals[n] = name, [len(ids), len(ids)]
                 close(packer.add(n, ids))
                 n += 1
                 if len(rows) > 20_000:
                     yield out()
                     rows.clear()
+        tokenizer.clear()
         close(packer.cut_anew(last=True))
         if rows:
             yield out()

@@ -22,7 +22,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    records = warc.read(spark, path, with_payload=False)
+    records = warc.read(spark, path, with_payload=False, on_broken="fail")
     return records.select(
         F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         F.col("refers_to_key").cast("long").alias("refers_to"),
@@ -58,7 +58,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(docs, token_counts.fit(docs, token_counts.ranked_model(tokenizer_path("piece_bpe_32k.model"))))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,12 @@ the member's length, 0 below 16 MiB. A longer record is followed by an empty mem
 Reading: files are cut into byte ranges. A task scans its range for gzip magic, takes a candidate as a
 record when its first decoded bytes are a WARC version line and a whole header, and owns the records
 that start inside its range; it reads past the end to finish the last. After a record the scan goes on
-behind its last byte, so payload bytes that look like magic are passed over.
+behind its last byte, so payload bytes that look like magic are passed over. Ranges are dealt one by one
+over as many tasks as there are ranges, up to ``max_tasks``.
+
+A member with a whole WARC header that can't be decoded to its end (cut off, or corrupt) is a row of type
+``broken`` with its file and position and nulls elsewhere; the scan goes on one byte behind its start.
+``on_broken="skip"`` leaves such rows out, ``"fail"`` raises. A member without a whole header is no record.
 
 Defined results: a null payload is empty; a null URI leaves the URI header out; an id of null takes
 part in no choice of the response except among nulls; repeated rows with the largest id are all
@@ -117,7 +122,7 @@ def parse_header(data: bytes) -> tuple[dict[str, str], int] | None:
 
 
 class RangeScanner:
-    """The records whose first byte lies in [start, end) of a seekable file."""
+    """(position, member) of the records whose first byte lies in [start, end) of a seekable file; None for a broken member."""
 
     def __init__(self, file, start: int, end: int, block: int = 1 << 20, step: int = 1 << 16):
         self.file, self.start, self.end, self.block, self.step = file, start, end, block, step
@@ -156,7 +161,7 @@ class RangeScanner:
                 return None
         return b"".join(parts), at + read - len(unpack.unused_data)
 
-    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+    def __iter__(self) -> Iterator[tuple[int, bytes | None]]:
         at = self.start
         while at < self.end:
             self.file.seek(at)
@@ -170,13 +175,16 @@ class RangeScanner:
             here = at + found
             if here >= self.end:
                 return
-            whole = self._decode(here) if self._is_record(here) else None
-            if whole:
-                yield here, whole[0]
+            record = self._is_record(here)
+            whole = self._decode(here) if record else None
+            if record:
+                yield here, whole[0] if whole else None
             at = whole[1] if whole else here + 1
 
 
-def as_row(file: str, position: int, data: bytes) -> dict:
+def as_row(file: str, position: int, data: bytes | None) -> dict:
+    if data is None:
+        return dict.fromkeys(name.split()[0] for name in RECORD.split(", ")) | {"file": file, "position": position, "type": "broken"}
     headers, at = parse_header(data)
     block = data[at : at + int(headers["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n") if "application/http" in headers.get("content-type", "") else (b"", b"", block)
@@ -194,16 +202,23 @@ def as_row(file: str, position: int, data: bytes) -> dict:
     return row | {"payload_bytes": len(payload), "payload_digest": own, "payload": payload, "digest_ok": stated == own if stated else None}
 
 
-def ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
-    """The byte ranges of the files below a path, one row each, dealt over the cluster."""
+def ranges(spark: SparkSession, path: str, range_bytes: int, max_tasks: int = 20_000) -> DataFrame:
+    """The byte ranges of the files below a path, one row each, dealt over the cluster.
+
+    The number of parts is given, so adaptive execution, which goes by the few bytes of a range's row,
+    doesn't join them.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
     starts = files.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(range_bytes))))
     x = starts.select("path", "start", F.least(F.col("start") + range_bytes, F.col("length")).alias("end"))
-    return x.repartition(F.col("path"), F.col("start"))
+    n = files.agg(F.sum(F.ceil(F.col("length") / F.lit(range_bytes)))).first()[0] or 1
+    return x.repartition(min(int(n), max_tasks))
 
 
-def read(spark: SparkSession, path: str, range_bytes: int = 32 << 20, with_payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, range_bytes: int = 32 << 20, with_payload: bool = True, on_broken: str = "row") -> DataFrame:
     """The records of the archives below ``path``; see RECORD for the columns."""
+    if on_broken not in ("row", "skip", "fail"):
+        raise ValueError(f"on_broken is row, skip or fail, not {on_broken}")
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -217,6 +232,10 @@ def read(spark: SparkSession, path: str, range_bytes: int = 32 << 20, with_paylo
                 store, name = fs.FileSystem.from_uri(uri)
                 with store.open_input_file(name) as file:
                     for position, data in RangeScanner(file, r["start"], r["end"]):
+                        if data is None and on_broken != "row":
+                            if on_broken == "fail":
+                                raise ValueError(f"broken record at {r['path']}:{position}")
+                            continue
                         row = as_row(r["path"], position, data)
                         row["payload"] = row["payload"] if with_payload else None
                         rows.append(row)
