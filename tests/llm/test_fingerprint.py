@@ -25,7 +25,7 @@ def xx(*parts):
 
 def plain_tokens(text):
     unspaced = lambda c: 0xE00 <= ord(c) <= 0x109F or 0x1780 <= ord(c) <= 0x17FF or ord(c) >= 0x2000
-    cut = lambda c: c in "flrxFLRX06ÆÌÒØÞäêðöü" + string.punctuation
+    cut = lambda c: c in "fkpwxzFKPWXZ06ÆÌÒØÞäêðöü" + string.punctuation
     out, run = [], ""
     for i, c in enumerate(text):
         plain = not unspaced(c) and c not in " \t\n\x0b\f\r"

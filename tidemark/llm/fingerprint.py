@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 # Code points of scripts without spaces, and where other runs of characters are cut.
 UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u2000-\x{10FFFF}"
-CUTS = r"flrxFLRX06\x{C6}\x{CC}\x{D2}\x{D8}\x{DE}\x{E4}\x{EA}\x{F0}\x{F6}\x{FC}!-/:-@\[-`{-~"
+CUTS = r"fkpwxzFKPWXZ06\x{C6}\x{CC}\x{D2}\x{D8}\x{DE}\x{E4}\x{EA}\x{F0}\x{F6}\x{FC}!-/:-@\[-`{-~"
 LONGEST = 24
 K = 3
 POSITION_BITS = 26
@@ -189,6 +189,7 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], rows_per_bucket:
     places = F.array(F.struct(F.col("_own").alias("bucket"), F.lit(0).alias("guest")), F.struct(guest_of.alias("bucket"), F.lit(1).alias("guest")))
     x = x.withColumn("_place", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull()))).drop("_own")
     x = x.withColumn("_bucket", F.col("_place.bucket")).withColumn("_guest", F.col("_place.guest")).drop("_place")
+    x = x.repartition(2 * (last + 1), "_bucket")  # by number: the work is in the texts' signatures, not in their bytes
     order = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_col).desc_nulls_last(), "text")
     for c in carried:
         x = x.withColumn(f"next_{c}", F.lead(c).over(order))
