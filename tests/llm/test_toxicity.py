@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -17,17 +18,16 @@ def brute(values):
 def test_maximal_segments():
     rng = random.Random(4)
     for _ in range(300):
-        values = [rng.choice([-0.5, -0.5, rng.randint(1, 90) / 17]) for _ in range(rng.randint(0, 14))]
-        at = [i for i, v in enumerate(values) if v > 0]
-        got = toxicity.maximal_segments(at, [values[i] for i in at])
+        values = [rng.choice([-0.5, -rng.randint(1, 40) / 19, rng.randint(1, 90) / 17]) for _ in range(rng.randint(0, 14))]
+        got = toxicity.segments_of(np.array(values))
         expected = brute(values)
         assert [g[:2] for g in got] == [e[:2] for e in expected] and np.allclose([g[2] for g in got], [e[2] for e in expected])
 
 
 def test_lambda():
-    p, s = np.array([0.01, 0.002]), np.array([2.0, 5.0])
-    lam = toxicity.solve_lambda(p, s, 0.5)
-    assert abs((p * np.exp(lam * s)).sum() + (1 - p.sum()) * np.exp(-0.5 * lam) - 1) < 1e-6 and lam > 0.01
+    p, s = np.array([0.01, 0.002, 0.988]), np.array([2.0, 5.0, -0.5])
+    lam = toxicity.solve_lambda(p, s)
+    assert abs((p * np.exp(lam * s)).sum() - 1) < 1e-6 and lam > 0.01
 
 
 def words(rng, n):
@@ -61,22 +61,63 @@ def test_planted_passages(planted):
         assert any({"vile", "scum", "trash"} & set(f.split()) for f in found)
 
 
+def model_of(scores):
+    model = toxicity.ToxicityModel()
+    for w, x in scores.items():
+        model.scores[toxicity.place(w)] = x
+    return model
+
+
 def test_every_occurrence_scores():
     bad = [f"bad{i}" for i in range(6)]
-    model = toxicity.ToxicityModel({toxicity.place(w): 3.0 for w in bad})
-    scorer, fill = toxicity.Scorer(model), ["fine"] * 200
+    scorer, fill = toxicity.Scorer(model_of(dict.fromkeys(bad, 3.0))), ["fine"] * 200
     _, two = scorer.passages(" ".join([*fill, *bad, *fill, *bad, *fill]))
-    assert [p["score"] for p in two] == [18.0, 18.0]
+    assert np.allclose([p["score"] for p in two], 18.0) and len(two) == 2
     alone = [x for w in bad for x in (w, *fill)]
     text = " ".join([*alone, *bad, *fill])
     _, late = scorer.passages(text)
-    assert [(text[p["start"] : p["end"]], p["score"]) for p in late] == [(" ".join(bad), 18.0)]
+    assert [(text[p["start"] : p["end"]], round(p["score"], 9)) for p in late] == [(" ".join(bad), 18.0)]
     _, near = scorer.segments(" ".join([*bad, *fill[:10], *bad]))
-    assert near == [(0, 21, 22.0)]  # 18 - 5 + 9: repeats inside one segment count half
+    assert [(a, b, round(x, 9)) for a, b, x in near] == [(0, 21, 22.0)]  # 18 - 5 + 9: repeats inside one segment count half
     _, same = scorer.segments("bad1 " * 500)
     assert max(s for *_, s in same) < 6.001
 
 
+def test_all_tokens_score_their_log_odds():
+    scorer = toxicity.Scorer(model_of({"bad": 3.0, "good": -1.5}))
+    assert scorer.values(["BAD", "Good", "other"]).tolist() == [3.0, -2.0, -0.5]
+    assert [s[:2] for s in scorer.segments("bad good good bad")[1]] == [(0, 0), (3, 3)]
+    assert scorer.segments("bad other bad")[1][0][:2] == (0, 2)
+
+
+def test_spans_are_places_in_the_text_as_it_is():
+    text = "İİİ clean badword"
+    _, found = toxicity.Scorer(model_of({"badword": 30.0})).passages(text)
+    assert [text[p["start"] : p["end"]] for p in found] == ["badword"]
+
+
+def test_whole_scores_against_a_plain_version():
+    """Tokens, scores, segments by definition, damped repeats, expectations and the curve, one after the other."""
+    rng, vocabulary = random.Random(6), [f"w{i}" for i in range(12)]
+    scores = {w: round(rng.uniform(-2, 3), 3) for w in vocabulary}
+    model = model_of(scores)
+    model.lam, model.k, model.a, model.b = 1.1, 0.02, -3.0, 0.8
+    value = lambda w: float(np.float32(scores[w])) - (toxicity.DRIFT if scores[w] <= 0 else 0)
+    for _ in range(200):
+        tokens = [rng.choice(vocabulary) for _ in range(rng.randint(0, 16))]
+        found = []
+        for first, last, s in brute([value(w) for w in tokens]):
+            inside, seen, damped = tokens[first : last + 1], {}, []
+            for w in inside:
+                damped.append(value(w) * 0.5 ** seen.get(w, 0) if value(w) > 0 else value(w))
+                seen[w] = seen.get(w, 0) + 1
+            repeats = any(n > 1 and value(w) > 0 for w, n in seen.items())
+            found += [x[2] for x in brute(damped)] if repeats else [s]
+        expected = [math.log(model.k * max(1, len(tokens))) - model.lam * s for s in found]
+        want = 1 / (1 + math.exp(-(model.a + model.b * sum(-e for e in expected if e < math.log(model.max_expected)))))
+        assert math.isclose(model.probability(toxicity.Scorer(model).passages(" ".join(tokens))[0]), want, rel_tol=1e-9)
+
+
 def test_edges(spark, planted):
     docs, labels = planted
     model = toxicity.learn(docs, labels.unionByName(labels.limit(50)))

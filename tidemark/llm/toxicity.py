@@ -1,22 +1,24 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Learning: tokens and their stems are counted once per labelled text (equal texts count once), by label.
-A token's score is the best of its own and its stems' scores: the log-odds between toxic and other
-texts under an informative Dirichlet prior, less ``z`` standard errors; tokens whose lower bound isn't
-positive get the same small negative drift. Every occurrence scores in the scan; inside one segment, each repeat
+A unit's score is its log-odds between toxic and other texts under an informative Dirichlet prior, drawn
+towards 0 by ``z`` standard errors. A token scores the best of its own and its stems' scores if one is
+positive; otherwise its own log-odds, at least -``floor``, less a small drift, so that text which says
+nothing scores the drift. Every occurrence scores in the scan; inside one segment, each repeat
 of a unit has half the score of the one before it, as words come in clumps. Units are hashed to ``2 ** BITS`` places, which bounds the model whatever
 the vocabulary.
 
 Scoring: one linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a whole text. Under
 the token frequencies of other texts, segments of score s are expected K n exp(-lambda s) times in n
-tokens (Karlin and Altschul); lambda solves its defining equation for the frequencies of all occurrences in the
+tokens (Karlin and Altschul); lambda solves its defining equation for the scores of all tokens of the
 texts labelled 0, K is fitted to these texts' segments.
 A segment with an expectation below ``max_expected`` is a passage. A text's statistic is the sum over
 its passages of -ln(expectation), and a logistic curve fitted on labelled texts turns it into a score.
 
 Defined results: an empty or null text has no passages and the score of the statistic 0; without
 labels of both kinds every score is the share of toxic labels (0 without any). Repeated rows get equal
-scores. A doc that is labelled more than once counts once for each label. Extra columns are carried.
+scores. A doc that is labelled more than once counts once for each label. A very long text is scanned whole.
+Spans are places in the text as it is. Extra columns are carried; columns named score, statistic and passages are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import written
+from .store import sliced, written
 
 BITS = 20
 TOKEN = re.compile(r"\w+")
@@ -40,6 +42,7 @@ STEMS = (4, 5, 6)
 DRIFT = 0.5
 BINS = 400
 BIN_WIDTH = 0.25
+SCORE_BIN = 0.01  # of the token scores that lambda is solved for
 
 
 def place(unit: str) -> int:
@@ -53,7 +56,9 @@ def units(token: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    scores: dict[int, float] = field(default_factory=dict)
+    """``scores``: shrunken log-odds of every place; 0 where nothing is known."""
+
+    scores: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32))
     lam: float = 1.0
     k: float = 1.0
     a: float = 0.0
@@ -66,73 +71,86 @@ class ToxicityModel:
             return self.base
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.a + self.b * statistic))))
 
+    def of(self, token: str) -> tuple[float, int]:
+        """A token's score and the place that it is from."""
+        own = [place(u) for u in units(token.lower())]
+        best = max(own, key=lambda p: self.scores[p])
+        if self.scores[best] > 0:
+            return float(self.scores[best]), best
+        return float(self.scores[own[0]]) - DRIFT, own[0]
+
 
-def maximal_segments(positions: list[int], values: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last position, score) of a sequence that scores ``values`` at
-    ``positions`` and -drift everywhere else. Linear in the positives, as only they can begin or end one."""
-    found: list[list[float]] = []  # first, last, sum before it, sum through it, the nearest earlier one with a smaller sum before
-    total, last = 0.0, -1
-    for at, value in zip(positions, values, strict=True):
-        before = total - drift * (at - last - 1)
-        total, last = before + value, at
+def maximal_segments(positions: Sequence[int], before: Sequence[float], through: Sequence[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last position, score) of a sequence, from its positive positions and
+    the sums of the sequence before and through each. Linear in the positives, as only they can begin or end one."""
+    found: list[list] = []  # first, last, sum before it, sum through it, the nearest earlier one with a smaller sum before
+    for at, left, total in zip(positions, before, through, strict=True):
         first = at
         while True:
             k = len(found) - 1
-            while k >= 0 and found[k][2] >= before:
+            while k >= 0 and found[k][2] >= left:
                 k = found[k][4]
             if k < 0 or found[k][3] >= total:
                 break
-            first, before = found[k][0], found[k][2]
+            first, left = found[k][0], found[k][2]
             del found[k:]
-        found.append([first, at, before, total, k])
-    return [(int(a), int(b), r - left) for a, b, left, r, _ in found]
+        found.append([first, at, left, total, k])
+    return [(a, b, r - left) for a, b, left, r, _ in found]
+
+
+def segments_of(values: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a sequence of values."""
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    at = np.flatnonzero(values > 0)
+    return maximal_segments(at.tolist(), sums[at].tolist(), sums[at + 1].tolist())
 
 
 class Scorer:
     """Scores texts; scores of words are kept while they are few."""
 
-    def __init__(self, model: ToxicityModel, max_words: int = 300_000):
-        self.model, self.max_words, self.words = model, max_words, {}
+    def __init__(self, model: ToxicityModel, max_words: int = 200_000):
+        self.model, self.max_words = model, max_words
+        self.words: dict[str, float] = {}
+        self.places: dict[str, int] = {}  # of words with a positive score
 
-    def scored(self, text: str | None) -> tuple[int, list[int], list[float], list[int]]:
-        """The number of tokens, and of those with a score: positions, scores and places."""
-        tokens = TOKEN.findall(text.lower()) if text else []
-        known, scores = self.words, self.model.scores
+    def values(self, tokens: list[str]) -> np.ndarray:
+        known = self.words
         if len(known) > self.max_words:
             known.clear()
+            self.places.clear()
+        long = []
         for token in set(tokens).difference(known):
-            known[token] = max(((scores[p], p) for u in units(token) if (p := place(u)) in scores), default=None)
-        at, values, places = [], [], []
-        for i, token in enumerate(tokens):
-            if best := known[token]:
-                at.append(i)
-                values.append(best[0])
-                places.append(best[1])
-        return len(tokens), at, values, places
+            known[token], at = self.model.of(token)
+            if known[token] > 0:
+                self.places[token] = at
+            if len(token) > 64:
+                long.append(token)
+        out = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
+        for token in long:
+            if token not in self.places:
+                del known[token]
+        return out
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Maximal segments of all occurrences; one that holds repeats is cut anew with these damped."""
-        n, at, values, places = self.scored(text)
-        out, i = [], 0
-        for first, last, score in maximal_segments(at, values):
-            while at[i] < first:
-                i += 1
-            j = i
-            while j < len(at) and at[j] <= last:
-                j += 1
-            if len(set(places[i:j])) == j - i:
+        tokens = TOKEN.findall(text) if text else []
+        values = self.values(tokens)
+        out = []
+        for first, last, score in segments_of(values):
+            at = first + np.flatnonzero(values[first : last + 1] > 0)
+            own = [self.places[tokens[i]] for i in at.tolist()]
+            if len(set(own)) == len(own):
                 out.append((first, last, score))
-            else:
-                times, damped = {}, []
-                for value, p in zip(values[i:j], places[i:j], strict=True):
-                    damped.append(max(value * 0.5 ** min(times.get(p, 0), 60), 1e-12))
-                    times[p] = times.get(p, 0) + 1
-                out += maximal_segments(at[i:j], damped)
-            i = j
-        return n, out
+                continue
+            times, damped = {}, values[first : last + 1].copy()
+            for i, p in zip(at.tolist(), own, strict=True):
+                damped[i - first] = max(values[i] * 0.5 ** min(times.get(p, 0), 60), 1e-12)
+                times[p] = times.get(p, 0) + 1
+            out += [(first + a, first + b, s) for a, b, s in segments_of(damped)]
+        return len(tokens), out
 
     def passages(self, text: str | None) -> tuple[float, list[dict]]:
-        """The statistic, and passages with their character spans in the lower-cased text."""
+        """The statistic, and passages with their character spans."""
         n, segments = self.segments(text)
         m, out, statistic = self.model, [], 0.0
         for first, last, score in segments:
@@ -141,8 +159,8 @@ class Scorer:
                 out.append((first, last, score, log_expected))
                 statistic -= log_expected
         if out:
-            spans = [x.span() for x in TOKEN.finditer(text.lower())]
-            out = [{"start": spans[a][0], "end": spans[b][1], "score": s, "expected": math.exp(e)} for a, b, s, e in out]
+            spans = [x.span() for x in TOKEN.finditer(text)]
+            out = [{"start": spans[a][0], "end": spans[b][1], "score": s, "expected": math.exp(max(e, -700))} for a, b, s, e in out]
         return statistic, out
 
 
@@ -163,9 +181,9 @@ def count_tokens(train: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         counts = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places = {place(u) for t in set(TOKEN.findall(text.lower())) for u in units(t)}
+                places = {place(u) for t in {t.lower() for t in TOKEN.findall(text)} for u in units(t)}
                 counts[toxic, np.fromiter(places, np.int64, len(places))] += 1
         used = np.flatnonzero(counts.sum(0))
         for at in range(0, len(used), 100_000):
@@ -176,10 +194,9 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return partial.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def solve_lambda(p: np.ndarray, s: np.ndarray, drift: float) -> float:
-    """The positive root of sum p exp(lambda s) + (1 - sum p) exp(-lambda drift) = 1."""
-    rest = max(1e-9, 1 - p.sum())
-    value = lambda x: (p * np.exp(np.minimum(x * s, 700))).sum() + rest * math.exp(-x * drift) - 1
+def solve_lambda(p: np.ndarray, s: np.ndarray) -> float:
+    """The positive root of sum p exp(lambda s) = 1; there is one if the mean score is negative and some are positive."""
+    value = lambda x: (p * np.exp(np.clip(x * s, -700, 700))).sum() - 1
     low, high = 1e-6, 1.0
     while value(high) < 0 and high < 64:
         high *= 2
@@ -210,6 +227,7 @@ def learn(
     label_col: str = "toxic",
     prior_share: float = 0.05,
     z: float = 3.0,
+    floor: float = 2.0,
     max_expected: float = 0.1,
 ) -> ToxicityModel:
     train = training_texts(docs, labels, id_col, text_col, label_col)
@@ -219,45 +237,46 @@ def learn(
     counts = written(count_tokens(train), "toxicity-counts")
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).first()
     t, o = float(total["t"] or 1), float(total["o"] or 1)
-    # Only tokens more common in toxic texts can have a positive bound; there are 2 ** BITS places at most.
-    table = counts.filter(F.col("toxic") * F.lit(o) > F.col("other") * F.lit(t)).toPandas()
+    table = counts.toPandas()  # 2 ** BITS places at most
     toxic, other = table["toxic"].to_numpy(float), table["other"].to_numpy(float)
     prior = prior_share * (toxic + other)
     a0 = prior_share * (t + o)
     odds = lambda c, m: np.log((c + prior) / (m + a0 - c - prior))
-    bound = odds(toxic, t) - odds(other, o) - z * np.sqrt(1 / (toxic + prior) + 1 / (other + prior))
-    kept = bound > 0
-    model = ToxicityModel(dict(zip(table["place"][kept].astype(int).tolist(), bound[kept].tolist(), strict=True)), max_expected=max_expected)
-    if not model.scores:
+    delta = odds(toxic, t) - odds(other, o)
+    drawn = np.sign(delta) * np.maximum(0.0, np.abs(delta) - z * np.sqrt(1 / (toxic + prior) + 1 / (other + prior)))
+    model = ToxicityModel(max_expected=max_expected)
+    model.scores[table["place"].to_numpy(np.int64)] = np.maximum(drawn, -floor)
+    if not (drawn > 0).any():
         return ToxicityModel(base=n[1] / (n[0] + n[1]))
-    p = _frequencies(train, model, table["place"][kept].to_numpy())
-    # The drift has to outweigh what positive tokens score in other texts.
-    model.lam = solve_lambda(p, bound[kept], DRIFT) if (p * bound[kept]).sum() < DRIFT * (1 - p.sum()) else 0.1
+    p, s = _frequencies(train, model, floor)
+    # There is a root only where the tokens of other texts score below 0 on average.
+    model.lam = solve_lambda(p, s) if (p * s).sum() < 0 else 0.1
     model.k = _fit_k(train, model)
     bins = _histogram(train, model)
     model.a, model.b = fit_logistic(*(np.array(x, float) for x in zip(*bins, strict=True)))
     return model
 
 
-def _frequencies(train: DataFrame, model: ToxicityModel, places: np.ndarray) -> np.ndarray:
-    """The share of the tokens of other texts that score by each place, all occurrences counted."""
+def _frequencies(train: DataFrame, model: ToxicityModel, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The share of the tokens of other texts with each score, in steps of SCORE_BIN, all occurrences counted."""
+    low = -floor - DRIFT
+    bins = int((float(model.scores.max()) - low) / SCORE_BIN) + 2
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scorer, counts = Scorer(model), {-1: 0}
-        for batch in batches:
+        scorer, counts = Scorer(model), np.zeros(bins, np.int64)
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
-                n, _, _, found = scorer.scored(text)
-                counts[-1] += n
-                for p in found:
-                    counts[p] = counts.get(p, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["place", "n"])
+                at = np.rint((scorer.values(TOKEN.findall(text)) - low) / SCORE_BIN).astype(np.int64)
+                counts += np.bincount(at, minlength=bins)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bin", "n"])
 
-    found = train.filter("toxic = 0").select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    counts = dict(zip(found["place"].tolist(), found["n"].tolist(), strict=True))
-    total = counts.get(-1, 0) + 1.0
-    return np.array([(counts.get(int(p), 0) + 0.5 / len(places)) / total for p in places])
+    found = train.filter("toxic = 0").select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    s = np.concatenate([low + found["bin"].to_numpy(float) * SCORE_BIN, [float(model.scores.max())]])
+    n = np.concatenate([found["n"].to_numpy(float), [0.5]])  # the best score may not be among them
+    return n / n.sum(), s
 
 
 def _fit_k(train: DataFrame, model: ToxicityModel) -> float:
@@ -271,7 +290,7 @@ def _fit_k(train: DataFrame, model: ToxicityModel) -> float:
         import pyarrow as pa
 
         scorer, texts, weight = Scorer(model), 0, 0.0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 n, segments = scorer.segments(text)
                 texts, weight = texts + 1, weight + n * math.exp(-model.lam * max((s for *_, s in segments), default=0.0))
@@ -288,7 +307,7 @@ def _histogram(train: DataFrame, model: ToxicityModel) -> list[tuple[float, floa
         import pyarrow as pa
 
         scorer, counts = Scorer(model), np.zeros((2, BINS + 1), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[toxic, min(BINS, int(scorer.passages(text)[0] / BIN_WIDTH + 0.5))] += 1
         y, at = np.nonzero(counts)
@@ -302,7 +321,7 @@ PASSAGES = "array<struct<start:int,end:int,score:double,expected:double>>"
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """docs with score, statistic and passages (spans in the lower-cased text)."""
+    """docs with score, statistic and passages."""
     added = ("score", "statistic", "passages")
     kept = [c for c in docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in kept]).add("score", T.DoubleType()).add("statistic", T.DoubleType()).add("passages", T._parse_datatype_string(PASSAGES))
@@ -312,7 +331,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
 
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in sliced(batches):
             batch = batch.select(kept)
             found = [scorer.passages(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             new = [pa.array([model.probability(s) for s, _ in found], pa.float64()), pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], span)]
