@@ -107,3 +107,18 @@ def test_edges(spark):
     got = signature_join.near_duplicates(as_df(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (7, 2, 7), (9, 0, 9), (3, 0, 3)], key=str)
     assert signature_join.near_duplicates(as_df(spark, [])).count() == 0
+
+
+def test_one_of_each_goes_by_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (3, long), (5, "alone and never said before now"), (5, long + " more"),  # id 5: one text of its own, one near copy of 3's
+        (None, "no id at all here either"), (None, "no id at all here either"), (None, long), (8, None), (8, ""), (8, ""), (None, " "), (9, long.upper()), (3, long),
+    ]
+    df = spark.createDataFrame([(i, t, {"k": str(n)}) for n, (i, t) in enumerate(rows)], "doc_id long, text string, extra map<string,string>")
+    got = signature_join.one_of_each(df)
+    assert got.columns == df.columns
+    want = [(3, long), (5, "alone and never said before now"), (8, None), (8, ""), (8, ""), (None, "no id at all here either"), (None, " ")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert next(r["extra"] for r in got.collect() if r["doc_id"] == 3) == {"k": "0"}
+    assert signature_join.one_of_each(df.limit(0)).count() == 0

@@ -16,7 +16,7 @@ hold several components, and emits every surviving pair between different compon
 than ``block_rows`` are cut in blocks: the first walk adds a common member to each block, the second
 visits every pair of blocks.
 
-Bitmaps and whole texts move only for classes that share a tree with another: a Bloom filter of fixed
+Bitmaps and whole texts move only for classes that share a tree with another: a Bloom filter of bounded
 size, built by an aggregate, keeps the others at the scan.
 
 Defined results: an empty or null text has no shingles and is a component of its own, as is a text
@@ -38,7 +38,7 @@ from .components import connected_components
 from .shingles import BandKeys, bitmap, bitmap_width, linked, set_digest, shingle_set
 from .store import written
 
-BLOOM_BITS = 1 << 23
+MAX_BLOOM_BITS = 1 << 25
 FAN_OUT = 8
 
 
@@ -204,13 +204,15 @@ def _tree_rows(trees: DataFrame, members: DataFrame, block_rows: int, only_spann
 
 
 def bloom_filtered(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose long ``column`` may be among those of ``wanted`` (one long column): a Bloom filter of
-    fixed size, built by an aggregate, drops most others where they are read."""
+    """The rows whose long ``column`` may be among those of ``wanted`` (one long column): a Bloom filter, built by an
+    aggregate, drops most others where they are read. It has 8 to 16 bits for each of wanted, but at most MAX_BLOOM_BITS;
+    with more than these are for, it drops fewer."""
     h = wanted.columns[0]
-    spots = F.array(F.col(h).bitwiseAND(F.lit(BLOOM_BITS - 1)), F.shiftrightunsigned(h, 30).bitwiseAND(F.lit(BLOOM_BITS - 1)))
+    mask = max(1 << 16, min(MAX_BLOOM_BITS, 1 << (8 * wanted.count()).bit_length())) - 1
+    spots = F.array(F.col(h).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(h, 30).bitwiseAND(F.lit(mask)))
     spots = wanted.select(F.explode(spots).alias("spot"))
     words = spots.groupBy(F.shiftright("spot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
+    bloom = np.zeros((mask + 1) // 32, np.uint32)
     bloom[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
     place = df.columns.index(column)
 
@@ -219,7 +221,7 @@ def bloom_filtered(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
             h = batch.column(place).to_numpy(zero_copy_only=False).view(np.uint64)
             hit = np.ones(len(h), bool)
             for spot in (h, h >> np.uint64(30)):
-                spot = (spot & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+                spot = (spot & np.uint64(mask)).astype(np.int64)
                 hit &= (bloom[spot >> 5] >> (spot & 31).astype(np.uint32)) & 1 == 1
             if hit.any():
                 yield batch.filter(pa.array(hit))
@@ -289,18 +291,9 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
     return docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col]).mapInArrow(run, schema)
 
 
-def near_duplicates(
-    docs: DataFrame,
-    percent: int = 80,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    first_bands: int = 8,
-    block_rows: int = 512,
-) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id."""
+def _components(docs: DataFrame, percent: int, id_col: str, text_col: str, first_bands: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and (digest, component) of the classes that are linked with another."""
     rows = written(sketches(docs, percent, id_col, text_col), "join-sketches")
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-
     trees = _trees(rows)
     cids = written(trees.select("cid").distinct(), "join-cids")
     members = bloom_filtered(rows.filter("cid is not null").select("cid", "digest", "h", "n", "bits"), "cid", cids).dropDuplicates(["digest"])
@@ -314,11 +307,51 @@ def near_duplicates(
     grouped = members.join(stars.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     pairs = _candidates(_tree_rows(trees, written(grouped, "join-grouped"), block_rows, False), percent, False)
     joined = stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(texts, pairs, percent))
-    stars = connected_components(joined).withColumnRenamed("node", "digest")
+    return rows, connected_components(joined).withColumnRenamed("node", "digest")
 
+
+def near_duplicates(
+    docs: DataFrame,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    first_bands: int = 8,
+    block_rows: int = 512,
+) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id."""
+    rows, stars = _components(docs, percent, id_col, text_col, first_bands, block_rows)
+    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     several = classes.join(stars, "digest")
     least = several.groupBy("component").agg(F.min("rep").alias("component_id"))
     several = several.join(least, "component").select("digest", "component_id")
     named = classes.join(several, "digest", "left").select(F.col("digest").alias("_digest"), F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "digest").join(named, F.col("digest") == F.col("_digest"), "left")
     return out.select(id_col, "n_shingles", F.when(F.col("digest").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(
+    docs: DataFrame,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    first_bands: int = 8,
+    block_rows: int = 512,
+) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row with the smallest id, and of equal ids the
+    one with the smallest hash of its text.
+
+    Rows, not ids, are grouped, so different texts under one id stay where they aren't linked. A row without id
+    stays if its component has none with one. Of rows with equal id and text, which are one document, that with the
+    least other columns (as JSON) stays. Rows without words are linked with nothing and all stay.
+    """
+    rows, stars = _components(docs, percent, id_col, text_col, first_bands, block_rows)
+    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("_none"), "id", "h")).alias("rep"))
+    grouped = classes.join(stars, "digest", "left").groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("rep").alias("rep"))
+    names = grouped.select(F.col("rep.id").alias("_rep_id"), F.col("rep.h").alias("_rep_h"))
+    worded = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    x = docs.filter(worded).select(F.struct(*docs.columns).alias("_row"), docs[id_col].alias("_id"), F.xxhash64(docs[text_col]).alias("_h"))
+    x = x.join(names, x["_id"].eqNullSafe(names["_rep_id"]) & (x["_h"] == names["_rep_h"]), "left_semi")
+    others = [F.col("_row")[c].alias(c) for c in docs.columns if c not in (id_col, text_col)]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    one = x.groupBy("_id", "_h").agg(F.min_by("_row", order).alias("_row"))
+    return one.select("_row.*").unionByName(docs.filter(~worded))
