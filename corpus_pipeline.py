@@ -26,16 +26,12 @@ def toxic_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id, of equal ids the one with the least text.
+    """One row of each component of near duplicates stays: that with the smallest id, of equal ids that with the least hash.
 
-    Rows without an id can't be told apart by it, and stay.
+    Rows are grouped, not ids: different texts under one id stay if they aren't linked, and rows without an id
+    that are copies go. Rows without words are linked with nothing and stay. A very long text is compared whole.
     """
-    groups = signature_join.near_duplicates(docs).filter("doc_id is null or doc_id = component_id")
-    names = groups.select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(names, docs["doc_id"].eqNullSafe(names["_kept"]), "left_semi")
-    named = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"))
-    one = named.select("doc_id", "_row.*").select(*docs.columns)
-    return one.unionByName(kept.filter("doc_id is null"))
+    return signature_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
