@@ -1,6 +1,11 @@
+import glob
+import os
+import tempfile
+
 import __spark_entry__
 import corpus_pipeline as cp
-from tidemark.llm import mixing, queries, toxicity
+from pyspark.sql import functions as F
+from tidemark.llm import langid, mixing, queries, toxicity
 
 from tests.llm.test_packing import check
 from tests.llm.test_signature_join import brute
@@ -20,7 +25,9 @@ def test_stages_against_plain_versions(spark, sf, tmp_path):
     rows = {r["doc_id"]: r for r in docs.collect()}
     spoken = stage("language_id")(spark, docs, sf)
     assert spoken.columns == docs.columns
-    assert {r["doc_id"] for r in spoken.collect()} == {i for i, r in rows.items() if any(c.isalpha() for c in r["text"] or "")}
+    found = {r["doc_id"]: r for r in langid.identify(docs, queries.learn_languages(docs)).collect()}
+    with_letters = {i for i, r in rows.items() if any(c.isalpha() for c in r["text"] or "")}
+    assert {r["doc_id"] for r in spoken.collect()} == {i for i in with_letters if found[i]["score"] >= cp.LEAST_LANGUAGE_SCORE} == with_letters
 
     spoken.write.parquet(f"{tmp_path}/1")
     spoken = spark.read.parquet(f"{tmp_path}/1")
@@ -49,6 +56,22 @@ def test_stages_against_plain_versions(spark, sf, tmp_path):
     check(stage("packing")(spark, numbered, sf).collect(), renumbered)
 
 
+def test_language_decides(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = docs.limit(1).withColumn("doc_id", F.lit(-1).cast("long")).withColumn("text", F.lit("Ωξψ ζθφ ъыэ щюя 漢字 " * 40)).withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in stage("language_id")(spark, docs.unionByName(strange), sf).collect()}
+    assert -1 not in kept and len(kept) >= docs.filter("lang is not null and length(text) > 20").count()
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert stage("language_id")(spark, unknown, sf).count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_run_deletes_what_it_wrote(spark, sf):
+    before = set(glob.glob(f"{tempfile.gettempdir()}/tidemark-*"))
+    assert cp.run(spark, sf).count() > 0
+    left = [p for new in set(glob.glob(f"{tempfile.gettempdir()}/tidemark-*")) - before for p in os.listdir(new)]
+    assert [p.rsplit("-", 1)[0] for p in left] == ["pipeline-mix_sources"]
+
+
 def test_odd_rows(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, "the cat of the and", "en", None, 3), (1, "the cat of the and", "en", None, 3), (2, None, None, None, None), (None, "a b", None, "s", 1), (3, "12", "en", "s", 2), (4, "THE cat of the and", "en", "s", 2)]

@@ -6,7 +6,9 @@ Nyström: a bounded sample of labelled texts are landmarks, and a text is descri
 with them, whitened by the landmarks' own kernel matrix. One-versus-rest kernel ridge regression is fitted
 in that space on a bounded sample, whose kernel values are computed where its texts are. As the map from
 n-grams to kernel values to class scores is linear, it is folded into one matrix, n-grams by classes, and
-texts are scored by products of batches of their sparse presence rows with it.
+texts are scored by products of batches of their sparse presence rows with it. A text's score is its best
+class's, brought to 0 to 1 and scaled by the share of its letters that landmarks hold: a script that nothing was
+learned from has score 0.
 
 The sample's bounds are the parameters ``landmarks_per_class`` and ``fit_per_class``: of all rows of a
 class, those with the smallest hashes, limited in every task before they move. Every text is scored whole. A text of a million
@@ -52,6 +54,15 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+def letters(text: str) -> np.ndarray:
+    """The code points of a text's letters in lower case."""
+    if not _TABLE:
+        _TABLE.append(_letters())
+    chars = _TABLE[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    found = chars[chars != 32]
+    return found if len(found) else np.array([32], np.uint32)  # a letter that Python's table has not
+
+
 def presence(text: str, places: np.ndarray | None = None) -> np.ndarray:
     """The places of all n-grams of a text, ascending, spaces around it included; ``places`` is a reused row of zeros."""
     if not _TABLE:
@@ -96,6 +107,7 @@ class KernelModel:
     classes: list[str]
     weights: np.ndarray  # 2 ** BITS by classes
     bias: np.ndarray
+    alphabet: np.ndarray  # code points of the landmarks' letters
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         return products(rows, self.weights) / norms(rows)[:, None] + self.bias
@@ -110,7 +122,7 @@ def kernel(rows: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
     return shared / norms(rows)[:, None] / norms(landmarks)
 
 
-def fit(landmarks: list[np.ndarray], k_xl: np.ndarray, labels: list[str], ridge: float = 1e-3) -> KernelModel:
+def fit(landmarks: list[np.ndarray], k_xl: np.ndarray, labels: list[str], alphabet: np.ndarray, ridge: float = 1e-3) -> KernelModel:
     """Ridge regression from the landmarks and the kernel values of labelled texts with them."""
     classes = sorted(set(labels))
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
@@ -126,7 +138,7 @@ def fit(landmarks: list[np.ndarray], k_xl: np.ndarray, labels: list[str], ridge:
     weights = np.zeros((1 << BITS, len(classes)))
     for places, own in zip(landmarks, parts, strict=True):
         weights[places] += own
-    return KernelModel(classes, weights.astype(np.float32), (target_mean - mean @ beta).astype(np.float32))
+    return KernelModel(classes, weights.astype(np.float32), (target_mean - mean @ beta).astype(np.float32), alphabet)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:
@@ -155,13 +167,15 @@ def learn(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             packed = [presence(t).astype("<u4").tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["label"], "rank": batch["rank"], "places": packed})
+            own = [np.unique(letters(t)).astype("<u4").tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "rank": batch["rank"], "places": packed, "letters": own})
 
     first = chosen.filter(F.col("rank") <= landmarks_per_class)
-    rows = first.mapInPandas(encode, "label string, rank int, places binary").orderBy("label", "rank").collect()
+    rows = first.mapInPandas(encode, "label string, rank int, places binary, letters binary").orderBy("label", "rank").collect()
     if not rows:
         return None
     landmarks = [np.frombuffer(r["places"], "<u4").astype(np.int64) for r in rows]
+    alphabet = np.unique(np.concatenate([np.frombuffer(r["letters"], "<u4") for r in rows]))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,7 +185,7 @@ def learn(
 
     sample = chosen.mapInPandas(describe, "label string, rank int, k array<double>")
     sample = sample.orderBy("label", "rank").toPandas()
-    return fit(landmarks, np.stack(sample["k"].to_numpy()), sample["label"].tolist(), ridge)
+    return fit(landmarks, np.stack(sample["k"].to_numpy()), sample["label"].tolist(), alphabet, ridge)
 
 
 def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text", batch_rows: int = 128) -> DataFrame:
@@ -184,7 +198,9 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
     def run(batches):
         import pyarrow as pa
 
-        places = np.zeros(1 << BITS, bool)
+        places, known = np.zeros(1 << BITS, bool), np.zeros(0x110000, bool)
+        if model:
+            known[model.alphabet] = True
         for batch in sliced(batches, batch_rows):
             batch = batch.select(kept)
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
@@ -194,7 +210,8 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
                 found = model.scores([presence(texts[i], places) for i in spoken])
                 best = found.argmax(1)
                 labels[spoken] = np.array(model.classes, object)[best]
-                scores[spoken] = np.clip((found[np.arange(len(spoken)), best] + 1) / 2, 0, 1)
+                share = np.array([known[letters(texts[i])].mean() for i in spoken])
+                scores[spoken] = np.clip((found[np.arange(len(spoken)), best] + 1) / 2, 0, 1) * share
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels.tolist(), pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     return docs.select(*kept).mapInArrow(run, schema)

@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_NAMED: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
@@ -20,7 +24,28 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for names in _NAMED:
+        names.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables that operators write inside, once nothing that reads them is left to run."""
+    names: list[str] = []
+    _NAMED.append(names)
+    try:
+        yield
+    finally:
+        _NAMED.remove(names)
+        for path in names:
+            delete(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
