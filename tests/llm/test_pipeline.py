@@ -1,11 +1,9 @@
-import glob
 import os
-import tempfile
 
 import __spark_entry__
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
-from tidemark.llm import langid, mixing, queries, toxicity
+from tidemark.llm import langid, mixing, queries, store, toxicity
 
 from tests.llm.test_packing import check
 from tests.llm.test_signature_join import brute
@@ -66,10 +64,14 @@ def test_language_decides(spark, sf):
 
 
 def test_run_deletes_what_it_wrote(spark, sf):
-    before = set(glob.glob(f"{tempfile.gettempdir()}/tidemark-*"))
-    assert cp.run(spark, sf).count() > 0
-    left = [p for new in set(glob.glob(f"{tempfile.gettempdir()}/tidemark-*")) - before for p in os.listdir(new)]
-    assert [p.rsplit("-", 1)[0] for p in left] == ["pipeline-mix_sources"]
+    made = []
+    store._NAMED.append(made)
+    try:
+        assert cp.run(spark, sf).count() > 0
+    finally:
+        store._NAMED.remove(made)
+    left = [p for p in made if os.path.exists(p.removeprefix("file://"))]
+    assert len(made) > 10 and [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in left] == ["pipeline-mix_sources"]
 
 
 def test_odd_rows(spark, sf):

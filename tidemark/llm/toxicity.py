@@ -71,13 +71,15 @@ class ToxicityModel:
             return self.base
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.a + self.b * statistic))))
 
-    def of(self, token: str) -> tuple[float, int]:
-        """A token's score and the place that it is from."""
-        own = [place(u) for u in units(token.lower())]
-        best = max(own, key=lambda p: self.scores[p])
-        if self.scores[best] > 0:
-            return float(self.scores[best]), best
-        return float(self.scores[own[0]]) - DRIFT, own[0]
+    def of(self, tokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores of tokens, and the places that they are from."""
+        low = [t.lower() for t in tokens]
+        own = np.fromiter(map(place, low), np.int64, len(low))
+        stems = [np.fromiter((place(t[:n] + "*") if n < len(t) else p for t, p in zip(low, own.tolist(), strict=True)), np.int64, len(low)) for n in STEMS]
+        places = np.stack([own, *stems])
+        best = np.take_along_axis(places, self.scores[places].argmax(axis=0)[None], axis=0)[0]
+        positive = self.scores[best] > 0
+        return np.where(positive, self.scores[best].astype(float), self.scores[own].astype(float) - DRIFT), np.where(positive, best, own)
 
 
 def maximal_segments(positions: Sequence[int], before: Sequence[float], through: Sequence[float]) -> list[tuple[int, int, float]]:
@@ -108,7 +110,7 @@ def segments_of(values: np.ndarray) -> list[tuple[int, int, float]]:
 class Scorer:
     """Scores texts; scores of words are kept while they are few."""
 
-    def __init__(self, model: ToxicityModel, max_words: int = 200_000):
+    def __init__(self, model: ToxicityModel, max_words: int = 500_000):
         self.model, self.max_words = model, max_words
         self.words: dict[str, float] = {}
         self.places: dict[str, int] = {}  # of words with a positive score
@@ -118,16 +120,14 @@ class Scorer:
         if len(known) > self.max_words:
             known.clear()
             self.places.clear()
-        long = []
-        for token in set(tokens).difference(known):
-            known[token], at = self.model.of(token)
-            if known[token] > 0:
-                self.places[token] = at
-            if len(token) > 64:
-                long.append(token)
+        new = list(set(tokens).difference(known))
+        if new:
+            scores, places = self.model.of(new)
+            known.update(zip(new, scores.tolist(), strict=True))
+            self.places.update((new[i], int(places[i])) for i in np.flatnonzero(scores > 0))
         out = np.fromiter(map(known.__getitem__, tokens), float, len(tokens))
-        for token in long:
-            if token not in self.places:
+        for token in new:
+            if len(token) > 64 and token not in self.places:
                 del known[token]
         return out
 
@@ -237,15 +237,15 @@ def learn(
     counts = written(count_tokens(train), "toxicity-counts")
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("other").alias("o")).first()
     t, o = float(total["t"] or 1), float(total["o"] or 1)
-    table = counts.toPandas()  # 2 ** BITS places at most
-    toxic, other = table["toxic"].to_numpy(float), table["other"].to_numpy(float)
-    prior = prior_share * (toxic + other)
-    a0 = prior_share * (t + o)
-    odds = lambda c, m: np.log((c + prior) / (m + a0 - c - prior))
-    delta = odds(toxic, t) - odds(other, o)
-    drawn = np.sign(delta) * np.maximum(0.0, np.abs(delta) - z * np.sqrt(1 / (toxic + prior) + 1 / (other + prior)))
+    prior = F.lit(prior_share) * (F.col("toxic") + F.col("other"))
+    odds = lambda c, m: F.log((c + prior) / (F.lit(m + prior_share * (t + o)) - c - prior))
+    delta = odds(F.col("toxic"), t) - odds(F.col("other"), o)
+    error = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
+    drawn = F.greatest(F.signum(delta) * F.greatest(F.lit(0.0), F.abs(delta) - F.lit(z) * error), F.lit(-floor))
+    table = counts.select("place", drawn.alias("drawn")).filter("drawn <> 0").toPandas()  # 2 ** BITS places at most, and few have a score
+    drawn = table["drawn"].to_numpy(float)
     model = ToxicityModel(max_expected=max_expected)
-    model.scores[table["place"].to_numpy(np.int64)] = np.maximum(drawn, -floor)
+    model.scores[table["place"].to_numpy(np.int64)] = drawn
     if not (drawn > 0).any():
         return ToxicityModel(base=n[1] / (n[0] + n[1]))
     p, s = _frequencies(train, model, floor)
