@@ -11,7 +11,7 @@ class's, brought to 0 to 1 and scaled by the share of its letters that landmarks
 learned from has score 0.
 
 The sample's bounds are the parameters ``landmarks_per_class`` and ``fit_per_class``: of all rows of a
-class, those with the smallest hashes, limited in every task before they move. Every text is scored whole. A text of a million
+class, those with the smallest hashes, found among the fraction of hashes that holds enough. Every text is scored whole. A text of a million
 characters is hashed in pieces that overlap and fills the same places as in one.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text
@@ -158,9 +158,16 @@ def learn(
     x = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[label_col].alias("label"))
     x = x.filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     x = x.withColumn("h", F.xxhash64("id", "text"))
+    # Different texts set the fraction of hashes that is looked at, so a class of repeated rows is not missed.
+    counts = {r["label"]: r["n"] for r in x.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    order = F.col("h").bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
+    fraction = lambda n: min(1.0, 1.5 * fit_per_class / n + 20 / n)
+    wanted = F.lit(False)
+    for label, n in sorted(counts.items()):
+        wanted = wanted | ((F.col("label") == label) & (order < F.lit(fraction(max(1, n)))))
+    keys = x.filter(wanted).select("label", "h").distinct()  # repeated rows teach once
     by_hash = Window.partitionBy("label").orderBy("h")
-    keys = x.select("label", "h", F.row_number().over(by_hash).alias("rank")).filter(F.col("rank") <= fit_per_class)
-    keys = keys.groupBy("label", "h").agg(F.min("rank").alias("rank"))  # repeated rows teach once
+    keys = keys.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= fit_per_class)
     chosen = x.join(F.broadcast(keys), ["label", "h"]).select("label", "rank", "text").dropDuplicates(["label", "rank"])
     chosen = written(chosen, "language-sample")
 

@@ -174,17 +174,29 @@ def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return written(joined.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")), "toxicity-train")
 
 
+class Places(dict):
+    """Token to the places of its units; long tokens aren't kept."""
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        places = tuple(map(place, units(token.lower())))
+        if len(token) <= 64:
+            self[token] = places
+        return places
+
+
 def count_tokens(train: DataFrame) -> DataFrame:
     """(place, toxic, other): in how many texts of each kind a token of that place is."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counts = np.zeros((2, 1 << BITS), np.int64)
+        counts, known = np.zeros((2, 1 << BITS), np.int64), Places()
         for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                places = {place(u) for t in {t.lower() for t in TOKEN.findall(text)} for u in units(t)}
+                places = set().union(*map(known.__getitem__, set(TOKEN.findall(text))))
                 counts[toxic, np.fromiter(places, np.int64, len(places))] += 1
+            if len(known) > 200_000:
+                known.clear()
         used = np.flatnonzero(counts.sum(0))
         for at in range(0, len(used), 100_000):
             part = used[at : at + 100_000]
