@@ -175,19 +175,26 @@ def four_tests(t_p: Column, permutation_p: Column, sharpe_ratio: Column, regimes
     return score, first_of((score >= 0.75, "ACCEPT"), (score >= 0.5, "WEAK"), default="REJECT")
 
 
-def permutation_p(df: DataFrame, by: Sequence[str], value: str, hit: str, seq: str = "seq", rounds: int = 200, seed: int = 42) -> DataFrame:
+def permutation_p(df: DataFrame, by: Sequence[str], value: str, hit: str, seq: str = "seq", rounds: int = 1000, seed: int = 42) -> DataFrame:
     """How often chance splits of the same expected size differ in mean as much as the pattern does.
 
-    A round's split is a hash of (row, round) below the pattern's share, so all rounds are partial sums of one
-    pass, with nothing shuffled but one row of sums a task and key.
+    A round's split is a hash of (row, round) below the pattern's share. Every row meets every round where it is
+    read; only one row of partial sums a task, key and round is shuffled.
     """
-    share = df.groupBy(*by).agg(F.avg(F.col(hit).cast("int")).alias("_share"), F.avg(value).alias("_mean"))
-    x = df.join(share, list(by))
-    drawn = lambda b: F.pmod(F.xxhash64(F.col(seq), F.lit(seed), F.lit(b)), F.lit(1 << 30)) / float(1 << 30) < F.col("_share")
+    share = df.groupBy(*by).agg(F.avg(F.col(hit).cast("int")).alias("_share"))
     gap = lambda h: F.coalesce(F.avg(F.when(h, F.col(value))) - F.avg(F.when(~h, F.col(value))), F.lit(0.0))
-    x = x.groupBy(*by).agg(gap(F.col(hit)).alias("gap"), F.array(*[gap(drawn(b)) for b in range(rounds)]).alias("_chance"))
-    as_far = F.size(F.filter("_chance", lambda c: F.abs(c) >= F.abs(F.col("gap"))))
-    return x.select(*by, "gap", (as_far / rounds).alias("p"))
+    own = df.groupBy(*by).agg(gap(F.col(hit)).alias("gap"))
+    x = df.select(*by, F.col(seq).alias("_seq"), value).join(F.broadcast(share), list(by)).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    drawn = F.pmod(F.xxhash64("_seq", F.lit(seed), "_round"), F.lit(1 << 30)) / float(1 << 30) < F.col("_share")
+    chance = x.groupBy(*by, "_round").agg(gap(drawn).alias("_chance")).join(own, list(by))
+    return chance.groupBy(*by).agg(F.first("gap").alias("gap"), (F.count_if(F.abs("_chance") >= F.abs("gap")) / rounds).alias("p"))
+
+
+def regimes_hold(df: DataFrame, by: Sequence[str], regime: str, value: str, hit: str, min_sharpe: float = 0.5) -> DataFrame:
+    """Whether a pattern's Sharpe ratio reaches ``min_sharpe`` in every regime that it matches in; true where it matches in none."""
+    matched = df.filter(F.col(hit) & F.col(value).isNotNull()).groupBy(*by, regime).agg(sharpe(F.col(value)).alias("_sharpe"))
+    held = matched.groupBy(*by).agg(F.bool_and(F.col("_sharpe") >= min_sharpe).alias("_held"))
+    return df.select(*by).distinct().join(held, list(by), "left").select(*by, F.coalesce("_held", F.lit(True)).alias("regimes_hold"))
 
 
 def running_stats(trades: DataFrame, by: Sequence[str], pnl: str = "pnl", confidence: float = 0.5) -> DataFrame:

@@ -168,6 +168,29 @@ def first_failed(*gates: tuple[Column, str]) -> Column:
     return first_of(*[(~F.coalesce(ok, F.lit(False)), code) for ok, code in gates], default="PASS")
 
 
+def cooldown(events: DataFrame, by: Sequence[str], filled: Column, n: int = 50) -> DataFrame:
+    """Events with ``cooled``: whether n events or more have passed since the last fill; true before the first."""
+    o = Window.partitionBy(*by).orderBy("ts_event", "seq")
+    at = F.row_number().over(o)
+    x = events.withColumn("_at", at).withColumn("_fill", F.when(filled, F.col("_at")))
+    since = F.col("_at") - F.last("_fill", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("cooled", F.coalesce(since >= n, F.lit(True))).drop("_at", "_fill")
+
+
+def daily_loss_lock(events: DataFrame, by: Sequence[str], pnl: str, capital: float, max_loss: float) -> DataFrame:
+    """Events with ``locked``: whether the realised result has been below the day's first by more than
+    ``max_loss`` of the capital, at this event or an earlier one of the same UTC day."""
+    so_far = Window.partitionBy(*by, F.floor(F.col("ts_event") / 86_400_000)).orderBy("ts_event", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("locked", F.coalesce(F.min(pnl).over(so_far) - F.first(pnl).over(so_far) < -max_loss * capital, F.lit(False)))
+
+
+def forced_exit(size: Column, entry: Column, price: Column, take: float, stop: float) -> Column:
+    """take_profit or stop_loss of an open position, or null; one without entry or current price is left alone."""
+    back = F.try_divide(price - entry, entry) * F.signum(size)
+    known = (size != 0) & (entry != 0) & (price != 0)
+    return F.when(known & (back >= take), F.lit("take_profit")).when(known & (back <= -stop), F.lit("stop_loss"))
+
+
 def returns(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     """Relative change from point to point, and whether the curve is in order and finite."""
     o = Window.partitionBy(*by).orderBy("seq")

@@ -107,10 +107,11 @@ def bollinger_position(q: DataFrame, by: Sequence[str], n: int = 20, k: float =
     return x.withColumn("bollinger_pos", F.when(F.col("_d").isNotNull(), value)).drop("_m", "_d")
 
 
-def return_momentum(q: DataFrame, by: Sequence[str], n: int = 20) -> DataFrame:
-    """The sum of the last n returns over the sum of their sizes, 0 where all are 0."""
+def return_momentum(q: DataFrame, by: Sequence[str], n: int = 20, weighted: bool = True) -> DataFrame:
+    """The sum of the last n returns, or of their signs, over the sum of their sizes, 0 where all are 0."""
     r = q.filter(F.col("return_1").isNotNull())
-    s, a = full(F.col("return_1"), F.sum("return_1"), n, by), full(F.col("return_1"), F.sum(F.abs("return_1")), n, by)
+    move = F.col("return_1") if weighted else F.signum("return_1")
+    s, a = full(move, F.sum(move), n, by), full(move, F.sum(F.abs(move)), n, by)
     r = r.withColumns({"_s": s, "_a": a})
     value = F.when(F.col("_a") == 0, 0.0).otherwise(F.try_divide("_s", "_a"))
     return q.join(r.select(*by, *ORDER, F.when(F.col("_a").isNotNull(), value).alias("return_momentum")), [*by, *ORDER], "left")

@@ -127,10 +127,18 @@ def m24(spark, sf_dir):
     one = welch(x, ["stream"], "h10", "hit").select("stream", F.col("p").alias("t_p"))
     one = one.join(d.permutation_p(x, ["stream"], "h10", "hit"), "stream")
     one = one.join(x.groupBy("stream").agg(d.sharpe(F.when(F.col("hit"), F.col("h10"))).alias("sharpe")), "stream")
-    score, verdict = d.four_tests(F.col("t_p"), F.col("p"), F.col("sharpe"), F.lit(True), tests=5)
+    one = one.join(d.regimes_hold(x, ["stream"], "regime", "h10", "hit"), "stream")
+    score, verdict = d.four_tests(F.col("t_p"), F.col("p"), F.col("sharpe"), F.col("regimes_hold"), tests=5)
     return one.withColumns({"score": score, "recommendation": verdict})
 
 
+@CAT.add("M26_regimes_hold", f"""WITH {ROWS_SQL}, g AS (SELECT stream, regime, CASE WHEN min(h10) = max(h10) THEN 0 ELSE avg(h10) / stddev_pop(h10) * sqrt(7200000) END AS s FROM e WHERE f_imbalance > 0.3 AND h10 IS NOT NULL GROUP BY 1, 2)
+SELECT x.stream, coalesce(bool_and(s >= 0.5), true) AS regimes_hold FROM (SELECT DISTINCT stream FROM e) x LEFT JOIN g USING (stream) GROUP BY 1""")
+def m26_regimes(spark, sf_dir):
+    x = rows(spark, sf_dir).withColumn("hit", F.coalesce(F.col("f_imbalance") > 0.3, F.lit(False)))
+    return d.regimes_hold(x, ["stream"], "regime", "h10", "hit")
+
+
 @CAT.add("M33_running_stats", f"""WITH {ROWS_SQL}, x AS (SELECT *, count(r) OVER w AS trades, count(*) FILTER (WHERE r > 0) OVER w AS wins, avg(r) OVER w AS a, count(*) FILTER (WHERE NOT r < 0) OVER w AS g FROM e WHERE r IS NOT NULL WINDOW w AS (PARTITION BY stream ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING)),
 y AS (SELECT *, count(*) FILTER (WHERE r < 0) OVER (PARTITION BY stream, g ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING) AS losses_in_row, max((trades > 50 AND a < -0.001)::INT) OVER (PARTITION BY stream ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING) = 1 AS retired FROM x)
 SELECT seq, trades, wins, round(a, 6) AS avg_return, losses_in_row, round(0.5 * least(2 * wins / trades, 1) + 0.15 + 0.2 * least(1, trades / 100), 6) AS health, retired FROM y""")

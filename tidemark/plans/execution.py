@@ -91,7 +91,20 @@ def x17(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", x.fill_probability(F.col("o_orderkey").cast("string")).alias("p"))
 
 
-@CAT.add("X12_X18_gates", f"""WITH {TICKS_SQL}, s AS (SELECT *, count(*) OVER w AS n, sum(price) OVER w AS spent FROM ticks WINDOW w AS (PARTITION BY symbol, ts_event // 86400000 ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING))
+@CAT.add("X12_risk_rules", f"""WITH {TICKS_SQL}, a AS (SELECT *, row_number() OVER o AS i, sum(price - 20) OVER (o ROWS UNBOUNDED PRECEDING) AS pnl, lag(price) OVER o AS entry, CASE WHEN qty >= 50 THEN 1 ELSE -1 END AS size FROM ticks WINDOW o AS (PARTITION BY symbol ORDER BY ts_event, seq)),
+b AS (SELECT *, i - max(CASE WHEN qty > 80 THEN i END) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING) AS since, min(round(pnl, 6)) OVER d - first_value(round(pnl, 6)) OVER d AS fall, (price - entry) / nullif(entry, 0) * size AS back FROM a WINDOW d AS (PARTITION BY symbol, ts_event // 86400000 ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING))
+SELECT seq, coalesce(since >= 3, true) AS cooled, coalesce(fall < -0.02::DOUBLE * 1000, false) AS locked, CASE WHEN price <> 0 AND round(back, 9) >= 0.5::DOUBLE THEN 'take_profit' WHEN price <> 0 AND round(back, 9) <= -0.4::DOUBLE THEN 'stop_loss' END AS forced FROM b""")
+def x12(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    o = Window.partitionBy("symbol").orderBy("ts_event", "seq")
+    pnl = F.round(F.sum(F.col("price") - 20).over(o.rowsBetween(Window.unboundedPreceding, 0)), 6)
+    t = ticks(spark, sf_dir).withColumns({"pnl": pnl, "entry": F.lag("price").over(o), "size": F.when(F.col("qty") >= 50, 1).otherwise(-1)})
+    t = x.daily_loss_lock(x.cooldown(t, ["symbol"], F.col("qty") > 80, 3), ["symbol"], "pnl", 1000.0, 0.02)
+    return t.select("seq", "cooled", "locked", x.forced_exit(F.col("size"), F.col("entry"), F.col("price"), 0.5, 0.4).alias("forced"))
+
+
+@CAT.add("X18_gates", f"""WITH {TICKS_SQL}, s AS (SELECT *, count(*) OVER w AS n, sum(price) OVER w AS spent FROM ticks WINDOW w AS (PARTITION BY symbol, ts_event // 86400000 ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING))
 SELECT seq, CASE WHEN NOT coalesce(price > 0.5, false) THEN 'PRICE_TOO_LOW' WHEN NOT n <= 2 THEN 'DAILY_ORDERS' WHEN NOT spent <= 50 THEN 'DAILY_NOTIONAL' ELSE 'PASS' END AS gate FROM s""")
 def x18(spark, sf_dir):
     from pyspark.sql.window import Window

@@ -118,6 +118,12 @@ def w18(spark, sf_dir):
     return out(f.bollinger_position(quotes(spark, sf_dir), BY), "bollinger_pos")
 
 
+@CAT.add("W20_momentum_counts", f"""WITH {R_SQL}, x AS (SELECT seq, CASE WHEN count(*) OVER w = 20 THEN coalesce(sum(sign(return_1)) OVER w / nullif(sum(abs(sign(return_1))) OVER w, 0), 0) END AS m FROM r WHERE return_1 IS NOT NULL WINDOW w AS {frame(20)})
+SELECT r.seq, round(m, 6) AS return_momentum FROM r LEFT JOIN x ON r.seq = x.seq""")
+def w20_counts(spark, sf_dir):
+    return out(f.return_momentum(base(spark, sf_dir), BY, weighted=False), "return_momentum")
+
+
 @CAT.add("W20_momentum", f"""WITH {R_SQL}, x AS (SELECT seq, CASE WHEN count(*) OVER w = 20 THEN coalesce(sum(return_1) OVER w / nullif(sum(abs(return_1)) OVER w, 0), 0) END AS m FROM r WHERE return_1 IS NOT NULL WINDOW w AS {frame(20)})
 SELECT r.seq, round(m, 6) AS return_momentum FROM r LEFT JOIN x ON r.seq = x.seq""")
 def w20(spark, sf_dir):

@@ -195,10 +195,19 @@ def r9(spark, sf_dir):
     ))
 
 
-@CAT.add("R10_incidents", """SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'P') AS acknowledged, count(*) FILTER (WHERE o_orderstatus = 'F') AS resolved, round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 6) AS mttr FROM orders GROUP BY 1""")
+@CAT.add("R10_incidents", """WITH i AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, o_orderdate AS opened, min(l_shipdate) AS resolved FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), n AS (SELECT max(opened) AS now FROM i)
+SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, count(*) FILTER (WHERE o_orderstatus = 'P') AS acknowledged, count(*) FILTER (WHERE o_orderstatus = 'F') AS resolved,
+count(*) FILTER (WHERE opened > now - INTERVAL 1 DAY) AS last_day, round(avg((epoch_ms(resolved) - epoch_ms(opened)) / 3600000.0::DOUBLE) FILTER (WHERE o_orderstatus = 'F' AND resolved IS NOT NULL), 6) AS mttr_hours FROM i, n GROUP BY 1""")
 def r10(spark, sf_dir):
-    st = F.col("o_orderstatus")
-    return rounded(table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(st == "O").alias("open"), F.count_if(st == "P").alias("acknowledged"), F.count_if(st == "F").alias("resolved"), F.avg(F.when(st == "F", F.col("o_totalprice"))).alias("mttr")))
+    """Orders as incidents: opened when ordered, resolved when the first line ships; the last day ends with the last order."""
+    st, o = F.col("o_orderstatus"), table(spark, sf_dir, "orders")
+    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("resolved"))
+    i = o.join(shipped, "o_orderkey", "left").withColumn("now", o.agg(F.max("o_orderdate")).scalar())
+    hours = (F.unix_millis(F.col("resolved").cast("timestamp")) - F.unix_millis(F.col("o_orderdate").cast("timestamp"))) / 3_600_000.0
+    return rounded(i.groupBy("o_orderpriority").agg(
+        F.count_if(st == "O").alias("open"), F.count_if(st == "P").alias("acknowledged"), F.count_if(st == "F").alias("resolved"),
+        F.count_if(F.col("o_orderdate") > F.col("now") - F.expr("interval 1 day")).alias("last_day"), F.avg(F.when(st == "F", hours)).alias("mttr_hours"),
+    ))
 
 
 @CAT.add("R11_costs", """SELECT l_returnflag, l_linestatus, round(sum(round(l_quantity * l_tax, 6)), 4) AS cost, count(*) AS jobs FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))""")

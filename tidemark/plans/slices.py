@@ -153,19 +153,19 @@ def o9(spark, sf_dir):
     return s.latest(ticks(spark, sf_dir).select(*NAMES), ["symbol"], ["ts_event", "seq"])
 
 
-@CAT.add("O11_merge_history", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier)
+@CAT.add("O11_merge_history", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def o11(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    a = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
     return s.merge_history(a, b, ["k"])
 
 
-@CAT.add("O12_append_new", """WITH a AS (SELECT DISTINCT o_orderstatus AS x, o_orderpriority AS y FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus <> 'P'), b AS (SELECT DISTINCT o_orderstatus AS x, o_orderpriority AS y FROM orders)
+@CAT.add("O12_append_new", """WITH a AS (SELECT DISTINCT o_orderstatus AS x, o_orderpriority AS y FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_orderstatus AS x, o_orderpriority AS y FROM orders)
 SELECT * FROM b EXCEPT SELECT * FROM a""")
 def o12(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("x"), F.col("o_orderpriority").alias("y"))
-    return s.append_new(o.filter("o_orderkey % 7 = 0 and x <> 'P'").drop("o_orderkey"), o.drop("o_orderkey")).drop("fingerprint")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("x"), F.col("o_orderpriority").alias("y"))
+    return s.append_new(o.filter("x = 'F'"), o).drop("fingerprint")
 
 
 @CAT.add("O13_O17_ranked", """WITH x AS (SELECT o_custkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS bucket, o_totalprice, o_orderkey FROM orders)
