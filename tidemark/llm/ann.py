@@ -167,6 +167,12 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return x.withColumn("n", F.size("v"))
 
 
+def matrix(vectors: DataFrame, n: int) -> np.ndarray:
+    """A bounded frame of one column of vectors of length n, without a Python object for each number."""
+    column = vectors.toArrow().column(0)
+    return np.concatenate([np.zeros(0), *[c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]]).reshape(-1, n)
+
+
 def probes_for(indexed: DataFrame, queries: DataFrame, router: Router, k: int, least_recall: float, measured: int) -> int:
     """The fewest parts whose recall on ``measured`` queries against all of (id, v, part) is high enough."""
     chosen = queries.select("id", "v", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(measured).toPandas()
@@ -228,9 +234,7 @@ def search(
         return spark.createDataFrame([], schema)
     x, n = x.filter(F.col("n") == sizes["n"]).select("id", "v"), sizes["count"]
     parts = parts or int(min(max_parts, 2 ** round(np.log2(max(1.0, np.sqrt(n) / 8)))))
-    sample = x.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(max_sample).toPandas()["v"]
-    router = learn(np.stack(sample.to_numpy()).astype(float), parts)
-    del sample
+    router = learn(matrix(x.select("v", F.xxhash64("id").alias("h")).orderBy("h", "v").limit(max_sample).select("v"), sizes["n"]), parts)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
