@@ -14,18 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .stats import corr_t, pearson, t_stat
-from .temporal import asof_backward, asof_forward, nearest
+from .temporal import asof_each, asof_forward, excursion, nearest
 
 
 def with_moves(df: DataFrame, by: Sequence[str], value: str, deltas: Sequence[int], horizons: Sequence[int], tolerance: int | None) -> DataFrame:
-    """Columns past_<delta> and next_<horizon>: the value then, null beyond the tolerance."""
-    x = df.select(*by, "ts_event", "seq", value)
-    base = x
-    for d in deltas:
-        x = asof_backward(x, base, by, [value], -d, tolerance, "_p_").withColumnRenamed(f"_p_{value}", f"past_{d}").drop("_p_ts_event", "_p_seq")
-    for h in horizons:
-        x = asof_forward(x, base, by, [value], h, tolerance, "_n_").withColumnRenamed(f"_n_{value}", f"next_{h}").drop("_n_ts_event", "_n_seq")
-    return x
+    """Columns past_<delta> and next_<horizon>: the value then, null beyond the tolerance. One sort each way, whatever the grid."""
+    base = df.select(*by, "ts_event", "seq", value)
+    x = asof_each(base, base, by, value, {f"past_{d}": -d for d in deltas}, False, tolerance)
+    return asof_each(x, base, by, value, {f"next_{h}": h for h in horizons}, True, tolerance)
 
 
 def _grid(x: DataFrame, by: Sequence[str], deltas: Sequence[int], horizons: Sequence[int], past, future) -> DataFrame:
@@ -88,15 +84,70 @@ def jump_reversion(df: DataFrame, by: Sequence[str], value: str, threshold: floa
     return g.groupBy(*by, "h_ms").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), t_stat(F.col("r")).alias("t_stat"))
 
 
-def lead_lag(leader: DataFrame, follower: DataFrame, by: Sequence[str], value: str, delta: int, horizon: int, tolerance: int) -> DataFrame:
-    """After a leader's move, the follower nearest to delta later, then first at a horizon after that; signed basis points."""
-    o = Window.partitionBy(*by).orderBy("ts_event", "seq")
-    x = leader.withColumn("_sign", F.signum(F.log(F.col(value) / F.lag(value).over(o)))).filter("_sign <> 0").select(*by, "ts_event", "seq", "_sign")
-    x = nearest(x, follower, by, [value], delta, tolerance, "a_").filter("a_seq is not null")
-    x = x.select(*by, F.col("a_ts_event").alias("ts_event"), "seq", "_sign", F.col(f"a_{value}").alias("_v"))
-    x = asof_forward(x, follower, by, [value], horizon, None, "b_").filter("b_seq is not null")
-    move = F.col("_sign") * (F.col(f"b_{value}") / F.col("_v") - 1) * 10000
-    return x.groupBy(*by).agg(F.count("*").alias("n"), F.avg(move).alias("mean_bps"), t_stat(move).alias("t_stat"))
+def _pairs(df: DataFrame, stream: str, pairs: Sequence[tuple[str, str]], side: int, *columns) -> DataFrame:
+    """Each row once for every pair whose leader (side 0) or follower (1) is its stream."""
+    named = F.array(*[F.struct(F.lit(f"{p[0]}>{p[1]}").alias("pair"), F.lit(p[side]).alias("s")) for p in pairs])
+    fit = F.filter(named, lambda p: p["s"] == F.col(stream))
+    return df.withColumn("pair", F.explode(F.transform(fit, lambda p: p["pair"]))).select("pair", *columns)
+
+
+def signals(df: DataFrame, by: Sequence[str], stream: str, value: str, difference: bool = False) -> DataFrame:
+    """Rows whose value moved since the stream's last row, with _sign; by logarithm (both positive) or by difference."""
+    last = F.lag(value).over(Window.partitionBy(*by, stream).orderBy("ts_event", "seq"))
+    fine = F.lit(True) if difference else (F.col(value) > 0) & (last > 0)
+    return df.withColumn("_sign", F.when(fine, F.signum(F.col(value) - last))).filter("_sign <> 0")
+
+
+def lead_lag(
+    df: DataFrame, by: Sequence[str], stream: str, value: str, pairs: Sequence[tuple[str, str]], deltas: Sequence[int], horizons: Sequence[int], tolerance: int, difference: bool = False
+) -> DataFrame:
+    """For each (by, pair, delta, horizon): after a leader's move, the follower nearest to delta later, then the first at
+    the horizon after that; signed basis points. ``support`` counts the pair's signals that any cell holds. Cells without
+    events are left out. All cells come from one walk: rows are dealt to deltas, then to horizons."""
+    lead = _pairs(signals(df, by, stream, value, difference), stream, pairs, 0, *by, "ts_event", "seq", "_sign")
+    follow = _pairs(df if difference else df.filter(F.col(value) > 0), stream, pairs, 1, *by, "ts_event", "seq", value)
+    key = [*by, "pair"]
+    x = lead.withColumn("delta_ms", F.explode(F.array(*map(F.lit, deltas)))).withColumn("ts_event", F.col("ts_event") + F.col("delta_ms"))
+    x = nearest(x, follow, key, [value], 0, tolerance, "a_").filter("a_seq is not null").withColumn("h_ms", F.explode(F.array(*map(F.lit, horizons))))
+    x = x.select(*key, "delta_ms", "h_ms", (F.col("a_ts_event") + F.col("h_ms")).alias("ts_event"), "seq", "_sign", F.col(f"a_{value}").alias("_v"))
+    x = asof_forward(x, follow, key, [value], 0, None, "b_").filter("b_seq is not null")
+    move = F.col(f"b_{value}") - F.col("_v") if difference else F.log(F.col(f"b_{value}") / F.col("_v"))
+    first = F.row_number().over(Window.partitionBy(*key, "seq").orderBy("delta_ms", "h_ms")) == 1
+    x = x.select(*key, "delta_ms", "h_ms", (F.col("_sign") * 10000 * move).alias("_r"), first.cast("int").alias("_first"))
+    cells = x.groupBy(*key, "delta_ms", "h_ms").agg(F.count("*").alias("n"), F.avg("_r").alias("mean_bps"), t_stat(F.col("_r")).alias("t_stat"), F.sum("_first").alias("_first"))
+    return cells.withColumn("support", F.sum("_first").over(Window.partitionBy(*key))).drop("_first")
+
+
+def feasibility(
+    df: DataFrame, by: Sequence[str], stream: str, pairs: Sequence[tuple[str, str]], delta: int, horizon: int, tolerance: int, adverse_ms: int, maker_entry: bool, taker_fee_bps: float, maker_fee_bps: float,
+    most: int | None = None,
+) -> DataFrame:
+    """A20 over (by, pair): enter the follower nearest to delta after a leader's move, leave it at the nearest to the horizon after
+    that; gross by the sides of the book that the mode takes, penalty by the worst mid soon after entry, net of both and fees.
+
+    With ``most``, the run of a pair ends after that many matched signals in order of time. Signals without a match aren't counted in n.
+    """
+    fine = (F.col("bid_price") > 0) & (F.col("ask_price") > 0) & (F.col("mid") > 0)
+    lead = _pairs(signals(df, by, stream, "mid"), stream, pairs, 0, *by, "ts_event", "seq", "_sign")
+    key = [*by, "pair"]
+    follow = _pairs(df, stream, pairs, 1, *by, "ts_event", "seq", "bid_price", "ask_price", "mid", fine.alias("fine"))
+    book = ["bid_price", "ask_price", "fine"]
+    x = nearest(lead, excursion(follow, key, "mid", adverse_ms), key, [*book, "mid", "min_mid", "max_mid"], delta, tolerance, "a_").filter("a_seq is not null")
+    x = x.select(*key, F.col("ts_event").alias("_t0"), F.col("a_ts_event").alias("ts_event"), "seq", "_sign", *[f"a_{c}" for c in (*book, "mid", "min_mid", "max_mid")])
+    x = nearest(x, follow, key, book, horizon, tolerance, "b_").filter("b_seq is not null and a_fine and b_fine")
+    if most is not None:
+        x = x.withColumn("_i", F.row_number().over(Window.partitionBy(*key).orderBy("_t0", "seq"))).filter(F.col("_i") <= most)
+    up, bps = F.col("_sign") > 0, lambda a, b: 10000 * F.log(F.col(a) / F.col(b))
+    rise, fall = ("a_bid_price", "a_ask_price") if maker_entry else ("a_ask_price", "a_bid_price")
+    x = x.withColumn("gross", F.when(up, bps("b_bid_price", rise)).otherwise(bps(fall, "b_ask_price")))
+    worst = F.when(up, F.when(F.col("a_min_mid") > 0, bps("a_mid", "a_min_mid")).otherwise(0.0)).otherwise(bps("a_max_mid", "a_mid"))
+    fee = taker_fee_bps + (maker_fee_bps if maker_entry else taker_fee_bps)
+    x = x.withColumn("penalty", F.greatest(worst, F.lit(0.0))).withColumn("net", F.col("gross") - F.col("penalty") - fee)
+    low = lambda c: F.expr(f"percentile_disc(0.1) WITHIN GROUP (ORDER BY {c})")
+    parts = [f.alias(f"{c}_{n}") for c in ("gross", "penalty", "net") for n, f in (("mean", F.avg(c)), ("median", F.median(c)), ("p10", low(c)))]
+    return x.groupBy(*key).agg(
+        F.count("*").alias("n"), *parts, F.min("gross").alias("gross_min"), F.max("penalty").alias("penalty_max"), F.min("net").alias("net_min"), F.avg((F.col("net") > 0).cast("int")).alias("pos_rate")
+    )
 
 
 def friction_grid(cells: DataFrame, value: str, costs: Sequence[float]) -> DataFrame:

@@ -72,6 +72,19 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequen
     return _spread(found, left.columns, values, prefix)
 
 
+def asof_each(left: DataFrame, right: DataFrame, by: Sequence[str], value: str, offsets: dict[str, int], forward: bool = False, tolerance: int | None = None) -> DataFrame:
+    """A column for each named offset: the right value as of left time + offset, before or, forward, after.
+
+    Rows are dealt to their offsets, so one shuffle and one sort serve all; the gather by row keeps the
+    groups' partitioning. Left rows are told apart by (by, ts_event, seq), and hold no maps.
+    """
+    dealt = left.withColumn("_row", F.struct(*left.columns)).withColumn("_offset", F.explode(F.array(*map(F.lit, offsets.values()))))
+    dealt = dealt.select(*by, (F.col("ts_event") + F.col("_offset")).alias("ts_event"), "seq", "_offset", "_row")
+    found = _within(_carried(dealt, right, by, [value], 0, forward), 0, tolerance)
+    each = [F.max(F.when(F.col("_offset") == o, F.col(f"_hit.{value}"))).alias(name) for name, o in offsets.items()]
+    return found.groupBy(*by, "_row").agg(*each).select("_row.*", *offsets)
+
+
 def state_at(left: DataFrame, changes: DataFrame, by: Sequence[str], change: str, name: str = "state") -> DataFrame:
     """The sum of all changes at or before each left row's time."""
     w = Window.partitionBy(*by).orderBy("ts_event", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

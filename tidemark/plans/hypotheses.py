@@ -72,15 +72,23 @@ def a16(spark, sf_dir):
     return rounded(h.jump_reversion(quotes(spark, sf_dir), BY, "mid", 2.0, 7_200_000, H))
 
 
-@CAT.add("A17_A18_lead_lag", f"""WITH {QUOTES_SQL}, l AS (SELECT symbol, ts_event, seq, sign(ln(mid / lag(mid) OVER (PARTITION BY symbol ORDER BY ts_event, seq))) AS s FROM quotes WHERE stream = 'click'),
-f AS (SELECT symbol, ts_event, seq, mid FROM quotes WHERE stream = 'view'),
-a AS (SELECT l.symbol, l.seq, l.s, (SELECT struct_pack(t := f.ts_event, v := f.mid) FROM f WHERE f.symbol = l.symbol AND abs(f.ts_event - l.ts_event - 3600000) <= 86400000 ORDER BY abs(f.ts_event - l.ts_event - 3600000), f.ts_event, f.seq LIMIT 1) AS x FROM l WHERE s <> 0),
-b AS (SELECT symbol, s, x, (SELECT f.mid FROM f WHERE f.symbol = a.symbol AND f.ts_event >= a.x.t + 7200000 ORDER BY f.ts_event, f.seq LIMIT 1) AS y FROM a WHERE x IS NOT NULL), m AS (SELECT symbol, s * (y / x.v - 1) * 10000 AS r FROM b WHERE y IS NOT NULL)
-SELECT symbol, count(*) AS n, round(avg(r), 6) AS mean_bps, round(coalesce(avg(r) / nullif(stddev_samp(r) / sqrt(count(*)), 0), 0), 6) AS t_stat FROM m GROUP BY 1""")
+PAIRS = (("click", "view"), ("view", "purchase"))
+LEAD_SQL = f"""{QUOTES_SQL}, pairs(lead, follow) AS (VALUES ('click', 'view'), ('view', 'purchase')),
+l AS (SELECT * FROM (SELECT symbol, stream, ts_event, seq, sign(mid - lag(mid) OVER (PARTITION BY symbol, stream ORDER BY ts_event, seq)) AS s FROM quotes) WHERE s <> 0),
+sig AS (SELECT l.*, lead || '>' || follow AS pair, follow FROM l JOIN pairs ON lead = stream)"""
+
+
+@CAT.add("A17_A18_lead_lag", f"""WITH {LEAD_SQL}, d AS (SELECT sig.*, delta_ms FROM sig, (VALUES (3600000), (21600000)) x(delta_ms)),
+c AS (SELECT d.*, f.ts_event AS t, f.mid AS v FROM d JOIN quotes f ON f.symbol = d.symbol AND f.stream = d.follow AND abs(f.ts_event - d.ts_event - delta_ms) <= 86400000
+QUALIFY row_number() OVER (PARTITION BY d.pair, d.symbol, d.seq, delta_ms ORDER BY abs(f.ts_event - d.ts_event - delta_ms), f.ts_event, f.seq) = 1),
+h AS (SELECT c.*, h_ms FROM c, (VALUES (7200000), (14400000)) x(h_ms)),
+e AS (SELECT h.*, 10000 * s * ln(f.mid / v) AS r FROM h JOIN quotes f ON f.symbol = h.symbol AND f.stream = h.follow AND f.ts_event >= t + h_ms
+QUALIFY row_number() OVER (PARTITION BY h.pair, h.symbol, h.seq, delta_ms, h_ms ORDER BY f.ts_event, f.seq) = 1),
+u AS (SELECT symbol, pair, count(DISTINCT seq) AS support FROM e GROUP BY 1, 2)
+SELECT symbol, pair, delta_ms, h_ms, count(*) AS n, round(avg(r), 6) AS mean_bps, round(coalesce(avg(r) / nullif(stddev_samp(r) / sqrt(count(*)), 0), 0), 6) AS t_stat, max(support) AS support FROM e JOIN u USING (symbol, pair) GROUP BY 1, 2, 3, 4""")
 def a17(spark, sf_dir):
     q = quotes(spark, sf_dir).select("symbol", "stream", "ts_event", "seq", "mid")
-    lead, follow = q.filter("stream = 'click'").drop("stream"), q.filter("stream = 'view'").drop("stream")
-    return rounded(h.lead_lag(lead, follow, ["symbol"], "mid", 3_600_000, 7_200_000, 86_400_000))
+    return rounded(h.lead_lag(q, ["symbol"], "stream", "mid", PAIRS, D, (7_200_000, 14_400_000), 86_400_000))
 
 
 @CAT.add("A19_quantile_momentum", f"""WITH {QUOTES_SQL}, {moves_sql('mid', None)}, m1 AS (SELECT stream, (v / p - 1) * 10000 AS past, (f / v - 1) * 10000 AS future FROM g WHERE p IS NOT NULL AND f IS NOT NULL AND delta_ms = 3600000 AND h_ms = 3600000),
@@ -95,19 +103,31 @@ def a19(spark, sf_dir):
     return rounded(hit.groupBy("stream").agg(F.max("cut").alias("cut"), F.count("*").alias("n"), F.avg("future").alias("mean_future")))
 
 
-@CAT.add("A20_feasibility", f"""WITH {QUOTES_SQL}, x AS (SELECT stream, (mid - lag(mid) OVER o) / lag(mid) OVER o * 10000 AS gross, (ask_price - bid_price) / mid * 10000 AS cost FROM quotes WINDOW o AS (PARTITION BY stream ORDER BY ts_event, seq))
-SELECT stream, count(*) AS n, round(avg(gross), 6) AS mean_gross, round(avg(cost), 6) AS mean_penalty, round(avg(gross - cost), 6) AS mean_net, round(median(gross - cost), 6) AS median_net, round(quantile_cont(gross - cost, 0.1), 6) AS p10_net,
-round(min(gross - cost), 6) AS min_net, round(avg((gross - cost > 0)::INT), 6) AS pos_rate FROM x WHERE gross IS NOT NULL GROUP BY 1""")
+def feasibility_sql(rise: str, fall: str, fee: float) -> str:
+    numbers = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, round(quantile_disc({c}, 0.1), 6) AS {c}_p10" for c in ("gross", "penalty", "net"))
+    return f"""WITH {LEAD_SQL}, q AS (SELECT *, min(mid) OVER w AS lo, max(mid) OVER w AS hi FROM quotes WINDOW w AS (PARTITION BY symbol, stream ORDER BY ts_event RANGE BETWEEN CURRENT ROW AND 86400000 FOLLOWING)),
+a AS (SELECT sig.symbol, sig.pair, sig.follow, sig.seq, s, f.ts_event AS t, f.bid_price AS bid, f.ask_price AS ask, f.mid, lo, hi FROM sig JOIN q f ON f.symbol = sig.symbol AND f.stream = sig.follow AND abs(f.ts_event - sig.ts_event - 3600000) <= 86400000
+QUALIFY row_number() OVER (PARTITION BY sig.pair, sig.symbol, sig.seq ORDER BY abs(f.ts_event - sig.ts_event - 3600000), f.ts_event, f.seq) = 1),
+b AS (SELECT a.*, f.bid_price AS xbid, f.ask_price AS xask FROM a JOIN q f ON f.symbol = a.symbol AND f.stream = a.follow AND abs(f.ts_event - t - 7200000) <= 86400000
+QUALIFY row_number() OVER (PARTITION BY a.pair, a.symbol, a.seq ORDER BY abs(f.ts_event - t - 7200000), f.ts_event, f.seq) = 1),
+g AS (SELECT symbol, pair, 10000 * CASE WHEN s > 0 THEN ln(xbid / {rise}) ELSE ln({fall} / xask) END AS gross, greatest(10000 * CASE WHEN s > 0 THEN ln(mid / lo) ELSE ln(hi / mid) END, 0) AS penalty FROM b),
+n AS (SELECT *, gross - penalty - {fee} AS net FROM g)
+SELECT symbol, pair, count(*) AS n, {numbers}, round(min(gross), 6) AS gross_min, round(max(penalty), 6) AS penalty_max, round(min(net), 6) AS net_min, round(avg((net > 0)::INT), 6) AS pos_rate FROM n GROUP BY 1, 2"""
+
+
+def _feasible(spark, sf_dir, maker: bool):
+    q = quotes(spark, sf_dir).select("symbol", "stream", "ts_event", "seq", "bid_price", "ask_price", "mid")
+    return rounded(h.feasibility(q, ["symbol"], "stream", PAIRS, 3_600_000, 7_200_000, 86_400_000, 86_400_000, maker, 4.0, 1.5))
+
+
+@CAT.add("A20_feasibility_taker", feasibility_sql("ask", "bid", 8.0))
 def a20(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    last = F.lag("mid").over(Window.partitionBy("stream").orderBy("ts_event", "seq"))
-    x = quotes(spark, sf_dir).withColumns({"gross": (F.col("mid") - last) / last * 10000, "cost": (F.col("ask_price") - F.col("bid_price")) / F.col("mid") * 10000})
-    x = x.filter("gross is not null").withColumn("net", F.col("gross") - F.col("cost"))
-    return rounded(x.groupBy("stream").agg(
-        F.count("*").alias("n"), F.avg("gross").alias("mean_gross"), F.avg("cost").alias("mean_penalty"), F.avg("net").alias("mean_net"), F.percentile("net", 0.5).alias("median_net"),
-        F.percentile("net", 0.1).alias("p10_net"), F.min("net").alias("min_net"), F.avg((F.col("net") > 0).cast("int")).alias("pos_rate"),
-    ))
+    return _feasible(spark, sf_dir, False)
+
+
+@CAT.add("A20_feasibility_maker", feasibility_sql("bid", "ask", 5.5))
+def a20_maker(spark, sf_dir):
+    return _feasible(spark, sf_dir, True)
 
 
 @CAT.add("A21_friction_grid", f"""WITH {TICKS_SQL}, c AS (SELECT symbol, stream, avg(price) AS m FROM ticks GROUP BY 1, 2) SELECT k AS cost, round(avg((m > k)::INT), 6) AS survival_rate, round(avg(m - k), 6) AS avg_net FROM c, (SELECT unnest([5.0::DOUBLE, 10, 20, 40, 80]) AS k) GROUP BY 1""")
