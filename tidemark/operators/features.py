@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .temporal import asof_each
+
 ORDER = ("ts_event", "seq")
 
 
@@ -222,3 +224,47 @@ def imbalance_fold(g: pd.DataFrame) -> dict[str, pd.Series]:
 def complete(q: DataFrame, enabled: Sequence[str]) -> DataFrame:
     """The vector rule: a row leaves only when every enabled feature is known."""
     return q.dropna(subset=list(enabled))
+
+
+def model_features(df: DataFrame, by: Sequence[str], unit_ms: int = 1000, horizons: Sequence[int] = (1, 5, 10, 30), window: int = 10, ahead: int = 10, warm_up: int = 30) -> DataFrame:
+    """Log returns over some horizons (in units, against the last row at or before), volatility, imbalance, microprice and label.
+
+    Volatility: population deviation of the first horizon's returns from ``window`` units back up to the row
+    itself in the order (ts_event, seq), of two values at least. Label: whether the first mid at or after
+    ``ahead`` units is higher. Rows in the first ``warm_up`` units of a group, or with any value missing, are left out.
+    """
+    q = df.select(*by, "ts_event", "seq", "mid", "bid_price", "ask_price", "bid_qty", "ask_qty")
+    base = q.select(*by, "ts_event", "seq", "mid")
+    x = asof_each(q, base, by, "mid", {f"_p{h}": -h * unit_ms for h in horizons})
+    x = asof_each(x, base, by, "mid", {"_next": ahead * unit_ms}, True)
+    names = [f"log_return_{h}" for h in horizons]
+    x = x.withColumns({n: F.log(F.col("mid") / F.col(f"_p{h}")) for n, h in zip(names, horizons, strict=True)})
+    earlier = Window.partitionBy(*by).orderBy("ts_event").rangeBetween(-window * unit_ms, -1)
+    same = Window.partitionBy(*by, "ts_event").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    r = F.col(names[0])
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) + F.coalesce(F.sum(c).over(same), F.lit(0.0))
+
+    n, s, s2 = total(F.when(r.isNotNull(), 1.0)), total(r), total(r * r)
+    size = F.col("bid_qty") + F.col("ask_qty")
+    x = x.withColumns({
+        "volatility": F.when(n >= 2, F.sqrt(F.greatest(s2 / n - (s / n) * (s / n), F.lit(0.0)))),
+        "imbalance": F.try_divide(F.col("bid_qty") - F.col("ask_qty"), size),
+        "microprice": F.try_divide(F.col("bid_price") * F.col("ask_qty") + F.col("ask_price") * F.col("bid_qty"), size),
+        "label": (F.col("_next") > F.col("mid")).cast("int"),
+        "_first": F.min("ts_event").over(Window.partitionBy(*by)),
+    })
+    kept = [*names, "volatility", "imbalance", "microprice", "label"]
+    return x.filter(F.col("ts_event") >= F.col("_first") + warm_up * unit_ms).select(*by, "ts_event", "seq", *kept).dropna(subset=kept)
+
+
+def live_features(df: DataFrame, by: Sequence[str], unit_ms: int = 1000) -> DataFrame:
+    """Log returns over one and five units, imbalance, and the number of earlier rows less than or exactly one unit ago; eight places, null is 0."""
+    x = asof_each(df, df.select(*by, "ts_event", "seq", "mid"), by, "mid", {"_p1": -unit_ms, "_p5": -5 * unit_ms})
+    span = Window.partitionBy(*by).orderBy("ts_event").rangeBetween(-unit_ms, -1)
+    same = F.row_number().over(Window.partitionBy(*by, "ts_event").orderBy("seq")) - 1
+    values = {f"f_log_return_{h}": F.log(F.col("mid") / F.col(f"_p{h}")) for h in (1, 5)}
+    values["f_imbalance"] = F.try_divide(F.col("bid_qty") - F.col("ask_qty"), F.col("bid_qty") + F.col("ask_qty"))
+    x = x.withColumns({n: F.coalesce(F.round(v, 8), F.lit(0.0)) + 0.0 for n, v in values.items()})
+    return x.withColumn("f_intensity", F.count("*").over(span) + same).select(*by, "ts_event", "seq", *values, "f_intensity")

@@ -129,12 +129,45 @@ def normal_cdf(x: Column) -> Column:
 
 
 def welch(df: DataFrame, by: Sequence[str], value: str, hit: str) -> DataFrame:
-    """Rows that match a pattern against those that don't, with population variances and a normal p."""
+    """Rows that match a pattern against those that don't, with population variances.
+
+    p is normal beyond 30 degrees of freedom; up to these, t is first scaled by sqrt(df / (df + 1)). Without rows on
+    a side, or without variance on both, t and df are 0 and p is 1.
+    """
     part = lambda f, h: f(F.when(F.col(hit) == h, F.col(value)))
     x = df.groupBy(*by).agg(*[part(f, h).alias(f"{n}_{k}") for h, k in ((True, "in"), (False, "out")) for f, n in ((F.count, "n"), (F.avg, "mean"), (F.var_pop, "var"))])
-    t = F.try_divide(F.col("mean_in") - F.col("mean_out"), F.sqrt(F.col("var_in") / F.col("n_in") + F.col("var_out") / F.col("n_out")))
-    x = x.withColumn("t", F.coalesce(t, F.lit(0.0)))
-    return x.withColumn("p", 2 * (1 - normal_cdf(F.abs("t")))).drop("var_in", "var_out")
+    a, b = F.col("var_in") / F.col("n_in"), F.col("var_out") / F.col("n_out")
+    known = (F.col("n_in") > 0) & (F.col("n_out") > 0) & (a + b > 0)
+    df_ = F.try_divide((a + b) * (a + b), F.coalesce(F.try_divide(a * a, F.col("n_in") - 1), F.lit(0.0)) + F.coalesce(F.try_divide(b * b, F.col("n_out") - 1), F.lit(0.0)))
+    x = x.withColumn("t", F.when(known, (F.col("mean_in") - F.col("mean_out")) / F.sqrt(a + b)).otherwise(0.0)).withColumn("df", F.when(known, df_).otherwise(0.0))
+    z = F.abs("t") * F.when(F.col("df") > 30, 1.0).otherwise(F.sqrt(F.col("df") / (F.col("df") + 1)))
+    return x.withColumn("p", F.when(known, 2 * (1 - normal_cdf(z))).otherwise(1.0)).drop("var_in", "var_out")
+
+
+def threshold_grid(df: DataFrame, by: Sequence[str], truth: Column, value: str, thresholds: Sequence[float] = (0.5, 0.55, 0.6, 0.65, 0.7)) -> DataFrame:
+    """The confusion at each threshold, and ``best`` at the lowest with a group's largest F1 (nowhere, if all are null)."""
+    x = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    c = confusion(x, [*by, "threshold"], truth, F.col(value) >= F.col("threshold"))
+    w = Window.partitionBy(*by).orderBy(F.col("f1").desc_nulls_last(), "threshold")
+    return c.withColumn("best", (F.row_number().over(w) == 1) & F.col("f1").isNotNull())
+
+
+def correlation_clusters(matrix: DataFrame, names: Sequence[str], threshold: float = 0.8, top: int = 5) -> DataFrame:
+    """M5: (feature, cluster, redundancy) from one row with a column a_b for each pair of names in order.
+
+    A feature joins the first earlier feature that leads a cluster and correlates with it by the threshold, or leads its own.
+    Redundancy is the mean of the largest ``top`` absolute correlations of all pairs.
+    """
+    seeds = []
+    for j, name in enumerate(names):
+        joins = [F.when((seeds[i] == i) & (F.abs(F.col(f"{names[i]}_{name}")) >= threshold), i) for i in range(j)]
+        seeds.append(F.coalesce(*joins, F.lit(j)))
+    sizes = F.array_sort(F.array(*[F.abs(F.col(f"{a}_{b}")) for i, a in enumerate(names) for b in names[i + 1 :]]), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
+    best = F.slice(sizes, 1, top)
+    mean = F.try_divide(F.aggregate(best, F.lit(0.0), lambda s, v: s + v), F.size(best))
+    labels = F.array(*map(F.lit, names))
+    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.element_at(labels, s + 1).alias("cluster")) for n, s in zip(names, seeds, strict=True)])
+    return matrix.select(F.explode(rows).alias("x"), F.coalesce(mean, F.lit(0.0)).alias("redundancy")).select("x.*", "redundancy")
 
 
 def confusion(df: DataFrame, by: Sequence[str], truth: Column, guess: Column) -> DataFrame:

@@ -155,22 +155,29 @@ def w21(spark, sf_dir):
     return out(f.complete(x, ["regime_stability", "volatility_compression", "behavior_divergence"]), "regime_stability", "volatility_compression", "behavior_divergence")
 
 
-@CAT.add("W30_returns_and_label", f"""WITH {QUOTES_SQL}, s AS (SELECT stream, week, ts_event, seq, mid FROM quotes),
-b AS (SELECT a.seq, a.ts_event, a.mid, (SELECT mid FROM s WHERE s.stream = a.stream AND s.week = a.week AND s.ts_event <= a.ts_event - 600000 ORDER BY s.ts_event DESC, s.seq DESC LIMIT 1) AS past,
-(SELECT mid FROM s WHERE s.stream = a.stream AND s.week = a.week AND s.ts_event >= a.ts_event + 600000 ORDER BY s.ts_event, s.seq LIMIT 1) AS future FROM s a)
-SELECT seq, round(ln(mid / past), 6) AS log_return, CASE WHEN future > mid THEN 1 ELSE 0 END AS label FROM b WHERE past IS NOT NULL AND future IS NOT NULL""")
+UNIT = 600_000
+
+
+def past_sql(*horizons: int) -> str:
+    return ", ".join(f"(SELECT mid FROM s WHERE s.stream = a.stream AND s.week = a.week AND s.ts_event <= a.ts_event - {h * UNIT} ORDER BY s.ts_event DESC, s.seq DESC LIMIT 1) AS p{h}" for h in horizons)
+
+
+@CAT.add("W30_model_features", f"""WITH {QUOTES_SQL}, s AS (SELECT stream, week, ts_event, seq, mid FROM quotes),
+b AS (SELECT a.*, {past_sql(1, 5, 10, 30)}, (SELECT mid FROM s WHERE s.stream = a.stream AND s.week = a.week AND s.ts_event >= a.ts_event + {10 * UNIT} ORDER BY s.ts_event, s.seq LIMIT 1) AS future, min(ts_event) OVER (PARTITION BY stream, week) AS first FROM quotes a),
+v AS (SELECT x.seq, stddev_pop(ln(y.mid / y.p1)) AS v, count(ln(y.mid / y.p1)) AS n FROM b x JOIN b y ON x.stream = y.stream AND x.week = y.week AND y.ts_event >= x.ts_event - {10 * UNIT} AND (y.ts_event < x.ts_event OR (y.ts_event = x.ts_event AND y.seq <= x.seq)) GROUP BY 1)
+SELECT b.seq, round(ln(mid / p1), 6) AS log_return_1, round(ln(mid / p5), 6) AS log_return_5, round(ln(mid / p10), 6) AS log_return_10, round(ln(mid / p30), 6) AS log_return_30, round(v, 6) AS volatility, round((bid_qty - ask_qty) / (bid_qty + ask_qty), 6) AS imbalance,
+round((bid_price * ask_qty + ask_price * bid_qty) / (bid_qty + ask_qty), 6) AS microprice, CASE WHEN future > mid THEN 1 ELSE 0 END AS label
+FROM b JOIN v ON b.seq = v.seq WHERE ts_event >= first + {30 * UNIT} AND n >= 2 AND p1 IS NOT NULL AND p5 IS NOT NULL AND p10 IS NOT NULL AND p30 IS NOT NULL AND future IS NOT NULL""")
 def w30(spark, sf_dir):
-    q = quotes(spark, sf_dir).select("stream", "week", "ts_event", "seq", "mid")
-    x = temporal.asof_backward(q, q, BY, ["mid"], -600_000, prefix="past_")
-    x = temporal.asof_forward(x, q, BY, ["mid"], 600_000, prefix="next_").dropna(subset=["past_mid", "next_mid"])
-    return out(x.withColumns({"log_return": F.log(F.col("mid") / F.col("past_mid")), "label": (F.col("next_mid") > F.col("mid")).cast("int")}), "log_return", "label")
+    x = f.model_features(quotes(spark, sf_dir), BY, UNIT)
+    return out(x, *[f"log_return_{h}" for h in (1, 5, 10, 30)], "volatility", "imbalance", "microprice", "label")
 
 
-@CAT.add("W31_intensity", f"""WITH {QUOTES_SQL} SELECT seq, round((bid_qty - ask_qty) / (bid_qty + ask_qty), 8) AS f_imbalance,
-count(*) OVER (PARTITION BY stream, week ORDER BY ts_event RANGE BETWEEN 3600000 PRECEDING AND 1 PRECEDING) AS f_intensity FROM quotes""")
+@CAT.add("W31_live_features", f"""WITH {QUOTES_SQL}, s AS (SELECT stream, week, ts_event, seq, mid FROM quotes), b AS (SELECT a.*, {past_sql(1, 5)},
+(SELECT count(*) FROM s WHERE s.stream = a.stream AND s.week = a.week AND s.ts_event >= a.ts_event - {UNIT} AND (s.ts_event < a.ts_event OR (s.ts_event = a.ts_event AND s.seq < a.seq))) AS f_intensity FROM quotes a)
+SELECT seq, round(coalesce(ln(mid / p1), 0), 8) AS f_log_return_1, round(coalesce(ln(mid / p5), 0), 8) AS f_log_return_5, round((bid_qty - ask_qty) / (bid_qty + ask_qty), 8) AS f_imbalance, f_intensity FROM b""")
 def w31(spark, sf_dir):
-    w = Window.partitionBy(*BY).orderBy("ts_event").rangeBetween(-3_600_000, -1)
-    return f.stateless(quotes(spark, sf_dir)).select("seq", (F.round("imbalance", 8) + 0.0).alias("f_imbalance"), F.count("*").over(w).alias("f_intensity"))
+    return f.live_features(quotes(spark, sf_dir), BY, UNIT).drop(*BY, "ts_event")
 
 
 @CAT.add("W35_W36_event_labels", f"""WITH {QUOTES_SQL}, x AS (SELECT seq, mid, lead(mid, 10) OVER o AS m10, lead(mid, 50) OVER o AS m50, lead(mid) OVER o AS m1 FROM quotes {O})

@@ -83,6 +83,19 @@ def m5(spark, sf_dir):
     return rounded(x.withColumn("high", F.abs("r") >= 0.8))
 
 
+CORR_SQL = ", ".join(f"corr({a}, {b})" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")))
+
+
+@CAT.add("M5_clusters", f"""WITH c AS (SELECT list_reverse(list_sort(list_transform([{CORR_SQL}], lambda r: abs(r)))) AS v, abs(corr(l_quantity, l_extendedprice)) AS qp FROM lineitem)
+SELECT f AS feature, CASE WHEN f = 'price' AND qp >= 0.8 THEN 'quantity' ELSE f END AS cluster, round(list_avg(v[1:5]), 6) AS redundancy FROM c, (SELECT unnest(['quantity', 'price', 'discount', 'tax']) AS f)""")
+def m5_clusters(spark, sf_dir):
+    names = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+    order = list(names)
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :]]
+    one = table(spark, sf_dir, "lineitem").agg(*[s.pearson(F.col(names[a]), F.col(names[b])).alias(f"{a}_{b}") for a, b in pairs])
+    return rounded(s.correlation_clusters(one, order))
+
+
 @CAT.add("M6_point_biserial", f"""WITH {TICKS_SQL}, r AS (SELECT stream, corr(price, (qty > 50)::INT) AS r FROM ticks GROUP BY 1) SELECT stream, round(r, 6) AS r, CASE WHEN abs(r) >= 0.5 THEN 'STRONG' WHEN abs(r) >= 0.3 THEN 'MODERATE' WHEN abs(r) >= 0.1 THEN 'WEAK' ELSE 'NONE' END AS strength FROM r""")
 def m6(spark, sf_dir):
     x = ticks(spark, sf_dir).groupBy("stream").agg(s.pearson(F.col("price"), (F.col("qty") > 50).cast("int")).alias("r"))
@@ -119,6 +132,14 @@ def m14(spark, sf_dir):
     return rounded(s.confusion(probabilities(spark, sf_dir), ["stream"], F.col("qty") > 50, F.col("p") >= 0.3))
 
 
+@CAT.add("M14_threshold_grid", f"""WITH {P_SQL}, x AS (SELECT stream, t AS threshold, qty > 50 AS y, p >= t AS g FROM p, (SELECT unnest([0.5::DOUBLE, 0.55, 0.6, 0.65, 0.7]) AS t)),
+c AS (SELECT stream, threshold, count(*) FILTER (WHERE y AND g) AS tp, count(*) FILTER (WHERE NOT y AND g) AS fp, count(*) FILTER (WHERE NOT y AND NOT g) AS tn, count(*) FILTER (WHERE y AND NOT g) AS fn FROM x GROUP BY 1, 2),
+r AS (SELECT *, tp / nullif(tp + fp, 0) AS pr, tp / nullif(tp + fn, 0) AS re, tn / nullif(tn + fp, 0) AS sp FROM c), f AS (SELECT *, 2 * pr * re / nullif(pr + re, 0) AS f FROM r)
+SELECT stream, threshold, tp, fp, tn, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(f, 6) AS f1, round((re + sp) / 2, 6) AS balanced_accuracy, f IS NOT NULL AND row_number() OVER (PARTITION BY stream ORDER BY f DESC NULLS LAST, threshold) = 1 AS best FROM f""")
+def m14_grid(spark, sf_dir):
+    return rounded(s.threshold_grid(probabilities(spark, sf_dir), ["stream"], F.col("qty") > 50, "p"))
+
+
 @CAT.add("M15_chronological_split", f"""WITH {TICKS_SQL}, r AS (SELECT seq, stream, row_number() OVER (PARTITION BY stream ORDER BY ts_event, seq) AS i, count(*) OVER (PARTITION BY stream) AS n FROM ticks)
 SELECT seq, stream, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.85) THEN 'valid' ELSE 'test' END AS split FROM r""")
 def m15(spark, sf_dir):
@@ -127,17 +148,26 @@ def m15(spark, sf_dir):
     return ticks(spark, sf_dir).select("seq", "stream", F.when(i <= F.floor(n * 0.7), "train").when(i <= F.floor(n * 0.85), "valid").otherwise("test").alias("split"))
 
 
-PHI = "CASE WHEN {x} >= 0 THEN 1 - {t} ELSE {t} END"
+def welch_sql(by: str) -> str:
+    return f"""WITH {TICKS_SQL}, a AS (SELECT {by}, count(*) FILTER (WHERE qty > 70) AS n_in, avg(price) FILTER (WHERE qty > 70) AS mean_in, coalesce(var_pop(price) FILTER (WHERE qty > 70), 0) AS vi, count(*) FILTER (WHERE NOT qty > 70) AS n_out, avg(price) FILTER (WHERE NOT qty > 70) AS mean_out, coalesce(var_pop(price) FILTER (WHERE NOT qty > 70), 0) AS vo FROM ticks GROUP BY 1),
+e AS (SELECT *, vi / nullif(n_in, 0) AS a, vo / nullif(n_out, 0) AS b FROM a), f AS (SELECT *, CASE WHEN a + b > 0 THEN (mean_in - mean_out) / sqrt(a + b) ELSE 0 END AS t,
+CASE WHEN a + b > 0 THEN (a + b) * (a + b) / (coalesce(a * a / nullif(n_in - 1, 0), 0) + coalesce(b * b / nullif(n_out - 1, 0), 0)) ELSE 0 END AS df FROM e),
+z AS (SELECT *, CASE WHEN df > 30 THEN abs(t) ELSE abs(t) * sqrt(df / (df + 1)) END AS z FROM f), k AS (SELECT *, 1.0 / (1.0 + 0.2316419 * z) AS k FROM z)
+SELECT {by}, n_in, round(mean_in, 6) AS mean_in, n_out, round(mean_out, 6) AS mean_out, round(t, 6) AS t, round(df, 6) AS df,
+CASE WHEN a + b > 0 THEN round(2 * exp(-z * z / 2) / 2.5066282746310002 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))), 6) ELSE 1 END AS p FROM k"""
 
 
-@CAT.add("M23_welch", f"""WITH {TICKS_SQL}, a AS (SELECT stream, count(*) FILTER (WHERE qty > 70) AS n_in, avg(price) FILTER (WHERE qty > 70) AS mean_in, var_pop(price) FILTER (WHERE qty > 70) AS vi, count(*) FILTER (WHERE NOT qty > 70) AS n_out, avg(price) FILTER (WHERE NOT qty > 70) AS mean_out, var_pop(price) FILTER (WHERE NOT qty > 70) AS vo FROM ticks GROUP BY 1),
-t AS (SELECT *, (mean_in - mean_out) / sqrt(vi / n_in + vo / n_out) AS t FROM a), k AS (SELECT *, 1.0 / (1.0 + 0.2316419 * abs(t)) AS k FROM t)
-SELECT stream, n_in, round(mean_in, 6) AS mean_in, n_out, round(mean_out, 6) AS mean_out, round(t, 6) AS t,
-round(2 * exp(-t * t / 2) / 2.5066282746310002 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))), 6) AS p FROM k""")
+@CAT.add("M23_welch", welch_sql("stream"))
 def m23(spark, sf_dir):
     return rounded(s.welch(ticks(spark, sf_dir).withColumn("hit", F.col("qty") > 70), ["stream"], "price", "hit"))
 
 
+@CAT.add("M23_welch_small", welch_sql("symbol"))
+def m23_small(spark, sf_dir):
+    """By symbol: few rows a group, so few degrees of freedom."""
+    return rounded(s.welch(ticks(spark, sf_dir).withColumn("hit", F.col("qty") > 70), ["symbol"], "price", "hit"))
+
+
 @CAT.add("R1_histogram", f"""WITH {P_SQL}, c AS (SELECT stream, least(floor(p * 8), 7)::BIGINT AS bin, count(*) AS n FROM p GROUP BY 1, 2) SELECT s.stream, g.bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT stream FROM p) s CROSS JOIN range(8) g(bin) LEFT JOIN c ON c.stream = s.stream AND c.bin = g.bin""")
 def r1(spark, sf_dir):
     return s.histogram(probabilities(spark, sf_dir), ["stream"], "p", 8)
