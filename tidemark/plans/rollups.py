@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import rollups as r
 from ..sources.events import TICKS_SQL, table, ticks
@@ -48,8 +49,6 @@ def a25(spark, sf_dir):
 @CAT.add("A23_window_deltas", f"""WITH {TICKS_SQL}, b AS (SELECT stream, ts_event // 3600000 AS slot, count(*) AS n, max(price) AS peak FROM ticks GROUP BY 1, 2)
 SELECT stream, slot, n, peak, n - lag(n) OVER (PARTITION BY stream ORDER BY slot) AS change, round(n / 3600.0::DOUBLE, 6) AS eps FROM b""")
 def a23(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     b = ticks(spark, sf_dir).groupBy("stream", F.floor(F.col("ts_event") / 3_600_000).alias("slot")).agg(F.count("*").alias("n"), F.max("price").alias("peak"))
     change = F.col("n") - F.lag("n").over(Window.partitionBy("stream").orderBy("slot"))
     return rounded(b.withColumns({"change": change, "eps": F.col("n") / 3600.0}))
@@ -123,8 +122,6 @@ def a38(spark, sf_dir):
 p AS (SELECT *, greatest(max(equity) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING), 0) AS peak FROM e)
 SELECT symbol, count(pnl) AS trades, round(sum(pnl), 6) AS total, round(max(peak - equity), 6) AS max_drawdown, round(avg((pnl > 0)::INT), 6) AS win_rate, round(avg(pnl), 6) AS avg_pnl FROM p GROUP BY 1""")
 def a40(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     o = Window.partitionBy("symbol").orderBy("ts_event", "seq")
     up = o.rowsBetween(Window.unboundedPreceding, 0)
     x = ticks(spark, sf_dir).withColumn("pnl", F.col("price") - F.lag("price").over(o))
@@ -181,6 +178,17 @@ def r4(spark, sf_dir):
     return rounded(c.filter("n >= 5 and abs(t) >= 0.5").select("symbol", "stream", "n", (F.abs("t") * F.greatest(F.col("m"), F.lit(0.0))).alias("score")))
 
 
+@CAT.add("R4_ranked_cells", f"""WITH {TICKS_SQL}, c AS (SELECT symbol, stream, count(*) AS n, avg(price - 20) AS m, avg(price - 20) / nullif(stddev_samp(price) / sqrt(count(*)), 0) AS t FROM ticks GROUP BY 1, 2),
+s AS (SELECT *, round(abs(t) * greatest(m, 0), 6) AS score FROM c WHERE n >= 5 AND abs(t) >= 0.5) SELECT * FROM (SELECT row_number() OVER (ORDER BY score DESC, round(abs(t), 6) DESC, n DESC, round(abs(m), 6) DESC, stream, symbol) AS rank, symbol, stream, n, score FROM s) WHERE rank <= 20""")
+def r4_ranked(spark, sf_dir):
+    v = F.col("price") - 20
+    c = ticks(spark, sf_dir).groupBy("symbol", "stream").agg(F.count("*").alias("n"), F.avg(v).alias("m"), F.try_divide(F.avg(v), F.stddev_samp("price") / F.sqrt(F.count("*"))).alias("t"))
+    c = c.filter("n >= 5 and abs(t) >= 0.5").withColumn("score", F.round(F.abs("t") * F.greatest(F.col("m"), F.lit(0.0)), 6))
+    order = [F.desc("score"), F.round(F.abs("t"), 6).desc(), F.desc("n"), F.round(F.abs("m"), 6).desc(), F.col("stream"), F.col("symbol")]
+    top = c.orderBy(*order).limit(20)
+    return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "symbol", "stream", "n", "score")
+
+
 @CAT.add("R8_transitions", f"""WITH {TICKS_SQL}, s AS (SELECT *, lag(stream) OVER o AS f FROM ticks WINDOW o AS (PARTITION BY symbol ORDER BY ts_event, seq)), c AS (SELECT *, lag(ts_event) OVER (PARTITION BY symbol ORDER BY ts_event, seq) AS since FROM s WHERE f IS NULL OR f <> stream)
 SELECT symbol, f || '->' || stream AS transition, count(*) AS n, round(avg(ts_event - since), 6) AS avg_ms FROM c WHERE f IS NOT NULL GROUP BY 1, 2""")
 def r8(spark, sf_dir):
