@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from tidemark.operators import bars, execution, features, hypotheses, rollups, slices, stats, temporal
+from tidemark.operators import bars, clusters, execution, features, hypotheses, rollups, slices, stats, temporal
 
 
 def test_bucket_modes(spark):
@@ -88,3 +88,39 @@ def test_pushdown_of_page(spark, sf, tmp_path):
     spark.range(100).selectExpr("id ts_event", "id seq", "id other").write.parquet(str(tmp_path / "t"))
     plan = slices.after(spark.read.parquet(str(tmp_path / "t")), 5, 1).select("seq")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts_event,5)" in plan and "other" not in plan.split("ReadSchema")[-1]
+
+
+def test_correlated_columns_share_the_first_leader(spark):
+    names = ["a", "b", "c", "d"]
+    one = spark.createDataFrame([(0.9, 0.1, 0.2, 0.95, 0.0, 0.85)], "a_b double, a_c double, a_d double, b_c double, b_d double, c_d double")
+    got = {r["feature"]: r["cluster"] for r in stats.correlation_clusters(one, names).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c"}  # c goes with b, but b leads no cluster
+    assert abs(stats.correlation_clusters(one, names).first()["redundancy"] - (0.95 + 0.9 + 0.85 + 0.2 + 0.1) / 5) < 1e-12
+
+
+def test_offsets_of_one_sort_equal_joins_one_by_one(spark):
+    rows = [(k, t * 7 % 50, i, float(t)) for i, (k, t) in enumerate((k, t) for k in "ab" for t in range(25))]
+    df = spark.createDataFrame(rows, "k string, ts_event long, seq long, v double")
+    for forward, one in ((False, temporal.asof_backward), (True, temporal.asof_forward)):
+        offsets = {"x": 5, "y": -9, "z": 0}
+        got = {r["seq"]: (r["x"], r["y"], r["z"]) for r in temporal.asof_each(df, df, ["k"], "v", offsets, forward, 6).collect()}
+        want = [{r["seq"]: r["r_v"] for r in one(df, df, ["k"], ["v"], o, 6).collect()} for o in offsets.values()]
+        assert got == {s: tuple(w[s] for w in want) for s in want[0]}
+
+
+def test_clusters_of_distant_groups(spark):
+    centres = [(0.0, 100.0), (10.0, 0.0), (20.0, 300.0), (30.0, 50.0)]
+    rows = [(i, c[0] + i % 5 * 0.1, c[1] + i % 3, float(g)) for g, c in enumerate(centres) for i in range(40)]
+    df = spark.createDataFrame([*rows, (99, None, 1.0, 0.0), (98, float("nan"), 1.0, 0.0)], "i long, x double, y double, r double")
+    c = clusters.fit(df, ["x", "y"])
+    got = clusters.predict(df, c).collect()
+    for row in got:
+        if row["i"] > 90:
+            assert row["cluster"] is None and row["confidence"] == 0 and row["cluster_regime"] is None
+            continue
+        far = [((row["x"] - a) ** 2 + (row["y"] - b) ** 2) ** 0.5 for a, b in c.centroids]
+        assert row["cluster"] == far.index(min(far)) == row["r"] and abs(row["distance"] - min(far)) < 1e-9
+        assert abs(row["confidence"] - max(0, 1 - min(far) / c.reach[row["cluster"]])) < 1e-9 and (row["cluster_regime"] is None) == (row["confidence"] < 0.3)
+    scan = {r["cluster"]: r for r in clusters.cluster_scan(df, c, "r").collect()}
+    assert {k: (r["n_in"], r["n_out"], r["mean_in"]) for k, r in scan.items()} == {g: (40, 122, float(g)) for g in range(4)}
+    assert clusters.predict(df, clusters.fit(df.limit(0), ["x", "y"])).filter("cluster is not null").count() == 0

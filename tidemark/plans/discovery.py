@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import clusters as cl
 from ..operators import discovery as d
 from ..operators.rollups import first_of
 from ..operators.slices import ranked
@@ -216,4 +217,24 @@ def o15(spark, sf_dir):
     return rounded(ranked(x, ["c_mktsegment"], [F.desc("median_balance"), F.desc("n"), F.col("c_nationkey")], "selection_rank").filter("selection_rank <= 3"))
 
 
+def clustered(spark, sf_dir):
+    """Quotes with a forward return, and the clusters of their price, width and size."""
+    q = quotes(spark, sf_dir)
+    o = Window.partitionBy("stream", "week").orderBy("ts_event", "seq")
+    q = q.select("seq", F.log("mid").alias("level"), ((F.col("ask_price") - F.col("bid_price")) / F.col("mid") * 10000).alias("width"), F.col("bid_qty").alias("size"), F.log(F.lead("mid").over(o) / F.col("mid")).alias("next_return"))
+    return q, cl.fit(q, ["level", "width", "size"])
+
+
+@CAT.add("M18_W28_cluster_regime")
+def m18(spark, sf_dir):
+    q, clusters = clustered(spark, sf_dir)
+    return rounded(cl.predict(q, clusters).select("seq", "cluster", "distance", "confidence", "cluster_regime"))
+
+
+@CAT.add("M21_cluster_scan")
+def m21(spark, sf_dir):
+    q, clusters = clustered(spark, sf_dir)
+    return rounded(cl.cluster_scan(q.filter("next_return is not null"), clusters, "next_return"))
+
+
 QUERIES, ORACLES = CAT.queries, CAT.oracles
