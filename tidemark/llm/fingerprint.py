@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 UNSPACED = r"\u0E00-\u109F\u1780-\u17FF\u2000-\x{10FFFF}"
 CUTS = r"fkpwxzFKPWXZ06\x{C6}\x{CC}\x{D2}\x{D8}\x{DE}\x{E4}\x{EA}\x{F0}\x{F6}\x{FC}!-/:-@\[-`{-~"
 LONGEST = 24
-K = 3
+K = 4
 POSITION_BITS = 26
 LOW = (1 << POSITION_BITS) - 1
 
