@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, langid, mixing, packing, signature_join, token_counts, toxicity, urlfilter, warc
+from . import ann, chat, filter_audit, fingerprint, langid, mixing, packing, repair, signature_join, token_counts, toxicity, urlfilter, warc
 from .store import shared_path
 
 
@@ -125,5 +125,62 @@ SELECT doc_id, source, size, source_size, target,
 FROM c
 """
 
-QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_url_filters": op5_url_filters, "op2_packing": op2_packing, "op6_language_id": op6_language_id, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_ngram_join": op9_ngram_join, "op10_mixing": op10_mixing}
-ORACLES = {"op1_warc": OP1_SQL, "op10_mixing": OP10_SQL}
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = rows.select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_conversations(rows, tokenizer_path()), in_place=True)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(repair.damage(table(spark, sf_dir, "conversations")), present_col="present")
+    turns = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return found.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(turns, "\n"), 256).alias("repaired_sha256")
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), m AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT w.part, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic,
+         [len(words) < 100,
+          100 * len(list_distinct(words)) < 80 * len(words),
+          100 * len(regexp_replace(w.text, '[^A-Z]', '', 'g')) > 10 * len(w.text),
+          regexp_matches(w.text, '[#$%&*|]'),
+          coalesce(min(w.doc_id) OVER (PARTITION BY w.text) < w.doc_id, false)] AS fails
+  FROM w LEFT JOIN m ON w.doc_id = m.doc_id
+), g AS (
+  SELECT part, fails, len([x FOR x IN fails IF x]) AS n_fails, count(*) AS n, count(*) FILTER (good) AS good_n, count(*) FILTER (toxic) AS toxic_n
+  FROM f GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT g.*, filter_order, step, ascii(filter_order[step]) - 64 AS own,
+         coalesce(list_min([i FOR i IN [1, 2, 3, 4, 5] IF fails[ascii(filter_order[i]) - 64]]), 6) AS first
+  FROM g, o, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)
+), r AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (first > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (first = step), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails[own] AND first < step), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails[own] AND n_fails = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good_n) FILTER (first = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic_n) FILTER (first = step), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op4_token_counts": op4_token_counts, "op5_url_filters": op5_url_filters, "op2_packing": op2_packing, "op6_language_id": op6_language_id, "op7_ann": op7_ann, "op8_fingerprints": op8_fingerprints, "op9_ngram_join": op9_ngram_join, "op10_mixing": op10_mixing, "op11_chat_windows": op11_chat_windows, "op12_conversation_repair": op12_conversation_repair, "op13_filter_audit": op13_filter_audit}
+ORACLES = {"op1_warc": OP1_SQL, "op10_mixing": OP10_SQL, "op13_filter_audit": OP13_SQL}
