@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from .features import clamp
 from .rollups import first_of
+from .scans import null_safe_join, number, value_counts
 from .stats import index_quantile, pearson
 
 EVENTS_PER_YEAR = 7_200_000
@@ -83,15 +84,9 @@ def edge_statistics(patterns: DataFrame) -> DataFrame:
     })
 
 
-def numbered(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """_i from 0 in order, and _n, the key's rows."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({"_i": F.row_number().over(w.orderBy("ts_event", "seq")) - 1, "_n": F.count("*").over(w)})
-
-
 def out_of_sample(df: DataFrame, by: Sequence[str], train: float = 0.7, min_sharpe: float = 0.5, max_loss: float = 0.5) -> DataFrame:
     """The first ``train`` of the rows against the rest."""
-    x = numbered(df, by)
+    x = number(df, by)
     inside = F.col("_i") < F.floor(F.col("_n") * train)
     a, b = F.when(inside, F.col("r")), F.when(~inside, F.col("r"))
     x = x.groupBy(*by).agg(sharpe(a).alias("is_sharpe"), sharpe(b).alias("oos_sharpe"), F.count(a).alias("is_trades"), F.count(b).alias("oos_trades"))
@@ -105,7 +100,7 @@ def walk_forward(df: DataFrame, by: Sequence[str], size: int = 5000, step: int =
     """Sharpe ratios of overlapping windows: their share above 0, slope and deviation."""
     i = F.col("_i")
     first = F.greatest(F.lit(0), F.ceil((i - size + 1) / step)).cast("long")
-    x = numbered(df, by).withColumn("_k", F.sequence(first, F.floor(i / step).cast("long"), F.lit(1).cast("long")))
+    x = number(df, by).withColumn("_k", F.sequence(first, F.floor(i / step).cast("long"), F.lit(1).cast("long")))
     x = x.filter(first <= F.floor(i / step)).select(*by, "r", "_n", F.explode("_k").alias("_k")).filter(F.col("_k") * step + size <= F.col("_n"))
     w = x.groupBy(*by, "_k").agg(sharpe(F.col("r")).alias("_s"))
     out = w.groupBy(*by).agg(
@@ -117,7 +112,7 @@ def walk_forward(df: DataFrame, by: Sequence[str], size: int = 5000, step: int =
 
 def decay(df: DataFrame, by: Sequence[str], size: int = 1000, max_rate: float = -0.001, max_psi: float = 0.25) -> DataFrame:
     """The slope of mean returns over windows that don't overlap, and the drift of regimes from the first quarter of rows to the last."""
-    x = numbered(df, by)
+    x = number(df, by)
     w = x.withColumn("_k", F.floor(F.col("_i") / size)).filter((F.col("_k") + 1) * size <= F.col("_n"))
     w = w.groupBy(*by, "_k").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("_m"))
     w = w.groupBy(*by).agg(F.count("*").alias("_w"), F.coalesce(F.regr_slope("_m", "_k"), F.lit(0.0)).alias("decay_rate"))
@@ -233,10 +228,12 @@ def outcome_importance(trades: DataFrame, by: Sequence[str], feature: str, pnl:
 
 def quartile_win_rates(trades: DataFrame, by: Sequence[str], feature: str, pnl: str) -> DataFrame:
     """Win rates by quartile of floor(n / 4) rows, the rest in the last; none for fewer than four rows. Ties are cut by (ts_event, seq)."""
-    w = Window.partitionBy(*by)
-    x = trades.filter(F.col(feature).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(feature, "ts_event", "seq")) - 1, "_n": F.count("*").over(w)})
-    x = x.filter("_n >= 4").withColumn("quartile", F.least(F.lit(3), F.floor(F.col("_i") / F.floor(F.col("_n") / 4))))
-    return x.groupBy(*by, "quartile").agg(F.count("*").alias("n"), F.avg((F.col(pnl) > 0).cast("int")).alias("win_rate"))
+    rows = trades.filter(F.col(feature).isNotNull())
+    places = value_counts(rows, by, feature).select(*by, F.col("_value").alias(feature), "before", F.col("total"))
+    # Equal values are numbered by time among themselves, from where their value begins.
+    x = null_safe_join(number(rows, [*by, feature]), places, [*by, feature]).filter("total >= 4")
+    quartile = F.least(F.lit(3), F.floor((F.col("before") + F.col("_i")) / F.floor(F.col("total") / 4)))
+    return x.withColumn("quartile", quartile).groupBy(*by, "quartile").agg(F.count("*").alias("n"), F.avg((F.col(pnl) > 0).cast("int")).alias("win_rate"))
 
 
 def alpha_score(importance: Column, correlation: Column, psi: Column) -> Column:

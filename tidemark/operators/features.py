@@ -1,14 +1,15 @@
 """Rolling features of a quote stream.
 
 A feature is null until its window holds exactly its number of values, and standard deviations are of
-the population. Windows are rows within a group in the order (ts_event, seq). Values that a feature
-leaves out (null returns, spreads that aren't positive) are removed before its window is laid and
-joined back by (ts_event, seq). Recursive averages run in groups, vectorised, in the group's order.
+the population. Windows are rows within a group in the order (ts_event, seq). Where a feature leaves
+values out (null returns, spreads that aren't positive), its window goes by the running count of those that
+are known, so nothing is joined back. Recursive averages run in groups, vectorised, in the group's order.
+A group may be a block of a key (see ``scans.in_blocks``), which is how a key with most rows is spread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window, WindowSpec
 from .temporal import asof_each
 
 ORDER = ("ts_event", "seq")
+STABILITY = {"volatility_ratio": 0.4, "trend_strength": 0.4, "spread_ratio": 0.2}
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -51,11 +53,24 @@ def stateless(q: DataFrame) -> DataFrame:
     })
 
 
+def last_known(q: DataFrame, by: Sequence[str], value: Column, columns: Callable[[Callable[[Column, int], Column]], dict[str, Column]]) -> DataFrame:
+    """Adds columns over the last n rows where ``value`` is known, null elsewhere and until there are n.
+
+    ``columns`` gets a function of an aggregate of _v (the value) and n.
+    """
+    x = q.withColumn("_v", value)
+    x = x.withColumn("_k", F.count("_v").over(ordered(by)))
+
+    def over(aggregate: Column, n: int) -> Column:
+        w = Window.partitionBy(*by).orderBy("_k").rangeBetween(1 - n, 0)
+        return F.when(F.col("_v").isNotNull() & (F.col("_k") >= n), aggregate.over(w))
+
+    return x.withColumns(columns(over)).drop("_v", "_k")
+
+
 def volatility(q: DataFrame, by: Sequence[str], n: int = 20, name: str = "volatility") -> DataFrame:
     """Deviation of the last n returns that aren't null."""
-    r = q.filter(F.col("return_1").isNotNull())
-    r = r.select(*by, *ORDER, full(F.col("return_1"), F.stddev_pop("return_1"), n, by).alias(name))
-    return q.join(r, [*by, *ORDER], "left")
+    return last_known(q, by, F.col("return_1"), lambda over: {name: over(F.stddev_pop("_v"), n)})
 
 
 def rsi(q: DataFrame, by: Sequence[str], n: int = 14) -> DataFrame:
@@ -85,7 +100,7 @@ def roc(q: DataFrame, by: Sequence[str], n: int = 10) -> DataFrame:
 def volatility_regime(q: DataFrame, by: Sequence[str], short: int = 20, long: int = 100) -> DataFrame:
     """The ratio of short to long deviation of returns, clamped to [0, 5] (1 where the long one is
     0), and its class: 0 below a half, 2 above 2, else 1."""
-    x = volatility(volatility(q, by, short, "_short"), by, long, "_long")
+    x = last_known(q, by, F.col("return_1"), lambda over: {"_short": over(F.stddev_pop("_v"), short), "_long": over(F.stddev_pop("_v"), long)})
     ratio = F.when(F.col("_long") == 0, 1.0).otherwise(F.try_divide("_short", "_long"))
     ratio = F.when(F.col("_long").isNotNull(), ratio)
     regime = F.when(ratio < 0.5, 0).when(ratio > 2, 2).when(ratio.isNotNull(), 1)
@@ -94,9 +109,8 @@ def volatility_regime(q: DataFrame, by: Sequence[str], short: int = 20, long: in
 
 def spread_ratio(q: DataFrame, by: Sequence[str], n: int = 100) -> DataFrame:
     """The spread over its mean of the last n positive ones, clamped to [0, 5], and its class."""
-    s = q.filter(F.col("ask_price") - F.col("bid_price") > 0).withColumn("_s", F.col("ask_price") - F.col("bid_price"))
-    s = s.select(*by, *ORDER, (F.col("_s") / full(F.col("_s"), F.avg("_s"), n, by)).alias("_r"))
-    x = q.join(s, [*by, *ORDER], "left")
+    width = F.col("ask_price") - F.col("bid_price")
+    x = last_known(q, by, F.when(width > 0, width), lambda over: {"_r": F.col("_v") / over(F.avg("_v"), n)})
     regime = F.when(F.col("_r") < 0.5, 0).when(F.col("_r") > 2, 2).when(F.col("_r").isNotNull(), 1)
     return x.withColumns({"spread_ratio": clamp(F.col("_r"), 0, 5), "regime_spread": regime}).drop("_r")
 
@@ -111,21 +125,18 @@ def bollinger_position(q: DataFrame, by: Sequence[str], n: int = 20, k: float =
 
 def return_momentum(q: DataFrame, by: Sequence[str], n: int = 20, weighted: bool = True) -> DataFrame:
     """The sum of the last n returns, or of their signs, over the sum of their sizes, 0 where all are 0."""
-    r = q.filter(F.col("return_1").isNotNull())
     move = F.col("return_1") if weighted else F.signum("return_1")
-    s, a = full(move, F.sum(move), n, by), full(move, F.sum(F.abs(move)), n, by)
-    r = r.withColumns({"_s": s, "_a": a})
+    x = last_known(q, by, move, lambda over: {"_s": over(F.sum("_v"), n), "_a": over(F.sum(F.abs("_v")), n)})
     value = F.when(F.col("_a") == 0, 0.0).otherwise(F.try_divide("_s", "_a"))
-    return q.join(r.select(*by, *ORDER, F.when(F.col("_a").isNotNull(), value).alias("return_momentum")), [*by, *ORDER], "left")
+    return x.withColumn("return_momentum", F.when(F.col("_a").isNotNull(), value)).drop("_s", "_a")
 
 
 def micro_reversion(q: DataFrame, by: Sequence[str], n: int = 50) -> DataFrame:
     """The mean of 1 for a change of sign of consecutive returns, 0 for the same sign, one half where one is 0."""
-    r = q.filter(F.col("return_1").isNotNull())
-    flip = F.signum("return_1") * F.signum(F.lag("return_1").over(ordered(by)))
-    r = r.withColumn("_f", F.when(flip < 0, 1.0).when(flip > 0, 0.0).when(flip.isNotNull(), 0.5))
-    r = r.select(*by, *ORDER, full(F.col("_f"), F.avg("_f"), n, by).alias("micro_reversion"))
-    return q.join(r, [*by, *ORDER], "left")
+    before = F.last("return_1", ignorenulls=True).over(ordered(by).rowsBetween(Window.unboundedPreceding, -1))
+    flip = F.signum("return_1") * F.signum(before)
+    flipped = F.when(flip < 0, 1.0).when(flip > 0, 0.0).when(flip.isNotNull(), 0.5)
+    return last_known(q, by, flipped, lambda over: {"micro_reversion": over(F.avg("_v"), n)})
 
 
 def quote_intensity(q: DataFrame, by: Sequence[str], n: int = 20, ranks: int = 200) -> DataFrame:
@@ -134,35 +145,43 @@ def quote_intensity(q: DataFrame, by: Sequence[str], n: int = 20, ranks: int = 2
     A span that isn't positive gives null and takes no place among the values.
     """
     span = F.col("ts_event") - F.lag("ts_event", n - 1).over(ordered(by))
-    r = q.withColumn("_rate", F.when(span > 0, n / (span / 1000.0))).filter(F.col("_rate").isNotNull())
-    w = ordered(by).rowsBetween(1 - ranks, 0)
-    values = F.collect_list("_rate").over(w)
-    rank = F.size(F.filter(values, lambda v: v <= F.col("_rate"))) / F.size(values)
-    r = r.withColumn("quote_intensity", F.when(F.size(values) == ranks, rank))
-    return q.join(r.select(*by, *ORDER, "quote_intensity"), [*by, *ORDER], "left")
+    x = last_known(q, by, F.when(span > 0, n / (span / 1000.0)), lambda over: {"_last": over(F.collect_list("_v"), ranks), "_rate": F.col("_v")})
+    return x.withColumn("quote_intensity", F.size(_no_larger(F.col("_last"), F.col("_rate"))) / F.lit(float(ranks))).withColumn(
+        "quote_intensity", F.when(F.col("_last").isNotNull(), F.col("quote_intensity"))
+    ).drop("_last", "_rate")
+
 
+def _all_known(names: Sequence[str]) -> Column:
+    """True where all are known, else null."""
+    return F.when(F.forall(F.array(*[F.col(c).isNotNull() for c in names]), lambda c: c), True)
 
-def regime_stability(q: DataFrame, by: Sequence[str], n: int, parts: dict[str, float]) -> DataFrame:
-    """A weighted mean of 1 - min(variance / 0.67, 1) of the named columns over n rows without nulls."""
-    rows = q.dropna(subset=list(parts))
-    total = sum((w * (1 - F.least(F.var_pop(c).over(ordered(by).rowsBetween(1 - n, 0)) / 0.67, F.lit(1.0))) for c, w in parts.items()), F.lit(0.0))
-    rows = rows.withColumn("regime_stability", F.when(F.count("*").over(ordered(by).rowsBetween(1 - n, 0)) == n, total))
-    return q.join(rows.select(*by, *ORDER, "regime_stability"), [*by, *ORDER], "left")
+
+def regime_stability(q: DataFrame, by: Sequence[str], n: int = 100, parts: Mapping[str, float] = STABILITY) -> DataFrame:
+    """A weighted mean of 1 - min(variance / 0.67, 1) of the named columns over n rows where all are known."""
+
+    def columns(over: Callable) -> dict[str, Column]:
+        steady = lambda c: 1 - F.least(over(F.var_pop(F.when(F.col("_v"), F.col(c))), n) / 0.67, F.lit(1.0))
+        return {"regime_stability": sum((w * steady(c) for c, w in parts.items()), F.lit(0.0))}
+
+    return last_known(q, by, _all_known(list(parts)), columns)
 
 
 def _no_larger(values: Column, than: Column) -> Column:
     return F.filter(values, lambda v: v <= than)
 
 
-def compression_score(q: DataFrame, by: Sequence[str], n: int, parts: dict[str, float]) -> DataFrame:
-    """A weighted mean of 1 - percentile rank of the named columns among their last n values."""
-    rows = q.dropna(subset=list(parts))
-    w = ordered(by).rowsBetween(1 - n, 0)
-    total = F.lit(0.0)
-    for c, weight in parts.items():
-        total = total + weight * (1 - F.size(_no_larger(F.collect_list(c).over(w), F.col(c))) / n)
-    rows = rows.withColumn("volatility_compression", F.when(F.count("*").over(w) == n, total))
-    return q.join(rows.select(*by, *ORDER, "volatility_compression"), [*by, *ORDER], "left")
+def behavior_divergence(q: DataFrame, by: Sequence[str]) -> DataFrame:
+    """W26."""
+    return q.withColumn("behavior_divergence", (F.col("return_momentum") - F.col("liquidity_pressure")) / 2)
+
+
+def compression_score(q: DataFrame, by: Sequence[str], n: int = 50, regime: float = 0.4, spread: float = 0.3, low: float = 0.3) -> DataFrame:
+    """A low volatility ratio, a narrowing spread, and how few of the last n volatilities are no larger, of rows where all three are known."""
+    parts = ("volatility_ratio", "spread_compression", "volatility")
+    x = last_known(q, by, _all_known(parts), lambda over: {"_last": over(F.collect_list(F.when(F.col("_v"), F.col("volatility"))), n)})
+    rank = F.size(_no_larger(F.col("_last"), F.col("volatility"))) / F.lit(float(n))
+    score = regime * clamp(2 - F.col("volatility_ratio"), 0, 1) + spread * (F.col("spread_compression") + 1) / 2 + low * (1 - rank)
+    return x.withColumn("volatility_compression_score", F.when(F.col("_last").isNotNull(), score)).drop("_last")
 
 
 def recursive(q: DataFrame, by: Sequence[str], names: Sequence[str], fold: Callable[[pd.DataFrame], dict[str, pd.Series]]) -> DataFrame:

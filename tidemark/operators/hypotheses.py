@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spacing import spaced
 from .stats import corr_t, pearson, t_stat
 from .temporal import asof_each, asof_forward, excursion, nearest
 
@@ -55,23 +55,10 @@ def volatility_grid(df: DataFrame, by: Sequence[str], value: str, deltas: Sequen
 
 
 def jumps(df: DataFrame, by: Sequence[str], value: str, threshold: float, cooldown_ms: int) -> DataFrame:
-    """A16's anchors: relative moves of at least the threshold, at least a cooldown after the last anchor.
-
-    The cooldown is greedy, so it folds over each group's jumps, which are few.
-    """
+    """A16's anchors: relative moves of at least the threshold, at least a cooldown after the last anchor."""
     o = Window.partitionBy(*by).orderBy("ts_event", "seq")
     x = df.withColumn("jump", F.col(value) / F.lag(value).over(o) - 1).filter(F.abs("jump") >= threshold).select(*by, "ts_event", "seq", value, "jump")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts_event", "seq"], kind="stable")
-        keep, last = [], None
-        for i, t in enumerate(group["ts_event"].to_numpy()):
-            if last is None or t - last >= cooldown_ms:
-                keep.append(i)
-                last = t
-        return group.iloc[keep]
-
-    return x.groupBy(*by).applyInPandas(fold, x.schema)
+    return spaced(x, by, cooldown_ms).filter("kept").drop("kept", "last_kept")
 
 
 def jump_reversion(df: DataFrame, by: Sequence[str], value: str, threshold: float, cooldown_ms: int, horizons: Sequence[int]) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import along, number
+from .spacing import spaced
+
 ORDER = ("ts_event", "seq")
 
 
@@ -52,25 +54,12 @@ def decode_cursor(cursor: Column) -> Column:
 
 
 def every_nth(df: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*ORDER)
-    return df.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") % n == 0).drop("_i")
+    return number(df, by).filter((F.col("_i") + 1) % n == 0).drop("_i", "_n")
 
 
 def min_interval(df: DataFrame, interval_ms: int, by: Sequence[str]) -> DataFrame:
-    """Keeps a row if the last one kept is at least an interval before. Greedy, so each group is one fold over
-    its times; the other columns join the kept keys afterwards."""
-    kept = df.select(*by, *ORDER)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(ORDER), kind="stable")
-        times, keep, last = group["ts_event"].to_numpy(), [], None
-        for i, t in enumerate(times):
-            if last is None or t - last >= interval_ms:
-                keep.append(i)
-                last = t
-        return group.iloc[keep]
-
-    return df.join(kept.groupBy(*by).applyInPandas(fold, kept.schema), [*by, *ORDER], "left_semi")
+    """Keeps a row if the last one kept is at least an interval before."""
+    return spaced(df, by, interval_ms).filter("kept").drop("kept", "last_kept")
 
 
 def cap_per_group(df: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
@@ -109,10 +98,11 @@ def merged(df: DataFrame, by: Sequence[str], file_col: str, row_col: str) -> Dat
     return df.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
 
 
-def order_faults(df: DataFrame, by: Sequence[str], arrival: str) -> DataFrame:
-    """Rows, duplicates and regressions of (ts_event, seq) in order of arrival."""
-    key, last = F.struct(*ORDER), F.lag(F.struct(*ORDER)).over(Window.partitionBy(*by).orderBy(arrival))
-    x = df.select(*by, F.when(last.isNull(), "first").when(key == last, "duplicate").when(key < last, "regression").otherwise("ok").alias("_s"))
+def order_faults(df: DataFrame, by: Sequence[str], arrival: str, width: int = 1_000_000) -> DataFrame:
+    """Rows, duplicates and regressions of (ts_event, seq) in order of arrival, a number; ``width`` of it are sorted together."""
+    x = along(df.select(*by, *ORDER, arrival), by, {"_last": lambda w: F.lag(F.struct(*ORDER)).over(w)}, before=1, order=(arrival,), width=width)
+    key, last = F.struct(*ORDER), F.col("_last")
+    x = x.select(*by, F.when(last.isNull(), "first").when(key == last, "duplicate").when(key < last, "regression").otherwise("ok").alias("_s"))
     count = lambda s: F.count_if(F.col("_s") == s)
     return x.groupBy(*by).agg(F.count("*").alias("n"), count("duplicate").alias("duplicates"), count("regression").alias("regressions"))
 

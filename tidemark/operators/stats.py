@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import null_safe_join, number, sorted_values, value_counts
+
 
 def t_stat(value: Column) -> Column:
     """Mean over its standard error; 0 for fewer than two values or without variance."""
@@ -31,12 +33,14 @@ def corr_t(r: Column, n: Column) -> Column:
     return F.when((n <= 2) | (F.abs(r) >= 1), 0.0).otherwise(r * F.sqrt(F.try_divide((n - 2).cast("double"), 1 - r * r)))
 
 
+def _at(q: float, last: bool = False):
+    """A share, and its place by index among n sorted values."""
+    return q, lambda n: F.least(F.floor(F.lit(q) * (n - (1 if last else 0))), n - 1)
+
+
 def index_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, last: bool = False) -> DataFrame:
     """(by, quantile): the sorted value at floor(q n), or with ``last`` at floor(q (n - 1))."""
-    w = Window.partitionBy(*by)
-    x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.count("*").over(w).alias("_n"), F.row_number().over(w.orderBy(value)).alias("_i"))
-    at = F.floor(F.lit(q) * (F.col("_n") - (1 if last else 0))) + 1
-    return x.filter(F.col("_i") == F.least(at, F.col("_n"))).select(*by, F.col("_v").alias("quantile"))
+    return sorted_values(df, by, value, {"quantile": _at(q, last)})
 
 
 def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -44,12 +48,12 @@ def distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     sd = F.stddev_pop(value)
     shape = lambda f: F.when(sd == 0, 0.0).otherwise(F.coalesce(F.nanvl(f(value), F.lit(0.0)), F.lit(0.0)))
     sums = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), sd.alias("std"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.count(value).alias("n"), F.avg(value).alias("mean"), sd.alias("std"), F.min(value).alias("min"), F.max(value).alias("max"),
         shape(F.skewness).alias("skew"), shape(F.kurtosis).alias("excess_kurtosis"),
     )
-    for name, q in (("q1", 0.25), ("q3", 0.75)):
-        sums = sums.join(index_quantile(df, by, value, q).withColumnRenamed("quantile", name), list(by), "left")
-    return sums.withColumn("iqr", F.col("q3") - F.col("q1"))
+    places = {"q1": _at(0.25), "q3": _at(0.75), "_low": (0.5, lambda n: F.floor((n - 1) / 2)), "_high": (0.5, lambda n: F.floor(n / 2))}
+    out = null_safe_join(sums, sorted_values(df, by, value, places), by, "left")
+    return out.withColumns({"median": (F.col("_low") + F.col("_high")) / 2, "iqr": F.col("q3") - F.col("q1")}).drop("_low", "_high")
 
 
 def outliers(df: DataFrame, by: Sequence[str], value: str, k: float = 1.5) -> DataFrame:
@@ -59,11 +63,10 @@ def outliers(df: DataFrame, by: Sequence[str], value: str, k: float = 1.5) -> Da
 
 def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, side: str) -> DataFrame:
     """M3: the largest distance of two samples' distribution functions (side 0 and 1), and its asymptotic p."""
-    steps = df.groupBy(*by, value).agg(F.count_if(F.col(side) == 0).alias("_a"), F.count_if(F.col(side) == 1).alias("_b"))
-    whole = Window.partitionBy(*by)
-    up = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("_a").over(up) / F.sum("_a").over(whole) - F.sum("_b").over(up) / F.sum("_b").over(whole))
-    x = steps.select(*by, "_a", "_b", gap.alias("_gap")).groupBy(*by).agg(F.max("_gap").alias("d"), F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"))
+    of = lambda k: (F.col(side) == k).cast("long")
+    steps = value_counts(df.filter(F.col(side).isin(0, 1)), by, value, more={"a": of(0), "b": of(1)})
+    gap = F.abs((F.col("before_a") + F.col("a")) / F.col("total_a") - (F.col("before_b") + F.col("b")) / F.col("total_b"))
+    x = steps.groupBy(*by).agg(F.max(gap).alias("d"), F.max("total_a").alias("n_a"), F.max("total_b").alias("n_b"))
     n = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
     lam = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * F.col("d")
     term = lambda i: F.when(i % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * i * i * lam * lam)
@@ -72,9 +75,9 @@ def ks_two_sample(df: DataFrame, by: Sequence[str], value: str, side: str) -> Da
 
 
 def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn(name, F.rank().over(w.orderBy(value)) + (ties - 1) / 2)
+    """Adds the rank from 1, ties at their mean; a null has none."""
+    ranks = value_counts(df, by, value).select(*by, F.col("_value").alias(value), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return null_safe_join(df, ranks, [*by, value], "left")
 
 
 def label_balance(df: DataFrame, by: Sequence[str], label: str) -> DataFrame:
@@ -93,8 +96,7 @@ def window_drift(df: DataFrame, by: Sequence[str], label: str, size: int = 1000)
     A row belongs to two windows. Windows that aren't full are left out.
     """
     half = size // 2
-    i = F.row_number().over(Window.partitionBy(*by).orderBy("ts_event", "seq")) - 1
-    x = df.withColumn("_h", F.floor(i / half)).withColumn("window", F.explode(F.array(F.col("_h"), F.col("_h") - 1))).filter("window >= 0")
+    x = number(df, by).withColumn("_h", F.floor(F.col("_i") / half)).withColumn("window", F.explode(F.array(F.col("_h"), F.col("_h") - 1))).filter("window >= 0")
     c = x.groupBy(*by, "window", label).count()
     full = c.groupBy(*by, "window").agg(F.sum("count").alias("_n")).filter(F.col("_n") == size).select(*by, "window")
     c = c.join(full, [*by, "window"])

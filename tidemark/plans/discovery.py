@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..operators import clusters as cl
 from ..operators import discovery as d
 from ..operators.rollups import first_of
+from ..operators.scans import along
 from ..operators.slices import ranked
 from ..sources.events import QUOTES_SQL, TICKS_SQL, quotes, table, ticks
 from .registry import Catalogue, rounded
@@ -22,12 +23,11 @@ FEATURES, RETURNS = ["f_imbalance", "f_place"], ["h10", "h50"]
 
 def rows(spark, sf_dir):
     """Two features in [-1, 1], two forward returns, a regime, and the trades of one pattern."""
-    o = Window.partitionBy("stream").orderBy("ts_event", "seq")
-    ahead = lambda n: F.lead("mid", n).over(o) / F.col("mid") - 1
-    q = quotes(spark, sf_dir)
+    ahead = lambda n: lambda w: F.lead("mid", n).over(w) / F.col("mid") - 1
+    q = along(quotes(spark, sf_dir), ["stream"], {"h10": ahead(10), "h50": ahead(50)}, after=50)
     x = q.select(
         "stream", "ts_event", "seq", ((F.col("bid_qty") - F.col("ask_qty")) / (F.col("bid_qty") + F.col("ask_qty"))).alias("f_imbalance"),
-        ((F.col("symbol") % 21) / F.lit(10.0) - 1).alias("f_place"), ahead(10).alias("h10"), ahead(50).alias("h50"), (F.col("seq") % 3).alias("regime"),
+        ((F.col("symbol") % 21) / F.lit(10.0) - 1).alias("f_place"), "h10", "h50", (F.col("seq") % 3).alias("regime"),
     )
     return x.withColumn("r", F.when(F.col("f_imbalance") > 0.3, F.col("h10")).when(F.col("f_imbalance") < -0.3, -F.col("h10")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import stats as s
+from ..operators.scans import number
 from ..sources.events import TICKS_SQL, table, ticks
 from .registry import Catalogue, rounded
 
@@ -143,9 +144,8 @@ def m14_grid(spark, sf_dir):
 @CAT.add("M15_chronological_split", f"""WITH {TICKS_SQL}, r AS (SELECT seq, stream, row_number() OVER (PARTITION BY stream ORDER BY ts_event, seq) AS i, count(*) OVER (PARTITION BY stream) AS n FROM ticks)
 SELECT seq, stream, CASE WHEN i <= floor(n * 0.7) THEN 'train' WHEN i <= floor(n * 0.85) THEN 'valid' ELSE 'test' END AS split FROM r""")
 def m15(spark, sf_dir):
-    w = Window.partitionBy("stream")
-    i, n = F.row_number().over(w.orderBy("ts_event", "seq")), F.count("*").over(w)
-    return ticks(spark, sf_dir).select("seq", "stream", F.when(i <= F.floor(n * 0.7), "train").when(i <= F.floor(n * 0.85), "valid").otherwise("test").alias("split"))
+    i, n = F.col("_i") + 1, F.col("_n")
+    return number(ticks(spark, sf_dir), ["stream"]).select("seq", "stream", F.when(i <= F.floor(n * 0.7), "train").when(i <= F.floor(n * 0.85), "valid").otherwise("test").alias("split"))
 
 
 def welch_sql(by: str) -> str:
