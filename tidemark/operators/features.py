@@ -161,7 +161,8 @@ def regime_stability(q: DataFrame, by: Sequence[str], n: int = 100, parts: Mappi
 
     def columns(over: Callable) -> dict[str, Column]:
         steady = lambda c: 1 - F.least(over(F.var_pop(F.when(F.col("_v"), F.col(c))), n) / 0.67, F.lit(1.0))
-        return {"regime_stability": sum((w * steady(c) for c, w in parts.items()), F.lit(0.0))}
+        total = sum((w * steady(c) for c, w in parts.items()), F.lit(0.0))
+        return {"regime_stability": F.when(over(F.count("_v"), n).isNotNull(), total)}
 
     return last_known(q, by, _all_known(list(parts)), columns)
 

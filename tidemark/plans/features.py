@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import features as f
-from ..operators import temporal
+from ..operators import registry, temporal
 from ..sources.events import QUOTES_SQL, TICKS_SQL, quotes, ticks
 from .registry import Catalogue, rounded
 
@@ -144,15 +144,41 @@ def w25(spark, sf_dir):
     return out(f.quote_intensity(quotes(spark, sf_dir), BY, 20, 50), "quote_intensity")
 
 
-@CAT.add("W21_W26_W27_derived")
+def whole_stream(name: str) -> str:
+    """A feature's SQL over whole streams, with all digits."""
+    return CAT.oracles[name].replace("PARTITION BY stream, week", "PARTITION BY stream").replace(", 6) AS", ", 15) AS")
+
+
+SINGLE = ("W03_return_1", "W04_volatility", "W05_W17_ema", "W06_rsi", "W07_atr", "W08_roc", "W09_W12_volatility_regime", "W10_W13_trend", "W11_W14_spread_ratio", "W16_W19_W22_W23_imbalance", "W18_bollinger", "W20_momentum", "W24_micro_reversion")
+INTENSITY_SQL = whole_stream("W25_quote_intensity").replace("49 PRECEDING", "199 PRECEDING").replace("len(v) = 50", "len(v) = 200").replace("/ 50.0", "/ 200.0")
+TABLE_SQL = f"""WITH q AS (WITH {QUOTES_SQL} SELECT seq, stream, ts_event FROM quotes),
+v AS (SELECT * FROM q JOIN ({whole_stream("W01_W02_W15_book")}) USING (seq) {" ".join(f"JOIN ({whole_stream(n)}) USING (seq)" for n in SINGLE)} JOIN ({INTENSITY_SQL}) USING (seq)),
+s AS (SELECT seq, CASE WHEN count(*) OVER w = 100 THEN 0.4 * (1 - least(var_pop(volatility_ratio) OVER w / 0.67, 1)) + 0.4 * (1 - least(var_pop(trend_strength) OVER w / 0.67, 1)) + 0.2 * (1 - least(var_pop(spread_ratio) OVER w / 0.67, 1)) END AS regime_stability
+FROM v WHERE volatility_ratio IS NOT NULL AND trend_strength IS NOT NULL AND spread_ratio IS NOT NULL WINDOW w AS (PARTITION BY stream ORDER BY ts_event, seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+l AS (SELECT *, list(volatility) OVER (PARTITION BY stream ORDER BY ts_event, seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS l FROM v WHERE volatility_ratio IS NOT NULL AND spread_compression IS NOT NULL AND volatility IS NOT NULL),
+c AS (SELECT seq, 0.4 * least(greatest(2 - volatility_ratio, 0), 1) + 0.3 * (spread_compression + 1) / 2 + 0.3 * (1 - len(list_filter(l, lambda x: x <= volatility)) / 50.0::DOUBLE) AS volatility_compression_score FROM l WHERE len(l) = 50),
+t AS (SELECT *, (return_momentum - liquidity_pressure) / 2 AS behavior_divergence FROM v LEFT JOIN s USING (seq) LEFT JOIN c USING (seq))"""
+
+
+def known_sql(names) -> str:
+    whole = ("regime_volatility", "regime_trend", "regime_spread", "microprice")  # classes, and a value whose sixth place has ties
+    shown = ", ".join(n if n in whole else f"round({n}, 6) AS {n}" for n in names)
+    return f"{TABLE_SQL} SELECT seq, {shown} FROM t WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}"
+
+
+DERIVED = ("regime_stability", "behavior_divergence", "volatility_compression_score")
+
+
+@CAT.add("W21_W26_W27_derived", known_sql(DERIVED))
 def w21(spark, sf_dir):
-    x = f.return_momentum(f.spread_ratio(f.volatility_regime(base(spark, sf_dir), BY, 20, 40), BY, 40), BY)
-    x = f.recursive(x, BY, ["ema", "ema_slope", "trend_strength", "regime_trend"], f.trend_fold)
-    x = f.recursive(x, BY, ["imbalance_ema", "liquidity_pressure", "spread_compression", "imbalance_acceleration"], f.imbalance_fold)
-    x = f.regime_stability(x, BY, 30, {"volatility_ratio": 0.4, "trend_strength": 0.4, "spread_ratio": 0.2})
-    x = f.compression_score(x, BY, 30, {"volatility_ratio": 0.4, "spread_ratio": 0.3, "spread_compression": 0.3})
-    x = x.withColumn("behavior_divergence", (F.col("return_momentum") - F.col("liquidity_pressure")) / 2)
-    return out(f.complete(x, ["regime_stability", "volatility_compression", "behavior_divergence"]), "regime_stability", "volatility_compression", "behavior_divergence")
+    return out(registry.feature_table(quotes(spark, sf_dir), ["stream"], DERIVED), *DERIVED)
+
+
+@CAT.add("W_feature_table", known_sql(registry.FEATURES))
+def feature_table(spark, sf_dir):
+    """All features by name over whole streams, where all are known."""
+    x = registry.feature_table(quotes(spark, sf_dir), ["stream"])
+    return rounded(x.select("seq", *registry.FEATURES), but=["microprice"])
 
 
 UNIT = 600_000

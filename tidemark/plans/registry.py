@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,6 @@ class Catalogue:
         return take
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6, but: Sequence[str] = ()) -> DataFrame:
     """Doubles to a number of places, so that sums taken in another order give the same value."""
-    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c, t in df.dtypes if t in ("double", "float")})
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c, t in df.dtypes if t in ("double", "float") and c not in but})
