@@ -57,13 +57,6 @@ def test_meta(spark):
     assert not files.merged_meta(m.union(m.withColumn("schema_version", F.lit("2")))).first()["consistent"]
 
 
-def test_permutation(spark):
-    """A pattern that is all of the difference is never matched by chance; one that is none of it mostly is."""
-    x = spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias("seq"), (F.col("id") % 2 == 0).alias("hit"), (F.col("id") % 2).cast("double").alias("v"), (F.floor(F.col("id") / 2) % 2).cast("double").alias("w"))
-    assert discovery.permutation_p(x, ["k"], "v", "hit").first()["p"] == 0.0
-    assert discovery.permutation_p(x, ["k"], "w", "hit").first()["p"] == 1.0
-
-
 def test_four_tests(spark):
     score, verdict = discovery.four_tests(F.lit(0.02), F.lit(None).cast("double"), F.lit(0.4), F.lit(True), tests=5)
     assert tuple(spark.range(1).select(score, verdict).first()) == (0.5, "WEAK")

@@ -7,7 +7,8 @@ is exploded into them, and windows that aren't full are left out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .features import clamp
 from .rollups import first_of
-from .scans import null_safe_join, number, value_counts
+from .scans import at_home, in_blocks, memory, null_safe_join, number, value_counts
 from .stats import index_quantile, pearson
 
 EVENTS_PER_YEAR = 7_200_000
@@ -170,21 +171,6 @@ def four_tests(t_p: Column, permutation_p: Column, sharpe_ratio: Column, regimes
     return score, first_of((score >= 0.75, "ACCEPT"), (score >= 0.5, "WEAK"), default="REJECT")
 
 
-def permutation_p(df: DataFrame, by: Sequence[str], value: str, hit: str, seq: str = "seq", rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """How often chance splits of the same expected size differ in mean as much as the pattern does.
-
-    A round's split is a hash of (row, round) below the pattern's share. Every row meets every round where it is
-    read; only one row of partial sums a task, key and round is shuffled.
-    """
-    share = df.groupBy(*by).agg(F.avg(F.col(hit).cast("int")).alias("_share"))
-    gap = lambda h: F.coalesce(F.avg(F.when(h, F.col(value))) - F.avg(F.when(~h, F.col(value))), F.lit(0.0))
-    own = df.groupBy(*by).agg(gap(F.col(hit)).alias("gap"))
-    x = df.select(*by, F.col(seq).alias("_seq"), value).join(F.broadcast(share), list(by)).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    drawn = F.pmod(F.xxhash64("_seq", F.lit(seed), "_round"), F.lit(1 << 30)) / float(1 << 30) < F.col("_share")
-    chance = x.groupBy(*by, "_round").agg(gap(drawn).alias("_chance")).join(own, list(by))
-    return chance.groupBy(*by).agg(F.first("gap").alias("gap"), (F.count_if(F.abs("_chance") >= F.abs("gap")) / rounds).alias("p"))
-
-
 def regimes_hold(df: DataFrame, by: Sequence[str], regime: str, value: str, hit: str, min_sharpe: float = 0.5) -> DataFrame:
     """Whether a pattern's Sharpe ratio reaches ``min_sharpe`` in every regime that it matches in; true where it matches in none."""
     matched = df.filter(F.col(hit) & F.col(value).isNotNull()).groupBy(*by, regime).agg(sharpe(F.col(value)).alias("_sharpe"))
@@ -192,17 +178,58 @@ def regimes_hold(df: DataFrame, by: Sequence[str], regime: str, value: str, hit:
     return df.select(*by).distinct().join(held, list(by), "left").select(*by, F.coalesce("_held", F.lit(True)).alias("regimes_hold"))
 
 
+def _running(trades: DataFrame, by: Sequence[str], pnl: str) -> DataFrame:
+    """trades, wins, avg_return and losses_in_row after each trade."""
+    v, i = F.col(pnl), F.col("_i")
+    x = number(trades, by, sums={"wins": (v > 0).cast("long"), "_sum": v})
+    x = x.withColumn("_stop", F.when(~F.coalesce(v < 0, F.lit(False)), i))
+    last = number(x.drop("_i", "_n"), by, highest={"_stop": F.col("_stop")})
+    return last.withColumns({
+        "trades": i + 1, "wins": F.coalesce("wins", F.lit(0)), "avg_return": F.col("_sum") / (i + 1), "losses_in_row": i - F.coalesce("_stop", F.lit(-1)),
+    }).drop("_sum", "_stop")
+
+
 def running_stats(trades: DataFrame, by: Sequence[str], pnl: str = "pnl", confidence: float = 0.5) -> DataFrame:
-    """After each trade, a key's trades, wins, losses in a row, mean return, health, and whether it is retired."""
-    o = Window.partitionBy(*by).orderBy("ts_event", "seq")
-    up = o.rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col(pnl)
-    x = trades.withColumns({"trades": F.count(pnl).over(up), "wins": F.count_if(v > 0).over(up), "avg_return": F.avg(pnl).over(up), "_run": F.count_if(~(v < 0)).over(up)})
-    x = x.withColumn("losses_in_row", F.count_if(v < 0).over(Window.partitionBy(*by, "_run").orderBy("ts_event", "seq").rowsBetween(Window.unboundedPreceding, 0)))
-    bad = ((F.col("trades") > 50) & (F.col("avg_return") < -0.001)).cast("int")
+    """After each trade, a key's trades, wins, losses in a row, mean return, health, and whether it is retired. Trades have a pnl."""
+    x = _running(trades, by, pnl)
     health = 0.5 * clamp(2 * F.col("wins") / F.col("trades"), 0, 1) + 0.3 * confidence + 0.2 * F.least(F.lit(1.0), F.col("trades") / 100)
-    x = x.withColumns({"_bad": bad, "health": health})
-    return x.withColumn("retired", F.max("_bad").over(up) == 1).drop("_run", "_bad")
+    bad = (F.col("trades") > 50) & (F.col("avg_return") < -0.001)
+    x = x.withColumn("health", health)
+    first = x.filter(bad).groupBy(*by).agg(F.min("_i").alias("_bad"))
+    x = null_safe_join(x, first, by, "left")
+    return x.withColumn("retired", F.coalesce(F.col("_i") >= F.col("_bad"), F.lit(False))).drop("_bad", "_i", "_n")
+
+
+#: Fixed values of the live learning loop.
+LEARNING = {"alpha": 0.05, "min_trades": 30, "confidence_drop": 0.15, "losses": 10, "win_rate_drop": 0.1}
+
+
+def live_confidence(trades: DataFrame, by: Sequence[str], pnl: str = "pnl", start: Column | float = 0.5, baseline_confidence: Column | float | None = None, baseline_win_rate: Column | float | None = None, rules: Mapping[str, float] = LEARNING) -> DataFrame:
+    """After each trade a key's confidence, and its alerts against a baseline.
+
+    From trade ``min_trades`` on, confidence moves to 1 for a win and to 0 else by ``alpha``. The average is a chain of affine
+    maps: what is left of the start falls with the number of moves, and the moves themselves are a weighted sum within a
+    block and the memory before it. An unknown baseline gives no alerts of its kind, as no baseline gives none at all.
+    """
+    alpha, warm = float(rules["alpha"]), int(rules["min_trades"])
+    rest = 1 - alpha
+    back = memory(alpha)
+    size = max(back, int(500 / -math.log(rest)) - back)  # powers over a block stay within a double
+    x = in_blocks(_running(trades, by, pnl), by, before=back, size=size)
+    i, moved = F.col("_i"), F.col("_i") >= warm - 1
+    at = i - F.col("_blk") * size + back
+    up = Window.partitionBy(*by, "_blk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    moves = F.sum(F.when(moved & (F.col(pnl) > 0), alpha * F.pow(F.lit(rest), -at)).otherwise(0.0)).over(up) * F.pow(F.lit(rest), at)
+    left = F.pow(F.lit(rest), F.greatest(i - (warm - 2), F.lit(0)))
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v).cast("double")
+    x = at_home(x.withColumn("confidence", as_column(start) * left + moves))
+    win_rate = F.col("wins") / F.col("trades")
+    alerts = [
+        F.when(as_column(baseline_confidence) - F.col("confidence") > rules["confidence_drop"], "CONFIDENCE_DROP"),
+        F.when((as_column(baseline_confidence).isNotNull() | as_column(baseline_win_rate).isNotNull()) & (F.col("losses_in_row") >= rules["losses"]), "CONSECUTIVE_LOSSES"),
+        F.when((F.col("trades") >= warm) & (as_column(baseline_win_rate) - win_rate > rules["win_rate_drop"]), "WINRATE_DROP"),
+    ]
+    return x.withColumn("alerts", F.array_compact(F.array(*alerts)))
 
 
 def outcome_importance(trades: DataFrame, by: Sequence[str], feature: str, pnl: str) -> DataFrame:

@@ -50,20 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def number(df: DataFrame, by: Sequence[str], order: Sequence[str] = ORDER, width: int = DAY_MS) -> DataFrame:
+def number(df: DataFrame, by: Sequence[str], order: Sequence[str] = ORDER, width: int = DAY_MS, sums: Mapping[str, Column] | None = None, highest: Mapping[str, Column] | None = None) -> DataFrame:
     """Adds _i, a row's place from 0 in its key's order, and _n, the key's rows.
 
-    Blocks are ``width`` of the order's first column, which is a number; null values of it are a block of their own, and
-    come first.
+    ``sums`` and ``highest`` add running sums and maxima of columns, up to and with a row; null until a value is known. Blocks are
+    ``width`` of the order's first column, which is a number; null values of it are a block of their own, and come first.
     """
-    x = df.withColumn("_block", F.floor(F.col(order[0]) / width))
-    cells = x.groupBy(*by, "_block").agg(F.count("*").alias("_rows"))
+    carried = [(name, F.sum, lambda a, b: F.coalesce(a + b, a, b), c) for name, c in (sums or {}).items()]
+    carried += [(name, F.max, lambda a, b: F.greatest(a, b), c) for name, c in (highest or {}).items()]
+    x = df.withColumns({"_block": F.floor(F.col(order[0]) / width), **{name: c for name, _, _, c in carried}})
+    cells = x.groupBy(*by, "_block").agg(F.count("*").alias("_rows"), *[f(name).alias(name) for name, f, _, _ in carried])
     key = Window.partitionBy(*by)
-    before = F.coalesce(F.sum("_rows").over(key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select(*by, "_block", before.alias("_before"), F.sum("_rows").over(key).alias("_n"))
+    earlier = key.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"), *[f(name).over(earlier).alias(f"_before_{name}") for name, f, _, _ in carried]]
+    cells = cells.select(*by, "_block", F.sum("_rows").over(key).alias("_n"), *before)
     x = null_safe_join(x, cells, [*by, "_block"])
-    place = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order))
-    return x.withColumn("_i", F.col("_before") + place - 1).drop("_block", "_before")
+    here = Window.partitionBy(*by, "_block").orderBy(*order)
+    up = here.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = {name: merge(F.col(f"_before_{name}"), f(name).over(up)) for name, f, merge, _ in carried}
+    x = x.withColumns({"_i": F.col("_before") + F.row_number().over(here) - 1, **so_far})
+    return x.drop("_block", "_before", *[f"_before_{name}" for name, *_ in carried])
 
 
 def memory(*alphas: float, places: float = 1e-20) -> int:

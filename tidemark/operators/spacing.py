@@ -11,7 +11,7 @@ Keys whose rows lie in one block, as most do, have nothing to follow.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -114,3 +114,26 @@ def spaced(df: DataFrame, by: Sequence[str], interval: int, fit: Column | None =
     found = rows.groupBy(*by, "_block").applyInArrow(take, out)
     none = x.filter("ts_event is null").select(*df.columns, F.lit(False).alias("kept"), F.lit(None).cast("long").alias("last_kept"))
     return found.unionByName(none)
+
+
+#: Fixed values of the gate between a signal and an order.
+GATE = {"trend_min": -0.5, "volatility_min": 0.0, "spread_max": 2.0, "score_min": 0.6, "cooldown_ms": 5000, "relative_spread_max": 0.001}
+
+
+def gate(signals: DataFrame, by: Sequence[str], rules: Mapping[str, float] = GATE, score: str = "score", trend: str = "regime_trend", volatility: str = "regime_volatility", spread: str = "regime_spread", width: str = "spread", mid: str = "mid") -> DataFrame:
+    """Adds allow and reason to signals: regime, strength, cooldown since the last allowed one, width of the book.
+
+    The reason is the first rule that fails. A regime that isn't known is neutral; an unknown width is none, and an unknown mid one. A
+    signal without a score is too weak, one without a time is stopped by its cooldown.
+    """
+    relative = F.when(F.col(mid) == 0, 0.0).otherwise(F.coalesce(width, F.lit(0.0)) / F.coalesce(mid, F.lit(1.0)))
+    before = [
+        (F.coalesce(trend, F.lit(0)) < rules["trend_min"], "regime_trend"), (F.coalesce(volatility, F.lit(1)) < rules["volatility_min"], "regime_volatility"),
+        (F.coalesce(spread, F.lit(1)) > rules["spread_max"], "regime_spread"), (F.coalesce(F.col(score) < rules["score_min"], F.lit(True)), "signal_strength"),
+    ]
+    wide = relative > rules["relative_spread_max"]
+    x = signals.withColumn("_stop", F.coalesce(*[F.when(c, F.lit(name)) for c, name in before]))
+    x = spaced(x, by, int(rules["cooldown_ms"]), F.col("_stop").isNull() & ~wide)
+    hot = F.col("ts_event").isNull() | (F.col("ts_event") - F.col("last_kept") < int(rules["cooldown_ms"]))
+    reason = F.coalesce("_stop", F.when(hot, "cooldown"), F.when(wide, "spread_penalty"), F.lit("all_gates_passed"))
+    return x.withColumns({"allow": F.col("kept"), "reason": reason}).drop("_stop", "kept", "last_kept")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import chance
 from ..operators import clusters as cl
 from ..operators import discovery as d
+from ..operators import spacing
 from ..operators.rollups import first_of
 from ..operators.scans import along
 from ..operators.slices import ranked
@@ -121,12 +123,12 @@ def m31(spark, sf_dir):
 
 @CAT.add("M24_M26_four_tests")
 def m24(spark, sf_dir):
-    """Chance splits come from a hash that other engines lack; a test holds them against a plain version."""
+    """Random splits come from a generator that other engines lack; tests hold their sizes and p against plain shuffles."""
     from ..operators.stats import welch
 
     x = rows(spark, sf_dir).filter("h10 is not null").withColumn("hit", F.col("f_imbalance") > 0.3)
     one = welch(x, ["stream"], "h10", "hit").select("stream", F.col("p").alias("t_p"))
-    one = one.join(d.permutation_p(x, ["stream"], "h10", "hit"), "stream")
+    one = one.join(chance.permutation_p(x, ["stream"], "h10", "hit"), "stream")
     one = one.join(x.groupBy("stream").agg(d.sharpe(F.when(F.col("hit"), F.col("h10"))).alias("sharpe")), "stream")
     one = one.join(d.regimes_hold(x, ["stream"], "regime", "h10", "hit"), "stream")
     score, verdict = d.four_tests(F.col("t_p"), F.col("p"), F.col("sharpe"), F.col("regimes_hold"), tests=5)
@@ -148,6 +150,46 @@ def m33(spark, sf_dir):
     return rounded(x.select("seq", "trades", "wins", "avg_return", "losses_in_row", "health", "retired"))
 
 
+@CAT.add("M32_live_confidence", f"""WITH RECURSIVE {ROWS_SQL}, x AS (SELECT stream, seq, r, row_number() OVER o AS k, sum((r > 0)::INT) OVER o AS wins, sum((NOT r < 0)::INT) OVER o AS g FROM e WHERE r IS NOT NULL WINDOW o AS (PARTITION BY stream ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT stream, 0::BIGINT AS k, 0.7::DOUBLE AS c FROM x GROUP BY 1 UNION ALL SELECT x.stream, x.k, CASE WHEN x.k >= 30 THEN c * (1 - 0.05::DOUBLE) + (r > 0)::INT * 0.05::DOUBLE ELSE c END FROM c JOIN x ON x.stream = c.stream AND x.k = c.k + 1),
+y AS (SELECT x.*, c, count(*) FILTER (WHERE r < 0) OVER (PARTITION BY x.stream, g ORDER BY x.k ROWS UNBOUNDED PRECEDING) AS losses FROM x JOIN c USING (stream, k))
+SELECT seq, k AS trades, wins::BIGINT AS wins, losses AS losses_in_row, round(c, 6) AS confidence, concat_ws(',', CASE WHEN 0.7 - c > 0.15::DOUBLE THEN 'CONFIDENCE_DROP' END, CASE WHEN losses >= 10 THEN 'CONSECUTIVE_LOSSES' END, CASE WHEN k >= 30 AND 0.55::DOUBLE - wins / k > 0.1::DOUBLE THEN 'WINRATE_DROP' END) AS alerts FROM y""")
+def m32(spark, sf_dir):
+    x = d.live_confidence(rows(spark, sf_dir).filter("r is not null"), ["stream"], "r", 0.7, 0.7, 0.55)
+    return rounded(x.select("seq", "trades", "wins", "losses_in_row", "confidence", F.array_join("alerts", ",").alias("alerts")))
+
+
+MODEL_SQL = "0.6::DOUBLE * {} + 0.4::DOUBLE * {} > 0"
+
+
+@CAT.add("M12_permutation_importance", f"""WITH {ROWS_SQL}, b AS (SELECT seq, f_imbalance AS f0, f_place AS f1, h10 > 0 AS y FROM v WHERE h10 IS NOT NULL), n AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || seq), 1, 8))::BIGINT, seq) AS i FROM b),
+p AS (SELECT j, r, 43 + r * 1000 + j AS s FROM (SELECT unnest([0, 1]) AS j), (SELECT unnest(range(5)) AS r)), o AS (SELECT j, r, row_number() OVER (PARTITION BY j, r ORDER BY ('0x' || substr(md5(s || ':' || seq), 1, 8))::BIGINT, seq) AS i, CASE WHEN j = 0 THEN f0 ELSE f1 END AS other FROM n, p),
+z AS (SELECT avg((({MODEL_SQL.format("f0", "f1")}) = y)::INT) AS base FROM b), a AS (SELECT j, r, avg((({MODEL_SQL.format("CASE WHEN j = 0 THEN other ELSE f0 END", "CASE WHEN j = 1 THEN other ELSE f1 END")}) = y)::INT) AS acc FROM n JOIN o USING (i) GROUP BY 1, 2),
+g AS (SELECT CASE WHEN j = 0 THEN 'f_imbalance' ELSE 'f_place' END AS feature, base, avg(base - acc) AS m, stddev_pop(base - acc) AS sd FROM a, z GROUP BY 1, 2)
+SELECT feature, round(base, 6) AS baseline, round(m, 6) AS mean_decrease, round(sd, 6) AS std_decrease, m > sd AS is_important, (row_number() OVER (ORDER BY m DESC, feature))::INT AS rank, round(m / greatest(max(m) OVER (), 0.001), 6) AS normalised, m <= 0.005 AS unimportant FROM g""")
+def m12(spark, sf_dir):
+    """A fixed linear rule's accuracy at the sign of the next move, as each of its features is permuted."""
+    x = rows(spark, sf_dir).filter("h10 is not null").withColumn("up", F.col("h10") > 0)
+    model = lambda c: F.lit(0.6) * c["f_imbalance"] + F.lit(0.4) * c["f_place"] > 0
+    return rounded(chance.permutation_importance(x, FEATURES, model, "up"))
+
+
+SIGNALS_SQL = f"""{QUOTES_SQL}, s AS (SELECT stream, ts_event, seq, (symbol % 21) / 20.0::DOUBLE AS score, seq % 3 - 1 AS tr, CASE WHEN seq % 5 > 0 THEN seq % 4 END AS sp, (ask_price - bid_price) / mid > 0.0025::DOUBLE AS wide FROM quotes),
+f AS (SELECT *, CASE WHEN tr < -0.5 THEN 'regime_trend' WHEN coalesce(sp, 1) > 2 THEN 'regime_spread' WHEN score < 0.6::DOUBLE THEN 'signal_strength' END AS stop FROM s), a AS (SELECT * FROM f WHERE stop IS NULL AND NOT wide),
+k AS (SELECT stream, min(ts_event) AS t FROM a GROUP BY 1 UNION ALL SELECT k.stream, (SELECT min(a.ts_event) FROM a WHERE a.stream = k.stream AND a.ts_event >= k.t + 3600000) FROM k WHERE k.t IS NOT NULL),
+m AS (SELECT a.stream, a.ts_event, min(seq) AS seq, true AS kept FROM a JOIN k ON k.stream = a.stream AND k.t = a.ts_event GROUP BY 1, 2),
+l AS (SELECT f.*, coalesce(kept, false) AS allow, max(CASE WHEN kept THEN f.ts_event END) OVER (PARTITION BY f.stream ORDER BY f.ts_event, f.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM f LEFT JOIN m ON m.stream = f.stream AND m.seq = f.seq)"""
+
+
+@CAT.add("M36_signal_gate", f"""WITH RECURSIVE {SIGNALS_SQL}
+SELECT seq, allow, coalesce(stop, CASE WHEN ts_event - t < 3600000 THEN 'cooldown' END, CASE WHEN wide THEN 'spread_penalty' END, 'all_gates_passed') AS reason FROM l""")
+def m36(spark, sf_dir):
+    q = quotes(spark, sf_dir).select("stream", "ts_event", "seq", "mid", (F.col("ask_price") - F.col("bid_price")).alias("spread"), ((F.col("symbol") % 21) / F.lit(20.0)).alias("score"), (F.col("seq") % 3 - 1).alias("regime_trend"),
+                                     (F.col("seq") % 3).alias("regime_volatility"), F.when(F.col("seq") % 5 > 0, F.col("seq") % 4).alias("regime_spread"))
+    rules = {**spacing.GATE, "cooldown_ms": 3_600_000, "relative_spread_max": 0.0025}
+    return spacing.gate(q, ["stream"], rules).select("seq", "allow", "reason")
+
+
 @CAT.add("M16_outcome_importance", f"""WITH {ROWS_SQL}, g AS (SELECT stream, count(*) AS n, corr(f_place, r) AS c, avg(f_place) FILTER (WHERE r > 0) AS mw, avg(f_place) FILTER (WHERE NOT r > 0) AS ml, var_pop(f_place) FILTER (WHERE r > 0) AS vw, var_pop(f_place) FILTER (WHERE NOT r > 0) AS vl FROM e WHERE r IS NOT NULL GROUP BY 1),
 t AS (SELECT *, abs(c * sqrt((n - 2) / (1 - c * c))) AS t, least(1, abs(mw - ml) / sqrt((vw + vl) / 2) / 0.8) AS shift FROM g), p AS (SELECT *, CASE WHEN t > 2.6 THEN 0.01::DOUBLE WHEN t > 2 THEN 0.05 WHEN t > 1.5 THEN 0.15 ELSE 0.5 END AS p FROM t)
 SELECT stream, n, round(c, 6) AS correlation, p, round(shift, 6) AS shift, round(least(1, 0.5 * abs(c) + 0.3 * (1 - p) + 0.2 * shift), 6) AS importance FROM p""")

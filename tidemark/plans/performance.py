@@ -40,8 +40,8 @@ def a42(spark, sf_dir):
     return rounded(p.research_metrics(trips(spark, sf_dir), ["symbol"], ["exit_ts", "seq"]))
 
 
-RUNS_SQL = """runs AS (SELECT o_custkey, o_orderkey AS run_id, o_orderdate::TIMESTAMP AS completed_at, o_totalprice / 150000.0::DOUBLE - 1 AS return_pct, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 200000.0::DOUBLE END AS sharpe,
-CASE WHEN o_orderstatus <> 'O' THEN o_totalprice / 500000.0::DOUBLE END AS win_rate, CASE WHEN o_totalprice > 100000 THEN o_totalprice / 40000.0::DOUBLE END AS drawdown_pct, o_orderkey % 40 AS trades FROM orders),
+RUNS_SQL = """runs AS (SELECT o_custkey, o_orderkey AS run_id, o_orderdate::TIMESTAMP AS completed_at, o_totalprice / 150001.0::DOUBLE - 1 AS return_pct, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 200003.0::DOUBLE END AS sharpe,
+CASE WHEN o_orderstatus <> 'O' THEN o_totalprice / 500009.0::DOUBLE END AS win_rate, CASE WHEN o_totalprice > 100000 THEN o_totalprice / 40009.0::DOUBLE END AS drawdown_pct, o_orderkey % 40 AS trades FROM orders),
 k AS (SELECT *, sum((return_pct >= 0)::INT) OVER (PARTITION BY o_custkey ORDER BY completed_at, run_id ROWS UNBOUNDED PRECEDING) AS streak FROM runs WHERE completed_at >= (SELECT max(completed_at) FROM runs) - INTERVAL 1500 DAY),
 days AS (SELECT o_custkey, max(d) AS loss_days FROM (SELECT o_custkey, streak, count(DISTINCT completed_at::DATE) FILTER (WHERE return_pct < 0) AS d FROM k GROUP BY 1, 2) GROUP BY 1),
 m AS (SELECT o_custkey, count(*) AS total_runs, sum(trades)::BIGINT AS total_trades, avg(return_pct) AS avg_return, coalesce(avg(sharpe), 0) AS avg_sharpe, coalesce(avg(win_rate), 0) AS avg_win_rate, max(coalesce(drawdown_pct, 0)) AS max_drawdown_pct,
@@ -49,11 +49,11 @@ max(loss_days) AS loss_days, avg((return_pct > 0)::INT) AS positive_fraction FRO
 
 
 def performance(spark, sf_dir):
-    """Orders as a customer's runs, over 1500 days up to the last one."""
+    """Orders as a customer's runs, over 1500 days up to the last one. Divisors are prime to ten, so that rounding meets no ties."""
     o, price, st = table(spark, sf_dir, "orders"), F.col("o_totalprice"), F.col("o_orderstatus")
     runs = o.select(
-        "o_custkey", F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("completed_at"), (price / 150_000 - 1).alias("return_pct"), F.when(st != "P", price / 200_000).alias("sharpe"),
-        F.when(st != "O", price / 500_000).alias("win_rate"), F.when(price > 100_000, price / 40_000).alias("drawdown_pct"), (F.col("o_orderkey") % 40).alias("trades"),
+        "o_custkey", F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("completed_at"), (price / 150_001 - 1).alias("return_pct"), F.when(st != "P", price / 200_003).alias("sharpe"),
+        F.when(st != "O", price / 500_009).alias("win_rate"), F.when(price > 100_000, price / 40_009).alias("drawdown_pct"), (F.col("o_orderkey") % 40).alias("trades"),
     )
     return p.rolling_performance(runs, ["o_custkey"], o.agg(F.max(F.col("o_orderdate").cast("timestamp"))).scalar(), 1500)
 
