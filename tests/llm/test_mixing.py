@@ -40,3 +40,13 @@ def test_mixed_documents_repeat_whole_rows(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
+
+
+def test_texts_under_one_id_take_the_same_copies_however_stored(spark):
+    rng = random.Random(3)
+    rows = [(5, " ".join(rng.choices("abcdef", k=4)) + f" {i}", "x") for i in range(60)]
+    seen = []
+    for order in (rows, rows[::-1], rng.sample(rows, 60)):
+        out = mixing.mixed_documents(docs(spark, order).repartition(4)).collect()
+        seen.append(sorted(r["text"] for r in out))
+    assert seen[0] == seen[1] == seen[2]

@@ -131,3 +131,14 @@ def test_edges(spark, planted):
 def test_query(spark, sf):
     got = queries.op3_toxicity(spark, sf)
     assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.count() == 200
+
+
+def test_no_training_text_is_lost_to_a_shared_id(spark):
+    """Sources that count from 0 share ids; each text teaches once, whichever way rows are stored."""
+    rows = [(7, f"toxic text {i}") for i in range(100)] + [(7, "toxic text 3"), (8, "toxic text 3"), (8, "fine"), (9, "fine"), (None, "no id"), (10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (8, 0), (9, 0), (10, 1), (None, 1), (11, 1), (8, None)], "doc_id long, toxic int")
+    want = sorted([(f"toxic text {i}", 1) for i in range(100)] + [("toxic text 3", 0), ("fine", 0)])
+    for parts in (1, 3, 8):
+        got = toxicity.training_texts(docs.repartition(parts), labels, "doc_id", "text", "toxic").collect()
+        assert sorted(map(tuple, got)) == want

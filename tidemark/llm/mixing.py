@@ -7,7 +7,8 @@ document is emitted once for every integer boundary that its interval crosses.
 The prefix sum never gathers a source: documents are dealt to hash buckets of about
 ``rows_per_bucket`` rows; a small table of rows per (source, bucket) gives each bucket's offset, and
 only the rank within a bucket needs its rows together. Within a bucket documents are ordered by
-size, so that the words taken stay near the target.
+size, so that the words taken stay near the target; of equal sizes by the id's hash, the id and the text's hash, so that
+the copies of different texts under one id don't depend on how rows are stored.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; a
 source of size 0 takes nothing; an empty table gives an empty result; repeated rows are separate
@@ -72,7 +73,7 @@ def _ranked(
     cells = cells.join(rows_per_source, cells["_source"].eqNullSafe(rows_per_source["source"])).select(
         F.col("_source").alias("_cell_source"), F.col("_bucket").alias("_cell_bucket"), "_before", "source_size", "target"
     )
-    within = Window.partitionBy("_source", "_bucket").orderBy("_size", "_h", "_id")
+    within = Window.partitionBy("_source", "_bucket").orderBy("_size", "_h", "_id", "_t")
     rows = rows.select("*", bucket).withColumn("_rank", F.row_number().over(within))
     rows = rows.join(
         cells,
@@ -89,7 +90,7 @@ def _plan(docs: DataFrame, rows: DataFrame | None, **how) -> DataFrame:
     id_col, source_col, text_col = how["id_col"], how["source_col"], how["text_col"]
     keys = [
         docs[id_col].alias("_id"), docs[source_col].alias("_source"), word_count(docs[text_col]).alias("_size"),
-        hash32(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("_h"),
+        hash32(F.coalesce(docs[id_col].cast("string"), F.lit(""))).alias("_h"), F.xxhash64(docs[text_col]).alias("_t"),
     ]
     facts = written(docs.select(*keys), "mix-sizes")
     sizes = facts.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))

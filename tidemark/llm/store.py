@@ -6,11 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_NAMED: list[list[str]] = []
+#: The lists of the scopes that are open here, in this thread or task alone.
+_NAMED: ContextVar[tuple[list[str], ...]] = ContextVar("named", default=())
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -25,7 +27,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    for names in _NAMED:
+    for names in _NAMED.get():
         names.append(path)
     return path
 
@@ -37,13 +39,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes the intermediate tables that operators write inside, once nothing that reads them is left to run."""
+    """Deletes the intermediate tables that operators write inside, once nothing that reads them is left to run.
+
+    Tables that another thread writes meanwhile aren't this scope's.
+    """
     names: list[str] = []
-    _NAMED.append(names)
+    opened = _NAMED.set((*_NAMED.get(), names))
     try:
         yield
     finally:
-        _NAMED.remove(names)
+        _NAMED.reset(opened)
         for path in names:
             delete(spark, path)
 

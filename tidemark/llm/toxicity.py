@@ -165,13 +165,16 @@ class Scorer:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of labelled texts, equal texts once; only ids and hashes move until the one join."""
-    ids = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"))
+    """(text, toxic) of labelled texts, each text once with each of its labels, whichever rows and ids it came with.
+
+    Only ids and digests move until the one join, where a text comes from the least id that has it.
+    """
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter(F.col("text").isNotNull()).withColumn("h", F.unhex(F.md5("text")))
     y = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).filter("id is not null and toxic is not null")
-    reps = ids.join(y, "id").groupBy("h", "toxic").agg(F.min("id").alias("id")).groupBy("id", "toxic").agg(F.first("h").alias("h"))
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter(F.col("text").isNotNull())
-    joined = texts.join(reps, "id").filter(F.xxhash64("text") == F.col("h"))
-    return written(joined.select("text", (F.col("toxic") == 1).cast("int").alias("toxic")), "toxicity-train")
+    y = y.select("id", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    reps = rows.select("id", "h").join(y, "id").groupBy("h", "toxic").agg(F.min("id").alias("id"))
+    joined = rows.join(reps, ["id", "h"]).dropDuplicates(["id", "h", "toxic"])  # repeated rows of one id
+    return written(joined.select("text", "toxic"), "toxicity-train")
 
 
 class Places(dict):
@@ -329,14 +332,14 @@ def _histogram(train: DataFrame, model: ToxicityModel) -> list[tuple[float, floa
     return [(r["bin"] * BIN_WIDTH, r["y"], r["n"]) for r in rows]
 
 
-PASSAGES = "array<struct<start:int,end:int,score:double,expected:double>>"
+PASSAGE = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("score", T.DoubleType()).add("expected", T.DoubleType())
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """docs with score, statistic and passages."""
     added = ("score", "statistic", "passages")
     kept = [c for c in docs.columns if c not in added]
-    schema = T.StructType([docs.schema[c] for c in kept]).add("score", T.DoubleType()).add("statistic", T.DoubleType()).add("passages", T._parse_datatype_string(PASSAGES))
+    schema = T.StructType([docs.schema[c] for c in kept]).add("score", T.DoubleType()).add("statistic", T.DoubleType()).add("passages", T.ArrayType(PASSAGE))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
