@@ -26,17 +26,19 @@ def xx(*parts):
 def plain_tokens(text):
     unspaced = lambda c: 0xE00 <= ord(c) <= 0x109F or 0x1780 <= ord(c) <= 0x17FF or ord(c) >= 0x2000
     cut = lambda c: c in "fkpwxzFKPWXZ06ÆÌÒØÞäêðöü" + string.punctuation
-    out, run = [], ""
-    for i, c in enumerate(text):
-        plain = not unspaced(c) and c not in " \t\n\x0b\f\r"
-        if plain:
-            run += c
-        if run and (not plain or cut(c) or (len(run) == 23 and not (i + 1 < len(text) and cut(text[i + 1])))):
-            out.append(run)
-            run = ""
-        if unspaced(c):
+    letter = lambda c: not unspaced(c) and not cut(c) and c not in " \t\n\x0b\f\r"
+    out, i = [], 0
+    while i < len(text):
+        n = len(list(itertools.takewhile(letter, text[i : i + 24])))
+        if unspaced(text[i]):
             out.append("".join(itertools.takewhile(unspaced, text[i : i + 3])))
-    return out + [run] * bool(run)
+        elif n == 24:
+            out.append(text[i : i + 3])
+        elif n or cut(text[i]):
+            out.append(text[i : i + n] + (text[i + n] if i + n < len(text) and cut(text[i + n]) else ""))
+            i += len(out[-1]) - 1
+        i += 1
+    return out
 
 
 def brute(text, sketches=64, size=2):
@@ -85,7 +87,7 @@ def test_documents(spark, sf):
 
 
 def test_edges(spark):
-    compare(spark, [(5, "a b a b a b a b c " * 40), (9, None), (1, ""), (3, " \n"), (3, "𝒳éñ日" * 90), (3, "x y"), (None, "one"), (None, "a b"), (7, "z"), (7, "z"), (2, "a " * 3000)])
+    compare(spark, [(5, "a b a b a b a b c " * 40), (9, None), (1, ""), (3, " \n"), (3, "𝒳éñ日" * 90), (3, "x y"), (11, "a" * 23 + " " + "b" * 24 + "," + "c" * 25 + "k" + "d" * 60), (12, "A" * 26 + "日" + "acgt" * 30 + "f" + "a" * 23 + "z"), (None, "one"), (None, "a b"), (7, "z"), (7, "z"), (2, "a " * 3000)])
     compare(spark, [(4, "only one"), ])
     compare(spark, [(None, "u v w"), (None, "x")])
     assert f.fingerprint_edits(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -116,6 +118,10 @@ def test_one_inserted_character_keeps_the_likeness(spark):
         "cjk": "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)),
         "thai": "".join(chr(rng.randrange(0xE01, 0xE2E)) for _ in range(3000)),
         "emoji": "".join(chr(rng.randrange(0x1F600, 0x1F640)) for _ in range(3000)),
+        "acgt": "".join(rng.choices("acgt", k=3000)),
+        "capitals": "".join(rng.choices("ABCDEGHIJLMNOQ", k=3000)),
+        "cyrillic": "".join(chr(rng.randrange(0x410, 0x450)) for _ in range(3000)),
+        "one": "a" * 3000,
     }
     rows = [(n, how, {"same": t, "front": "q" + t, "own": t[0] + t, "middle": t[:1500] + "日" + t[1500:]}[how]) for n, t in texts.items() for how in ("same", "front", "own", "middle")]
     got = {(r["name"], r["how"]): r["sig"] for r in spark.createDataFrame(rows, "name string, how string, text string").withColumn("sig", f.signature(f.F.col("text"))).collect()}

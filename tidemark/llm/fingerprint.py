@@ -3,7 +3,9 @@
 A text is a row of tokens whose cuts depend on what stands there, never on where it stands, so that an
 inserted character changes the tokens around it and no others. In scripts that are written without spaces
 (and from U+2000 on) a token begins at every character and takes in the two behind it; elsewhere a token
-ends at white space or behind a character of ``CUTS``, an even spread of letters and digits, and all marks.
+ends at white space or behind a character of ``CUTS``, an even spread of letters and digits, and all marks. Where
+``LONGEST`` characters follow without any of these, as in alphabets that have none of CUTS, a token begins at every
+character too, until fewer are left.
 Its k-mers, ``K`` tokens in a row at every token, are numbered by occurrence, so that a k-mer's second and third occurrences are
 other elements than its first. A hash of (k-mer, occurrence) deals the elements to ``sketches`` sketches
 and orders them; each sketch takes its ``tuple_size`` smallest, puts them back in text order, and hashes
@@ -16,8 +18,7 @@ run's length doubles.
 
 Defined results: equal texts have equal fingerprints; texts that differ in white space alone do too. A
 text without tokens has an empty fingerprint, whose likeness is 1 to another empty one and 0 to any
-other. Texts of over 2 ** 26 tokens have positions that wrap. A run of over ``LONGEST`` characters without
-one of CUTS is cut by length. Documents with equal ids follow each other by text; null ids come last.
+other. Texts of over 2 ** 26 tokens have positions that wrap. Extra columns are left out. Documents with equal ids follow each other by text; null ids come last.
 Rows of one id stand in one bucket, however many: ids are taken to name documents.
 
 K-mers at every character were tried with these functions: only their hashing took 670 ns a character, or
@@ -50,10 +51,12 @@ def _top(x: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Tokens in text order. Only texts that need it take the pattern that looks ahead at every character."""
-    run = rf"[^\s{CUTS}{UNSPACED}]{{1,{LONGEST - 1}}}[{CUTS}]?|[{CUTS}]"
-    overlapping = rf"(?=([{UNSPACED}]{{1,3}}|{run}))(?:[{UNSPACED}]|{run})"
+    letter = rf"[^\s{CUTS}{UNSPACED}]"
+    run = rf"{letter}{{1,{LONGEST - 1}}}[{CUTS}]?|[{CUTS}]"
+    more = lambda n: f"{letter}(?={letter}{{{n}}})"
+    overlapping = rf"(?=([{UNSPACED}]{{1,3}}|{letter}{{2}}{more(LONGEST - 3)}|{run}))(?:[{UNSPACED}]|{more(LONGEST - 1)}|{run})"
     plain = F.regexp_extract_all(text, F.lit(run), F.lit(0))
-    return F.when(text.rlike(f"[{UNSPACED}]"), F.regexp_extract_all(text, F.lit(overlapping), F.lit(1))).otherwise(plain)
+    return F.when(text.rlike(f"[{UNSPACED}]|{letter}{{{LONGEST}}}"), F.regexp_extract_all(text, F.lit(overlapping), F.lit(1))).otherwise(plain)
 
 
 def _packed_kmers(text: Column) -> Column:
