@@ -174,6 +174,17 @@ def m12(spark, sf_dir):
     return rounded(chance.permutation_importance(x, FEATURES, model, "up"))
 
 
+@CAT.add("M17_three_classes")
+def m17(spark, sf_dir):
+    """The next move's sign from two features; a fit by Newton's method is beyond SQL, and a test holds it against plain descent."""
+    from ..operators import classifier
+
+    x = rows(spark, sf_dir).filter("h10 is not null").withColumn("move", F.signum(F.round("h10", 2)).cast("int"))
+    model = classifier.fit(x, FEATURES, "move", weights=classifier.class_weights(x, "move"))
+    p = model.probabilities()
+    return rounded(x.select("seq", "move", model.label().alias("predicted"), p[1].alias("p_up"), p[-1].alias("p_down")))
+
+
 SIGNALS_SQL = f"""{QUOTES_SQL}, s AS (SELECT stream, ts_event, seq, (symbol % 21) / 20.0::DOUBLE AS score, seq % 3 - 1 AS tr, CASE WHEN seq % 5 > 0 THEN seq % 4 END AS sp, (ask_price - bid_price) / mid > 0.0025::DOUBLE AS wide FROM quotes),
 f AS (SELECT *, CASE WHEN tr < -0.5 THEN 'regime_trend' WHEN coalesce(sp, 1) > 2 THEN 'regime_spread' WHEN score < 0.6::DOUBLE THEN 'signal_strength' END AS stop FROM s), a AS (SELECT * FROM f WHERE stop IS NULL AND NOT wide),
 k AS (SELECT stream, min(ts_event) AS t FROM a GROUP BY 1 UNION ALL SELECT k.stream, (SELECT min(a.ts_event) FROM a WHERE a.stream = k.stream AND a.ts_event >= k.t + 3600000) FROM k WHERE k.t IS NOT NULL),
