@@ -31,7 +31,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     on = F.lit(True)
     for k in keys:
         on = on & left[k].eqNullSafe(named[f"_right_{k}"])
-    return left.join(named, on, how).drop(*[f"_right_{k}" for k in keys])
+    joined = left.join(named, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in keys])
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scans import along, number
+from .scans import along, null_safe_join, number
 from .spacing import spaced
 
 ORDER = ("ts_event", "seq")
@@ -113,9 +113,22 @@ def latest(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*by, "_r.*")
 
 
-def merge_history(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The union where an existing row wins over a new one with its key."""
-    return existing.unionByName(new.join(existing.select(*keys), list(keys), "left_anti"))
+def first_new(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Each new key's first row in order, of keys that aren't there yet; a null key is one like others."""
+    rest = [c for c in new.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*keys, "_first.*").select(*new.columns)
+    return null_safe_join(first, existing.select(*keys), keys, "left_anti")
+
+
+def merge_history(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Existing rows as they are, and the first new row of each key that isn't among them."""
+    return existing.unionByName(first_new(existing, new, keys, order))
+
+
+def merge_counts(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(inserted, skipped) new rows."""
+    fresh = null_safe_join(new.select(*keys).distinct(), existing.select(*keys), keys, "left_anti").agg(F.count("*").alias("inserted"))
+    return fresh.join(new.agg(F.count("*").alias("_n"))).select("inserted", (F.col("_n") - F.col("inserted")).alias("skipped"))  # a row each
 
 
 def append_new(existing: DataFrame, new: DataFrame) -> DataFrame:

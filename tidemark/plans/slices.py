@@ -153,12 +153,23 @@ def o9(spark, sf_dir):
     return s.latest(ticks(spark, sf_dir).select(*NAMES), ["symbol"], ["ts_event", "seq"])
 
 
-@CAT.add("O11_merge_history", """WITH a AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier)
-SELECT * FROM a UNION ALL SELECT * FROM b WHERE k NOT IN (SELECT k FROM a)""")
+def histories(spark, sf_dir):
+    """Suppliers as a history, and orders as news of their customers' keys, which repeat."""
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(0).cast("long").alias("i"), F.col("s_acctbal").alias("v"))
+    return a, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").cast("long").alias("i"), F.col("o_totalprice").alias("v"))
+
+
+HISTORY_SQL = "a AS (SELECT s_suppkey AS k, 0::BIGINT AS i, s_acctbal AS v FROM supplier), b AS (SELECT o_custkey AS k, o_orderkey::BIGINT AS i, o_totalprice AS v FROM orders)"
+
+
+@CAT.add("O11_merge_history", f"WITH {HISTORY_SQL} SELECT * FROM a UNION ALL (SELECT * FROM b WHERE k NOT IN (SELECT k FROM a) QUALIFY row_number() OVER (PARTITION BY k ORDER BY i) = 1)")
 def o11(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    return s.merge_history(a, b, ["k"])
+    return s.merge_history(*histories(spark, sf_dir), ["k"], ["i"])
+
+
+@CAT.add("O11_merge_counts", f"WITH {HISTORY_SQL}, n AS (SELECT count(DISTINCT k) AS n FROM b WHERE k NOT IN (SELECT k FROM a)) SELECT n AS inserted, (SELECT count(*) FROM b) - n AS skipped FROM n")
+def o11_counts(spark, sf_dir):
+    return s.merge_counts(*histories(spark, sf_dir), ["k"])
 
 
 @CAT.add("O12_append_new", """WITH a AS (SELECT DISTINCT o_orderstatus AS x, o_orderpriority AS y FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_orderstatus AS x, o_orderpriority AS y FROM orders)
