@@ -17,7 +17,7 @@ import math
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -35,18 +35,24 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that ``spark.checkpoint.dir`` names, so a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where the setting is absent (tests on one machine) a temporary one stands in;
+    a session on a cluster has to name one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in; a session on a cluster has to name one.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so a lost executor loses nothing."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            folder = tempfile.mkdtemp(prefix="tidemark-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

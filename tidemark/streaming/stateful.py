@@ -7,6 +7,7 @@ do not depend on how a stream is cut into batches. Timers forget keys that have
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -146,7 +147,8 @@ def _rolled(x: pd.DataFrame, old: list[np.ndarray], w: Mapping[str, int]) -> tup
         short, long = deviation(w["volatility_short"]), deviation(w["volatility_long"])
         ratio = np.clip(np.where(long == 0, 1.0, short / long), 0, 5)
         steps = _last(np.concatenate([np.diff(mids, prepend=np.nan)]), w["rsi"])[m:]
-        gain, loss = np.maximum(steps, 0).mean(axis=1), np.maximum(-steps, 0).mean(axis=1)
+        mean_of = lambda v: reduce(np.add, v.T) / v.shape[1]  # in order, as a window adds
+        gain, loss = mean_of(np.maximum(steps, 0)), mean_of(np.maximum(-steps, 0))
         rsi = np.where(np.isnan(change + gain), np.nan, np.where(loss == 0, 100.0, np.where(gain == 0, 0.0, 100.0 - 100.0 / (1.0 + gain / loss))))
         bands = _last(mids, w["bollinger_pos"])[m:]
         mean, sd = bands.mean(axis=1), bands.std(axis=1)
