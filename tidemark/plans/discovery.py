@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import chance
 from ..operators import clusters as cl
+from ..operators import decisions
 from ..operators import discovery as d
 from ..operators import spacing
 from ..operators.rollups import first_of
@@ -185,6 +186,27 @@ def m17(spark, sf_dir):
     return rounded(x.select("seq", "move", model.label().alias("predicted"), p[1].alias("p_up"), p[-1].alias("p_down")))
 
 
+REPORT = ({"feature": "f_imbalance", "alpha_score": 0.83, "label_correlation": 0.19}, {"feature": "f_place", "alpha_score": 0.61, "label_correlation": -0.13}, {"feature": "f_beat", "alpha_score": 0.47, "label_correlation": 0.07})
+DECISION_SQL = f"""{ROWS_SQL}, t AS (SELECT seq, regime, unnest([struct_pack(v := f_imbalance, b := 0.01 / 0.19, w := 0.83, up := 1), struct_pack(v := f_place, b := 0.01 / 0.13, w := 0.61, up := -1), struct_pack(v := (seq % 7 - 3) / 3, b := 0.1, w := 0.47, up := 1)]) AS u FROM v),
+s AS (SELECT seq, sign(u.v) * u.up AS d, least(1, abs(u.v) / (u.b * (1 + regime / 2)) / 10) * u.w AS s, u.w AS w FROM t WHERE abs(u.v) > u.b * (1 + regime / 2)),
+c AS (SELECT seq, sum(d * s) / sum(s) AS consensus, count(*) FILTER (WHERE s >= 0.3) AS n, count(*) FILTER (WHERE s >= 0.3 AND d > 0) AS l, sum(s) FILTER (WHERE s >= 0.3 AND d > 0) AS ls, sum(s) FILTER (WHERE s >= 0.3 AND d < 0) AS ss,
+sum(w * s * d) FILTER (WHERE s >= 0.3) / sum(w) FILTER (WHERE s >= 0.3) AS net FROM s GROUP BY 1),
+m AS (SELECT v.seq, coalesce(consensus, 0) AS consensus, coalesce(n, 0) AS n, l, n - l AS h, ls, ss, net FROM v LEFT JOIN c ON v.seq = c.seq)"""
+
+
+@CAT.add("M35_decisions", f"""WITH {DECISION_SQL.replace("0.01 / 0.19", "0.01::DOUBLE / 0.19::DOUBLE").replace("0.01 / 0.13", "0.01::DOUBLE / 0.13::DOUBLE").replace("b := 0.1,", "b := 0.1::DOUBLE,").replace("w := 0.83", "w := 0.83::DOUBLE").replace("w := 0.61", "w := 0.61::DOUBLE").replace("w := 0.47", "w := 0.47::DOUBLE").replace("/ 3, b", "/ 3.0::DOUBLE, b")}
+SELECT seq, round(consensus, 6) AS consensus, CASE WHEN n = 0 THEN 'HOLD' WHEN l > h AND l >= 2 THEN 'LONG' WHEN h > l AND h >= 2 THEN 'SHORT' ELSE 'HOLD' END AS by_majority,
+CASE WHEN n >= 2 AND l = n THEN 'LONG' WHEN n >= 2 AND h = n THEN 'SHORT' ELSE 'HOLD' END AS by_unanimity, CASE WHEN n = 0 OR abs(net) < 0.5::DOUBLE THEN 'HOLD' WHEN net > 0 THEN 'LONG' ELSE 'SHORT' END AS by_weight,
+round(CASE WHEN l > h AND l >= 2 THEN ls / n WHEN h > l AND h >= 2 THEN ss / n ELSE 0 END, 6) AS majority_confidence, round(coalesce(abs(net), 0), 6) AS weight_confidence FROM m""")
+def m35(spark, sf_dir):
+    """Three features' signals, their thresholds by regime, combined in each of the three ways."""
+    x = rows(spark, sf_dir).withColumn("f_beat", (F.col("seq") % 7 - 3) / F.lit(3.0))
+    x = decisions.with_signals(x, decisions.rules_of(REPORT, base=0.01, least=0.05, most=0.1), 1 + F.col("regime") / 2).select("seq", "signals", "consensus")
+    for mode, name in (("majority", "by_majority"), ("unanimous", "by_unanimity"), ("weighted", "by_weight")):
+        x = decisions.combine(x, mode).withColumnsRenamed({"action": name, "confidence": f"{mode}_confidence"}).drop("reason")
+    return rounded(x.select("seq", "consensus", "by_majority", "by_unanimity", "by_weight", "majority_confidence", F.col("weighted_confidence").alias("weight_confidence")))
+
+
 SIGNALS_SQL = f"""{QUOTES_SQL}, s AS (SELECT stream, ts_event, seq, (symbol % 21) / 20.0::DOUBLE AS score, seq % 3 - 1 AS tr, CASE WHEN seq % 5 > 0 THEN seq % 4 END AS sp, (ask_price - bid_price) / mid > 0.0025::DOUBLE AS wide FROM quotes),
 f AS (SELECT *, CASE WHEN tr < -0.5 THEN 'regime_trend' WHEN coalesce(sp, 1) > 2 THEN 'regime_spread' WHEN score < 0.6::DOUBLE THEN 'signal_strength' END AS stop FROM s), a AS (SELECT * FROM f WHERE stop IS NULL AND NOT wide),
 k AS (SELECT stream, min(ts_event) AS t FROM a GROUP BY 1 UNION ALL SELECT k.stream, (SELECT min(a.ts_event) FROM a WHERE a.stream = k.stream AND a.ts_event >= k.t + 3600000) FROM k WHERE k.t IS NOT NULL),
