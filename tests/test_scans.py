@@ -94,10 +94,21 @@ def test_places_among_many_values(spark):
     """More values than the approximation keeps, so that most are only counted."""
     x = spark.range(60_000).select((F.col("id") % 2).alias("k"), F.pmod(F.hash("id"), F.lit(50_000)).cast("double").alias("v"))
     places = {f"p{q}": (q, lambda n, q=q: F.floor(F.lit(q) * n)) for q in (0.01, 0.25, 0.5, 0.99)}
-    got = scans.sorted_values(x, ["k"], "v", places, accuracy=200).collect()
-    for r in got:
-        own = sorted(v for k, v in x.collect() if k == r["k"])
-        assert tuple(r)[1:] == tuple(own[int(q * len(own))] for q in (0.01, 0.25, 0.5, 0.99))
+    rows = x.collect()
+    for accuracy in (200, 3000, 10_000):
+        for r in scans.sorted_values(x, ["k"], "v", places, accuracy).collect():
+            own = sorted(v for k, v in rows if k == r["k"])
+            assert tuple(r)[1:] == tuple(own[int(q * len(own))] for q in (0.01, 0.25, 0.5, 0.99))
+
+
+def test_places_among_few_values(spark):
+    """Every number of values from 1 to 90, where a place is further than the approximation's margin from its share."""
+    x = spark.range(91).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.col("id"))).alias("v")).filter("v <= k and k > 0")
+    places = {f"p{k}": (q, lambda n, q=q: F.least(F.floor(F.lit(q) * n), n - 1)) for k, q in enumerate((0.0, 0.1, 0.25, 0.5, 0.8, 1.0))}
+    places["last"] = (0.8, lambda n: F.floor(F.lit(0.8) * (n - 1)))
+    for r in scans.sorted_values(x, ["k"], "v", places).collect():
+        n = r["k"]
+        assert tuple(r)[1:] == (*[min(int(q * n), n - 1) + 1 for q in (0.0, 0.1, 0.25, 0.5, 0.8, 1.0)], int(0.8 * (n - 1)) + 1)
 
 
 def test_statistics_of_ties_and_nulls(spark):

@@ -143,8 +143,9 @@ def sorted_values(df: DataFrame, by: Sequence[str], value: str, places: Mapping[
     """For each key the values at some places of its sorted values that aren't null, found without sorting them.
 
     A place is a share of the values, and the place itself (from 0) as a function of their number. Approximate quantiles on
-    both sides of a share, whose error is bounded, enclose the value; all values outside are only counted, and
-    the few inside are put in order.
+    both sides of a share, whose error is one in ``accuracy`` of the values, enclose the value at four times that distance; all
+    values outside are only counted, and the few inside are put in order. Of keys with at most eight times ``accuracy`` values,
+    where that distance is a few rows, all are put in order.
     """
     known, margin = df.filter(F.col(value).isNotNull()), 4 / accuracy
     shares = sorted({share for share, _ in places.values()})
@@ -152,7 +153,7 @@ def sorted_values(df: DataFrame, by: Sequence[str], value: str, places: Mapping[
     near = known.groupBy(*by).agg(F.count("*").alias("_total"), F.percentile_approx(value, sides, accuracy).alias("_sides"))
     x = null_safe_join(known.select(*by, F.col(value).alias("_v")), near, by) if by else known.select(F.col(value).alias("_v")).crossJoin(F.broadcast(near))  # one row
     side = lambda k: F.element_at("_sides", k + 1)
-    inside = F.lit(False)
+    inside = F.col("_total") <= 8 * accuracy
     for k in range(len(shares)):
         inside = inside | ((F.col("_v") >= side(2 * k)) & (F.col("_v") <= side(2 * k + 1)))
     region = sum((side(2 * k + 1) < F.col("_v")).cast("int") for k in range(len(shares)))
