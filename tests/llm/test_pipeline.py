@@ -65,11 +65,11 @@ def test_language_decides(spark, sf):
 
 def test_run_deletes_what_it_wrote(spark, sf):
     made = []
-    store._NAMED.append(made)
+    opened = store._NAMED.set((made,))
     try:
         assert cp.run(spark, sf).count() > 0
     finally:
-        store._NAMED.remove(made)
+        store._NAMED.reset(opened)
     left = [p for p in made if os.path.exists(p.removeprefix("file://"))]
     assert len(made) > 10 and [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in left] == ["pipeline-mix_sources"]
 
