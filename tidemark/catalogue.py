@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import bars, discovery, execution, features, files, hypotheses, joins, performance, rollups, slices, stats
+from .plans import bars, discovery, execution, features, files, hypotheses, joins, performance, refinement, rollups, slices, stats
 
-MODULES = (bars, discovery, execution, features, files, hypotheses, joins, performance, rollups, slices, stats)
+MODULES = (bars, discovery, execution, features, files, hypotheses, joins, performance, refinement, rollups, slices, stats)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -168,6 +168,31 @@ def first_failed(*gates: tuple[Column, str]) -> Column:
     return first_of(*[(~F.coalesce(ok, F.lit(False)), code) for ok, code in gates], default="PASS")
 
 
+def running_limits(orders: DataFrame, by: Sequence[str], ok: Column, notional: Column, max_orders: int, max_notional: float, order: Sequence[str] = ("ts_event", "seq")) -> DataFrame:
+    """Adds gate: REFUSED by the earlier gates (``ok`` isn't true), DAILY_ORDERS, DAILY_NOTIONAL or PASS, where only orders that passed use up the limits.
+
+    The k-th order to pass is the first one behind the (k-1)-th that the rest of the notional allows. So it takes ``max_orders`` steps,
+    each over the same groups ``by`` (an account's day): one shuffle, and no row leaves the JVM. An unknown notional never passes.
+    """
+    group, o = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(*order)
+    x = orders.withColumns({"_at": F.row_number().over(o), "_ok": F.coalesce(ok, F.lit(False)), "_cost": notional.cast("double")})
+    x = x.withColumns({"_last": F.lit(0), "_spent": F.lit(0.0), "_passed": F.lit(0)})
+    fits = F.col("_ok") & F.coalesce(F.col("_spent") + F.col("_cost") <= max_notional, F.lit(False))
+    x = x.withColumns({"_took": F.lit(False), "_n": F.lit(0), "_used": F.lit(0.0)})
+    for _ in range(max_orders):
+        x = x.withColumn("_next", F.min(F.when(fits & (F.col("_at") > F.col("_last")), F.struct("_at", "_cost"))).over(group))
+        x = x.withColumns({"_last": F.coalesce("_next._at", F.lit(2**31 - 1)), "_spent": F.col("_spent") + F.coalesce("_next._cost", F.lit(0.0))})
+        behind = F.col("_at") > F.col("_last")
+        x = x.withColumns({"_took": F.col("_took") | (F.col("_at") == F.col("_last")), "_n": F.col("_n") + behind.cast("int"), "_used": F.when(behind, F.col("_spent")).otherwise(F.col("_used"))})
+    gate = first_of((~F.col("_ok"), "REFUSED"), (F.col("_took"), "PASS"), (F.col("_n") >= max_orders, "DAILY_ORDERS"), default="DAILY_NOTIONAL")
+    return x.select(*orders.columns, gate.alias("gate"))
+
+
+def max_positions(open_positions: Column, action: Column, most: int) -> Column:
+    """Whether a signal may act: exits always may, others while fewer than ``most`` positions are open (an unknown number is none)."""
+    return F.coalesce(action.isin("FLAT", "EXIT_LONG", "EXIT_SHORT"), F.lit(False)) | (F.coalesce(open_positions, F.lit(0)) < most)
+
+
 def cooldown(events: DataFrame, by: Sequence[str], filled: Column, n: int = 50) -> DataFrame:
     """Events with ``cooled``: whether n events or more have passed since the last fill; true before the first."""
     o = Window.partitionBy(*by).orderBy("ts_event", "seq")

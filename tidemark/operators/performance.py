@@ -114,6 +114,32 @@ def promotion(metrics: DataFrame, stages: Sequence[str] = STAGES, entry: Mapping
     return x.withColumns({"promote": F.col("failed") == "", "needs_approval": F.coalesce(approval & F.col("target_stage").isNotNull(), F.lit(False))})
 
 
+# Fixed values of the lifecycle: when a strategy goes back or out.
+RETIRE_SHARPE, RETIRE_DRAWDOWN, RETIRE_HEALTH, DEMOTE_LOSS_DAYS = -0.5, 2.0, 0.2, 5
+
+
+def demotion(metrics: DataFrame, stages: Sequence[str] = STAGES, entry: Mapping[str, Mapping] = ENTRY) -> DataFrame:
+    """(demote, to_stage, severity, why) for rows of ``rolling_performance`` with stage, backtest_drawdown and edge_health.
+
+    Out at once (RETIRE): a Sharpe below -0.5, a drawdown over twice the backtest's (where that is known and not 0), an edge's health below 0.2. Back one
+    stage (DEMOTE), from the first stage out: more than five loss days, or a Sharpe below what the stage asks. A retired or unknown
+    stage has nowhere to step back to; unknown figures break no rule. The first rule that holds is ``why``; without one severity is WARNING.
+    """
+    stage, prev = F.col("stage"), dict(zip(stages[1:], stages, strict=False))
+    back = first_of(*[(stage == s, prev.get(s, "RETIRED")) for s in stages])
+    least = F.lit(None).cast("double")
+    for s, rules in entry.items():
+        if "sharpe" in rules:
+            least = F.when(stage == s, F.lit(float(rules["sharpe"]))).otherwise(least)
+    base = F.col("backtest_drawdown")
+    out = ((F.col("avg_sharpe") < RETIRE_SHARPE, "sharpe_catastrophic"), ((base != 0) & (F.col("max_drawdown_pct") > base * RETIRE_DRAWDOWN), "drawdown"), (F.col("edge_health") < RETIRE_HEALTH, "edge_decay"))
+    step = ((back.isNotNull() & (F.col("loss_days") > DEMOTE_LOSS_DAYS), "loss_days"), (back.isNotNull() & (F.col("avg_sharpe") < least), "sharpe"))
+    x = metrics.withColumn("why", first_of(*out, *step))
+    retire = F.col("why").isin([n for _, n in out])
+    x = x.withColumn("to_stage", F.when(retire, "RETIRED").when(F.col("why").isNotNull(), back))
+    return x.withColumns({"demote": F.col("why").isNotNull(), "severity": first_of((F.col("to_stage") == "RETIRED", "RETIRE"), (F.col("why").isNotNull(), "DEMOTE"), default="WARNING")})
+
+
 def _early(single: Column, fees: Column, funding: Column, unsupported: str, partial: str) -> list[tuple[Column, str]]:
     gaps = ["NO_FUNDING_EVENTS_OBSERVED", "RUN_WINDOW_UNAVAILABLE", "FUNDING_COST_PARTIAL_MARK_MISSING"]
     return [(~single, unsupported), (fees == "NO_FILL_ACTIVITY", "NO_FILL_ACTIVITY"), (F.coalesce(fees != "FILL_FEE_BACKED", F.lit(True)), "GROSS_ONLY_FEE_PARTIAL"), (funding.isin(gaps), partial)]

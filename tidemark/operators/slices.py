@@ -155,3 +155,31 @@ def validate(df: DataFrame, schema: Mapping[str, str]) -> list[str]:
     """What is wrong with a table's columns; an empty list if nothing is."""
     have = dict(df.dtypes)
     return [f"missing {c}" for c in schema if c not in have] + [f"{c} is {have[c]}, not {t}" for c, t in schema.items() if have.get(c, t) != t]
+
+
+def content_hash(df: DataFrame, by: Sequence[str], text: Column, order: Sequence[str] = ("ts_event", "seq"), size: int = 65_536) -> DataFrame:
+    """(by, rows, fingerprint) of ordered parts: SHA-256 over the hashes of their blocks of ``size`` rows in order.
+
+    A block is hashed by itself, so no task holds more than ``size`` texts and the part's list of block hashes. A null text is empty.
+    """
+    from .scans import number
+
+    x = number(df.select(*by, *order, F.coalesce(text.cast("string"), F.lit("")).alias("_text")), by, order)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_text"))), lambda r: r["_text"])
+    blocks = x.groupBy(*by, F.floor(F.col("_i") / size).alias("_block")).agg(F.count("*").alias("_rows"), F.sha2(F.array_join(rows, ""), 256).alias("_hash"))
+    hashes = F.transform(F.sort_array(F.collect_list(F.struct("_block", "_hash"))), lambda b: b["_hash"])
+    return blocks.groupBy(*by).agg(F.sum("_rows").alias("rows"), F.sha2(F.array_join(hashes, ""), 256).alias("fingerprint"))
+
+
+# Fixed values of the review.
+TIER_SCORES = {"PROMOTE_STRONG": 50.0, "PROMOTE": 30.0}
+
+
+def review_score(tier: Column, passed: Column, supported: Column, rss_kb: Column, elapsed_s: Column, bonus: Column) -> Column:
+    """The tier's score and 20 for the share of repeats that agreed, less memory and time (10 each at most), to six places. Absent figures are 0."""
+    base = F.lit(0.0)
+    for name, score in TIER_SCORES.items():
+        base = F.when(F.upper(F.trim(tier)) == name, score).otherwise(base)
+    of = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    ratio = of(passed) / F.greatest(of(supported), F.lit(1.0))
+    return F.round(base + 20 * ratio - F.least(of(rss_kb) / 200_000, F.lit(10.0)) - F.least(of(elapsed_s) / 60, F.lit(10.0)) + of(bonus), 6)

@@ -104,14 +104,30 @@ def x12(spark, sf_dir):
     return t.select("seq", "cooled", "locked", x.forced_exit(F.col("size"), F.col("entry"), F.col("price"), 0.5, 0.4).alias("forced"))
 
 
-@CAT.add("X18_gates", f"""WITH {TICKS_SQL}, s AS (SELECT *, count(*) OVER w AS n, sum(price) OVER w AS spent FROM ticks WINDOW w AS (PARTITION BY symbol, ts_event // 86400000 ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING))
-SELECT seq, CASE WHEN NOT coalesce(price > 0.5, false) THEN 'PRICE_TOO_LOW' WHEN NOT n <= 2 THEN 'DAILY_ORDERS' WHEN NOT spent <= 50 THEN 'DAILY_NOTIONAL' ELSE 'PASS' END AS gate FROM s""")
+@CAT.add("X18_gates", f"""WITH RECURSIVE {TICKS_SQL}, s AS (SELECT seq, stream, price, ts_event // 86400000 AS day, row_number() OVER (PARTITION BY stream, ts_event // 86400000 ORDER BY ts_event, seq) AS i FROM ticks),
+r AS (SELECT stream, day, 0::BIGINT AS i, 0 AS n, 0::DOUBLE AS spent, NULL::BIGINT AS seq, '' AS gate FROM s GROUP BY 1, 2 UNION ALL SELECT stream, day, i, n + (gate = 'PASS')::INT, CASE WHEN gate = 'PASS' THEN spent + price ELSE spent END, seq, gate FROM (
+SELECT s.*, n, spent, CASE WHEN NOT coalesce(price > 0.5, false) THEN 'REFUSED' WHEN n >= 5 THEN 'DAILY_ORDERS' WHEN spent + price > 60 THEN 'DAILY_NOTIONAL' ELSE 'PASS' END AS gate FROM r JOIN s ON s.stream = r.stream AND s.day = r.day AND s.i = r.i + 1))
+SELECT seq, gate FROM r WHERE i > 0""")
 def x18(spark, sf_dir):
+    """Five orders and a sum of 60 a stream and day, of those that pass."""
+    t = ticks(spark, sf_dir).withColumn("day", F.floor(F.col("ts_event") / 86_400_000))
+    return x.running_limits(t, ["stream", "day"], F.col("price") > 0.5, F.col("price"), 5, 60.0).select("seq", "gate")
+
+
+@CAT.add("X12_max_positions", f"""WITH {TICKS_SQL}, a AS (SELECT seq, ts_event, symbol, week, CASE WHEN qty > 66 THEN 'LONG' WHEN qty > 33 THEN 'FLAT' ELSE 'SHORT' END AS action FROM ticks),
+d AS (SELECT *, (action <> 'FLAT')::INT - coalesce(lag((action <> 'FLAT')::INT) OVER (PARTITION BY week, symbol ORDER BY ts_event, seq), 0) AS d FROM a)
+SELECT seq, action = 'FLAT' OR coalesce(sum(d) OVER (PARTITION BY week ORDER BY ts_event, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 10 AS allowed FROM d""")
+def x12_max(spark, sf_dir):
+    """Positions as the actions of a week ask for them; ten open ones bar another action than an exit."""
+    from ..operators.scans import number
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("symbol", F.floor(F.col("ts_event") / 86_400_000)).orderBy("ts_event", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    t = ticks(spark, sf_dir).withColumns({"n": F.count("*").over(w), "spent": F.sum("price").over(w)})
-    return t.select("seq", x.first_failed((F.col("price") > 0.5, "PRICE_TOO_LOW"), (F.col("n") <= 2, "DAILY_ORDERS"), (F.col("spent") <= 50, "DAILY_NOTIONAL")).alias("gate"))
+    a = F.when(F.col("qty") > 66, "LONG").when(F.col("qty") > 33, "FLAT").otherwise("SHORT")
+    t = ticks(spark, sf_dir).select("seq", "ts_event", "symbol", "week", a.alias("action")).withColumn("open", (F.col("action") != "FLAT").cast("long"))
+    o = Window.partitionBy("week", "symbol").orderBy("ts_event", "seq")
+    t = t.withColumn("change", F.col("open") - F.coalesce(F.lag("open").over(o), F.lit(0)))
+    t = number(t, ["week"], sums={"held": F.col("change")})
+    return t.select("seq", x.max_positions(F.col("held") - F.col("change"), F.col("action"), 10).alias("allowed"))
 
 
 @CAT.add("X19_curve_returns", f"""WITH {TICKS_SQL}, c AS (SELECT symbol, ts_event, seq, price + 1 AS equity FROM ticks) SELECT seq, round((equity - lag(equity) OVER o) / lag(equity) OVER o, 6) AS "return", coalesce(ts_event >= lag(ts_event) OVER o, true) AS valid FROM c WINDOW o AS (PARTITION BY symbol ORDER BY seq)""")

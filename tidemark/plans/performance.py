@@ -76,6 +76,20 @@ def x14(spark, sf_dir):
     return p.promotion(x).select("o_custkey", "stage", "target_stage", "failed", "promote", "needs_approval")
 
 
+@CAT.add("X14_demotion", f"""WITH {RUNS_SQL}, g AS (SELECT *, ['CANDIDATE', 'PAPER', 'CANARY', 'SHADOW', 'LIVE', 'RETIRED'][o_custkey % 6 + 1] AS stage, o_custkey % 7 AS base, CASE WHEN o_custkey % 13 > 1 THEN (o_custkey % 11) / 10 END AS health, avg_sharpe - (o_custkey % 4) * 0.43::DOUBLE AS sharpe FROM m),
+l(stage, back, least) AS (VALUES ('CANDIDATE', 'RETIRED', 0.5), ('PAPER', 'CANDIDATE', 0.3), ('CANARY', 'PAPER', 0.3), ('SHADOW', 'CANARY', 0.3), ('LIVE', 'SHADOW', NULL)),
+w AS (SELECT o_custkey, g.stage, back, CASE WHEN sharpe < -0.5::DOUBLE THEN 'sharpe_catastrophic' WHEN base <> 0 AND max_drawdown_pct > base * 2 THEN 'drawdown' WHEN health < 0.2::DOUBLE THEN 'edge_decay' WHEN back IS NOT NULL AND loss_days > 5 THEN 'loss_days' WHEN back IS NOT NULL AND sharpe < least THEN 'sharpe' END AS why FROM g LEFT JOIN l ON g.stage = l.stage),
+t AS (SELECT *, CASE WHEN why IN ('sharpe_catastrophic', 'drawdown', 'edge_decay') THEN 'RETIRED' WHEN why IS NOT NULL THEN back END AS to_stage FROM w)
+SELECT o_custkey, stage, to_stage, why, why IS NOT NULL AS demote, CASE WHEN to_stage = 'RETIRED' THEN 'RETIRE' WHEN why IS NOT NULL THEN 'DEMOTE' ELSE 'WARNING' END AS severity FROM t""")
+def x14_demotion(spark, sf_dir):
+    key = F.col("o_custkey")
+    x = performance(spark, sf_dir).withColumns({
+        "stage": F.element_at(F.array(*map(F.lit, (*p.STAGES, "RETIRED"))), (key % 6 + 1).cast("int")), "backtest_drawdown": key % 7, "edge_health": F.when(key % 13 > 1, (key % 11) / 10),
+        "avg_sharpe": F.col("avg_sharpe") - (key % 4) * 0.43,
+    })
+    return p.demotion(x).select("o_custkey", "stage", "to_stage", "why", "demote", "severity")
+
+
 @CAT.add("X8b_ledger_status", """WITH t AS (SELECT o_orderkey, count(DISTINCT l_suppkey) <= 5 AS single, CASE WHEN count(l_orderkey) = 0 THEN 'NO_FILL_ACTIVITY' WHEN min(l_tax) > 0 THEN 'FILL_FEE_BACKED' ELSE 'FILL_FEE_MISSING' END AS fees,
 CASE WHEN max(l_discount) < 0.05 THEN 'NO_FUNDING_EVENTS_OBSERVED' ELSE 'FUNDING_BACKED' END AS funding, CASE WHEN o_orderstatus = 'F' THEN 'FLAT' ELSE 'LONG' END AS direction,
 CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END AS mark, CASE WHEN o_orderpriority <> '2-HIGH' THEN o_totalprice * 0.001 END AS exit_fee FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus, o_orderpriority, o_totalprice)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import slices as s
-from ..sources.events import QUOTES_SQL, TICKS_SQL, quotes, table, ticks, trade_to_quote
+from ..sources.events import QUOTES_SQL, TICKS_SQL, quotes, table, ticks, trade_to_quote, trades_of
 from .registry import Catalogue, rounded
 
 CAT = Catalogue()
@@ -36,10 +36,20 @@ def s12(spark, sf_dir):
     return ticks(spark, sf_dir).groupBy("stream", F.date_format(F.timestamp_millis("ts_event"), "yyyyMMdd").alias("date")).agg(F.count("*").alias("n"))
 
 
-@CAT.add("S14_normalised", f"""WITH {TICKS_SQL} SELECT seq, upper(regexp_replace(stream || '-usd_t', '[-/_]', '', 'g')) AS pair, CASE WHEN seq % 2 = 1 THEN -1 ELSE 1 END AS side FROM ticks""")
+@CAT.add("S14_normalised", f"""WITH {TICKS_SQL} SELECT seq, upper(stream) || 'USDT' AS pair, price, qty, CASE WHEN qty > 50 THEN 1 ELSE -1 END::INT AS side, CASE WHEN stream = 'click' AND qty > 90 THEN ts_event + 7 ELSE ts_event END AS ts_event FROM ticks""")
 def s14(spark, sf_dir):
-    pair = F.upper(F.regexp_replace(F.concat("stream", F.lit("-usd_t")), "[-/_]", ""))
-    return ticks(spark, sf_dir).select("seq", pair.alias("pair"), F.when(F.col("seq") % 2 == 1, -1).otherwise(1).alias("side"))
+    """Ticks as the messages of three venues (some of the first without a time), and read from them."""
+    buy, c = F.col("qty") > 50, F.col
+    pair = F.concat("stream", F.lit("-"), F.lit("usdt"))
+    sent = F.when(~((c("stream") == "click") & (c("qty") > 90)), c("ts_event"))
+    text = lambda name: c(name).cast("string")
+    first = F.to_json(F.struct(pair.alias("s"), text("price").alias("p"), text("qty").alias("q"), sent.alias("T"), (~buy).alias("m")))
+    second = F.to_json(F.struct(F.upper(pair).alias("s"), text("price").alias("p"), text("qty").alias("v"), c("ts_event").alias("T"), F.when(buy, "Buy").otherwise("Sell").alias("S")))
+    third = F.to_json(F.struct(F.concat("stream", F.lit("_USDT")).alias("instId"), text("price").alias("px"), text("qty").alias("sz"), text("ts_event").alias("ts"), F.when(buy, "buy").otherwise("sell").alias("side")))
+    venue = F.when(c("stream") == "click", "binance").when(c("stream") == "view", "bybit").otherwise("okx")
+    payload = F.when(c("stream") == "click", first).when(c("stream") == "view", second).otherwise(third)
+    m = ticks(spark, sf_dir).select("seq", venue.alias("venue"), payload.alias("payload"), (c("ts_event") + 7).alias("ts_recv"))
+    return trades_of(m).select("seq", "pair", "price", "qty", "side", "ts_event")
 
 
 @CAT.add("S16_S17_meta", f"""WITH {TICKS_SQL} SELECT stream, count(*) AS rows, min(ts_event) AS ts_event_min, max(ts_event) AS ts_event_max, substr(md5(stream || ':' || count(*)), 1, 12) AS manifest FROM ticks GROUP BY 1""")
@@ -126,13 +136,12 @@ def o2(spark, sf_dir):
     return s.merged(t, ["stream", "week"], "file", "row").withColumnRenamed("seq", "merged_seq")
 
 
-@CAT.add("O6_content_hash", f"""WITH {TICKS_SQL} SELECT stream, ts_event // 86400000 AS day, count(*) AS rows, sha256(string_agg(ts_event || ':' || seq, '' ORDER BY ts_event, seq)) AS fingerprint FROM ticks GROUP BY 1, 2""")
+@CAT.add("O6_content_hash", f"""WITH {TICKS_SQL}, n AS (SELECT stream, ts_event // 86400000 AS day, ts_event || ':' || seq AS text, ts_event, seq, row_number() OVER (PARTITION BY stream, ts_event // 86400000 ORDER BY ts_event, seq) - 1 AS i FROM ticks),
+b AS (SELECT stream, day, i // 16 AS block, count(*) AS n, sha256(string_agg(text, '' ORDER BY i)) AS h FROM n GROUP BY 1, 2, 3) SELECT stream, day, sum(n)::BIGINT AS rows, sha256(string_agg(h, '' ORDER BY block)) AS fingerprint FROM b GROUP BY 1, 2""")
 def o6(spark, sf_dir):
-    """A fingerprint of every ordered part, a stream's day."""
+    """A fingerprint of every ordered part, a stream's day, by blocks of 16 rows."""
     t = ticks(spark, sf_dir).withColumn("day", F.floor(F.col("ts_event") / 86_400_000))
-    rows = F.sort_array(F.collect_list(F.struct("ts_event", "seq")))
-    text = F.concat_ws("", F.transform(rows, lambda r: F.concat_ws(":", r["ts_event"].cast("string"), r["seq"].cast("string"))))
-    return t.groupBy("stream", "day").agg(F.count("*").alias("rows"), F.sha2(text, 256).alias("fingerprint"))
+    return s.content_hash(t, ["stream", "day"], F.concat_ws(":", F.col("ts_event").cast("string"), F.col("seq").cast("string")), size=16)
 
 
 @CAT.add("O7_order_faults", f"""WITH {TICKS_SQL}, x AS (SELECT stream, ts_event, seq, lag(ts_event) OVER o AS lt, lag(seq) OVER o AS ls FROM ticks WINDOW o AS (PARTITION BY stream ORDER BY symbol * 1000000 + seq))
@@ -187,12 +196,31 @@ def o13(spark, sf_dir):
     return s.ranked(x, ["o_custkey"], [F.col("bucket"), F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey")]).filter("rank <= 3")
 
 
-@CAT.add("O14_review_score", """SELECT p_partkey, round((p_size // 10) * 10 + 20 * (p_retailprice / 2100) - least(p_partkey / 200000.0::DOUBLE, 10) + CASE WHEN p_brand LIKE '%1' THEN 5 ELSE 0 END, 6) AS score FROM part""")
+REVIEW_SQL = """p AS (SELECT o_custkey, CASE WHEN sum(o_totalprice) > 1500000 THEN 'PROMOTE_STRONG' WHEN sum(o_totalprice) > 500000 THEN 'PROMOTE' ELSE 'HOLD' END AS tier, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed,
+count(*) FILTER (WHERE o_orderstatus <> 'P') AS supported, max(o_totalprice) AS rss, count(*) * 31 AS elapsed, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN -10 ELSE 0 END AS bonus FROM orders GROUP BY 1),
+v AS (SELECT *, round(CASE tier WHEN 'PROMOTE_STRONG' THEN 50 WHEN 'PROMOTE' THEN 30 ELSE 0 END + 20 * (passed / greatest(supported, 1)) - least(rss / 200000::DOUBLE, 10) - least(elapsed / 60::DOUBLE, 10) + bonus, 6) AS score FROM p)"""
+
+
+def reviewed(spark, sf_dir):
+    """Customers as candidate packs: finished orders are repeats that agreed, a partly finished one wasn't supported."""
+    total = F.sum("o_totalprice")
+    p = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.when(total > 1_500_000, "PROMOTE_STRONG").when(total > 500_000, "PROMOTE").otherwise("HOLD").alias("tier"), F.count_if(F.col("o_orderstatus") == "F").alias("passed"),
+        F.count_if(F.col("o_orderstatus") != "P").alias("supported"), F.max("o_totalprice").alias("rss"), (F.count("*") * 31).alias("elapsed"), F.when(F.bool_or(F.col("o_orderpriority") == "1-URGENT"), -10).otherwise(0).alias("bonus"),
+    )
+    return p.withColumn("score", s.review_score(*map(F.col, ("tier", "passed", "supported", "rss", "elapsed", "bonus"))))
+
+
+@CAT.add("O14_review_score", f"WITH {REVIEW_SQL} SELECT o_custkey, tier, score FROM v")
 def o14(spark, sf_dir):
-    tier = F.floor(F.col("p_size") / 10) * 10
-    bonus = F.when(F.col("p_brand").endswith("1"), 5).otherwise(0)
-    score = tier + 20 * (F.col("p_retailprice") / 2100) - F.least(F.col("p_partkey") / 200000.0, F.lit(10.0)) + bonus
-    return rounded(table(spark, sf_dir, "part").select("p_partkey", score.alias("score")))
+    return reviewed(spark, sf_dir).select("o_custkey", "tier", "score")
+
+
+@CAT.add("O14_review_top", f"WITH {REVIEW_SQL} SELECT o_custkey, tier, score FROM v ORDER BY score DESC, tier <> 'PROMOTE_STRONG', passed / greatest(supported, 1) DESC, rss, elapsed, o_custkey LIMIT 10")
+def o14_top(spark, sf_dir):
+    """The ten best packs, as the review reports them."""
+    ratio = F.col("passed") / F.greatest(F.col("supported"), F.lit(1))
+    return s.top(reviewed(spark, sf_dir), [F.desc("score"), F.col("tier") != "PROMOTE_STRONG", ratio.desc(), F.col("rss"), F.col("elapsed"), F.col("o_custkey")], 10).select("o_custkey", "tier", "score")
 
 
 @CAT.add("R7_round_robin", """WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM r ORDER BY i, o_custkey LIMIT 120""")

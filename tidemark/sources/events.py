@@ -34,6 +34,33 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("mid", (F.col("bid_price") + F.col("ask_price")) / 2)
 
 
+#: How a venue's trade message names symbol, price, size and time, and what makes it a sale by the taker.
+TRADE_MESSAGES = {
+    "binance": ("s", "p", "q", "T", lambda m: m["m"] == "true"),
+    "bybit": ("s", "p", "v", "T", lambda m: m["S"].isNull() | (m["S"] != "Buy")),
+    "okx": ("instId", "px", "sz", "ts", lambda m: m["side"].isNull() | (m["side"] != "buy")),
+}
+
+
+def trades_of(messages: DataFrame, venue: str = "venue", payload: str = "payload", received: str = "ts_recv") -> DataFrame:
+    """Adds pair, price, qty, side and ts_event, read from a venue's JSON trade message.
+
+    The pair is upper case without separators; side is -1 where the taker sold, else 1; a message without time takes the time it was received. Messages
+    that aren't JSON or name no symbol, and those of other venues, give nulls, as do numbers that can't be read.
+    """
+    m, out = F.from_json(payload, "map<string,string>"), None
+    for name, (pair, price, qty, ts, sold) in TRADE_MESSAGES.items():
+        side = F.when(sold(m), -1).otherwise(1)
+        found = F.struct(
+            F.upper(F.regexp_replace(m[pair], "[-/_]", "")).alias("pair"), m[price].try_cast("double").alias("price"), m[qty].try_cast("double").alias("qty"), side.alias("side"),
+            F.coalesce(m[ts].try_cast("long"), F.col(received)).alias("ts_event"),
+        )
+        known = (F.col(venue) == name) & m[pair].isNotNull()
+        out = F.when(known, found) if out is None else out.when(known, found)
+    names = ("pair", "price", "qty", "side", "ts_event")
+    return messages.withColumn("_trade", out).withColumns({n: F.col(f"_trade.{n}") for n in names}).drop("_trade")
+
+
 def trade_to_quote(trades: DataFrame, price: str = "price", qty: str = "qty") -> DataFrame:
     """a synthetic book one part in a million wide; sizes that aren't positive become tiny."""
     spread = F.greatest(F.abs(price) * 1e-6, F.lit(1e-8))
