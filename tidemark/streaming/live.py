@@ -6,13 +6,17 @@ and returns a streaming DataFrame; run on all rows at once they give the batch o
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.rollups import quality
+
+SIGNALS = ("dropped", "queue_pct", "reconnects", "drain_s", "primary_offline_s", "max_offline_s", "primary_eps")
+
 TICK_SCHEMA = "ts_event long, seq long, symbol long, stream string, price double, qty double"
 
 
@@ -37,6 +41,31 @@ def quality_windows(df: DataFrame, width: str = "15 minutes", lateness: str = "1
     return x.select(F.unix_millis("window.start").alias("start"), "stream", "n", "peak")
 
 
+def silence_counts(df: DataFrame, by: Sequence[str], silence: str = "30 seconds", width: str = "15 minutes", slide: str = "1 minute", lateness: str = "1 minute") -> DataFrame:
+    """T4: (by, start, end, silences): how often a source fell silent within each sliding window, without windows of none.
+
+    A source is silent once ``silence`` has passed since its last row, so its sessions end where silences begin; these ends are counted
+    by a second window behind the first. The watermark closes both, and drops their state. A source that has not come back is silent too.
+    """
+    s = with_time(df, lateness).groupBy(F.session_window("event_time", silence).alias("session"), *by).agg(F.count("*").alias("_n"))
+    x = s.groupBy(F.window(F.window_time("session"), width, slide).alias("_w"), *by).agg(F.count("*").alias("silences"))
+    return x.select(*by, F.unix_millis("_w.start").alias("start"), F.unix_millis("_w.end").alias("end"), "silences")
+
+
+def graded_windows(df: DataFrame, by: Sequence[str], signals: Mapping[str, Column], width: str = "15 minutes", lateness: str = "1 minute") -> DataFrame:
+    """T4: (by, start, n, quality, reasons) of each tumbling window, once the watermark has passed it.
+
+    ``signals`` are aggregates by the names that :func:`tidemark.operators.rollups.quality` takes; those that are missing
+    count as it says for absent ones. The grade is the batch form's own rule, so that both agree on the same rows.
+    """
+    unknown = set(signals) - set(SIGNALS)
+    if unknown:
+        raise ValueError(f"no signal {sorted(unknown)}")
+    x = with_time(df, lateness).groupBy(F.window("event_time", width).alias("_w"), *by).agg(F.count("*").alias("n"), *[c.alias(f"_{name}") for name, c in signals.items()])
+    grade, why = quality(*[F.col(f"_{name}") if name in signals else F.lit(None).cast("double") for name in SIGNALS])
+    return x.select(*by, F.unix_millis("_w.start").alias("start"), "n", grade.alias("quality"), why.alias("reasons"))
+
+
 def without_repeats(df: DataFrame, lateness: str = "1 minute") -> DataFrame:
     """A repeated (ts_event, seq) within the watermark comes once."""
     return with_time(df, lateness).dropDuplicatesWithinWatermark(["ts_event", "seq"]).drop("event_time")
