@@ -124,6 +124,28 @@ def live_changes(spark, sf_dir):
     return drained(live.changed(streamed(spark, ticks(spark, sf_dir).select(*COLS))))
 
 
+GRADES_SQL = """b AS (SELECT stream, ts_event // 3600000 * 3600000 AS start, count(*) AS n, count(*) FILTER (WHERE price > 60) AS dropped, max(qty) AS queue FROM ticks GROUP BY 1, 2),
+c AS (SELECT *, dropped > 0 OR queue >= 90 AS bad, n >= 5 AS degraded FROM b)"""
+
+
+@CAT.add("T4_live_quality", f"""WITH {TICKS_SQL}, {GRADES_SQL} SELECT stream, start, n, CASE WHEN bad AND (dropped > 0 OR queue >= 90) THEN 'BAD' WHEN bad OR degraded THEN 'DEGRADED' ELSE 'GOOD' END AS quality,
+concat_ws(',', CASE WHEN dropped > 0 THEN 'dropped_events' END, CASE WHEN queue >= 90 THEN 'queue_pct_peak' END, CASE WHEN NOT bad AND n >= 5 THEN 'reconnects' END) AS reasons FROM c WHERE start + 3600000 <= (SELECT max(ts_event) FROM ticks) - 60000""")
+def live_quality(spark, sf_dir):
+    """Hours of a stream that are over by the watermark, with the batch form's grades."""
+    x = streamed(spark, ticks(spark, sf_dir).select("ts_event", "stream", "price", "qty"))
+    signals = {"dropped": F.count_if(F.col("price") > 60), "queue_pct": F.max("qty"), "reconnects": F.count("*")}
+    return drained(live.graded_windows(x, ["stream"], signals, "1 hour")).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@CAT.add("T4_live_silences", f"""WITH {TICKS_SQL}, g AS (SELECT stream, ts_event + 3600000 - 1 AS fell, lead(ts_event) OVER (PARTITION BY stream ORDER BY ts_event, seq) - ts_event AS gap FROM ticks),
+w AS (SELECT stream, (fell // 21600000 - k) * 21600000 AS start FROM g, (SELECT unnest(range(4)) AS k) WHERE gap > 3600000 OR gap IS NULL)
+SELECT stream, start, start + 86400000 AS "end", count(*) AS silences FROM w WHERE start + 86400000 <= (SELECT max(ts_event) FROM ticks) - 60000 GROUP BY 1, 2""")
+def live_silences(spark, sf_dir):
+    """Silences of over an hour in days that begin every six hours."""
+    x = streamed(spark, ticks(spark, sf_dir).select("ts_event", "stream"))
+    return drained(live.silence_counts(x, ["stream"], "1 hour", "1 day", "6 hours"))
+
+
 @CAT.add("T6_order_guard", f"""WITH {TICKS_SQL}, x AS (SELECT stream, seq, ts_event // 3600000 AS hour, (seq * 7919) % 1000003 AS arrival FROM ticks), y AS (SELECT *, max(hour) OVER (PARTITION BY stream ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x)
 SELECT stream, seq, CASE WHEN before IS NULL OR hour > before THEN 'accepted' WHEN hour = before THEN 'duplicate' ELSE 'out_of_order' END AS status FROM y""")
 def order_guard(spark, sf_dir):
