@@ -185,6 +185,30 @@ def compression_score(q: DataFrame, by: Sequence[str], n: int = 50, regime: floa
     return x.withColumn("volatility_compression_score", F.when(F.col("_last").isNotNull(), score)).drop("_last")
 
 
+def baseline_actions(q: DataFrame, by: Sequence[str], threshold: float, max_bps: float) -> DataFrame:
+    """Adds position (held before the row: 1, 0, -1), action, reason and confidence of the momentum baseline.
+
+    Rows have mid_price, spread and return_1. A wide spread does nothing; momentum beyond the threshold enters from flat and leaves the other side.
+    The position needs no row by row fold: two like signals in a row, or the first one, fix a side; until the next such pair, signals of that side
+    hold it and others leave it. So it follows from the last signal and the last that fixed a side. Unknown returns signal nothing.
+    """
+    o = ordered(by)
+    before = o.rowsBetween(Window.unboundedPreceding, -1)
+    wide = F.coalesce(F.col("spread") / F.col("mid_price") * 10_000 > max_bps, F.lit(False))
+    signal = F.when(~wide & (F.col("return_1") > threshold), 1).when(~wide & (F.col("return_1") < -threshold), -1)
+    x = q.withColumns({"_wide": wide, "_sig": signal}).withColumn("_was", F.last("_sig", ignorenulls=True).over(before))
+    x = x.withColumn("_fixed", F.when(F.col("_was").isNull() | (F.col("_was") == F.col("_sig")), F.col("_sig")))
+    x = x.withColumn("_side", F.last("_fixed", ignorenulls=True).over(before))
+    sig, size = F.col("_sig"), F.least(F.lit(1.0), F.abs("return_1") / threshold)
+    x = x.withColumn("position", F.when(F.col("_side") == F.col("_was"), F.col("_side")).otherwise(0))
+    held = F.col("position")
+    acts = F.coalesce(sig != held, F.lit(False))  # a signal of the side that is held changes nothing
+    action = F.when(acts & (held == 1), "EXIT_LONG").when(acts & (held == -1), "EXIT_SHORT").when(acts & (sig == 1), "LONG").when(acts, "SHORT").otherwise("FLAT")
+    reason = F.when(F.col("_wide"), "spread_too_wide").when(acts & (held != 0), "momentum_reversal").when(held == 1, "holding_long").when(held == -1, "holding_short").when(sig == 1, "positive_momentum")
+    reason = reason.when(sig == -1, "negative_momentum").otherwise("no_signal")
+    return x.withColumns({"action": action, "reason": reason, "confidence": F.when(acts, size)}).drop("_wide", "_sig", "_was", "_fixed", "_side")
+
+
 def recursive(q: DataFrame, by: Sequence[str], names: Sequence[str], fold: Callable[[pd.DataFrame], dict[str, pd.Series]]) -> DataFrame:
     """Adds columns that a fold computes from a group in order; groups are the unit of recursion, such as a symbol's day."""
     from pyspark.sql import types as T

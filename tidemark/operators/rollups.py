@@ -60,12 +60,40 @@ def coverage(df: DataFrame, day: str, source: str, wanted: int) -> DataFrame:
     return df.groupBy(day).agg(F.countDistinct(source).alias("present")).withColumn("full", F.col("present") >= wanted)
 
 
-def sliding_lists(df: DataFrame, by: Sequence[str], day: str, n: int) -> DataFrame:
-    """Every n days that follow each other in a key's list of days."""
+def sliding_lists(df: DataFrame, by: Sequence[str], day: str, n: int, lookback: int | None = None, last: int | None = None) -> DataFrame:
+    """Every n days that follow each other in a key's list of days; of its last ``lookback`` days only, and only the ``last`` such runs, if asked for."""
     d = df.select(*by, day).distinct()
+    if lookback is not None:
+        d = d.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(day)))).filter(F.col("_back") <= lookback).drop("_back")
     w = Window.partitionBy(*by).orderBy(day).rowsBetween(1 - n, 0)
-    x = d.select(*by, F.min(day).over(w).alias("first_day"), F.col(day).alias("last_day"), F.count("*").over(w).alias("_n"))
-    return x.filter(F.col("_n") == n).drop("_n")
+    x = d.select(*by, F.min(day).over(w).alias("first_day"), F.col(day).alias("last_day"), F.count("*").over(w).alias("_n")).filter(F.col("_n") == n).drop("_n")
+    if last is not None:
+        x = x.withColumn("_back", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("last_day")))).filter(F.col("_back") <= last).drop("_back")
+    return x
+
+
+def state_times(df: DataFrame, by: Sequence[str], state: str) -> DataFrame:
+    """Of each state its rows, their share, the gaps that followed them and their mean; a gap counts for the state before it. A null state is one of its own."""
+    gap = F.lead("ts_event").over(Window.partitionBy(*by).orderBy("ts_event", "seq")) - F.col("ts_event")
+    x = df.withColumn("_gap", gap).groupBy(*by, state).agg(F.count("*").alias("n"), F.count("_gap").alias("gaps"), F.avg("_gap").alias("avg_ms"))
+    return x.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
+
+
+def cell_summary(windows: DataFrame, by: Sequence[str], target: int, least_median: float = 2.0, least_p10: float = 1.5, least_rate: float = 0.8) -> DataFrame:
+    """A cell's windows (verdict, mean) together: counts of verdicts, median, tenth percentile (the value at floor((n - 1) / 10)) and least mean, and whether it is promising.
+
+    Promising: as many windows as were wanted, none without support, median, percentile and share of DIRECTIONAL windows high enough. A cell
+    has as many means as there are windows in the calendar, so they are sorted within its row.
+    """
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    x = windows.groupBy(*by).agg(
+        F.count("*").alias("windows"), n("DIRECTIONAL").alias("directional"), n("ANTI_EDGE").alias("anti_edge"), n("NO_EDGE").alias("no_edge"), n("INSUFFICIENT_SUPPORT").alias("insufficient"),
+        F.coalesce(F.median("mean"), F.lit(0.0)).alias("median_mean"), F.sort_array(F.collect_list("mean")).alias("_means"), F.coalesce(F.min("mean"), F.lit(0.0)).alias("min_mean"),
+    )
+    p10 = F.coalesce(F.get("_means", F.floor((F.size("_means") - 1) * 0.1).cast("int")), F.lit(0.0))
+    x = x.withColumns({"p10_mean": p10, "directional_rate": F.col("directional") / F.col("windows")}).drop("_means")
+    good = (F.col("median_mean") >= least_median) & (F.col("p10_mean") >= least_p10) & (F.col("directional_rate") >= least_rate)
+    return x.withColumn("promising", (F.col("windows") == target) & (F.col("insufficient") == 0) & good)
 
 
 def summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -194,3 +194,12 @@ def calibration(df: DataFrame, value: str, label: Column, bins: int) -> DataFram
     """R2: count, mean probability and share of positives of each bin."""
     at = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1))
     return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(value).alias("avg_p"), F.avg(label.cast("int")).alias("win_rate"))
+
+
+def label_ranking(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """M6: (feature, correlation, size, strength, rank) of features by the size of their correlation with a label; an unknown one has size 0. Equal sizes go by name."""
+    found = df.agg(*[pearson(F.col(f), F.col(label)).alias(f) for f in features])
+    x = found.unpivot([], list(features), "feature", "correlation").withColumn("size", F.coalesce(F.abs("correlation"), F.lit(0.0)))
+    size = F.col("size")
+    strength = F.when(size >= 0.5, "STRONG").when(size >= 0.3, "MODERATE").when(size >= 0.1, "WEAK").otherwise("NEGLIGIBLE")
+    return x.withColumns({"strength": strength, "rank": F.row_number().over(Window.orderBy(F.desc("size"), "feature"))})  # a row a feature

@@ -232,6 +232,17 @@ def w38(spark, sf_dir):
     return out(x.withColumn("decision", d), "spread_bps", "decision")
 
 
+@CAT.add("W38_positions", f"""WITH RECURSIVE {R_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY stream, week ORDER BY ts_event, seq) AS i, (ask_price - bid_price) / mid * 10000 > 25 AS wide FROM r),
+x AS (SELECT stream, week, i, seq, wide, return_1 AS r, CASE WHEN NOT wide AND return_1 > 0.5::DOUBLE THEN 1 WHEN NOT wide AND return_1 < -0.5::DOUBLE THEN -1 ELSE 0 END AS s FROM n),
+p AS (SELECT stream, week, 0::BIGINT AS i, 0 AS p FROM x GROUP BY 1, 2 UNION ALL SELECT x.stream, x.week, x.i, least(1, greatest(-1, p + s)) FROM p JOIN x ON x.stream = p.stream AND x.week = p.week AND x.i = p.i + 1)
+SELECT seq, p AS position, CASE WHEN p = 1 AND s = -1 THEN 'EXIT_LONG' WHEN p = -1 AND s = 1 THEN 'EXIT_SHORT' WHEN p = 0 AND s = 1 THEN 'LONG' WHEN p = 0 AND s = -1 THEN 'SHORT' ELSE 'FLAT' END AS action,
+CASE WHEN wide THEN 'spread_too_wide' WHEN p * s < 0 THEN 'momentum_reversal' WHEN p = 1 THEN 'holding_long' WHEN p = -1 THEN 'holding_short' WHEN s = 1 THEN 'positive_momentum' WHEN s = -1 THEN 'negative_momentum' ELSE 'no_signal' END AS reason,
+round(CASE WHEN s <> 0 AND s <> p THEN least(1, abs(r) / 0.5::DOUBLE) END, 6) AS confidence FROM x JOIN (SELECT stream, week, i + 1 AS i, p FROM p) USING (stream, week, i)""")
+def w38_positions(spark, sf_dir):
+    """The baseline with the position that its earlier actions left."""
+    return out(f.baseline_actions(base(spark, sf_dir), BY, 0.5, 25.0), "position", "action", "reason", "confidence")
+
+
 @CAT.add("W39_drawdown", f"""WITH {TICKS_SQL}, p AS (SELECT *, max(price) OVER (PARTITION BY symbol ORDER BY ts_event, seq ROWS UNBOUNDED PRECEDING) AS peak FROM ticks)
 SELECT seq, peak, round(CASE WHEN peak > 0 THEN (peak - price) / peak ELSE 0 END, 6) AS drawdown FROM p""")
 def w39(spark, sf_dir):

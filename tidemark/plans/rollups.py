@@ -70,6 +70,13 @@ def a29(spark, sf_dir):
     return r.sliding_lists(ticks(spark, sf_dir).withColumn("day", F.floor(F.col("ts_event") / 86_400_000)), ["symbol"], "day", 3)
 
 
+@CAT.add("A29_last_windows", f"""WITH {TICKS_SQL}, d AS (SELECT symbol, day FROM (SELECT DISTINCT symbol, {DAY} AS day FROM ticks) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY day DESC) <= 12),
+w AS (SELECT symbol, min(day) OVER w AS first_day, day AS last_day, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 2 PRECEDING)) SELECT symbol, first_day, last_day FROM w WHERE n = 3 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY last_day DESC) <= 4""")
+def a29_last(spark, sf_dir):
+    """The last four runs of three days, of a symbol's last twelve days."""
+    return r.sliding_lists(ticks(spark, sf_dir).withColumn("day", F.floor(F.col("ts_event") / 86_400_000)), ["symbol"], "day", 3, lookback=12, last=4)
+
+
 @CAT.add("A30_context", f"""WITH {TICKS_SQL}, s AS (SELECT symbol, arg_min(price, (ts_event, seq)) AS first, arg_max(price, (ts_event, seq)) AS last, avg(price) AS mean, min(price) AS min, max(price) AS max, count(*) AS n FROM ticks GROUP BY 1)
 SELECT symbol, first, last, round(mean, 6) AS mean, min, max, n, round((last - first) / nullif(first, 0) * 10000, 6) AS change_bps FROM s""")
 def a30(spark, sf_dir):
@@ -195,6 +202,27 @@ def r8(spark, sf_dir):
     return rounded(r.transitions(ticks(spark, sf_dir), ["symbol"], "stream"))
 
 
+@CAT.add("R8_state_times", f"""WITH {TICKS_SQL}, g AS (SELECT symbol, stream, lead(ts_event) OVER (PARTITION BY symbol ORDER BY ts_event, seq) - ts_event AS gap FROM ticks)
+SELECT symbol, stream, count(*) AS n, count(gap) AS gaps, round(avg(gap), 6) AS avg_ms, round(count(*) / sum(count(*)) OVER (PARTITION BY symbol), 6) AS share FROM g GROUP BY 1, 2""")
+def r8_states(spark, sf_dir):
+    return rounded(r.state_times(ticks(spark, sf_dir), ["symbol"], "stream"))
+
+
+@CAT.add("R5_cell_summary", f"""WITH {TICKS_SQL}, c AS (SELECT symbol, week, count(*) AS n, avg(price - 12) AS m, avg(price - 12) / nullif(stddev_samp(price - 12) / sqrt(count(*)), 0) AS t FROM ticks GROUP BY 1, 2),
+v AS (SELECT *, CASE WHEN n < 3 THEN 'INSUFFICIENT_SUPPORT' WHEN abs(coalesce(t, 0)) >= 1.5 AND m > 0 THEN 'DIRECTIONAL' WHEN abs(coalesce(t, 0)) >= 1.5 AND m < 0 THEN 'ANTI_EDGE' ELSE 'NO_EDGE' END AS verdict FROM c),
+s AS (SELECT symbol, count(*) AS windows, count(*) FILTER (WHERE verdict = 'DIRECTIONAL') AS directional, count(*) FILTER (WHERE verdict = 'ANTI_EDGE') AS anti_edge, count(*) FILTER (WHERE verdict = 'NO_EDGE') AS no_edge, count(*) FILTER (WHERE verdict = 'INSUFFICIENT_SUPPORT') AS insufficient,
+median(m) AS median_mean, list_sort(list(m))[(count(*) - 1) // 10 + 1] AS p10_mean, min(m) AS min_mean FROM v GROUP BY 1)
+SELECT * REPLACE (round(median_mean, 6) AS median_mean, round(p10_mean, 6) AS p10_mean, round(min_mean, 6) AS min_mean), round(directional / windows, 6) AS directional_rate, windows = 5 AND insufficient = 0 AND median_mean >= 2 AND p10_mean >= -1 AND directional / windows >= 0.4::DOUBLE AS promising FROM s""")
+def r5_summary(spark, sf_dir):
+    """Symbols as cells and weeks as windows."""
+    from ..operators.stats import t_stat
+
+    v, t, m = F.col("price") - 12, F.abs("t"), F.col("mean")
+    x = ticks(spark, sf_dir).groupBy("symbol", "week").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), t_stat(v).alias("t"))
+    verdict = r.first_of((F.col("n") < 3, "INSUFFICIENT_SUPPORT"), ((t >= 1.5) & (m > 0), "DIRECTIONAL"), ((t >= 1.5) & (m < 0), "ANTI_EDGE"), default="NO_EDGE")
+    return rounded(r.cell_summary(x.withColumn("verdict", verdict), ["symbol"], 5, 2.0, -1.0, 0.4))
+
+
 @CAT.add("R9_confidence_buckets", f"""WITH {TICKS_SQL} SELECT stream, count(*) AS n, round(sum(coalesce(price, 0)) / count(*), 6) AS avg_confidence, count(*) FILTER (WHERE price < 10) AS low, count(*) FILTER (WHERE price >= 10 AND price < 30) AS medium, count(*) FILTER (WHERE price >= 30) AS high FROM ticks GROUP BY 1""")
 def r9(spark, sf_dir):
     p = F.col("price")

@@ -104,6 +104,17 @@ def m6(spark, sf_dir):
     return rounded(x.withColumn("strength", F.when(a >= 0.5, "STRONG").when(a >= 0.3, "MODERATE").when(a >= 0.1, "WEAK").otherwise("NONE")))
 
 
+RANKED = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+
+
+@CAT.add("M6_label_ranking", f"""WITH c AS (SELECT unnest([{", ".join(f"struct_pack(f := '{n}', r := corr({n}, (l_quantity * 1000 + l_extendedprice > 80000)::INT))" for n in RANKED)}]) AS u FROM lineitem),
+x AS (SELECT u.f AS feature, u.r AS correlation, coalesce(abs(u.r), 0) AS size FROM c) SELECT feature, round(correlation, 6) AS correlation, round(size, 6) AS size, CASE WHEN size >= 0.5 THEN 'STRONG' WHEN size >= 0.3 THEN 'MODERATE' WHEN size >= 0.1 THEN 'WEAK' ELSE 'NEGLIGIBLE' END AS strength,
+(row_number() OVER (ORDER BY size DESC, feature))::INT AS rank FROM x""")
+def m6_ranking(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").withColumn("high", (F.col("l_quantity") * 1000 + F.col("l_extendedprice") > 80_000).cast("int"))
+    return rounded(s.label_ranking(x, RANKED, "high"))
+
+
 @CAT.add("M7_label_balance", """WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY o_orderpriority) AS p FROM c)
 SELECT o_orderpriority, sum(n)::BIGINT AS n, count(*) AS labels, round(max(n) / min(n), 6) AS imbalance, round(-sum(p * log2(p)), 6) AS entropy, round(CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) / log2(count(*)) ELSE 0 END, 6) AS normalised_entropy FROM p GROUP BY 1""")
 def m7(spark, sf_dir):
