@@ -141,3 +141,10 @@ def test_odd_messages(spark):
     ]
     got = trades_of(spark.createDataFrame([(*r, 77) for r in rows], "venue string, payload string, ts_recv long")).collect()
     assert [tuple(r)[3:] for r in got] == [("BTCUSDT", 1.5, 2.0, -1, 9), ("AB", None, 1.0, 1, 77), ("AB", 1.0, 2.0, -1, 3), *[(None,) * 5] * 5]
+
+
+def test_best_of_family_by_hand(spark):
+    rows = [("up", 1.0, 1), ("up", 3.0, 2), ("up", 3.0, 1), ("up", None, 0), ("down", 2.0, 5), ("down", -1.0, 6), ("none", None, 9), (None, 4.0, 3)]
+    df = spark.createDataFrame(rows, "family string, value double, tie int")
+    got = {r["family"]: (r["value"], r["tie"]) for r in slices.best_of_family(df, "family", "value", ["down"], [F.col("tie")]).collect()}
+    assert got == {"up": (3.0, 1), "down": (-1.0, 6), "none": (None, 9), None: (4.0, 3)}

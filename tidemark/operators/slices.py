@@ -157,6 +157,16 @@ def validate(df: DataFrame, schema: Mapping[str, str]) -> list[str]:
     return [f"missing {c}" for c in schema if c not in have] + [f"{c} is {have[c]}, not {t}" for c, t in schema.items() if have.get(c, t) != t]
 
 
+def best_of_family(df: DataFrame, family: str, value: str, low: Sequence, ties: Sequence[Column]) -> DataFrame:
+    """Each family's best row: the largest value, or the smallest for the families of ``low``, then the least of ``ties``; unknown values come last.
+
+    One aggregate of the least key, so nothing is sorted. Rows of an unknown family are one family.
+    """
+    sign = F.when(F.col(family).isin(*low), 1.0).otherwise(-1.0) if low else F.lit(-1.0)
+    rank = F.struct(F.col(value).isNull(), F.col(value) * sign, *ties)
+    return df.groupBy(family).agg(F.min_by(F.struct(*[c for c in df.columns if c != family]), rank).alias("_best")).select(family, "_best.*")
+
+
 def content_hash(df: DataFrame, by: Sequence[str], text: Column, order: Sequence[str] = ("ts_event", "seq"), size: int = 65_536) -> DataFrame:
     """(by, rows, fingerprint) of ordered parts: SHA-256 over the hashes of their blocks of ``size`` rows in order.
 

@@ -157,6 +157,14 @@ def o8(spark, sf_dir):
     return s.top(x, [F.desc("m"), F.desc("n"), F.col("symbol"), F.col("stream")], 25)
 
 
+@CAT.add("O8_best_of_family", f"""WITH {TICKS_SQL}, x AS (SELECT stream, symbol, week, count(*) AS n, round(avg(price), 6) AS m FROM ticks GROUP BY ALL)
+SELECT stream, symbol, week, n, m FROM x QUALIFY row_number() OVER (PARTITION BY stream ORDER BY CASE WHEN stream IN ('click', 'error') THEN m ELSE -m END NULLS LAST, n DESC, week, symbol) = 1""")
+def o8_family(spark, sf_dir):
+    """Streams as families, two of which look for the lowest mean."""
+    x = rounded(ticks(spark, sf_dir).groupBy("stream", "symbol", "week").agg(F.count("*").alias("n"), F.avg("price").alias("m")))
+    return s.best_of_family(x, "stream", "m", ["click", "error"], [-F.col("n"), F.col("week"), F.col("symbol")])
+
+
 @CAT.add("O9_O10_latest", f"""WITH {TICKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event DESC, seq DESC) AS i FROM ticks) SELECT {COLS} FROM r WHERE i = 1""")
 def o9(spark, sf_dir):
     return s.latest(ticks(spark, sf_dir).select(*NAMES), ["symbol"], ["ts_event", "seq"])
