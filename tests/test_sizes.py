@@ -1,10 +1,22 @@
 """What larger tables bring: moves at a threshold, ties, windows of many rows, keys of many rows."""
 
+import math
+import random
+
+import pytest
 from pyspark.sql import functions as F
-from tidemark.operators import execution
+from tidemark.operators import chance, edges, execution, hypotheses, slices
+from tidemark.streaming import stateful
 
 
 def test_exit_at_the_threshold(spark):
     df = spark.createDataFrame([(1, 0.2, 0.3), (-1, 0.05, 0.07), (1, 0.2, 0.29), (-1, 0.0, 1.0)], "size int, entry double, price double")
     got = [r[0] for r in df.select(execution.forced_exit(F.col("size"), F.col("entry"), F.col("price"), 0.5, 0.4)).collect()]
     assert got == ["take_profit", "stop_loss", None, None]
+
+
+def test_order_faults_of_one_arrival(spark):
+    rows = [("a", 5, 1, 7), ("a", 4, 2, 7), ("a", 4, 1, 7), ("a", 4, 3, 6), ("a", 5, 1, 7)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "k string, ts_event long, seq long, arrival long").coalesce(1)
+        assert [tuple(r) for r in slices.order_faults(df, ["k"], "arrival").collect()] == [("a", 5, 1, 1)]

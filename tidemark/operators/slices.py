@@ -99,8 +99,10 @@ def merged(df: DataFrame, by: Sequence[str], file_col: str, row_col: str) -> Dat
 
 
 def order_faults(df: DataFrame, by: Sequence[str], arrival: str, width: int = 1_000_000) -> DataFrame:
-    """Rows, duplicates and regressions of (ts_event, seq) in order of arrival, a number; ``width`` of it are sorted together."""
-    x = along(df.select(*by, *ORDER, arrival), by, {"_last": lambda w: F.lag(F.struct(*ORDER)).over(w)}, before=1, order=(arrival,), width=width)
+    """Rows, duplicates and regressions of (ts_event, seq) in order of arrival, a number; ``width`` of it are sorted together.
+
+    Rows that arrive at the same number are taken in order of (ts_event, seq), so that reruns agree."""
+    x = along(df.select(*by, *ORDER, arrival), by, {"_last": lambda w: F.lag(F.struct(*ORDER)).over(w)}, before=1, order=(arrival, *ORDER), width=width)
     key, last = F.struct(*ORDER), F.col("_last")
     x = x.select(*by, F.when(last.isNull(), "first").when(key == last, "duplicate").when(key < last, "regression").otherwise("ok").alias("_s"))
     count = lambda s: F.count_if(F.col("_s") == s)
