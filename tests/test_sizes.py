@@ -20,3 +20,16 @@ def test_order_faults_of_one_arrival(spark):
     for order in (rows, rows[::-1], rows[2:] + rows[:2]):
         df = spark.createDataFrame(order, "k string, ts_event long, seq long, arrival long").coalesce(1)
         assert [tuple(r) for r in slices.order_faults(df, ["k"], "arrival").collect()] == [("a", 5, 1, 1)]
+
+
+def test_order_guard_of_one_arrival(spark, tmp_path):
+    rows = [("a", t, 0, n, 7) for n, t in enumerate([5, 4, 6, 6, 4])]
+    schema = "k string, ts_event long, seq long, id long, arrival long"
+    found = set()
+    for k, order in enumerate((rows, rows[::-1], rows[2:] + rows[:2])):
+        path = str(tmp_path / f"in{k}")
+        spark.createDataFrame(order, schema).coalesce(1).write.parquet(path)
+        x = stateful.ordered(spark.readStream.schema(schema).parquet(path), ["k"], "arrival")
+        x.writeStream.format("parquet").option("path", str(tmp_path / f"out{k}")).option("checkpointLocation", str(tmp_path / f"cp{k}")).trigger(availableNow=True).start().awaitTermination()
+        found.add(tuple(sorted((r["id"], r["status"]) for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect())))
+    assert found == {((0, "accepted"), (1, "accepted"), (2, "accepted"), (3, "duplicate"), (4, "duplicate"))}

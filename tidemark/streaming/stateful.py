@@ -30,17 +30,19 @@ def _stateful(df: DataFrame, by: Sequence[str], out: T.StructType, state: str, r
 def ordered(df: DataFrame, by: Sequence[str], arrival: str, lateness: str = "1 day", keep_ms: int = 7 * 86_400_000) -> DataFrame:
     """Rows with status: accepted if (ts_event, seq) is beyond all that the key has accepted, else duplicate of the last, or out_of_order.
 
-    ``arrival`` numbers rows as they came. What is more than ``lateness`` behind the newest row is left out by the watermark, and a key
+    ``arrival`` numbers rows as they came; rows of one number and batch are taken in order of (ts_event, seq), then of their other columns,
+    so that reruns agree. What is more than ``lateness`` behind the newest row is left out by the watermark, and a key
     whose last row is ``keep_ms`` behind it is forgotten.
     """
     columns = df.columns
+    order = [arrival, "ts_event", "seq", *[c for c, kind in df.dtypes if c not in (arrival, "ts_event", "seq", *by) and "<" not in kind]]
     df = df.withColumn("event_time", F.timestamp_millis("ts_event")).withWatermark("event_time", lateness)
 
     def run(key: tuple, rows: Iterator[pd.DataFrame], last: GroupState) -> Iterator[pd.DataFrame]:
         if last.hasTimedOut:
             last.remove()
             return
-        x = _together(rows, [arrival])
+        x = _together(rows, order)
         held = [last.get] if last.exists else []
         pairs = pd.DataFrame([*held, *zip(x["ts_event"], x["seq"], strict=True)], columns=["t", "s"])
         place = pairs.groupby(["t", "s"], sort=True).ngroup().to_numpy()
