@@ -33,3 +33,12 @@ def test_order_guard_of_one_arrival(spark, tmp_path):
         x.writeStream.format("parquet").option("path", str(tmp_path / f"out{k}")).option("checkpointLocation", str(tmp_path / f"cp{k}")).trigger(availableNow=True).start().awaitTermination()
         found.add(tuple(sorted((r["id"], r["status"]) for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect())))
     assert found == {((0, "accepted"), (1, "accepted"), (2, "accepted"), (3, "duplicate"), (4, "duplicate"))}
+
+
+def test_shares_stay_off_the_rows(spark):
+    rows = [("a", n, n / 10, n % 3 == 0) for n in range(40)] + [(None, 100 + n, n / 10, n % 2 == 0) for n in range(10)]
+    df = spark.createDataFrame(rows, "k string, seq long, v double, hit boolean")
+    x = chance.chance_sums(df, ["k"], "v", "hit", rounds=5, chunk_rows=16)
+    assert {(r["k"], r["chosen"]) for r in x.collect()} == {("a", 14), (None, 5)} and x.count() == 10
+    joins = [line for line in x._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in line]
+    assert not any("_shares" in line for line in joins)

@@ -59,17 +59,17 @@ def chance_sums(df: DataFrame, by: Sequence[str], value: str, hit: str, seq: str
         return chunks[[*by, "_chunk"]].assign(_shares=list(drawn.T.astype("int64")))
 
     shares = facts.groupBy(*by).applyInPandas(share, T.StructType([*keys, T.StructField("_chunk", T.LongType()), T.StructField("_shares", T.ArrayType(T.LongType()))]))
-    dealt = null_safe_join(rows.drop("_hit"), shares.withColumnRenamed("_chunk", "_of").withColumn("_chunk", F.col("_of")).drop("_of"), [*by, "_chunk"])
     result = T.StructType([*keys, T.StructField("chosen", T.ArrayType(T.LongType())), T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
-    def draw(chunk: pa.Table) -> pa.Table:
+    def draw(chunk: pa.Table, share: pa.Table) -> pa.Table:
         chunk = chunk.sort_by([("_seq", "ascending"), ("_v", "ascending")])
-        sizes = np.array(chunk["_shares"][0].as_py())
+        sizes = np.array(share["_shares"][0].as_py())
         rng = _rng(seed, "rows", *(chunk[k][0].as_py() for k in by), chunk["_chunk"][0].as_py())
         sums = chosen_sums(chunk["_v"].to_numpy(), sizes, rng)
         return chunk.slice(0, 1).select(by).append_column("chosen", pa.array([sizes])).append_column("sums", pa.array([sums]))
 
-    drawn = dealt.groupBy(*by, "_chunk").applyInArrow(draw, result)
+    # Side by side: a join would put a copy of the shares on every row.
+    drawn = rows.drop("_hit").groupBy(*by, "_chunk").cogroup(shares.groupBy(*by, "_chunk")).applyInArrow(draw, result)
     each = drawn.select(*by, F.posexplode(F.arrays_zip("chosen", "sums")).alias("round", "_x"))
     return each.groupBy(*by, "round").agg(F.sum("_x.chosen").alias("chosen"), F.sum("_x.sums").alias("sum"))
 
