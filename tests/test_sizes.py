@@ -42,3 +42,12 @@ def test_shares_stay_off_the_rows(spark):
     assert {(r["k"], r["chosen"]) for r in x.collect()} == {("a", 14), (None, 5)} and x.count() == 10
     joins = [line for line in x._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in line]
     assert not any("_shares" in line for line in joins)
+
+
+def test_trades_of_edges_by_growing_frames(spark):
+    always = edges.Edge("e", F.col("f") > 0, F.lit("LONG"), F.col("f"), ((F.col("f") < -1, "out"),), (), 10)
+    rows = [("a", t, s, f, 100.0 + t) for t, s, f in ((0, 1, 1.0), (5, 2, -2.0), (5, 3, 1.0), (15, 4, -2.0), (16, 5, 0.0), (16, 6, -2.0), (17, 7, 2.0))]
+    df = spark.createDataFrame(rows, "k string, ts_event long, seq long, f double, p double")
+    x = edges.edge_trades(df, ["k"], [always], "p", unit_ms=1)
+    assert sorted((r["seq"], r["exit_seq"], r["reason"]) for r in x.collect()) == [(1, 2, "out"), (3, 4, "out"), (7, None, None)]
+    assert "unboundedfollowing" not in x._jdf.queryExecution().analyzed().toString()

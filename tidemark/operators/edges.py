@@ -68,14 +68,15 @@ def edge_trades(df: DataFrame, by: Sequence[str], edges: Sequence[Edge], price:
     entries without one are open: null exit. ``back`` is the signed relative move from entry to exit. Groups ``by`` should be
     bounded, such as a stream's days: a group is sorted once for all edges.
     """
-    o = Window.partitionBy(*by).orderBy("ts_event", "seq")
-    behind = o.rowsBetween(1, Window.unboundedFollowing)
+    # From the last row back, so that a frame only grows: one that begins at a row and has no end is summed anew for each row.
+    back = Window.partitionBy(*by).orderBy(F.desc("ts_event"), F.desc("seq"))
+    behind = back.rowsBetween(Window.unboundedPreceding, -1)
     x, held = df, []
     for i, e in enumerate(edges):
         reason = first_of(*e.exits)
         x = x.withColumn(f"_why{i}", reason)
-        x = x.withColumn(f"_exit{i}", F.first(F.when(F.col(f"_why{i}").isNotNull(), F.struct("ts_event", "seq", F.col(price).alias("price"), F.col(f"_why{i}").alias("reason"))), ignorenulls=True).over(behind))
-        later = Window.partitionBy(*by).orderBy("ts_event").rangeBetween(e.horizon * unit_ms + 1, Window.unboundedFollowing)
+        x = x.withColumn(f"_exit{i}", F.last(F.when(F.col(f"_why{i}").isNotNull(), F.struct("ts_event", "seq", F.col(price).alias("price"), F.col(f"_why{i}").alias("reason"))), ignorenulls=True).over(behind))
+        later = Window.partitionBy(*by).orderBy(F.desc("ts_event")).rangeBetween(Window.unboundedPreceding, -(e.horizon * unit_ms + 1))
         x = x.withColumn(f"_late{i}", F.min(F.struct("ts_event", "seq", F.col(price).alias("price"), F.lit("time_horizon_exceeded").alias("reason"))).over(later))
         held.append((e.name, f"_exit{i}", f"_late{i}"))
     x = entries(x, edges, regime)
