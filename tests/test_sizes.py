@@ -81,3 +81,30 @@ def test_no_frame_slides_over_times(spark):
     df = spark.createDataFrame([("a", 1, 1, 2.0)], "k string, ts_event long, seq long, v double")
     plan = hypotheses.volatility_grid(df, ["k"], "v", [3], [5])._jdf.queryExecution().analyzed().toString()
     assert "specifiedwindowframe(RangeFrame, 1," not in plan and "specifiedwindowframe(RangeFrame, -" not in plan
+
+
+def random_rows(n=300):
+    rng = random.Random(7)
+    return [(rng.choice(["a", "b", None]), rng.randint(-60, 90), k, round(rng.uniform(1, 9), 2)) for k in range(n)]
+
+
+def slides(df):
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return any(f"specifiedwindowframe(RangeFrame, {c}" in plan for c in ("-", *"0123456789", "cast("))
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7])
+def test_live_features_by_slices(spark, tmp_path, slice_rows):
+    rows = [(k or "c", 10**6 + 1000 * n, n, v) for n, (k, _, _, v) in enumerate(random_rows())]
+    found = []
+    for size in (10_000, slice_rows):
+        stream = plans_files.streamed(spark, spark.createDataFrame(rows, "k string, ts_event long, seq long, mid double"), parts=2, most=40)
+        got = plans_files.drained(stateful.live_features(stream, ["k"], {"volatility_long": 30, "quote_ranks": 10}, slice_rows=size))
+        found.append(sorted(str(tuple(r)) for r in got.collect()))
+    assert found[0] == found[1] and len(found[0]) == 300
+
+
+def test_streamed_files_are_bounded(spark):
+    df = spark.createDataFrame([(n, n) for n in range(100)], "ts_event long, seq long")
+    per_file = plans_files.drained(plans_files.streamed(spark, df, parts=2, most=20).select("*", F.col("_metadata.file_path").alias("f"))).groupBy("f").agg(F.count("*").alias("n"), F.min("ts_event").alias("a"), F.max("ts_event").alias("b"))
+    assert all(r["n"] <= 20 and r["b"] - r["a"] == r["n"] - 1 for r in per_file.collect())

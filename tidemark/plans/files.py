@@ -97,13 +97,14 @@ def quarantine(spark, sf_dir):
     return read.unionByName(spark.createDataFrame([(kind, 1, 0) for _, kind in bad], "kind string, files long, n long"))
 
 
-def streamed(spark: SparkSession, df: DataFrame, parts: int = 4) -> DataFrame:
-    """``df`` as a stream of files, older times first, two at a time."""
+def streamed(spark: SparkSession, df: DataFrame, parts: int = 4, most: int = 0) -> DataFrame:
+    """``df`` as a stream of files, older times first, two at a time; with ``most``, files are in order and have no more rows than that."""
     path = folder(spark)
     bounds = df.select(F.percentile_approx("ts_event", [k / parts for k in range(1, parts)])).first()[0]
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         part = df if low is None else df.filter(F.col("ts_event") >= low)
-        (part if high is None else part.filter(F.col("ts_event") < high)).coalesce(1).write.mode("append").parquet(path)
+        part = (part if high is None else part.filter(F.col("ts_event") < high)).coalesce(1)
+        (part.sortWithinPartitions("ts_event", "seq") if most else part).write.option("maxRecordsPerFile", most).mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -163,8 +164,8 @@ LIVE = "volatility", "rsi", "volatility_ratio", "bollinger_pos", "quote_intensit
 @CAT.add("T12_live_features", f"""SELECT seq, {", ".join(f"round({n}, 6) AS {n}" for n in LIVE)} FROM ({whole_stream("W04_volatility")}) JOIN ({whole_stream("W06_rsi")}) USING (seq)
 JOIN ({whole_stream("W09_W12_volatility_regime")}) USING (seq) JOIN ({whole_stream("W18_bollinger")}) USING (seq) JOIN ({whole_stream("W25_quote_intensity")}) USING (seq)""")
 def live_features(spark, sf_dir):
-    """Five rolling features from a stream in two batches."""
-    x = drained(stateful.live_features(streamed(spark, quotes(spark, sf_dir).select("stream", "ts_event", "seq", "mid")), ["stream"], {"quote_ranks": 50}))
+    """Five rolling features from a stream in two batches, or in more of a million rows each."""
+    x = drained(stateful.live_features(streamed(spark, quotes(spark, sf_dir).select("stream", "ts_event", "seq", "mid"), most=500_000), ["stream"], {"quote_ranks": 50}))
     return rounded(x.select("seq", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in LIVE]))
 
 

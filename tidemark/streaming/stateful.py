@@ -163,10 +163,10 @@ def _rolled(x: pd.DataFrame, old: list[np.ndarray], w: Mapping[str, int]) -> tup
     return dict(zip(LIVE, (deviation(w["volatility"]), rsi, ratio, place, ranks), strict=True)), kept
 
 
-def live_features(df: DataFrame, by: Sequence[str], windows: dict[str, int] | None = None, lateness: str = "1 minute", idle: int = 30 * 86_400_000) -> DataFrame:
+def live_features(df: DataFrame, by: Sequence[str], windows: dict[str, int] | None = None, lateness: str = "1 minute", idle: int = 30 * 86_400_000, slice_rows: int = 16_384) -> DataFrame:
     """(by, ts_event, seq) with volatility, rsi, volatility_ratio, bollinger_pos and quote_intensity of quotes, as the batch features say.
 
-    Quotes come in order from batch to batch; mids are known. A key without quotes for ``idle`` milliseconds, by the watermark, begins anew.
+    Quotes come in order from batch to batch; mids are known. Of a batch, ``slice_rows`` of a key are worked on at once. A key without quotes for ``idle`` milliseconds, by the watermark, begins anew.
     """
     from ..operators.registry import WINDOWS
 
@@ -180,10 +180,13 @@ def live_features(df: DataFrame, by: Sequence[str], windows: dict[str, int] | No
             return
         x = _together(rows, ["ts_event", "seq"])
         old = [np.frombuffer(b, k) for b, k in zip(held.get, _KINDS, strict=True)] if held.exists else [np.array([], k) for k in _KINDS]
-        found, kept = _rolled(x, old, w)
-        held.update(tuple(v.tobytes() for v in kept))
-        held.setTimeoutTimestamp(max(int(x["ts_event"].max()), held.getCurrentWatermarkMs()) + idle)
-        yield x[[*by, "ts_event", "seq"]].assign(**found)
+        newest, x = int(x["ts_event"].max()), x[[*by, "ts_event", "seq", "mid"]]
+        for k in range(0, len(x), slice_rows):  # a window of each row is held at once
+            some = x.iloc[k : k + slice_rows]
+            found, old = _rolled(some, old, w)
+            yield some[[*by, "ts_event", "seq"]].assign(**found)
+        held.update(tuple(v.tobytes() for v in old))
+        held.setTimeoutTimestamp(max(newest, held.getCurrentWatermarkMs()) + idle)
 
     schema = T.StructType([*[df.schema[c] for c in (*by, "ts_event", "seq")], *[T.StructField(n, T.DoubleType()) for n in LIVE]])
     return _stateful(x, by, schema, "mids binary, times binary, returns binary, rates binary", run, GroupStateTimeout.EventTimeTimeout)
