@@ -108,3 +108,8 @@ def test_streamed_files_are_bounded(spark):
     df = spark.createDataFrame([(n, n) for n in range(100)], "ts_event long, seq long")
     per_file = plans_files.drained(plans_files.streamed(spark, df, parts=2, most=20).select("*", F.col("_metadata.file_path").alias("f"))).groupBy("f").agg(F.count("*").alias("n"), F.min("ts_event").alias("a"), F.max("ts_event").alias("b"))
     assert all(r["n"] <= 20 and r["b"] - r["a"] == r["n"] - 1 for r in per_file.collect())
+
+
+def test_model_features_slide_over_no_times(spark):
+    df = spark.createDataFrame([("a", 1, 1, 2.0, 1.0, 3.0, 1.0, 1.0)], "k string, ts_event long, seq long, mid double, bid_price double, ask_price double, bid_qty double, ask_qty double")
+    assert not slides(features.model_features(df, ["k"])) and not slides(features.live_features(df, ["k"]))

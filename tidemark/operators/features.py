@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from .scans import null_safe_join, window_sums
 from .temporal import asof_each
 
 ORDER = ("ts_event", "seq")
@@ -283,14 +284,13 @@ def model_features(df: DataFrame, by: Sequence[str], unit_ms: int = 1000, horizo
     x = asof_each(x, base, by, "mid", {"_next": ahead * unit_ms}, True)
     names = [f"log_return_{h}" for h in horizons]
     x = x.withColumns({n: F.log(F.col("mid") / F.col(f"_p{h}")) for n, h in zip(names, horizons, strict=True)})
-    earlier = Window.partitionBy(*by).orderBy("ts_event").rangeBetween(-window * unit_ms, -1)
     same = Window.partitionBy(*by, "ts_event").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     r = F.col(names[0])
 
-    def total(c: Column) -> Column:
-        return F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) + F.coalesce(F.sum(c).over(same), F.lit(0.0))
-
-    n, s, s2 = total(F.when(r.isNotNull(), 1.0)), total(r), total(r * r)
+    parts = {"_c": F.when(r.isNotNull(), 1.0), "_s": r, "_q": r * r}
+    earlier = window_sums(x.select(*by, "ts_event", *[c.alias(k) for k, c in parts.items()]), by, {k: F.sum(k) for k in parts}, {f"_early{k}": (k, -window * unit_ms, -1) for k in parts})
+    x = null_safe_join(x, earlier.drop(*parts), [*by, "ts_event"])
+    n, s, s2 = (F.coalesce(F.col(f"_early{k}"), F.lit(0.0)) + F.coalesce(F.sum(c).over(same), F.lit(0.0)) for k, c in parts.items())
     size = F.col("bid_qty") + F.col("ask_qty")
     x = x.withColumns({
         "volatility": F.when(n >= 2, F.sqrt(F.greatest(s2 / n - (s / n) * (s / n), F.lit(0.0)))),
@@ -306,9 +306,10 @@ def model_features(df: DataFrame, by: Sequence[str], unit_ms: int = 1000, horizo
 def live_features(df: DataFrame, by: Sequence[str], unit_ms: int = 1000) -> DataFrame:
     """Log returns over one and five units, imbalance, and the number of earlier rows less than or exactly one unit ago; eight places, null is 0."""
     x = asof_each(df, df.select(*by, "ts_event", "seq", "mid"), by, "mid", {"_p1": -unit_ms, "_p5": -5 * unit_ms})
-    span = Window.partitionBy(*by).orderBy("ts_event").rangeBetween(-unit_ms, -1)
+    earlier = window_sums(x, by, {"_n": F.count("*")}, {"_early": ("_n", -unit_ms, -1)}).drop("_n")
+    x = null_safe_join(x, earlier, [*by, "ts_event"])
     same = F.row_number().over(Window.partitionBy(*by, "ts_event").orderBy("seq")) - 1
     values = {f"f_log_return_{h}": F.log(F.col("mid") / F.col(f"_p{h}")) for h in (1, 5)}
     values["f_imbalance"] = F.try_divide(F.col("bid_qty") - F.col("ask_qty"), F.col("bid_qty") + F.col("ask_qty"))
     x = x.withColumns({n: F.coalesce(F.round(v, 8), F.lit(0.0)) + 0.0 for n, v in values.items()})
-    return x.withColumn("f_intensity", F.count("*").over(span) + same).select(*by, "ts_event", "seq", *values, "f_intensity")
+    return x.withColumn("f_intensity", F.coalesce("_early", F.lit(0.0)).cast("long") + same).select(*by, "ts_event", "seq", *values, "f_intensity")
