@@ -113,3 +113,11 @@ def test_streamed_files_are_bounded(spark):
 def test_model_features_slide_over_no_times(spark):
     df = spark.createDataFrame([("a", 1, 1, 2.0, 1.0, 3.0, 1.0, 1.0)], "k string, ts_event long, seq long, mid double, bid_price double, ask_price double, bid_qty double, ask_qty double")
     assert not slides(features.model_features(df, ["k"])) and not slides(features.live_features(df, ["k"]))
+
+
+def test_excursion_of_many_rows(spark):
+    rows = random_rows()
+    x = temporal.excursion(spark.createDataFrame(rows, "k string, ts_event long, seq long, v double"), ["k"], "v", 9)
+    near = lambda k, t: [v for k2, u, _, v in rows if k2 == k and t <= u <= t + 9]
+    assert not slides(x)
+    assert {r["seq"]: (r["min_v"], r["max_v"]) for r in x.collect()} == {n: (min(near(k, t)), max(near(k, t))) for k, t, n, _ in rows}

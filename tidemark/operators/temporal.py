@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import null_safe_join, window_sums
+
 
 def _carried(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], offset: int, forward: bool) -> DataFrame:
     """left with struct ``_hit`` (ts_event, seq, values) of the last right row at or before ts_event + offset,
@@ -95,5 +97,7 @@ def state_at(left: DataFrame, changes: DataFrame, by: Sequence[str], change: str
 
 def excursion(df: DataFrame, by: Sequence[str], value: str, width_ms: int) -> DataFrame:
     """The least and greatest value in [t, t + width], once per row."""
-    w = Window.partitionBy(*by).orderBy("ts_event").rangeBetween(0, width_ms)
-    return df.withColumns({f"min_{value}": F.min(value).over(w), f"max_{value}": F.max(value).over(w)})
+    sides = {f"min_{value}": ("_low", 0, width_ms), f"max_{value}": ("_high", 0, width_ms)}
+    x = window_sums(df, by, {"_low": F.min(value), "_high": F.max(value)}, sides, folds={"_low": F.min, "_high": F.max})
+    kind = df.schema[value].dataType
+    return null_safe_join(df, x.select(*by, "ts_event", *[F.col(c).cast(kind).alias(c) for c in sides]), [*by, "ts_event"])
