@@ -121,3 +121,17 @@ def test_excursion_of_many_rows(spark):
     near = lambda k, t: [v for k2, u, _, v in rows if k2 == k and t <= u <= t + 9]
     assert not slides(x)
     assert {r["seq"]: (r["min_v"], r["max_v"]) for r in x.collect()} == {n: (min(near(k, t)), max(near(k, t))) for k, t, n, _ in rows}
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_over_blocks(spark, forward):
+    rows = random_rows(120)
+    df = spark.createDataFrame(rows, "k string, ts_event long, seq long, v double")
+    x = temporal.asof_each(df, df.select("k", "ts_event", "seq", "v"), ["k"], "v", {"p": -30, "q": 4}, forward, None, width=7)
+    assert "_block" in x._jdf.queryExecution().analyzed().toString()
+
+    def at(k, t):
+        found = [(u, n, v) for k2, u, n, v in rows if k2 == k and (u >= t if forward else u <= t)]
+        return (min if forward else max)(found)[2] if found else None
+
+    assert {r["seq"]: (r["p"], r["q"]) for r in x.collect()} == {n: (at(k, t - 30), at(k, t + 4)) for k, t, n, _ in rows}

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scans import null_safe_join, window_sums
+from .scans import DAY_MS, null_safe_join, window_sums
 
 
-def _carried(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], offset: int, forward: bool) -> DataFrame:
+def _carried(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequence[str], offset: int, forward: bool, width: int | None = None) -> DataFrame:
     """left with struct ``_hit`` (ts_event, seq, values) of the last right row at or before ts_event + offset,
-    or, forward, the first at or after it."""
+    or, forward, the first at or after it.
+
+    With ``width``, blocks of so much time are sorted by themselves, and a small table tells each what the blocks before it leave."""
     hit = F.struct("ts_event", "seq", *values)
     nothing = F.lit(None).cast(right.select(hit.alias("h")).schema["h"].dataType)
     l_rows = left.select(
@@ -26,8 +28,15 @@ def _carried(left: DataFrame, right: DataFrame, by: Sequence[str], values: Seque
     r_rows = right.select(*by, F.col("ts_event").alias("_q"), F.lit(1 if forward else 0).alias("_side"), "seq", hit.alias("_v"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     order = [F.col(c).desc() if forward else F.col(c).asc() for c in ("_q", "_side", "seq")]
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_hit", F.last("_v", ignorenulls=True).over(w)).filter(F.col("_row").isNotNull())
+    group, carry = list(by), F.lit(None)
+    if width is not None:
+        both, group, carry = both.withColumn("_block", F.floor(F.col("_q") / width)), [*by, "_block"], F.col("_carry")
+        place = F.when(F.col("_v").isNotNull(), F.struct("_q", "seq"))
+        cells = both.groupBy(*group).agg((F.min_by if forward else F.max_by)("_v", place).alias("_edge"))
+        passed = Window.partitionBy(*by).orderBy(F.col("_block").desc() if forward else F.col("_block").asc()).rowsBetween(Window.unboundedPreceding, -1)
+        both = null_safe_join(both, cells.select(*group, F.last("_edge", ignorenulls=True).over(passed).alias("_carry")), group)
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_hit", F.coalesce(F.last("_v", ignorenulls=True).over(w), carry)).filter(F.col("_row").isNotNull())
     return found.select("_row.*", "_hit")
 
 
@@ -74,15 +83,15 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], values: Sequen
     return _spread(found, left.columns, values, prefix)
 
 
-def asof_each(left: DataFrame, right: DataFrame, by: Sequence[str], value: str, offsets: dict[str, int], forward: bool = False, tolerance: int | None = None) -> DataFrame:
+def asof_each(left: DataFrame, right: DataFrame, by: Sequence[str], value: str, offsets: dict[str, int], forward: bool = False, tolerance: int | None = None, width: int = DAY_MS) -> DataFrame:
     """A column for each named offset: the right value as of left time + offset, before or, forward, after.
 
-    Rows are dealt to their offsets, so one shuffle and one sort serve all; the gather by row keeps the
-    groups' partitioning. Left rows are told apart by (by, ts_event, seq), and hold no maps.
+    Rows are dealt to their offsets, so one shuffle and one sort serve all, in blocks of ``width`` of time, so that no
+    key is one task. Left rows are told apart by (by, ts_event, seq), and hold no maps.
     """
     dealt = left.withColumn("_row", F.struct(*left.columns)).withColumn("_offset", F.explode(F.array(*map(F.lit, offsets.values()))))
     dealt = dealt.select(*by, (F.col("ts_event") + F.col("_offset")).alias("ts_event"), "seq", "_offset", "_row")
-    found = _within(_carried(dealt, right, by, [value], 0, forward), 0, tolerance)
+    found = _within(_carried(dealt, right, by, [value], 0, forward, width), 0, tolerance)
     each = [F.max(F.when(F.col("_offset") == o, F.col(f"_hit.{value}"))).alias(name) for name, o in offsets.items()]
     return found.groupBy(*by, "_row").agg(*each).select("_row.*", *offsets)
 
