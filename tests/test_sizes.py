@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from tidemark import catalogue
 from tidemark.operators import chance, edges, execution, features, hypotheses, slices, temporal
 from tidemark.plans import files as plans_files
 from tidemark.streaming import stateful
@@ -135,3 +136,9 @@ def test_asof_over_blocks(spark, forward):
         return (min if forward else max)(found)[2] if found else None
 
     assert {r["seq"]: (r["p"], r["q"]) for r in x.collect()} == {n: (at(k, t - 30), at(k, t + 4)) for k, t, n, _ in rows}
+
+
+@pytest.mark.parametrize("name", ["W05_W17_ema", "W10_W13_trend", "W16_W19_W22_W23_imbalance"])
+def test_recursive_averages_run_in_blocks(spark, sf, name):
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert any("FlatMapGroupsInPandas [" in line and "_blk" in line.split("]")[0] for line in plan.splitlines())

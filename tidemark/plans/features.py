@@ -56,7 +56,7 @@ def ema_sql(x: str, span: int, n: int) -> str:
 @CAT.add("W05_W17_ema", f"""WITH {QUOTES_SQL}, e AS (SELECT seq, stream, week, ts_event, row_number() OVER o AS rn, {ema_sql('mid', 14, 1)} AS e FROM quotes {O})
 SELECT seq, round(CASE WHEN rn >= 14 THEN e END, 6) AS ema, round(CASE WHEN rn >= 19 THEN (e - lag(e, 5) OVER o) / 5 END, 6) AS ema_slope FROM e {O}""")
 def w5(spark, sf_dir):
-    return out(f.recursive(quotes(spark, sf_dir), BY, ["ema", "ema_slope", "trend_strength", "regime_trend"], f.trend_fold), "ema", "ema_slope")
+    return out(registry.feature_table(quotes(spark, sf_dir), BY, ["ema", "ema_slope"], warm=False), "ema", "ema_slope")
 
 
 @CAT.add("W06_rsi", f"""WITH {QUOTES_SQL}, c AS (SELECT *, mid - lag(mid) OVER o AS d FROM quotes {O}),
@@ -89,7 +89,7 @@ x AS (SELECT seq, rn, f, s, (f - s) / s AS sep, (f - lag(f, 4) OVER o) / lag(f,
 SELECT seq, round(CASE WHEN rn >= 35 THEN tanh(100 * (0.7 * sep + 0.3 * rise)) END, 6) AS trend_strength,
 CASE WHEN rn >= 30 THEN (CASE WHEN f > s AND mv > 1e-4 THEN 1 WHEN f < s AND mv < -1e-4 THEN -1 ELSE 0 END)::DOUBLE END AS regime_trend FROM x""")
 def w10(spark, sf_dir):
-    return out(f.recursive(quotes(spark, sf_dir), BY, ["ema", "ema_slope", "trend_strength", "regime_trend"], f.trend_fold), "trend_strength", "regime_trend")
+    return out(registry.feature_table(quotes(spark, sf_dir), BY, ["trend_strength", "regime_trend"], warm=False), "trend_strength", "regime_trend")
 
 
 @CAT.add("W11_W14_spread_ratio", f"""WITH {QUOTES_SQL}, s AS (SELECT *, ask_price - bid_price AS s FROM quotes WHERE ask_price > bid_price),
@@ -108,7 +108,7 @@ SELECT seq, round(e20, 6) AS imbalance_ema, round(CASE WHEN rn >= 10 THEN e10 EN
 round(CASE WHEN rn >= 15 THEN tanh(100 * acc) END, 6) AS imbalance_acceleration FROM a""")
 def w16(spark, sf_dir):
     names = ["imbalance_ema", "liquidity_pressure", "spread_compression", "imbalance_acceleration"]
-    x = f.recursive(f.stateless(quotes(spark, sf_dir)), BY, names, f.imbalance_fold)
+    x = registry.feature_table(quotes(spark, sf_dir), BY, names, warm=False)
     return out(x, *names)
 
 
