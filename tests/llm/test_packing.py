@@ -72,3 +72,9 @@ def test_level_choice_is_the_smallest_sum_of_squares():
 def test_edges(spark, rows):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), queries.tokenizer_path(), with_ids=True).collect()
     assert len(got) >= len(rows) and sum(r["length"] for r in got) == sum(len(r["ids"]) for r in got)
+
+
+def test_waiting_pieces_hold_themselves_alone():
+    packer = packing.SumOfSquaresPacker(40)
+    assert len(list(packer.add(0, np.zeros(1010, "<u4")))) == 25
+    assert [p[2].base is None and len(p[2]) for windows in packer.open for w in windows for p in w] == [10]

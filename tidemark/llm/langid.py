@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import sliced, written
+from .store import lean, sliced, small_batches, written
 
 BITS = 18
 N_GRAMS = (1, 2, 3, 4)
@@ -221,5 +221,6 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
                 scores[spoken] = np.clip((found[np.arange(len(spoken)), best] + 1) / 2, 0, 1) * share
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels.tolist(), pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 

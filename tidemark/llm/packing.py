@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .store import sliced
+from .store import lean, sliced, small_batches
 
 PARTITION_SHIFT = 33
 
@@ -144,7 +144,7 @@ class SumOfSquaresPacker:
             return
         level = self.best_level(size)
         window = self.open[level].pop() if level else []
-        window.append((doc, whole, ids[whole:]))
+        window.append((doc, whole, ids[whole:].copy() if whole else ids))  # a view would hold a long document while its end waits
         if level:
             self.count[level] -= 1
             self.n_open -= 1
@@ -250,4 +250,5 @@ def pack(
         if rows:
             yield out()
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lean(run), schema)

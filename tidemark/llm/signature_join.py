@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .shingles import BandKeys, bitmap, bitmap_width, linked, set_digest, shingle_set
-from .store import written
+from .store import lean, small_batches, written
 
 MAX_BLOOM_BITS = 1 << 25
 FAN_OUT = 8
@@ -175,7 +175,7 @@ def _candidates(rows: DataFrame, percent: int, only_spanning: bool) -> DataFrame
 
     names = ("hub", "part", "key")
     dealt = rows.select(*names, "digest", "n", "bits", "component", "side").repartition("hub", "part").sortWithinPartitions(*names)
-    return written(dealt.mapInArrow(walk, "a binary, b binary").distinct(), "join-candidates")
+    return written(dealt.mapInArrow(lean(walk), "a binary, b binary").distinct(), "join-candidates")
 
 
 def _trees(sketched: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def bloom_filtered(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(lean(keep), df.schema)
 
 
 def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, percent: int, fan: int = 256)
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     dealt = hubs.unionByName(rows).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return written(dealt.mapInArrow(compare, "a binary, b binary"), "join-links")
+    return written(dealt.mapInArrow(lean(compare), "a binary, b binary"), "join-links")
 
 
 def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -288,11 +288,12 @@ def sketches(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataF
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *new], names)
 
-    return docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col]).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("h"), docs[text_col]).mapInArrow(lean(run), schema)
 
 
 def _components(docs: DataFrame, percent: int, id_col: str, text_col: str, first_bands: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and (digest, component) of the classes that are linked with another."""
+    small_batches(docs.sparkSession)
     rows = written(sketches(docs, percent, id_col, text_col), "join-sketches")
     trees = _trees(rows)
     cids = written(trees.select("cid").distinct(), "join-cids")

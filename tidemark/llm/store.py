@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -66,3 +69,34 @@ def sliced(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Rows of an Arrow batch of texts: Spark's own bound of 10,000 is a gigabyte of long texts, held by the JVM and by Python at once.
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to BATCH_ROWS rows, unless it sets fewer. Spark reads the setting when a query runs, so it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives back the memory it freed: Python workers are used again and would carry it into every later stage."""
+
+    @functools.wraps(run)
+    def ended(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not the GNU library
+                pass
+
+    return ended

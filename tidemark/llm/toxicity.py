@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import sliced, written
+from .store import lean, sliced, small_batches, written
 
 BITS = 20
 TOKEN = re.compile(r"\w+")
@@ -205,7 +205,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
             part = used[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[1, part]), pa.array(counts[0, part])], ["place", "toxic", "other"])
 
-    partial = train.select("text", "toxic").mapInArrow(run, "place long, toxic long, other long")
+    partial = train.select("text", "toxic").mapInArrow(lean(run), "place long, toxic long, other long")
     return partial.groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -245,6 +245,7 @@ def learn(
     floor: float = 2.0,
     max_expected: float = 0.1,
 ) -> ToxicityModel:
+    small_batches(docs.sparkSession)
     train = training_texts(docs, labels, id_col, text_col, label_col)
     n = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     if len(n) < 2:
@@ -288,7 +289,7 @@ def _frequencies(train: DataFrame, model: ToxicityModel, floor: float) -> tuple[
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bin", "n"])
 
-    found = train.filter("toxic = 0").select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    found = train.filter("toxic = 0").select("text").mapInArrow(lean(run), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
     s = np.concatenate([low + found["bin"].to_numpy(float) * SCORE_BIN, [float(model.scores.max())]])
     n = np.concatenate([found["n"].to_numpy(float), [0.5]])  # the best score may not be among them
     return n / n.sum(), s
@@ -311,7 +312,7 @@ def _fit_k(train: DataFrame, model: ToxicityModel) -> float:
                 texts, weight = texts + 1, weight + n * math.exp(-model.lam * max((s for *_, s in segments), default=0.0))
         yield pa.RecordBatch.from_arrays([pa.array([texts]), pa.array([weight])], ["texts", "weight"])
 
-    row = train.filter("toxic = 0").select("text").mapInArrow(run, "texts long, weight double").agg(F.sum("texts").alias("n"), F.sum("weight").alias("w")).first()
+    row = train.filter("toxic = 0").select("text").mapInArrow(lean(run), "texts long, weight double").agg(F.sum("texts").alias("n"), F.sum("weight").alias("w")).first()
     return max(1e-9, row["n"] / row["w"]) if row["w"] else 1.0
 
 
@@ -328,7 +329,7 @@ def _histogram(train: DataFrame, model: ToxicityModel) -> list[tuple[float, floa
         y, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(y), pa.array(counts[y, at])], ["bin", "y", "n"])
 
-    rows = train.select("text", "toxic").mapInArrow(run, "bin long, y long, n long").groupBy("bin", "y").agg(F.sum("n").alias("n")).orderBy("bin", "y").collect()
+    rows = train.select("text", "toxic").mapInArrow(lean(run), "bin long, y long, n long").groupBy("bin", "y").agg(F.sum("n").alias("n")).orderBy("bin", "y").collect()
     return [(r["bin"] * BIN_WIDTH, r["y"], r["n"]) for r in rows]
 
 
@@ -352,4 +353,5 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
             new = [pa.array([model.probability(s) for s, _ in found], pa.float64()), pa.array([s for s, _ in found], pa.float64()), pa.array([p for _, p in found], span)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*kept, *added])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.select(*kept).mapInArrow(lean(run), schema)
