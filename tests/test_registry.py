@@ -65,3 +65,10 @@ def test_windows_over_known_values_skip_what_is_unknown(spark):
 def test_memory_is_below_the_last_digit():
     for a in (0.5, 0.1, features.span(50)):
         assert (1 - a) ** scans.memory(a) <= 1e-20 < (1 - a) ** (scans.memory(a) - 1)
+
+
+def test_a_task_sorts_its_rows_once(spark):
+    q = quotes(spark, "/root/testdata/sf0.001")
+    plan = registry.feature_table(q, ["stream"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    blocks = next(n for n, line in enumerate(plan) if "_blk" in line and "Exchange" in line)
+    assert sum("Sort [" in line for line in plan[:blocks]) == 1

@@ -2,8 +2,8 @@
 
 Features hang together: some come from one window, some from others. The names asked for are resolved to the
 steps that make them, each step once and behind those that it needs, so windows are shared and derived features come
-last. Rows are dealt to blocks of their key first; all steps work within blocks (one shuffle), and the recursive
-averages, the only ones that leave the JVM, run in one pass.
+last. Rows are dealt to blocks of their key first (one shuffle); a block is put in order once, and all steps run over it
+in one pass of array operations, so a task holds a block and not a sorted copy of its rows for each window.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import features as f
-from . import scans
+from . import rolling, scans
 
 TREND = ("ema", "ema_slope", "trend_strength", "regime_trend")
 SMOOTH = ("imbalance_ema", "liquidity_pressure", "spread_compression", "imbalance_acceleration")
@@ -91,6 +94,19 @@ def plan(names: Iterable[str]) -> list[Step]:
     return resolve(names, [*(s for s in STEPS if s.makes not in (TREND, SMOOTH)), BOTH])
 
 
+#: A step's pass over a block, by what it makes: from (arrays by name, windows by feature name).
+PASSES = {
+    STEPS[0].makes: rolling.stateless, ("return_1",): rolling.returns, ("rsi",): rolling.rsi, ("atr",): rolling.atr, ("roc",): rolling.roc, ("bollinger_pos",): rolling.bollinger_position,
+    TREND: lambda g, w: rolling.recursive(g, w, f.trend_fold), SMOOTH: lambda g, w: rolling.recursive(g, w, f.imbalance_fold),
+    TREND + SMOOTH: lambda g, w: rolling.recursive(g, w, lambda x: {**f.trend_fold(x), **f.imbalance_fold(x)}),
+    ("volatility",): rolling.volatility, ("volatility_ratio", "regime_volatility"): rolling.volatility_regime, ("return_momentum",): rolling.return_momentum,
+    ("micro_reversion",): rolling.micro_reversion, ("spread_ratio", "regime_spread"): rolling.spread_ratio, ("quote_intensity",): rolling.quote_intensity,
+    ("regime_stability",): rolling.regime_stability, ("behavior_divergence",): rolling.behavior_divergence, ("volatility_compression_score",): rolling.compression_score,
+}
+CLASSES = ("regime_volatility", "regime_spread")
+BOOK = ("mid", "bid_price", "ask_price", "bid_qty", "ask_qty")
+
+
 def look_back(windows: Mapping[str, int]) -> int:
     """Rows that the features may look back: the longest chain of windows, and the memory of the slowest average."""
     chain = max(windows["volatility_long"], windows["spread_ratio"], windows["volatility"], scans.memory(f.span(50))) + max(windows["regime_stability"], windows["volatility_compression_score"])
@@ -108,9 +124,21 @@ def feature_table(q: DataFrame, by: Sequence[str], enabled: Sequence[str] = FEAT
         raise ValueError(f"no window {sorted(unknown)}")
     w = {**WINDOWS, **(windows or {})}
     back = look_back(w)
-    x = q.select(*by, *scans.ORDER, "mid", "bid_price", "ask_price", "bid_qty", "ask_qty")
+    x = q.select(*by, *scans.ORDER, *BOOK)
     x = scans.in_blocks(scans.number(x, by), by, before=back, size=max(size, back))
-    for step in plan(enabled):
-        x = step.build(x, [*by, "_blk"], w)
-    x = scans.at_home(x).select(*by, *scans.ORDER, *enabled)
+    steps, kept = [s.makes for s in plan(enabled)], [*by, *scans.ORDER]
+    schema = T.StructType([q.schema[c] for c in kept])
+    for name in enabled:
+        schema = schema.add(name, T.IntegerType() if name in CLASSES else T.DoubleType())
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_i", kind="stable")
+        g = {c: block[c].to_numpy(float) for c in (*BOOK, "ts_event")}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for makes in steps:
+                g.update(PASSES[makes](g, w))
+        home = block["_home"].to_numpy(bool)
+        return block.loc[home, kept].assign(**{name: pd.array(g[name][home], "Int32") if name in CLASSES else g[name][home] for name in enabled})
+
+    x = x.drop("_n").groupBy(*by, "_blk").applyInPandas(run, schema)
     return f.complete(x, list(enabled)) if warm else x
