@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from tidemark import catalogue
-from tidemark.operators import chance, edges, execution, features, hypotheses, slices, temporal
+from tidemark.operators import chance, edges, execution, features, hypotheses, slices, stats, temporal
 from tidemark.plans import files as plans_files
 from tidemark.streaming import stateful
 
@@ -162,3 +162,17 @@ def test_fills_of_a_key_over_many_batches(spark, name):
         own = sorted((r.asDict() for r in df.collect() if r["symbol"] == key), key=lambda r: r["ts_event"])
         want += [str((*f.values(), *s)) for f, s in zip(own, steps(own), strict=True) if s[-1] is not None]
     assert found[0] == found[1] == sorted(want)
+
+
+def test_percentiles_hold_no_key(spark, sf):
+    rng = random.Random(9)
+    rows = [(k, v) for k in ("a", "all", None) for v in [rng.choice([None, *map(float, range(50))]) for _ in range(77)]] + [("none", None)]
+    x = stats.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"low": 0.1, "mid": 0.5})
+    for r in x.collect():
+        mine = sorted(v for k, v in rows if k == r["k"] and v is not None)
+        assert r["n"] == (77 if mine else 1) and (r["lo"], r["hi"]) == ((mine[0], mine[-1]) if mine else (None, None))
+        for name, share in (("low", 0.1), ("mid", 0.5)):
+            at = share * (len(mine) - 1)
+            assert (r[name] is None) == (not mine) and (not mine or math.isclose(r[name], mine[math.floor(at)] + (at - math.floor(at)) * (mine[math.ceil(at)] - mine[math.floor(at)])))
+    assert x.count() == 4
+    assert "percentile(" not in catalogue.QUERIES["A22_grouping_sets"](spark, sf)._jdf.queryExecution().analyzed().toString()

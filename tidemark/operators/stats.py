@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,3 +203,19 @@ def label_ranking(df: DataFrame, features: Sequence[str], label: str) -> DataFra
     size = F.col("size")
     strength = F.when(size >= 0.5, "STRONG").when(size >= 0.3, "MODERATE").when(size >= 0.1, "WEAK").otherwise("NEGLIGIBLE")
     return x.withColumns({"strength": strength, "rank": F.row_number().over(Window.orderBy(F.desc("size"), "feature"))})  # a row a feature
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """(by, n, lo, hi, a column a share): rows, least and largest value, and percentiles that lie between two values in proportion.
+
+    The two values come from :func:`tidemark.operators.scans.sorted_values`, so no task holds a key's values.
+    """
+    at = lambda share, n: F.lit(float(share)) * (n - 1)
+    places = {f"_{side}_{name}": (share, (lambda n, share=share, end=end: end(at(share, n)))) for name, share in shares.items() for side, end in (("low", F.floor), ("high", F.ceil))}
+    x = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(value).alias("_known"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    x = null_safe_join(x, sorted_values(df, by, value, places), by, "left")
+    for name, share in shares.items():
+        place, low, high = at(share, F.col("_known")), F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        x = x.withColumn(name, F.when(F.ceil(place) == F.floor(place), low).otherwise(between))
+    return x.drop("_known", *places)

@@ -34,10 +34,11 @@ def a10(spark, sf_dir):
 coalesce(o_orderstatus, o_orderpriority, 'all') AS name, count(*) AS n, min(o_totalprice) AS lo, round(quantile_cont(o_totalprice, 0.1), 6) AS p10, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, max(o_totalprice) AS hi
 FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))""")
 def a22(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("_a22")
-    return rounded(spark.sql("""SELECT CASE WHEN grouping(o_orderstatus) = 0 THEN 'status' WHEN grouping(o_orderpriority) = 0 THEN 'priority' ELSE 'overall' END AS scope,
-        coalesce(o_orderstatus, o_orderpriority, 'all') AS name, count(*) AS n, min(o_totalprice) AS lo, percentile(o_totalprice, 0.1) AS p10, percentile(o_totalprice, 0.5) AS median, percentile(o_totalprice, 0.9) AS p90, max(o_totalprice) AS hi
-        FROM _a22 GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))"""))
+    scope = lambda name, key: F.struct(F.lit(name).alias("scope"), key.cast("string").alias("_key"))
+    scopes = F.array(scope("overall", F.lit(None)), scope("status", F.col("o_orderstatus")), scope("priority", F.col("o_orderpriority")))
+    x = table(spark, sf_dir, "orders").select(F.explode(scopes).alias("_s"), "o_totalprice").select("_s.*", "o_totalprice")
+    x = s.percentiles(x, ["scope", "_key"], "o_totalprice", {"p10": 0.1, "median": 0.5, "p90": 0.9})
+    return rounded(x.select("scope", F.coalesce("_key", F.lit("all")).alias("name"), "n", "lo", "p10", "median", "p90", "hi"))
 
 
 @CAT.add("M1_distribution", f"""WITH {TICKS_SQL}, b AS (SELECT stream, count(*) AS n, avg(price) AS mean, stddev_pop(price) AS std, median(price) AS median, min(price) AS mn, max(price) AS mx FROM ticks GROUP BY 1),
