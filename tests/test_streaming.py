@@ -65,3 +65,20 @@ def test_windows_and_sessions(spark, folder, tmp_path):
     assert got.agg(F.sum("n")).first()[0] == t.count()
     got = drained(spark, live.heartbeats(stream), tmp_path, "sessions", "complete")
     assert got.agg(F.sum("n")).first()[0] == t.count()
+
+
+def test_symbols_share_calls_and_keep_their_states(spark, tmp_path):
+    schema = "ts_event long, seq long, symbol long, stream string, price double, qty double"
+    path = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    parts = [[(1, 1, 7, 2.0), (1, 2, 8, 2.0), (2, 3, 7, 2.0), (2, 4, None, 5.0), (3, 9, 0, 5.0)], [(4, 5, 7, 2.0), (4, 6, 8, 3.0), (5, 7, None, 5.0), (6, 8, 9, 1.0), (7, 10, 7, 4.0)]]
+    x = [f(live.tick_stream(spark, path)) for f in (live.numbered, live.changed)]
+    found = [set(), set()]
+    for n, part in enumerate(parts):
+        spark.createDataFrame([(t, s, k, "s", p, 1.0) for t, s, k, p in part], schema).coalesce(1).write.mode("append").parquet(path)
+        for k, (df, column) in enumerate(zip(x, ("number", "price"), strict=True)):
+            df.writeStream.format("parquet").option("path", f"{tmp_path}/out{k}").option("checkpointLocation", f"{tmp_path}/cp{k}").trigger(availableNow=True).start().awaitTermination()
+            found[k] = {(r["symbol"], r["seq"], r[column]) for r in spark.read.parquet(f"{tmp_path}/out{k}").collect()}
+    assert found[0] == {(7, 1, 1), (7, 3, 2), (7, 5, 3), (7, 10, 4), (8, 2, 1), (8, 6, 2), (None, 4, 1), (None, 7, 2), (0, 9, 1), (9, 8, 1)}
+    assert found[1] == {(7, 1, 2.0), (7, 10, 4.0), (8, 2, 2.0), (8, 6, 3.0), (None, 4, 5.0), (0, 9, 5.0), (9, 8, 1.0)}
+    assert "_bucket" in x[1]._jdf.queryExecution().analyzed().toString()

@@ -6,8 +6,9 @@ and returns a streaming DataFrame; run on all rows at once they give the batch o
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,27 +82,61 @@ def _stateful(df: DataFrame, by: Sequence[str], out: str, state: str, step) -> D
     return df.groupBy(*by).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Groups of symbols whose states lie together: a call to Python costs milliseconds, and a symbol has few rows a batch.
+BUCKETS = 512
+
+
+def _by_symbol(df: DataFrame, out: str, step: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], tuple[pd.DataFrame, np.ndarray]]) -> DataFrame:
+    """A step over the rows of many symbols, each in order, with one number of state a symbol.
+
+    The step gets the rows, where a symbol's begin and end, and the symbols' numbers (NaN for a new one); it gives rows and the numbers after them.
+    Symbols without a name are one symbol, in a bucket of its own.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        name = rows["symbol"].fillna(0).to_numpy("int64")
+        order = np.lexsort((rows["seq"].to_numpy(), rows["ts_event"].to_numpy(), name))
+        rows, name = rows.iloc[order].reset_index(drop=True), name[order]
+        edge = name[1:] != name[:-1]
+        first, last = np.r_[True, edge], np.r_[edge, True]
+        names, numbers = (np.frombuffer(x, t) for x, t in zip(held.get if held.exists else (b"", b""), ("int64", "float64"), strict=True))
+        own = name[first]
+        known = np.isin(own, names)
+        before = np.full(len(own), np.nan)
+        before[known] = numbers[np.searchsorted(names, own[known])]
+        found, now = step(rows, first, last, before)
+        quiet = ~np.isin(names, own)
+        names, numbers = np.r_[names[quiet], own], np.r_[numbers[quiet], now]
+        order = np.argsort(names)
+        held.update((names[order].tobytes(), numbers[order].astype("float64").tobytes()))
+        yield found
+
+    bucket = F.when(F.col("symbol").isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS)))
+    return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(run, out, "names binary, numbers binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """T5: a sequence number per symbol, from 1, and the time in nanoseconds."""
 
-    def step(rows: pd.DataFrame, held):
-        start = held[0] if held else 0
-        out = rows[["symbol", "ts_event", "seq"]].assign(number=range(start + 1, start + 1 + len(rows)), ts_ns=rows["ts_event"] * 1_000_000)
-        return out, (start + len(rows),)
+    def step(rows: pd.DataFrame, first: np.ndarray, last: np.ndarray, before: np.ndarray):
+        at, key = np.arange(1, len(rows) + 1), np.cumsum(first) - 1
+        number = at - np.flatnonzero(first)[key] + np.nan_to_num(before).astype("int64")[key]
+        return rows[["symbol", "ts_event", "seq"]].assign(number=number, ts_ns=rows["ts_event"] * 1_000_000), number[last]
 
-    return _stateful(df, ["symbol"], "symbol long, ts_event long, seq long, number long, ts_ns long", "n long", step)
+    return _by_symbol(df, "symbol long, ts_event long, seq long, number long, ts_ns long", step)
 
 
 def changed(df: DataFrame) -> DataFrame:
     """A symbol's row only where its price differs from the one before."""
 
-    def step(rows: pd.DataFrame, held):
-        last = rows["price"].shift(1)
-        if held:
-            last.iloc[0] = held[0]
-        return rows.loc[~(rows["price"] == last), ["symbol", "ts_event", "seq", "price"]], (float(rows["price"].iloc[-1]),)
+    def step(rows: pd.DataFrame, first: np.ndarray, last: np.ndarray, before: np.ndarray):
+        price = rows["price"].to_numpy("float64")
+        earlier = np.r_[np.nan, price[:-1]]
+        earlier[first] = before
+        return rows.loc[price != earlier, ["symbol", "ts_event", "seq", "price"]], price[last]
 
-    return _stateful(df, ["symbol"], "symbol long, ts_event long, seq long, price double", "price double", step)
+    return _by_symbol(df, "symbol long, ts_event long, seq long, price double", step)
 
 
 def live_ema(df: DataFrame, n: int = 14) -> DataFrame:
