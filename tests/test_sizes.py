@@ -2,7 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidemark import catalogue
@@ -37,6 +40,73 @@ def test_order_guard_of_one_arrival(spark, tmp_path):
     assert found == {((0, "accepted"), (1, "accepted"), (2, "accepted"), (3, "duplicate"), (4, "duplicate"))}
 
 
+def test_order_guard_in_many_batches(spark, sf, monkeypatch):
+    sizes, ordered = [], stateful.ordered
+
+    def counted(stream, *rest):
+        files = plans_files.drained(stream.withColumn("f", F.col("_metadata.file_path"))).groupBy("f").agg(F.count("*").alias("n"), F.min("arrival").alias("a"), F.max("arrival").alias("b"))
+        sizes.append(sorted((r["a"], r["b"], r["n"]) for r in files.collect()))
+        return ordered(stream, *rest)
+
+    monkeypatch.setattr(plans_files.stateful, "ordered", counted)
+    whole = sorted(map(tuple, catalogue.QUERIES["T6_order_guard"](spark, sf).collect()))
+    monkeypatch.setattr(plans_files, "FILE_ROWS", 60, raising=False)
+    assert sorted(map(tuple, catalogue.QUERIES["T6_order_guard"](spark, sf).collect())) == whole and len(whole) == 1000
+    assert [sum(n for *_, n in files) for files in sizes] == [1000, 1000]
+    assert max(n for *_, n in sizes[1]) <= 60 and all(x[1] < y[0] for x, y in zip(sizes[1], sizes[1][1:], strict=False))
+
+
+class Held:
+    """A key's state outside of a stream."""
+
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutTimestamp(self, at):
+        self.until = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def one_key(spark, monkeypatch):
+    """What the order guard does with the rows of a key."""
+    monkeypatch.setattr(stateful, "_stateful", lambda df, by, out, state, run, timeout: run)
+    run = stateful.ordered(spark.createDataFrame([], "k string, ts_event long, seq long, arrival long"), ["k"], "arrival")
+    return lambda x, held: pd.concat(run(("a",), iter([x.assign(k="a", event_time=pd.to_datetime(0))]), held))
+
+
+def test_order_guard_holds_no_object_a_row(spark, monkeypatch):
+    rng, n = np.random.default_rng(4), 300_000
+    x = pd.DataFrame({"ts_event": rng.integers(0, 2**60, n), "seq": rng.integers(0, 3, n), "arrival": rng.permutation(n)})
+    guard = one_key(spark, monkeypatch)
+    tracemalloc.start()
+    got = guard(x, Held())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n and peak < 200 * n, peak / n
+
+
+def test_order_guard_of_large_numbers(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(2**60 + rng.randint(0, 5), 2**55 + rng.randint(0, 2)) for _ in range(300)]
+    guard, held, got = one_key(spark, monkeypatch), Held(), []
+    for some in (range(100), range(100, 300)):
+        got += guard(pd.DataFrame([(*rows[n], n) for n in some], columns=["ts_event", "seq", "arrival"]), held)["status"].tolist()
+    want, last = [], (0, 0)
+    for row in rows:
+        want.append("accepted" if row > last else "duplicate" if row == last else "out_of_order")
+        last = max(row, last)
+    assert got == want and held.get == last
+
+
+def test_order_guard_of_an_empty_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert catalogue.QUERIES["T6_order_guard"](spark, str(tmp_path)).count() == 0
+
+
 def test_shares_stay_off_the_rows(spark):
     rows = [("a", n, n / 10, n % 3 == 0) for n in range(40)] + [(None, 100 + n, n / 10, n % 2 == 0) for n in range(10)]
     df = spark.createDataFrame(rows, "k string, seq long, v double, hit boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from .registry import Catalogue, rounded
 CAT = Catalogue()
 ROW = "ts_event long, seq long, symbol long, stream string, price double"
 COLS = ["ts_event", "seq", "symbol", "stream", "price"]
+FILE_ROWS = 500_000  # of a streamed file, of which a batch takes two
 
 
 def folder(spark: SparkSession) -> str:
@@ -97,14 +99,16 @@ def quarantine(spark, sf_dir):
     return read.unionByName(spark.createDataFrame([(kind, 1, 0) for _, kind in bad], "kind string, files long, n long"))
 
 
-def streamed(spark: SparkSession, df: DataFrame, parts: int = 4, most: int = 0) -> DataFrame:
-    """``df`` as a stream of files, older times first, two at a time; with ``most``, files are in order and have no more rows than that."""
-    path = folder(spark)
-    bounds = df.select(F.percentile_approx("ts_event", [k / parts for k in range(1, parts)])).first()[0]
+def streamed(spark: SparkSession, df: DataFrame, parts: int = 4, most: int = 0, order: Sequence[str] = ("ts_event", "seq")) -> DataFrame:
+    """``df`` as a stream of files, older times first, two at a time; with ``most``, files are in order and have no more rows than that.
+
+    The order's first column is a number, and known."""
+    path, first = folder(spark), F.col(order[0])
+    bounds = df.select(F.percentile_approx(first, [k / parts for k in range(1, parts)])).first()[0] or []  # none of an empty table
     for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = df if low is None else df.filter(F.col("ts_event") >= low)
-        part = (part if high is None else part.filter(F.col("ts_event") < high)).coalesce(1)
-        (part.sortWithinPartitions("ts_event", "seq") if most else part).write.option("maxRecordsPerFile", most).mode("append").parquet(path)
+        part = df if low is None else df.filter(first >= low)
+        part = (part if high is None else part.filter(first < high)).coalesce(1)
+        (part.sortWithinPartitions(*order) if most else part).write.option("maxRecordsPerFile", most).mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
@@ -150,11 +154,10 @@ def live_silences(spark, sf_dir):
 @CAT.add("T6_order_guard", f"""WITH {TICKS_SQL}, x AS (SELECT stream, seq, ts_event // 3600000 AS hour, (seq * 7919) % 1000003 AS arrival FROM ticks), y AS (SELECT *, max(hour) OVER (PARTITION BY stream ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x)
 SELECT stream, seq, CASE WHEN before IS NULL OR hour > before THEN 'accepted' WHEN hour = before THEN 'duplicate' ELSE 'out_of_order' END AS status FROM y""")
 def order_guard(spark, sf_dir):
-    """Rows as they come in a shuffled order; only their hour counts, so that some repeat the last one accepted."""
-    t = ticks(spark, sf_dir).select("stream", F.floor(F.col("ts_event") / 3_600_000).alias("ts_event"), F.lit(0).cast("long").alias("seq"), F.col("seq").alias("id"), ((F.col("seq") * 7919) % 1_000_003).alias("arrival"))
-    path = folder(spark)
-    t.repartition(3).write.parquet(path)
-    rows = spark.readStream.schema(t.schema).parquet(path)
+    """Rows as they come in a shuffled order, in batches of a million at most; only their hour counts, so that some repeat the last one accepted."""
+    arrival = F.coalesce((F.col("seq") * 7919) % 1_000_003, F.lit(1_000_003))  # rows without a number come last
+    t = ticks(spark, sf_dir).select("stream", F.floor(F.col("ts_event") / 3_600_000).alias("ts_event"), F.lit(0).cast("long").alias("seq"), F.col("seq").alias("id"), arrival.alias("arrival"))
+    rows = streamed(spark, t, most=FILE_ROWS, order=("arrival", "ts_event", "id"))
     return drained(stateful.ordered(rows, ["stream"], "arrival")).select("stream", F.col("id").alias("seq"), "status")
 
 
@@ -165,7 +168,7 @@ LIVE = "volatility", "rsi", "volatility_ratio", "bollinger_pos", "quote_intensit
 JOIN ({whole_stream("W09_W12_volatility_regime")}) USING (seq) JOIN ({whole_stream("W18_bollinger")}) USING (seq) JOIN ({whole_stream("W25_quote_intensity")}) USING (seq)""")
 def live_features(spark, sf_dir):
     """Five rolling features from a stream in two batches, or in more of a million rows each."""
-    x = drained(stateful.live_features(streamed(spark, quotes(spark, sf_dir).select("stream", "ts_event", "seq", "mid"), most=500_000), ["stream"], {"quote_ranks": 50}))
+    x = drained(stateful.live_features(streamed(spark, quotes(spark, sf_dir).select("stream", "ts_event", "seq", "mid"), most=FILE_ROWS), ["stream"], {"quote_ranks": 50}))
     return rounded(x.select("seq", *[F.nanvl(n, F.lit(None).cast("double")).alias(n) for n in LIVE]))
 
 
